@@ -12,8 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .arrays import let
-from .text import clean_text, decode_entities
+from .text import clean_text, decode_common
 
 # Elements whose start ends an open paragraph in HTML, with list
 # and table parts and the document elements.
@@ -51,6 +50,7 @@ def mark_tags(html: Column) -> Column:
     return F.replace(F.regexp_replace(page, _TAG, "\x01$1\x02$2\x03"), F.lit("\x01\x02\x03"), F.lit(""))
 
 
+
 def strip_markup(html: Column) -> Column:
     """Text of a fragment: tags, comments, scripts and styles removed."""
     return F.regexp_replace(mark_tags(html), "\x01[^\x03]*\x03", "")
@@ -81,13 +81,13 @@ def segment_attributes(segment: Column) -> Column:
 
 
 def segment_text(segment: Column) -> Column:
-    return clean_text(decode_entities(F.substring_index(segment, "\x03", -1)))
+    return clean_text(decode_common(F.substring_index(segment, "\x03", -1)))
 
 
 def first_text(marked: Column, name: str) -> Column:
     """Cleaned text of the first element called ``name``; null without one."""
     content = F.regexp_extract(marked, f"(?s)\x01(?i:{name})\x02[^\x03]*+\x03(.*?)(?:\x01/(?i:{name})\x02|\\z)", 1)
-    clean = clean_text(decode_entities(F.regexp_replace(content, "\x01[^\x03]*+\x03", "")))
+    clean = clean_text(decode_common(F.regexp_replace(content, "\x01[^\x03]*+\x03", "")))
     return F.when(has_tag(marked, name), clean)
 
 
@@ -96,27 +96,18 @@ def tag_attributes(marked: Column, name: str) -> Column:
     return F.regexp_extract_all(marked, F.lit(f"\x01(?i:{name})\x02([^\x03]*+)\x03"), F.lit(1))
 
 
-def _raw_attribute(attributes: Column, name: str) -> Column:
-    value = r"""(?:"[^"]*+"|'[^']*+'|[^\s"']\S*+)"""
-    skip = rf"(?:[\s/]++|(?!{name}(?:[\s/=]|\z))=?+[^\s/=]++(?:\s*+=\s*+{value}?+)?+)*+"
-    present = rf"(?is)^{skip}{name}(?:[\s/=]|\z)"
-    extract = rf"(?is)^{skip}{name}\s*+=\s*+({value})"
-    return F.when(
-        F.contains(F.lower(attributes), F.lit(name)),
-        let(
-            F.regexp_extract(attributes, extract, 1),
-            lambda raw: F.when(
-                F.substring(raw, 1, 1).isin('"', "'"), F.substr(raw, F.lit(2), F.length(raw) - 2)
-            ).when((raw != "") | attributes.rlike(present), raw),
-        ),
-    )
-
-
-def attribute_values(attributes: Column, *names: str) -> Column:
-    """array<string>: the value of the first attribute of each name; null when it
-    is absent, '' when it has no value. Earlier attributes are consumed whole, so a
+def _before(name: str) -> str:
+    """Regex for the attributes in front of ``name``, consumed whole, so that a
     name inside another attribute's quoted value is not found."""
-    return F.transform(
-        let(attributes, lambda a: F.array(*[_raw_attribute(a, n) for n in names])),
-        lambda v: decode_entities(v, in_attribute=True),
-    )
+    value = r"""(?:"[^"]*+"|'[^']*+'|[^\s"']\S*+)"""
+    return rf"(?is)^(?:[\s/]++|(?!{name}(?:[\s/=]|\z))=?+[^\s/=]++(?:\s*+=\s*+{value}?+)?+)*+{name}"
+
+
+def has_attribute(attributes: Column, name: str) -> Column:
+    return attributes.rlike(_before(name) + r"(?:[\s/=]|\z)")
+
+
+def attribute(attributes: Column, name: str) -> Column:
+    """Decoded value of the first attribute called ``name``; '' without one."""
+    quoted_or_bare = r"""(?:"|'|)((?<=")[^"]*+|(?<=')[^']*+|(?<!["'])[^\s"']\S*+)"""
+    return decode_common(F.regexp_extract(attributes, _before(name) + rf"\s*+=\s*+{quoted_or_bare}", 1))

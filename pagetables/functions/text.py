@@ -26,7 +26,17 @@ NO_ALT_TEXT = "[No Alt Text]"
 DEFAULT_TARGET = "_self"
 
 # The references most pages use; '&amp;' has to be replaced last.
-_COMMON = {"lt": "<", "gt": ">", "quot": '"', "#39": "'", "nbsp": "\xa0", "copy": "\xa9", "middot": "\xb7", "amp": "&"}
+_COMMON = {
+    "lt": "<",
+    "gt": ">",
+    "quot": '"',
+    "#39": "'",
+    "nbsp": "\xa0",
+    "copy": "\xa9",
+    "middot": "\xb7",
+    "amp": "&",
+}
+_UNCOMMON = "&(?=[#A-Za-z])(?!(?:" + "|".join(_COMMON) + ");)"
 
 # The entity tables are derived from the standard library's HTML5 list.
 # Lookups scan the map, so the HTML 4 names come first.
@@ -104,66 +114,76 @@ def _code_point(number: Column) -> Column:
     )
 
 
-def _decode_reference(piece: Column, in_attribute: bool) -> Column:
-    """Decode the reference at the start of ``piece`` (the text after an ``&``)."""
-    # In attribute values a name without ';' counts only before a separator.
-    bare = f"^({_BARE})" + (r"(?![=A-Za-z0-9])" if in_attribute else "")
+def _reference(piece: Column, in_attribute: Column) -> Column:
+    """``piece`` (the text after an ``&``) with the reference at its start decoded
+    and every ``&``, ``<``, ``>`` and quote written as a common reference."""
     decimal = F.regexp_extract(piece, r"^#([0-9]+);?", 1)
     hexa = F.regexp_extract(piece, r"^#[xX]([0-9a-fA-F]+);?", 1)
-
-    def named(hits: Column) -> Column:
-        # hits: the name closed by ';', the longest bare name, their characters
-        return (
-            F.when(hits[0].char.isNotNull(), F.concat(hits[0].char, F.substr(piece, F.length(hits[0].ref) + 2)))
-            .when(hits[1].char.isNotNull(), F.concat(hits[1].char, F.substr(piece, F.length(hits[1].ref) + 1)))
-            .otherwise(F.concat(F.lit("&"), piece))
+    number = F.when(decimal != "", decimal.try_cast("bigint")).when(
+        F.length(F.ltrim(hexa, F.lit("0"))) <= 8, F.conv(hexa, 16, 10).cast("bigint")
+    )
+    closed = F.regexp_extract(piece, r"^([A-Za-z][A-Za-z0-9]{1,31});", 1)
+    bare = F.regexp_extract(piece, f"^({_BARE})", 1)
+    # in attribute values a name without ';' counts only before a separator
+    bare = F.when(in_attribute & piece.rlike(f"^(?:{_BARE})[=A-Za-z0-9]"), F.lit("")).otherwise(bare)
+    hits = F.transform(
+        F.array(closed, bare), lambda n: F.struct(n.alias("ref"), F.element_at(_entity_map(), n).alias("char"))
+    )
+    numeric = r"^#(?:[0-9]+|[xX][0-9a-fA-F]+);?"
+    found = let(
+        F.struct(number.alias("number"), hits.alias("hits")),
+        lambda r: F.when(
+            piece.rlike(numeric),
+            F.struct(_code_point(r.number).alias("char"), F.regexp_replace(piece, numeric, "").alias("rest")),
         )
-
-    names = F.array(F.regexp_extract(piece, r"^([A-Za-z][A-Za-z0-9]{1,31});", 1), F.regexp_extract(piece, bare, 1))
-    hits = F.transform(names, lambda n: F.struct(n.alias("ref"), F.element_at(_entity_map(), n).alias("char")))
-
-    return (
-        F.when(
-            decimal != "",
-            F.concat(let(decimal.try_cast("bigint"), _code_point), F.regexp_replace(piece, r"^#[0-9]+;?", "")),
+        .when(
+            r.hits[0].char.isNotNull(),
+            F.struct(r.hits[0].char.alias("char"), F.substr(piece, F.length(r.hits[0].ref) + 2).alias("rest")),
         )
         .when(
-            hexa != "",
-            F.concat(
-                let(
-                    F.when(F.length(F.ltrim(hexa, F.lit("0"))) <= 8, F.conv(hexa, 16, 10).cast("bigint")),
-                    _code_point,
-                ),
-                F.regexp_replace(piece, r"^#[xX][0-9a-fA-F]+;?", ""),
-            ),
+            r.hits[1].char.isNotNull(),
+            F.struct(r.hits[1].char.alias("char"), F.substr(piece, F.length(r.hits[1].ref) + 1).alias("rest")),
         )
-        .otherwise(let(hits, named))
+        .otherwise(F.struct(F.lit("&").alias("char"), piece.alias("rest"))),
     )
 
+    def written(f: Column) -> Column:
+        char = f.char
+        for name in ("amp", "lt", "gt", "quot", "#39"):
+            char = F.replace(char, F.lit(_COMMON[name]), F.lit(f"&{name};"))
+        return F.concat(char, f.rest)
 
-def decode_entities(text: Column, in_attribute: bool = False) -> Column:
-    """Replace HTML character references; texts without ``&`` are passed through."""
-
-    def decoded(t: Column) -> Column:
-        pieces = F.split(t, "&", -1)
-        return let(
-            pieces,
-            lambda p: F.array_join(
-                F.concat(
-                    F.slice(p, 1, 1),
-                    F.transform(F.slice(p, 2, F.size(p)), lambda r: _decode_reference(r, in_attribute)),
-                ),
-                "",
-            ),
-        )
+    return let(found, written)
 
-    def common(t: Column) -> Column:
-        for name, char in _COMMON.items():
-            t = F.replace(t, F.lit(f"&{name};"), F.lit(char))
-        return t
 
-    uncommon = "&(?!(?:" + "|".join(_COMMON) + ");)"
+def _spell_out(part: Column, in_attribute: Column) -> Column:
     return let(
-        text,
-        lambda t: F.when(~F.contains(t, F.lit("&")), t).when(~t.rlike(uncommon), common(t)).otherwise(decoded(t)),
+        F.split(part, "&", -1),
+        lambda p: F.array_join(
+            F.concat(
+                F.slice(p, 1, 1), F.transform(F.slice(p, 2, F.size(p)), lambda r: _reference(r, in_attribute))
+            ),
+            "",
+        ),
     )
+
+
+def common_references(marked: Column) -> Column:
+    """A marked page in which only common references are left, so that its fields
+    need no entity table. Pages without other references pass through."""
+    parts = F.split(marked, "(?<=[\x01\x03])", -1)
+    spelled = F.array_join(F.transform(parts, lambda p: _spell_out(p, p.contains("\x02"))), "")
+    return F.when(marked.rlike(_UNCOMMON), spelled).otherwise(marked)
+
+
+def decode_common(text: Column) -> Column:
+    """Decode a field of a page that went through ``common_references``."""
+    decoded = text
+    for name, char in _COMMON.items():
+        decoded = F.replace(decoded, F.lit(f"&{name};"), F.lit(char))
+    return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
+
+
+def decode_entities(text: Column) -> Column:
+    """Replace HTML character references in a text."""
+    return decode_common(F.when(text.rlike(_UNCOMMON), _spell_out(text, F.lit(False))).otherwise(text))

@@ -66,18 +66,23 @@ def _prefixed(prefix: str, text: Column) -> Column:
     return F.when(text != "", F.concat(F.lit(prefix), text)).otherwise("")
 
 
-def _unsplit(scheme: Column, netloc: Column, path: Column, params: Column, query: Column, fragment: Column) -> Column:
-    path = F.concat(path, _prefixed(";", params))
-    rooted = F.when((path != "") & ~path.startswith("/"), F.concat(F.lit("/"), path)).otherwise(path)
-    bare = F.when(
-        path.startswith("//") | (scheme.isin(_WITH_AUTHORITY) & ((path == "") | path.startswith("/"))),
-        F.concat(F.lit("//"), path),
-    ).otherwise(path)
+def _unsplit(u: Column) -> Column:
+    path = F.concat(u.path, _prefixed(";", u.params))
+    slashes = (
+        F.when((u.netloc != "") & ((path == "") | path.startswith("/")), F.concat(F.lit("//"), u.netloc))
+        .when(u.netloc != "", F.concat(F.lit("//"), u.netloc, F.lit("/")))
+        .when(
+            path.startswith("//") | (u.scheme.isin(_WITH_AUTHORITY) & ((path == "") | path.startswith("/"))),
+            F.lit("//"),
+        )
+        .otherwise("")
+    )
     return F.concat(
-        F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""),
-        F.when(netloc != "", F.concat(F.lit("//"), netloc, rooted)).otherwise(bare),
-        _prefixed("?", query),
-        _prefixed("#", fragment),
+        F.when(u.scheme != "", F.concat(u.scheme, F.lit(":"))).otherwise(""),
+        slashes,
+        path,
+        _prefixed("?", u.query),
+        _prefixed("#", u.fragment),
     )
 
 
@@ -139,28 +144,27 @@ def resolve_against(base: Column, href: Column) -> Column:
 
 def _resolve_any(base: Column, href: Column) -> Column:
 
+    def parts(h: Column) -> Column:
+        same_page = (h.netloc == "") & (h.path == "") & (h.params == "")
+        return F.struct(
+            F.when(h.scheme == "", base.scheme).otherwise(h.scheme).alias("scheme"),
+            F.when(h.netloc == "", base.netloc).otherwise(h.netloc).alias("netloc"),
+            F.when(h.netloc != "", h.path)
+            .when(same_page, base.path)
+            .otherwise(_merge_paths(base.path, h.path))
+            .alias("path"),
+            F.when(same_page, base.params).otherwise(h.params).alias("params"),
+            F.when(same_page & (h.query == ""), base.query).otherwise(h.query).alias("query"),
+            h.fragment.alias("fragment"),
+        )
+
     def joined(h: Column) -> Column:
-        scheme = F.when(h.scheme == "", base.scheme).otherwise(h.scheme)
-        foreign = (scheme != base.scheme) | ~((scheme == "") | scheme.isin(_HIERARCHICAL))
+        foreign = (h.scheme != "") & (h.scheme != base.scheme) | ~base.scheme.isin("", *_HIERARCHICAL)
         return (
             F.when(base.raw == "", h.raw)
             .when(h.raw == "", base.raw)
             .when(foreign, h.raw)
-            .when(h.netloc != "", _unsplit(scheme, h.netloc, h.path, h.params, h.query, h.fragment))
-            .when(
-                (h.path == "") & (h.params == ""),
-                _unsplit(
-                    scheme,
-                    base.netloc,
-                    base.path,
-                    base.params,
-                    F.when(h.query == "", base.query).otherwise(h.query),
-                    h.fragment,
-                ),
-            )
-            .otherwise(
-                _unsplit(scheme, base.netloc, _merge_paths(base.path, h.path), h.params, h.query, h.fragment)
-            )
+            .otherwise(let(parts(h), _unsplit))
         )
 
     return let(split_url(href), joined)

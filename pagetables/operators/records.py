@@ -1,7 +1,7 @@
 """Per-page record arrays.
 
-Every function takes the marked page (``functions.html.mark_tags``) and returns
-one array of record structs, cleaned, classified, deduplicated keep-first and
+Every function takes the marked page (``operators.extract.mark_pages``), where needed
+the page's split URL (``functions.urls.split_url``), and returns one array of record structs, cleaned, classified, deduplicated keep-first and
 capped. Nothing here moves a row: the arrays live in the page's own row.
 """
 
@@ -26,39 +26,34 @@ def _bigint(n: Column) -> Column:
 def title_record(marked: Column, base: Column) -> Column:
     """One struct per page: title, its length, description and canonical URL."""
     title = F.coalesce(html.first_text(marked, "title"), F.lit(text.NO_TITLE))
-
     # A tag whose name matches wins even when its content is empty.
-    metas = F.transform(
-        html.tag_attributes(marked, "meta"), lambda m: html.attribute_values(m, "name", "property", "content")
-    )
     described = let(
-        metas,
-        lambda m: F.coalesce(
-            F.get(F.filter(m, lambda v: v[0].rlike("(?i)description")), F.lit(0)),
-            F.get(F.filter(m, lambda v: v[1].rlike("(?i)og:description")), F.lit(0)),
+        html.tag_attributes(marked, "meta"),
+        lambda metas: F.coalesce(
+            F.get(F.filter(metas, lambda m: html.attribute(m, "name").rlike("(?i)description")), F.lit(0)),
+            F.get(F.filter(metas, lambda m: html.attribute(m, "property").rlike("(?i)og:description")), F.lit(0)),
         ),
     )
-    description = text.clean_text(described[2])
-
     canonical = F.get(
         F.filter(
-            F.transform(html.tag_attributes(marked, "link"), lambda a: html.attribute_values(a, "rel", "href")),
-            lambda v: F.array_contains(F.split(text.clean_text(v[0]), " "), F.lit("canonical")),
+            html.tag_attributes(marked, "link"),
+            lambda a: F.array_contains(
+                F.split(text.clean_text(html.attribute(a, "rel")), " "), F.lit("canonical")
+            ),
         ),
         F.lit(0),
     )
     canonical_url = let(
-        F.coalesce(canonical[1], F.lit("")),
-        lambda h: F.when(h == "", h).otherwise(urls.resolve_url(base, text.strip_space(h))),
+        F.coalesce(html.attribute(canonical, "href"), F.lit("")),
+        lambda h: F.when(h == "", h).otherwise(urls.resolve_against(base, text.strip_space(h))),
     )
-    return let(
-        title,
-        lambda t: F.struct(
-            t.alias("page_title"),
-            text.char_count(t).alias("length_chars"),
-            text.default_label(description, text.NOT_AVAILABLE).alias("meta_description"),
-            text.default_label(canonical_url, text.NOT_AVAILABLE).alias("canonical_url"),
+    return F.struct(
+        title.alias("page_title"),
+        text.char_count(title).alias("length_chars"),
+        text.default_label(text.clean_text(html.attribute(described, "content")), text.NOT_AVAILABLE).alias(
+            "meta_description"
         ),
+        text.default_label(canonical_url, text.NOT_AVAILABLE).alias("canonical_url"),
     )
 
 
@@ -94,35 +89,32 @@ def headings(marked: Column, max_records: int | None = None) -> Column:
 
 def raw_links(marked: Column, base: Column) -> Column:
     """Followable links with absolute URL and type, before deduplication."""
+
+    def read(segment: Column) -> Column:
+        attributes = html.segment_attributes(segment)
+        return F.struct(
+            text.strip_space(html.attribute(attributes, "href")).alias("href"),
+            F.when(html.has_attribute(attributes, "target"), html.attribute(attributes, "target"))
+            .otherwise(text.DEFAULT_TARGET)
+            .alias("target"),
+            text.default_label(html.segment_text(segment), text.NO_LINK_TEXT).alias("text"),
+        )
+
     opened = html.segments(marked, "a", "/a|" + "|".join(html.ANCHOR_ENDS))
-    read = F.transform(
-        opened,
-        lambda s: let(
-            html.attribute_values(html.segment_attributes(s), "href", "target"),
-            lambda v: F.struct(
-                text.strip_space(v[0]).alias("href"), v[1].alias("target"), html.segment_text(s).alias("text")
-            ),
+    kept = F.filter(F.transform(opened, read), lambda a: (a.href != "") & ~a.href.rlike(SKIPPED_HREFS))
+    resolved = F.transform(
+        kept,
+        lambda a: F.struct(
+            a.text.alias("text"), urls.resolve_against(base, a.href).alias("link_url"), a.target.alias("target")
         ),
     )
-    # a missing href is null and drops out here as well
-    kept = F.filter(read, lambda a: (a.href != "") & ~a.href.rlike(SKIPPED_HREFS))
-    return let(
-        urls.split_url(F.coalesce(base, F.lit(""))),
-        lambda b: F.transform(
-            F.transform(
-                kept,
-                lambda a: F.struct(
-                    text.default_label(a.text, text.NO_LINK_TEXT).alias("text"),
-                    urls.resolve_against(b, a.href).alias("link_url"),
-                    F.coalesce(a.target, F.lit(text.DEFAULT_TARGET)).alias("target"),
-                ),
-            ),
-            lambda a: F.struct(
-                a.text.alias("text"),
-                a.link_url.alias("link_url"),
-                urls.link_type(a.link_url, F.lower(b.netloc)).alias("link_type"),
-                a.target.alias("target"),
-            ),
+    return F.transform(
+        resolved,
+        lambda a: F.struct(
+            a.text.alias("text"),
+            a.link_url.alias("link_url"),
+            urls.link_type(a.link_url, F.lower(base.netloc)).alias("link_type"),
+            a.target.alias("target"),
         ),
     )
 
@@ -160,29 +152,26 @@ def paragraphs(marked: Column, max_records: int | None = None) -> Column:
 def raw_images(marked: Column, base: Column) -> Column:
     """Images with absolute URL and type, before deduplication."""
 
-    def read(v: Column) -> Column:
+    def read(a: Column) -> Column:
         # an empty src falls back to data-src, one of white space only does not
-        source = F.coalesce(F.nullif(v[0], F.lit("")), v[1], F.lit(""))
-        return F.struct(text.strip_space(source).alias("src"), text.clean_text(v[2]).alias("alt"))
+        source = F.coalesce(F.nullif(html.attribute(a, "src"), F.lit("")), html.attribute(a, "data-src"))
+        return F.struct(
+            text.strip_space(source).alias("src"),
+            text.default_label(text.clean_text(html.attribute(a, "alt")), text.NO_ALT_TEXT).alias("alt_text"),
+        )
 
-    tags = html.tag_attributes(marked, "img")
-    found = F.transform(F.transform(tags, lambda a: html.attribute_values(a, "src", "data-src", "alt")), read)
+    found = F.transform(html.tag_attributes(marked, "img"), read)
     kept = F.filter(found, lambda i: (i.src != "") & ~i.src.startswith(SKIPPED_SOURCES))
-    return let(
-        urls.split_url(F.coalesce(base, F.lit(""))),
-        lambda b: F.transform(
-            F.transform(
-                kept,
-                lambda i: F.struct(
-                    text.default_label(i.alt, text.NO_ALT_TEXT).alias("alt_text"),
-                    urls.resolve_against(b, i.src).alias("image_url"),
-                ),
-            ),
-            lambda i: F.struct(
-                i.alt_text.alias("alt_text"),
-                i.image_url.alias("image_url"),
-                urls.link_type(i.image_url, F.lower(b.netloc)).alias("image_type"),
-            ),
+    resolved = F.transform(
+        kept,
+        lambda i: F.struct(i.alt_text.alias("alt_text"), urls.resolve_against(base, i.src).alias("image_url")),
+    )
+    return F.transform(
+        resolved,
+        lambda i: F.struct(
+            i.alt_text.alias("alt_text"),
+            i.image_url.alias("image_url"),
+            urls.link_type(i.image_url, F.lower(base.netloc)).alias("image_type"),
         ),
     )
 

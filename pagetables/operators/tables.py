@@ -108,9 +108,9 @@ def shape_table(head: Column, rows: Column) -> Column:
     return let(let(filled, choose), shape)
 
 
-def _clean_cells(cells: Column) -> Column:
+def clean_cells(cells: Column) -> Column:
     return F.transform(
-        cells, lambda c: F.struct(c.is_th.alias("is_th"), text.clean_text(text.decode_entities(c.text)).alias("text"))
+        cells, lambda c: F.struct(c.is_th.alias("is_th"), text.clean_text(text.decode_common(c.text)).alias("text"))
     )
 
 
@@ -125,13 +125,27 @@ def _read_table(part: Column) -> Column:
     # The head travels as an extra first row, so that all cells are cleaned at once.
     all_rows = F.concat(F.array(_cells(_inside(part, "thead"))), rows)
     return let(
-        F.transform(all_rows, _clean_cells),
+        F.transform(all_rows, clean_cells),
         lambda r: shape_table(F.transform(r[0], lambda c: c.text), F.slice(r, 2, F.size(r))),
     )
 
 
+def _numbered_rows(table_no: Column, t: Column, several: Column) -> Column:
+    """Data rows of one table; the label is there when the page has several tables."""
+    return F.transform(
+        t.rows,
+        lambda cells, i: F.struct(
+            table_no.alias("table_no"),
+            F.when(several, F.concat(F.lit("Table "), table_no)).alias("table_label"),
+            (i + 1).cast("bigint").alias("row_no"),
+            t.col_names.alias("col_names"),
+            cells.alias("cells"),
+        ),
+    )
+
+
 def flat_table_rows(marked: Column, max_records: int | None = None) -> Column:
-    """array<struct(table_no, row_no, col_names, cells)> of a page, capped over
+    """array<struct(table_no, table_label, row_no, col_names, cells)> of a page, capped over
     all its tables together. Every table counts for ``table_no``."""
     parts = F.transform(
         _pieces(html.only_tags(marked, STRUCTURE), _open("table")),
@@ -140,16 +154,32 @@ def flat_table_rows(marked: Column, max_records: int | None = None) -> Column:
     tables = F.transform(
         parts, lambda t, i: F.struct((i + 1).cast("bigint").alias("table_no"), _read_table(t).alias("t"))
     )
-    rows = F.transform(
-        F.filter(tables, lambda t: t.t.isNotNull()),
-        lambda t: F.transform(
-            t.t.rows,
-            lambda cells, i: F.struct(
-                t.table_no.alias("table_no"),
-                (i + 1).cast("bigint").alias("row_no"),
-                t.t.col_names.alias("col_names"),
-                cells.alias("cells"),
-            ),
-        ),
+
+    def rows(found: Column) -> Column:
+        return F.transform(
+            F.filter(found, lambda t: t.t.isNotNull()),
+            lambda t: _numbered_rows(t.table_no, t.t, F.size(found) > 1),
+        )
+
+    return cap(F.flatten(let(tables, rows)), max_records)
+
+
+def table_count(marked: Column) -> Column:
+    return F.size(html.tag_attributes(marked, "table")).cast("bigint")
+
+
+def nested_table_rows(marked_pages: DataFrame, max_records: int | None = None) -> DataFrame:
+    """(page_id, table_rows) of pages with nested tables; array as ``flat_table_rows``."""
+    from .nested_tables import nested_tables
+
+    return (
+        nested_tables(marked_pages)
+        .groupBy("page_id")
+        .agg(F.array_sort(F.collect_list(F.struct("table_no", "t"))).alias("tables"))
+        .select(
+            "page_id",
+            cap(
+                F.flatten(F.transform("tables", lambda t: _numbered_rows(t.table_no, t.t, F.lit(True)))), max_records
+            ).alias("table_rows"),
+        )
     )
-    return cap(F.flatten(rows), max_records)
