@@ -275,3 +275,42 @@ def domain_display(url: Column) -> Column:
         split_url(url),
         lambda u: F.coalesce(F.nullif(u.netloc, F.lit("")), F.substring(u.path, 1, 22)),
     )
+
+
+def _quote(text: Column) -> Column:
+    """Percent-encode all but letters, digits and ``_.-~/``."""
+    # url_encode writes forms: spaces as '+', and leaves '*' alone
+    encoded = F.url_encode(text)
+    for form, plain in (("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("%2F", "/")):
+        encoded = F.replace(encoded, F.lit(form), F.lit(plain))
+    return encoded
+
+
+def _unquote(text: Column) -> Column:
+    kept = F.regexp_replace(F.replace(text, F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.coalesce(F.try_url_decode(kept), text)
+
+
+def robots_path(url: Column) -> Column:
+    """Path, query and fragment of a URL as robots rules compare them."""
+    no_host = F.lit("")
+    path = let(
+        split_url(_unquote(url)),
+        lambda u: let(
+            F.struct(
+                no_host.alias("scheme"),
+                no_host.alias("netloc"),
+                u.path.alias("path"),
+                u.params.alias("params"),
+                u.query.alias("query"),
+                u.fragment.alias("fragment"),
+            ),
+            _unsplit,
+        ),
+    )
+    return default_path(_quote(path))
+
+
+def robots_prefix(path: Column) -> Column:
+    """A rule's path in the form of ``robots_path``."""
+    return _quote(path)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html, text, urls
+from ..functions.arrays import cap
 from . import records, tables
 
 # The kinds of records and their names.
@@ -47,11 +48,19 @@ TABLE_LABEL = "Table #"
 
 
 def mark_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, url, base, marked): the page read once, its URL split once."""
-    return pages.select("page_id", "url", html.mark_tags(F.col("html")).alias("marked")).select(
-        "page_id",
-        "url",
+    """(page_id, url, base, page_chars, is_blank, marked): the page read once, its
+    URL split once. A column ``raw_url`` is kept."""
+    kept = ["page_id", "url", *[c for c in pages.columns if c == "raw_url"]]
+    return pages.select(
+        *kept,
+        F.length("html").cast("bigint").alias("page_chars"),
+        text.is_blank(F.col("html")).alias("is_blank"),
+        html.mark_tags(F.col("html")).alias("marked"),
+    ).select(
+        *kept,
         urls.split_url(F.coalesce("url", F.lit(""))).alias("base"),
+        "page_chars",
+        "is_blank",
         text.common_references(F.col("marked")).alias("marked"),
     )
 
@@ -158,30 +167,42 @@ def extract_tables_wide(pages: DataFrame, columns: list[str], max_records: int |
 
 def page_records(pages: DataFrame, max_records: int | None = None) -> DataFrame:
     """One row per page with the records of all six kinds as arrays, from one
-    marking of the page: (page_id, url, titles, headings, links, paragraphs,
-    table_rows, images)."""
-
+    marking of the page: (page_id, url, page_chars, is_blank, titles, headings,
+    links, paragraphs, table_rows, images, unreadable). ``unreadable`` lists the
+    kinds that hold a URL with a broken host."""
     plain = mark_pages(pages).where(~tables.has_nested_tables(F.col("marked")))
     nested = nested_pages(pages)
     nested_rows = tables.nested_table_rows(nested, max_records)
     none = F.lit(None).cast(nested_rows.schema["table_rows"].dataType)
     marked, base = F.col("marked"), F.col("base")
-    return (
+    found = (
         plain.withColumn("table_rows", none)
         .unionByName(
             nested.join(nested_rows, "page_id", "left").withColumn("table_rows", F.coalesce("table_rows", F.array()))
         )
         .select(
-            "page_id",
-            "url",
+            *[c for c in plain.columns if c not in ("base", "marked")],
             F.array(records.title_record(marked, base)).alias("titles"),
             records.headings(marked, max_records).alias("headings"),
-            records.links(marked, base, max_records).alias("links"),
+            records.links(marked, base).alias("links"),
             records.paragraphs(marked, max_records).alias("paragraphs"),
             F.coalesce("table_rows", tables.flat_table_rows(marked, max_records)).alias("table_rows"),
-            records.images(marked, base, max_records).alias("images"),
+            records.images(marked, base).alias("images"),
         )
     )
+    broken = {
+        "Page Title": F.exists("titles", lambda r: urls.has_bad_host(r.canonical_url)),
+        "Links": F.exists("links", lambda r: urls.has_bad_host(r.link_url)),
+        "Images": F.exists("images", lambda r: urls.has_bad_host(r.image_url)),
+    }
+    return found.select(
+        "*", F.array_compact(F.array(*[F.when(b, F.lit(t)) for t, b in broken.items()])).alias("unreadable")
+    ).select(
+        *[c for c in found.columns if c not in ("links", "images")],
+        cap(F.col("links"), max_records).alias("links"),
+        cap(F.col("images"), max_records).alias("images"),
+        "unreadable",
+    )
 
 
 def _shown(items: Column, scrape_type: str) -> Column:
