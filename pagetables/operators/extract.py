@@ -277,3 +277,16 @@ def extract(pages: DataFrame, scrape_type: str, max_records: int | None = DEFAUL
     if scrape_type not in EXTRACTORS:
         raise ValueError(f"Unknown scraping type '{scrape_type}'. Supported: {list(EXTRACTORS)}")
     return EXTRACTORS[scrape_type](pages, max_records)
+
+
+def table_shape(pages: DataFrame) -> DataFrame:
+    """(page_id, table_no, n_rows, n_cols) of every table with data, without
+    spreading its cells out."""
+    return (
+        _table_records(pages, None)
+        .groupBy("page_id", "table_no")
+        .agg(
+            F.count(F.lit(1)).alias("n_rows"),
+            F.max(F.size("cells")).cast("bigint").alias("n_cols"),
+        )
+    )

@@ -19,6 +19,18 @@ SKIPPED_HREFS = "^(?:#|javascript:|mailto:|tel:)"
 SKIPPED_SOURCES = "data:image"
 
 
+def is_followable(href: Column) -> Column:
+    return (href != "") & ~href.rlike(SKIPPED_HREFS)
+
+
+def is_loadable(src: Column) -> Column:
+    return (src != "") & ~src.startswith(SKIPPED_SOURCES)
+
+
+def is_long_enough(paragraph: Column) -> Column:
+    return F.length(paragraph) >= 3
+
+
 def _bigint(n: Column) -> Column:
     return n.cast("bigint")
 
@@ -101,7 +113,7 @@ def raw_links(marked: Column, base: Column) -> Column:
         )
 
     opened = html.segments(marked, "a", "/a|" + "|".join(html.ANCHOR_ENDS))
-    kept = F.filter(F.transform(opened, read), lambda a: (a.href != "") & ~a.href.rlike(SKIPPED_HREFS))
+    kept = F.filter(F.transform(opened, read), lambda a: is_followable(a.href))
     resolved = F.transform(
         kept,
         lambda a: F.struct(
@@ -131,7 +143,7 @@ def raw_paragraphs(marked: Column) -> Column:
     """array<string>: cleaned paragraph texts of three or more characters."""
     ends = [t for t in html.BLOCK_TAGS if t != "p"]
     opened = html.segments(marked, "p", "/?(?:" + "|".join(ends) + ")|/p")
-    return F.filter(F.transform(opened, html.segment_text), lambda t: F.length(t) >= 3)
+    return F.filter(F.transform(opened, html.segment_text), is_long_enough)
 
 
 def paragraphs(marked: Column, max_records: int | None = None) -> Column:
@@ -161,7 +173,7 @@ def raw_images(marked: Column, base: Column) -> Column:
         )
 
     found = F.transform(html.tag_attributes(marked, "img"), read)
-    kept = F.filter(found, lambda i: (i.src != "") & ~i.src.startswith(SKIPPED_SOURCES))
+    kept = F.filter(found, lambda i: is_loadable(i.src))
     resolved = F.transform(
         kept,
         lambda i: F.struct(i.alt_text.alias("alt_text"), urls.resolve_against(base, i.src).alias("image_url")),

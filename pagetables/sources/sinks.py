@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BYTE_ORDER_MARK = "﻿"
+BYTE_ORDER_MARK = "\ufeff"
 # Bounds of a column's width.
 MIN_WIDTH, MAX_WIDTH, PADDING = 12, 60, 4
 
