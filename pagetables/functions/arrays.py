@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -39,3 +39,20 @@ def cap(items: Column, max_records: int | None) -> Column:
     if max_records and max_records > 0:
         return F.slice(items, 1, max_records)
     return items
+
+
+def explode_items(rows: DataFrame, items: Column, *kept: str | Column) -> DataFrame:
+    """One row (kept columns, i, r) per element, i counting from 0.
+
+    An inner ``posexplode`` makes Catalyst add ``size(items) > 0`` and ``items is not
+    null`` below it, which would compute a long expression three times. The outer one
+    does not, and rows without elements are dropped after it.
+    """
+    return rows.select(*kept, F.posexplode_outer(items).alias("i", "r")).where("i is not null")
+
+
+def keep_rows(rows: DataFrame, condition: Column) -> DataFrame:
+    """``rows.where(condition)`` for a condition on columns that are costly to
+    compute: a plain filter would be pushed below them and compute them again."""
+    whole = F.when(condition, F.array(F.struct(*[F.col(c) for c in rows.columns])))
+    return rows.select(F.explode_outer(whole).alias("kept")).where("kept is not null").select("kept.*")

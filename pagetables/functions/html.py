@@ -32,6 +32,9 @@ _MARKED = "|".join(dict.fromkeys([*_FREQUENT, "link", "meta", *BLOCK_TAGS]))
 # The rest of a tag up to '>': quotes count only right after '='. Possessive
 # quantifiers keep Java's matcher iterative and linear.
 _REST = r"""(?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+"""
+# Control characters that serve as marks; a page's own ones are dropped.
+MARKS = "\x01\x02\x03\x04\x05\x06\x07\x08\x0e\x0f\x10\x11"
+
 _TAG = (
     r"(?is)<(?:"
     r"!--.*?(?:-->|\z)"
@@ -46,30 +49,41 @@ _TAG = (
 def mark_tags(html: Column) -> Column:
     """One pass over the page; see the module text. Null becomes ''."""
     page = F.coalesce(html, F.lit(""))
-    page = F.when(page.rlike("[\x01-\x03]"), F.translate(page, "\x01\x02\x03", "")).otherwise(page)
+    page = F.when(page.rlike(f"[{MARKS}]"), F.translate(page, MARKS, "")).otherwise(page)
     return F.replace(F.regexp_replace(page, _TAG, "\x01$1\x02$2\x03"), F.lit("\x01\x02\x03"), F.lit(""))
 
 
 
+def lower_tags(marked: Column) -> Column:
+    """Marker names in lower case, so that later steps can compare them plainly."""
+    lowered = F.transform(
+        F.split(marked, "\x01", -1),
+        lambda s, i: F.when(i == 0, s).otherwise(
+            F.concat(F.lower(segment_name(s)), F.substr(s, F.length(segment_name(s)) + 1))
+        ),
+    )
+    return F.when(marked.rlike("\x01/?[a-z0-9]*[A-Z]"), F.array_join(lowered, "\x01")).otherwise(marked)
+
+
 def strip_markup(html: Column) -> Column:
     """Text of a fragment: tags, comments, scripts and styles removed."""
     return F.regexp_replace(mark_tags(html), "\x01[^\x03]*\x03", "")
 
 
 def has_tag(marked: Column, name: str) -> Column:
-    return marked.rlike(f"\x01(?i:{name})\x02")
+    return marked.contains(f"\x01{name}\x02")
 
 
 def only_tags(marked: Column, names: str) -> Column:
     """Drop every marker whose name does not match the regex ``names``."""
-    return F.regexp_replace(marked, f"\x01(?!(?i:{names})\x02)[^\x03]*+\x03", "")
+    return F.regexp_replace(marked, f"\x01(?!(?:{names})\x02)[^\x03]*+\x03", "")
 
 
 def segments(marked: Column, wanted: str, ends: str) -> Column:
     """array<string> of ``name\\x02attributes\\x03text`` for the wanted tags, each
     with its text up to the next wanted or ending marker."""
     pieces = F.split(only_tags(marked, f"{wanted}|{ends}"), "\x01", -1)
-    return F.filter(pieces, lambda s: s.rlike(f"(?i)^(?:{wanted})\x02"))
+    return F.filter(pieces, lambda s: s.rlike(f"^(?:{wanted})\x02"))
 
 
 def segment_name(segment: Column) -> Column:
@@ -86,14 +100,14 @@ def segment_text(segment: Column) -> Column:
 
 def first_text(marked: Column, name: str) -> Column:
     """Cleaned text of the first element called ``name``; null without one."""
-    content = F.regexp_extract(marked, f"(?s)\x01(?i:{name})\x02[^\x03]*+\x03(.*?)(?:\x01/(?i:{name})\x02|\\z)", 1)
+    content = F.regexp_extract(marked, f"(?s)\x01{name}\x02[^\x03]*+\x03(.*?)(?:\x01/{name}\x02|\\z)", 1)
     clean = clean_text(decode_common(F.regexp_replace(content, "\x01[^\x03]*+\x03", "")))
     return F.when(has_tag(marked, name), clean)
 
 
 def tag_attributes(marked: Column, name: str) -> Column:
     """array<string>: the attribute text of every tag called ``name``."""
-    return F.regexp_extract_all(marked, F.lit(f"\x01(?i:{name})\x02([^\x03]*+)\x03"), F.lit(1))
+    return F.regexp_extract_all(marked, F.lit(f"\x01{name}\x02([^\x03]*+)\x03"), F.lit(1))
 
 
 def _before(name: str) -> str:

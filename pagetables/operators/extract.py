@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html, text, urls
-from ..functions.arrays import cap
+from ..functions.arrays import cap, explode_items, keep_rows
 from . import records, tables
 
 # The kinds of records and their names.
@@ -51,12 +51,15 @@ def mark_pages(pages: DataFrame) -> DataFrame:
     """(page_id, url, base, page_chars, is_blank, marked): the page read once, its
     URL split once. A column ``raw_url`` is kept."""
     kept = ["page_id", "url", *[c for c in pages.columns if c == "raw_url"]]
-    return pages.select(
+    marked = pages.select(
         *kept,
         F.length("html").cast("bigint").alias("page_chars"),
         text.is_blank(F.col("html")).alias("is_blank"),
         html.mark_tags(F.col("html")).alias("marked"),
-    ).select(
+    )
+    # Each step reads its input several times, so each is a projection of its own.
+    lowered = marked.select(*kept, "page_chars", "is_blank", html.lower_tags(F.col("marked")).alias("marked"))
+    return lowered.select(
         *kept,
         urls.split_url(F.coalesce("url", F.lit(""))).alias("base"),
         "page_chars",
@@ -66,7 +69,7 @@ def mark_pages(pages: DataFrame) -> DataFrame:
 
 
 def _explode(page_rows: DataFrame, items: Column) -> DataFrame:
-    return page_rows.select("page_id", F.posexplode(items).alias("i", "r")).select(
+    return explode_items(page_rows, items, "page_id").select(
         "page_id", (F.col("i") + 1).cast("bigint").alias("record_no"), "r.*"
     )
 
@@ -97,40 +100,37 @@ def nested_pages(pages: DataFrame) -> DataFrame:
     """Marked pages with nested tables. The plain test on the raw text spares
     most pages the marking."""
     maybe = pages.where(F.col("html").rlike(r"(?is)<table[\s/>].*?<table[\s/>]"))
-    return mark_pages(maybe).where(tables.has_nested_tables(F.col("marked")))
+    return keep_rows(mark_pages(maybe), tables.has_nested_tables(F.col("marked")))
 
 
 def table_rows(pages: DataFrame, max_records: int | None = None) -> DataFrame:
-    """(page_id, table_rows): all data rows of a page's tables, in order."""
-    flat = (
-        mark_pages(pages)
-        .where(html.has_tag(F.col("marked"), "table") & ~tables.has_nested_tables(F.col("marked")))
-        .select("page_id", tables.flat_table_rows(F.col("marked"), max_records).alias("table_rows"))
+    """(page_id, table_rows): all data rows of a page's tables, in order; null for
+    pages without tables."""
+    marked = F.col("marked")
+    is_flat = html.has_tag(marked, "table") & ~tables.has_nested_tables(marked)
+    flat = mark_pages(pages).select(
+        "page_id", F.when(is_flat, tables.flat_table_rows(marked, max_records)).alias("table_rows")
     )
     return flat.unionByName(tables.nested_table_rows(nested_pages(pages), max_records))
 
 
 def _table_records(pages: DataFrame, max_records: int | None) -> DataFrame:
-    return table_rows(pages, max_records).select("page_id", F.explode("table_rows").alias("r")).select("page_id", "r.*")
+    return explode_items(table_rows(pages, max_records), F.col("table_rows"), "page_id").select("page_id", "r.*")
 
 
 def extract_tables(pages: DataFrame, max_records: int | None = None) -> DataFrame:
     """Long form: one row per cell."""
     return (
-        _table_records(pages, max_records)
-        .select(
-            "page_id",
-            "table_no",
-            "row_no",
-            F.posexplode(F.arrays_zip("col_names", "cells")).alias("i", "c"),
+        explode_items(
+            _table_records(pages, max_records), F.arrays_zip("col_names", "cells"), "page_id", "table_no", "row_no"
         )
         .select(
             "page_id",
             "table_no",
             "row_no",
             (F.col("i") + 1).cast("bigint").alias("col_no"),
-            F.col("c.col_names").alias("col_name"),
-            F.col("c.cells").alias("cell"),
+            F.col("r.col_names").alias("col_name"),
+            F.col("r.cells").alias("cell"),
         )
     )
 
@@ -170,7 +170,7 @@ def page_records(pages: DataFrame, max_records: int | None = None) -> DataFrame:
     marking of the page: (page_id, url, page_chars, is_blank, titles, headings,
     links, paragraphs, table_rows, images, unreadable). ``unreadable`` lists the
     kinds that hold a URL with a broken host."""
-    plain = mark_pages(pages).where(~tables.has_nested_tables(F.col("marked")))
+    plain = keep_rows(mark_pages(pages), ~tables.has_nested_tables(F.col("marked")))
     nested = nested_pages(pages)
     nested_rows = tables.nested_table_rows(nested, max_records)
     none = F.lit(None).cast(nested_rows.schema["table_rows"].dataType)
@@ -259,7 +259,7 @@ def extract_all(pages: DataFrame, max_records: int | None = None) -> DataFrame:
         )
 
     kinds = F.concat(*[numbered(t) for t in SCRAPE_TYPES])
-    return page_records(pages, max_records).select("page_id", F.explode(kinds).alias("r")).select("page_id", "r.*")
+    return explode_items(page_records(pages, max_records), kinds, "page_id").select("page_id", "r.*")
 
 
 EXTRACTORS: dict[str, Callable[..., DataFrame]] = {

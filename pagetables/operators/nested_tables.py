@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import html
+from ..functions.arrays import explode_items
 from .tables import STRUCTURE, clean_cells, shape_table
 
 _TABLE = ["table", "/table"]
@@ -27,14 +28,13 @@ def structure_tags(marked_pages: DataFrame) -> DataFrame:
     """One row per structural tag with its nesting level and the position where
     the element of each kind that is open there ends."""
     tags = (
-        marked_pages.select(
-            "page_id", F.posexplode(F.split(html.only_tags(F.col("marked"), STRUCTURE), "\x01", -1)).alias("pos", "tag")
-        )
+        explode_items(marked_pages, F.split(html.only_tags(F.col("marked"), STRUCTURE), "\x01", -1), "page_id")
+        .select("page_id", F.col("i").alias("pos"), F.col("r").alias("tag"))
         .where("pos > 0")
         .select(
             "page_id",
             "pos",
-            F.lower(html.segment_name(F.col("tag"))).alias("element"),
+            html.segment_name(F.col("tag")).alias("element"),
             F.substring_index("tag", "\x03", -1).alias("text"),
         )
         .repartition("page_id")

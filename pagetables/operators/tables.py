@@ -15,37 +15,62 @@ from ..functions import html, text
 from ..functions.arrays import cap, let
 
 STRUCTURE = "/?(?:table|thead|tbody|tfoot|tr|td|th)"
-_SECTION = "\x01/?(?i:thead|tbody|tfoot)\x02"
-
-
-def _open(names: str) -> str:
-    return f"\x01(?i:{names})\x02[^\x03]*+\x03"
-
-
-def _inside(part: Column, name: str) -> Column:
-    """Content of the first element ``name`` of a table, up to the next section."""
-    return F.regexp_extract(part, f"(?s){_open(name)}(.*?)(?:{_SECTION}|\\z)", 1)
-
-
-def _pieces(part: Column, tag: str) -> Column:
-    return let(F.split(part, tag, -1), lambda p: F.slice(p, 2, F.size(p)))
+# One character per structural tag: splitting on a single character needs no regex.
+_TABLE, _TABLE_END, _ROW, _ROW_END = "\x04", "\x05", "\x06", "\x07"
+_HEAD, _BODY, _SECTION, _CELL, _CELL_END = "\x08", "\x0e", "\x0f", "\x10", "\x11"
+_TAG_MARKS = {
+    "table": _TABLE,
+    "/table": _TABLE_END,
+    "tr": _ROW,
+    "/tr": _ROW_END,
+    "td": _CELL + "d",
+    "th": _CELL + "h",
+    "/td": _CELL_END,
+    "/th": _CELL_END,
+    "thead": _HEAD,
+    "tbody": _BODY,
+    "tfoot": _SECTION,
+    "/thead": _SECTION,
+    "/tbody": _SECTION,
+    "/tfoot": _SECTION,
+}
+
+
+def structure(marked: Column) -> Column:
+    """The page with single-character marks for table tags only; '' without tables."""
+    marks = F.regexp_replace(marked, f"\x01(?:({STRUCTURE})(?=\x02))?[^\x03]*+\x03", "\x01$1\x03")
+    for tag, mark in {"": "", **_TAG_MARKS}.items():
+        marks = F.replace(marks, F.lit(f"\x01{tag}\x03"), F.lit(mark))
+    return F.when(html.has_tag(marked, "table"), marks).otherwise("")
+
+
+def _after(part: Column, mark: str) -> Column:
+    """The pieces that follow each ``mark``."""
+    return let(F.split(part, mark, -1), lambda p: F.slice(p, 2, F.size(p)))
+
+
+def _until(part: Column, *marks: str) -> Column:
+    for mark in marks:
+        part = F.substring_index(part, mark, 1)
+    return part
 
 
 def _cells(row: Column) -> Column:
     """array<struct<is_th, text>> of one row (or of a whole head)."""
     return F.transform(
-        _pieces(row, "\x01(?=(?i:t[dh])\x02)"),
+        _after(row, _CELL),
         lambda c: F.struct(
-            (F.lower(F.substring(c, 1, 2)) == "th").alias("is_th"),
-            F.substring_index(F.substring_index(c, "\x01", 1), "\x03", -1).alias("text"),
+            c.startswith("h").alias("is_th"),
+            F.substr(_until(c, _CELL_END, _ROW, _ROW_END), F.lit(2)).alias("text"),
         ),
     )
 
 
 def has_nested_tables(marked: Column) -> Column:
     """True when a table opens before the one in front of it has closed."""
-    marks = F.regexp_extract_all(marked, F.lit("\x01(/?)(?i:table)\x02"), F.lit(1))
-    return F.array_join(F.transform(marks, lambda m: F.when(m == "", "o").otherwise("c")), "").contains("oo")
+    marks = F.regexp_extract_all(marked, F.lit("\x01(/?)table\x02"), F.lit(1))
+    opened_twice = F.array_join(F.transform(marks, lambda m: F.when(m == "", "o").otherwise("c")), "").contains("oo")
+    return F.when(html.has_tag(marked, "table"), opened_twice).otherwise(False)
 
 
 def column_names(headers: Column, width: Column) -> Column:
@@ -62,8 +87,11 @@ def column_names(headers: Column, width: Column) -> Column:
             ),
         )
 
+    def named(given: Column) -> Column:
+        return F.when(F.size(F.array_distinct(given)) == F.size(given), given).otherwise(unique(given))
+
     return F.when(
-        F.size(headers) == width, let(F.transform(headers, lambda h: text.default_label(h, "Column")), unique)
+        F.size(headers) == width, let(F.transform(headers, lambda h: text.default_label(h, "Column")), named)
     ).otherwise(F.transform(F.sequence(F.lit(1), width), lambda i: F.concat(F.lit("Column "), i)))
 
 
@@ -98,7 +126,10 @@ def shape_table(head: Column, rows: Column) -> Column:
                 F.struct(
                     column_names(t.headers, width).alias("col_names"),
                     F.transform(
-                        t.data, lambda c: F.concat(c, F.array_repeat(F.lit(""), width - F.size(c)))
+                        t.data,
+                        lambda c: F.when(F.size(c) == width, c).otherwise(
+                            F.concat(c, F.array_repeat(F.lit(""), width - F.size(c)))
+                        ),
                     ).alias("rows"),
                 ),
             ),
@@ -117,15 +148,14 @@ def clean_cells(cells: Column) -> Column:
 def _read_table(part: Column) -> Column:
     """One table without inner tables. A missing tbody means the whole table, so
     the rows of a thead are then read as data too; later tbodys are not read."""
-    body = F.when(part.rlike(_open("tbody")), _inside(part, "tbody")).otherwise(part)
+    head = F.when(part.contains(_HEAD), _until(_after(part, _HEAD)[0], _HEAD, _BODY, _SECTION)).otherwise("")
+    body = F.when(part.contains(_BODY), _until(_after(part, _BODY)[0], _HEAD, _BODY, _SECTION)).otherwise(part)
     rows = F.transform(
-        _pieces(body, _open("tr")),
-        lambda r: _cells(F.split(r, f"\x01/?(?i:tr|thead|tbody|tfoot)\x02", 2)[0]),
+        _after(body, _ROW), lambda r: _cells(_until(r, _ROW_END, _HEAD, _BODY, _SECTION))
     )
     # The head travels as an extra first row, so that all cells are cleaned at once.
-    all_rows = F.concat(F.array(_cells(_inside(part, "thead"))), rows)
     return let(
-        F.transform(all_rows, clean_cells),
+        F.transform(F.concat(F.array(_cells(head)), rows), clean_cells),
         lambda r: shape_table(F.transform(r[0], lambda c: c.text), F.slice(r, 2, F.size(r))),
     )
 
@@ -147,10 +177,7 @@ def _numbered_rows(table_no: Column, t: Column, several: Column) -> Column:
 def flat_table_rows(marked: Column, max_records: int | None = None) -> Column:
     """array<struct(table_no, table_label, row_no, col_names, cells)> of a page, capped over
     all its tables together. Every table counts for ``table_no``."""
-    parts = F.transform(
-        _pieces(html.only_tags(marked, STRUCTURE), _open("table")),
-        lambda t: F.split(t, "\x01/(?i:table)\x02", 2)[0],
-    )
+    parts = F.transform(_after(structure(marked), _TABLE), lambda t: _until(t, _TABLE_END))
     tables = F.transform(
         parts, lambda t, i: F.struct((i + 1).cast("bigint").alias("table_no"), _read_table(t).alias("t"))
     )
@@ -164,10 +191,6 @@ def flat_table_rows(marked: Column, max_records: int | None = None) -> Column:
     return cap(F.flatten(let(tables, rows)), max_records)
 
 
-def table_count(marked: Column) -> Column:
-    return F.size(html.tag_attributes(marked, "table")).cast("bigint")
-
-
 def nested_table_rows(marked_pages: DataFrame, max_records: int | None = None) -> DataFrame:
     """(page_id, table_rows) of pages with nested tables; array as ``flat_table_rows``."""
     from .nested_tables import nested_tables

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import outcome, urls
+from ..functions.arrays import explode_items
 from ..session import new_folder
 
 HISTORY_SCHEMA = T.StructType(
@@ -147,8 +148,8 @@ def page_kpis(history: DataFrame) -> DataFrame:
 def preview_rows(history: DataFrame) -> DataFrame:
     """Stored previews back as rows: (id, record_no, record map)."""
     parsed = F.from_json("preview_json", T.ArrayType(T.MapType(T.StringType(), T.StringType())))
-    return history.select("id", F.posexplode(parsed).alias("i", "record")).select(
-        "id", (F.col("i") + 1).cast("bigint").alias("record_no"), "record"
+    return explode_items(history, parsed, "id").select(
+        "id", (F.col("i") + 1).cast("bigint").alias("record_no"), F.col("r").alias("record")
     )
 
 

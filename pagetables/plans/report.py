@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import outcome, urls
+from ..functions.arrays import explode_items
 from ..operators.extract import DEFAULT_MAX_RECORDS, SCRAPE_TYPES, page_records, record_counts, shown_records
 from ..operators.robots import BROWSER_AGENT, check_robots
 
@@ -42,11 +43,16 @@ def runs_by_page(pages: DataFrame, max_records: int | None = DEFAULT_MAX_RECORDS
     return found.select(*kept, runs.alias("runs"))
 
 
+def runs(pages: DataFrame, max_records: int | None = DEFAULT_MAX_RECORDS) -> DataFrame:
+    """One row per page and kind: (page_id, scrape_type, record_count, preview_json)."""
+    return explode_items(runs_by_page(pages, max_records), F.col("runs"), "page_id").select(
+        "page_id", "r.scrape_type", "r.record_count", "r.preview_json"
+    )
+
+
 def record_count(pages: DataFrame, max_records: int | None = DEFAULT_MAX_RECORDS) -> DataFrame:
     """(page_id, scrape_type, record_count), also where there are none."""
-    return runs_by_page(pages, max_records).select("page_id", F.inline("runs")).select(
-        "page_id", "scrape_type", "record_count"
-    )
+    return runs(pages, max_records).select("page_id", "scrape_type", "record_count")
 
 
 def _line(level: str, *parts: Column | str) -> Column:
@@ -95,9 +101,8 @@ def run_report(
         decisions = check_robots(pages, rules, user_agent).select("page_id", "is_allowed", "reason")
         facts = facts.join(decisions, "page_id", "left")
 
-    run = facts.withColumn("r", F.explode(F.filter("runs", lambda r: r.scrape_type.isin(*scrape_types)))).select(
-        "*", "r.*"
-    )
+    wanted = F.filter("runs", lambda r: r.scrape_type.isin(*scrape_types))
+    run = explode_items(facts, wanted, *[c for c in facts.columns if c != "runs"]).select("*", "r.*")
     return run.select(*_report_columns(rules is not None, timeout))
 
 
@@ -206,7 +211,7 @@ def html_logs(page_chars: Column, scrape_type: Column, count: Column) -> Column:
 
 def explode_logs(report: DataFrame) -> DataFrame:
     """(page_id, scrape_type, line_no, level, message), one row per log line."""
-    return report.select("page_id", "scrape_type", F.posexplode("logs").alias("i", "line")).select(
+    return explode_items(report, F.col("logs"), "page_id", "scrape_type").withColumnRenamed("r", "line").select(
         "page_id",
         "scrape_type",
         (F.col("i") + 1).cast("bigint").alias("line_no"),

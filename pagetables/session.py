@@ -19,6 +19,8 @@ def build_session(app: str = "pagetables", master: str | None = None, **settings
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.ui.showConsoleProgress": "false",
+        # long column expressions are built twice as fast without call sites
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     for key, value in {**defaults, **settings}.items():
         builder = builder.config(key, value)

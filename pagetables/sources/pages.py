@@ -15,9 +15,17 @@ PAGE_SCHEMA = T.StructType(
 )
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Use all cores for a table that arrives in fewer partitions than there are
+    cores (one small file, say). A table with enough partitions is left alone, so
+    nothing is shuffled at scale."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Pages from a Parquet table; unused columns and filters reach the scan."""
-    return spark.read.parquet(path).select("page_id", "url", "html")
+    return spread(spark.read.parquet(path).select("page_id", "url", "html"), "page_id")
 
 
 def read_html_files(spark: SparkSession, path: str, page_id: Column, url: Column) -> DataFrame:

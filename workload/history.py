@@ -84,8 +84,8 @@ def report_join(spark, sf_dir):
 
 @query(f"WITH {RECORDS_SQL} SELECT page_id, scrape_type, preview AS preview_json FROM counted WHERE preview IS NOT NULL")
 def preview_json(spark, sf_dir):
-    runs = report.runs_by_page(views.pages(spark, sf_dir)).select("page_id", F.inline("runs"))
-    return runs.where("preview_json is not null").select("page_id", "scrape_type", "preview_json")
+    runs = report.runs(views.pages(spark, sf_dir)).select("page_id", "scrape_type", "preview_json")
+    return runs.where("preview_json is not null")
 
 
 @query(
@@ -94,7 +94,7 @@ def preview_json(spark, sf_dir):
     "FROM records WHERE n <= 5"
 )
 def preview_read(spark, sf_dir):
-    runs = report.runs_by_page(views.pages(spark, sf_dir)).select("page_id", F.inline("runs"))
+    runs = report.runs(views.pages(spark, sf_dir))
     stored = runs.select(F.struct("page_id", "scrape_type").alias("id"), "preview_json")
     names = ("Paragraph Text", "URL", "Heading Text", "Page Title")
     return history.preview_rows(stored).select(

@@ -6,7 +6,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .registry import table
+from pagetables.sources.pages import spread
+
+from .registry import table as small_table
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    rows = small_table(spark, sf_dir, name)
+    return spread(rows, rows.columns[0])
 
 
 def _fill(template: str, **values: Column) -> Column:
