@@ -106,63 +106,85 @@ def _enclosing(tags: DataFrame) -> DataFrame:
     )
 
 
+_NOTE = {"at": "int", "part": "struct<pos:int,text:string>", "is_th": "boolean", "row_at": "int"}
+_NOTE |= {"head_of": "bigint", "body_of": "bigint"}
+_PLACE = {"key": "bigint", "cell": "struct<at:int,is_th:boolean,text:string>", "tables": "array<bigint>"}
+_MEMBER = {"table_no": "bigint", "row": f"struct<at:bigint,cells:array<{_PLACE['cell']}>>"}
+_MEMBER |= {"head": f"array<{_PLACE['cell']}>"}
+
+
+def _struct(fields: dict[str, str], **values: Column) -> Column:
+    """A struct with all ``fields``, null where no value is given."""
+    return F.struct(*[values.get(f, F.lit(None)).cast(kind).alias(f) for f, kind in fields.items()])
+
+
 def nested_tables(marked_pages: DataFrame) -> DataFrame:
-    """(page_id, table_no, t) with t = struct(col_names, rows) as ``shape_table`` gives."""
-    tags = _enclosing(structure_tags(marked_pages))
-    pos, is_cell = F.col("pos"), F.col("element").isin("td", "th")
+    """(page_id, table_no, t) with t = struct(col_names, rows) as ``shape_table`` gives.
 
-    # The text of a cell is what stands between its tag and its end.
-    texts = (
-        tags.where((F.col("cell.end") > pos) & (F.col("text") != ""))
-        .groupBy("page_id", F.col("cell.start").alias("cell_pos"))
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("parts"))
-        .select(
-            "page_id", "cell_pos", F.array_join(F.transform("parts", lambda p: p.text), "").alias("text")
+    Tags are gathered into cells and rows, cells into rows and heads, and those into
+    tables: three groupings that start with ``page_id``, so the one exchange serves
+    all of them."""
+    tags = _enclosing(structure_tags(marked_pages))
+    pos, element, col = F.col("pos"), F.col("element"), F.col
+    in_row = F.when((col("row.start") < pos) & (col("row.end") > pos), col("row.start"))
+    in_head = F.when((col("table.head_start") < pos) & (col("table.head_end") > pos), col("table.table_no"))
+    in_body = F.when((col("table.body_start") < pos) & (col("table.body_end") > pos), col("table.table_no"))
+    notes = F.array_compact(
+        F.array(
+            # the text of a cell is what stands between its tag and its end
+            F.when(col("cell.end") > pos, _struct(_NOTE, at=col("cell.start"), part=F.struct("pos", "text"))),
+            F.when(element.isin("td", "th"), _struct(_NOTE, at=pos, is_th=element == "th", row_at=in_row, head_of=in_head)),
+            F.when(element == "tr", _struct(_NOTE, at=pos, body_of=in_body)),
         )
     )
-    cells = (
-        tags.where(is_cell)
-        .select(
-            "page_id",
-            F.col("pos").alias("cell_pos"),
-            (F.col("element") == "th").alias("is_th"),
-            F.when((F.col("row.start") < pos) & (F.col("row.end") > pos), F.col("row.start")).alias("row_pos"),
-            F.when((F.col("table.head_start") < pos) & (F.col("table.head_end") > pos), F.col("table.table_no")).alias(
-                "head_of"
-            ),
+    elements = (
+        explode_items(tags, notes, "page_id")
+        .groupBy("page_id", col("r.at").alias("at"))
+        .agg(
+            F.array_sort(F.collect_list("r.part")).alias("parts"),
+            F.max("r.is_th").alias("is_th"),
+            F.collect_set("r.row_at").alias("rows"),
+            F.collect_set("r.head_of").alias("heads"),
+            F.collect_set("r.body_of").alias("bodies"),
         )
-        .join(texts, ["page_id", "cell_pos"], "left")
-        .withColumn("cell", F.struct("cell_pos", "is_th", F.coalesce("text", F.lit("")).alias("text")))
     )
-
-    def in_order(items: str) -> Column:
-        return F.transform(
-            F.array_sort(F.collect_list(items)), lambda c: F.struct(c.is_th.alias("is_th"), c.text.alias("text"))
+    text = F.array_join(F.transform("parts", lambda p: p.text), "")
+    cell = F.struct("at", "is_th", text.alias("text"))
+    # rows are known by their position, heads by the negative table number
+    places = F.when(
+        col("is_th").isNull(), F.array(_struct(_PLACE, key=col("at"), tables=col("bodies")))
+    ).otherwise(
+        F.concat(
+            F.transform("rows", lambda at: _struct(_PLACE, key=at, cell=cell)),
+            F.transform("heads", lambda number: _struct(_PLACE, key=-number, cell=cell)),
         )
-
-    row_cells = (
-        cells.where("row_pos is not null").groupBy("page_id", "row_pos").agg(in_order("cell").alias("cells"))
     )
-    heads = (
-        cells.where("head_of is not null")
-        .groupBy("page_id", F.col("head_of").alias("table_no"))
-        .agg(in_order("cell").alias("head"))
-    )
-    rows = (
-        tags.where(
-            (F.col("element") == "tr") & (F.col("table.body_start") < pos) & (F.col("table.body_end") > pos)
+    groups = (
+        explode_items(elements, places, "page_id")
+        .groupBy("page_id", col("r.key").alias("key"))
+        .agg(
+            F.array_sort(F.collect_list("r.cell")).alias("cells"),
+            F.flatten(F.collect_list("r.tables")).alias("tables"),
         )
-        .select("page_id", F.col("table.table_no").alias("table_no"), F.col("pos").alias("row_pos"))
-        .join(row_cells, ["page_id", "row_pos"])
-        .groupBy("page_id", "table_no")
-        .agg(F.array_sort(F.collect_list(F.struct("row_pos", "cells"))).alias("rows"))
     )
-    shaped = rows.join(heads, ["page_id", "table_no"], "left").select(
-        "page_id",
-        "table_no",
-        shape_table(
-            F.transform(clean_cells(F.coalesce("head", F.array())), lambda c: c.text),
-            F.transform("rows", lambda r: clean_cells(r.cells)),
-        ).alias("t"),
+    row = F.struct(col("key").alias("at"), "cells")
+    members = F.when(
+        col("key") < 0, F.array(_struct(_MEMBER, table_no=-col("key"), head=col("cells")))
+    ).otherwise(F.transform("tables", lambda number: _struct(_MEMBER, table_no=number, row=row)))
+    shaped = (
+        explode_items(groups, members, "page_id")
+        .groupBy("page_id", col("r.table_no").alias("table_no"))
+        .agg(
+            F.array_sort(F.collect_list("r.row")).alias("rows"),
+            F.first("r.head", ignorenulls=True).alias("head"),
+        )
+        .select(
+            "page_id",
+            "table_no",
+            shape_table(
+                F.transform(clean_cells(F.coalesce("head", F.array())), lambda c: c.text),
+                F.transform("rows", lambda r: clean_cells(r.cells)),
+            ).alias("t"),
+        )
     )
     return shaped.where("t is not null")
