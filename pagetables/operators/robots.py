@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 
-# The agent a run identifies itself with, and the reasons given.
+# The agent a run identifies itself with unless told otherwise.
 BROWSER_AGENT = (
     "Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 (KHTML, like Gecko) "
-    "Chrome/124.0.0.0 Safari/537.36 (WebScrapingAutomation/1.0)"
+    "Chrome/124.0.0.0 Safari/537.36"
 )
+# The agent that means all, and the reason without a host.
 ANY_AGENT = "*"
 NO_DOMAIN = "Cannot verify robots.txt: invalid domain."
 
