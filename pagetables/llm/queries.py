@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, simhash, substrings
+from . import licenses, main_text, mixing, neighbours, packing, quality, sharding, simhash, substrings, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Shares of the tokens that the mixture should have, by domain.
+MIXTURE = {"quality1_toxic0": 0.9, "quality0_toxic0": 0.1}
+LABELS = ("quality", "toxic")
+
+
+@query
+def op1_min_cost_flow_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    own = docs.select(
+        "doc_id",
+        F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).alias("text_crc32"),
+        sharding.text_bytes(F.col("text")).alias("text_bytes"),
+        sharding.file_number(docs).alias("file_no"),
+        F.struct("_metadata.file_name", "_metadata.row_index").alias("place"),
+    )
+    found, _ = sharding.reshard(own, F.col("file_no"), [F.col("place")], 16, F.col("text_bytes"))
+    return found.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query
+def op2_soft_membership_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels")
+    mixed, membership, _ = mixing.mix(docs, labels, LABELS, lambda domains: mixing.targets_by_weight(domains, MIXTURE))
+    each = [F.col("posterior")[i].alias(f"p_{d}") for i, d in enumerate(membership.domains)]
+    return mixed.select("doc_id", "n_tokens", *each, "rate", "copies")
+
+
 @query
 def op3_simhash_gray_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -38,14 +74,45 @@ def op4_suffix_automaton_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+@query
+def op5_min_cut_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 @query
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack(docs)
 
 
+@query
+def op7_offset_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = token_counts.count_sections(docs)
+    return counted.withColumn("n_tokens", F.col("n_tokens").cast("long"))
+
+
+@query
+def op8_licence_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    best = F.array_sort(F.filter("licences", lambda x: x.confirmed), lambda a, b: F.sign(b.probability - a.probability).cast("int"))
+    scanned = licenses.scan(docs).withColumn("best", best)
+    return scanned.select(
+        "doc_id",
+        F.size("licences").alias("n_accepted"),
+        F.size("best").alias("n_confirmed"),
+        F.transform("best", lambda x: x.family).alias("families"),
+        F.transform("best", lambda x: x.paragraph).alias("paragraphs"),
+    )
+
+
 @query
 def op9_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = quality.judge(docs, measures=quality.MEASURES)
     return judged.select("doc_id", *quality.MEASURES, "base_failed", "kept")
+
+
+@query
+def op10_multiprobe_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
