@@ -5,11 +5,11 @@ over domains (the combinations of labels). Each document then gets a rate of at
 zero, such that the expected tokens of each domain, summed over the corpus at these
 rates, match given targets in the least-squares sense.
 
-The rates come from projected gradients: all start at one; in each round the executors
-sum up the domain totals at the present rates, and every document moves against the
-gradient and back to zero if below. Distances are measured in the metric of the
-corpus' own domain moments and a document's step is scaled by its tokens, so the step
-size is one and a round without a rate at zero already solves the problem. A rate
+The rates come from projected gradients with momentum: all start at one; in each round the
+executors sum up the domain totals at the present rates, and every document moves
+against the gradient and back to zero if below. Distances are measured in the metric of
+the corpus' own domain moments and a document's step is scaled by its tokens, so the
+step size is one and a round without a rate at zero already solves the problem. A rate
 depends on the posterior alone, so the history of the K-component steps, which is all
 the driver holds, restores every rate without a join.
 
@@ -37,8 +37,8 @@ from .linear import Logistic
 
 TRAIN_ROWS = 4000
 FEATURES = 1 << 17
-ROUNDS = 200
-CLOSE = 1e-6
+ROUNDS = 100
+CLOSE = 1e-4
 
 
 def word_features(raw: bytes | None) -> tuple[np.ndarray, int]:
@@ -110,18 +110,21 @@ def _table(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
     return tokens, batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
 
 
-def rates_after(posteriors: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
-    rates = np.ones(len(posteriors))
-    for step in steps:
-        rates = np.maximum(rates - posteriors @ step, 0.0)
-    return rates
+def rates_after(posteriors: np.ndarray, steps: list[tuple[np.ndarray, float]]) -> tuple[np.ndarray, np.ndarray]:
+    """Rates after the steps (gradient step, momentum), and where the next step starts."""
+    rates = start = np.ones(len(posteriors))
+    for step, momentum in steps:
+        before, rates = rates, np.maximum(start - posteriors @ step, 0.0)
+        start = rates + momentum * (rates - before)
+    return rates, start
 
 
 @dataclass
 class Fit:
-    """Steps of the projected gradient; domain totals before and after, and targets."""
+    """Steps of the projected gradient with their momentum; domain totals before and
+    after, and targets."""
 
-    steps: list[np.ndarray]
+    steps: list[tuple[np.ndarray, float]]
     present: np.ndarray
     reached: np.ndarray
     targets: np.ndarray
@@ -129,37 +132,44 @@ class Fit:
 
 def fit_rates(rows: DataFrame, k: int, targets, rounds: int = ROUNDS, close: float = CLOSE) -> Fit:
     """Steps for rows (n_tokens, posterior). ``targets`` makes the target totals from the
-    present ones. Every round is one aggregation of K numbers."""
+    present ones. Every round is one aggregation of 2 K numbers."""
 
-    def totals(steps: list[np.ndarray], moments: bool) -> np.ndarray:
-        def of(batches):
-            out = np.zeros(k * k if moments else k)
+    def summed(size: int, of) -> np.ndarray:
+        def partial(batches):
+            out = np.zeros(size)
             for batch in batches:
-                tokens, p = _table(batch, k)
-                weighted = p * tokens[:, None]
-                out += (weighted.T @ p).ravel() if moments else weighted.T @ rates_after(p, steps)
+                out += of(*_table(batch, k)).ravel()
             yield pa.RecordBatch.from_arrays([pa.array([out.tolist()], pa.list_(pa.float64()))], names=["t"])
 
-        partial = rows.select("n_tokens", "posterior").mapInArrow(of, "t array<double>")
-        summed = partial.select(F.posexplode("t").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
-        out = np.zeros(k * k if moments else k)
-        for r in summed:
+        parts = rows.select("n_tokens", "posterior").mapInArrow(partial, "t array<double>")
+        out = np.zeros(size)
+        for r in parts.select(F.posexplode("t").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect():
             out[r.i] = r.x
-        return out.reshape(k, k) if moments else out
+        return out
 
-    moments = totals([], True)
+    moments = summed(k * k, lambda tokens, p: (p * tokens[:, None]).T @ p).reshape(k, k)
     present = moments.sum(axis=1)
     goal = np.asarray(targets(present), dtype=float)
     metric = np.linalg.pinv(moments, rcond=1e-9)
-    steps: list[np.ndarray] = []
-    reached = present
+    enough = close * max(1.0, np.abs(goal).sum())
+    steps: list[tuple[np.ndarray, float]] = []
+    reached = start = present
+    pace, error = 1.0, np.inf
     for _ in range(rounds):
-        miss = reached - goal
-        if np.abs(miss).sum() <= close * max(1.0, np.abs(goal).sum()):
+        miss = start - goal
+        if np.abs(reached - goal).sum() <= enough:
             break
-        steps.append(metric @ miss)
-        before, reached = reached, totals(steps, False)
-        if np.abs(reached - before).sum() <= 0.01 * close * max(1.0, np.abs(goal).sum()):
+        now = float(miss @ metric @ miss)
+        # Momentum that leads uphill is dropped.
+        pace = 1.0 if now > error else pace
+        error, faster = now, (1 + np.sqrt(1 + 4 * pace * pace)) / 2
+        steps.append((metric @ miss, (pace - 1) / faster))
+        pace = faster
+        own = list(steps)
+        totals = summed(2 * k, lambda tokens, p: np.stack(rates_after(p, own)) @ (p * tokens[:, None]))
+        moved = np.abs(totals[:k] - reached).sum()
+        reached, start = totals[:k], totals[k:]
+        if moved <= 0.01 * enough:
             break
     return Fit(steps, present, reached, goal)
 
@@ -169,7 +179,7 @@ def rate_of(fit: Fit, posterior: Column) -> Column:
 
     def of(posteriors: pa.Array) -> pa.Array:
         p = posteriors.flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
-        return pa.array(rates_after(p, fit.steps))
+        return pa.array(rates_after(p, fit.steps)[0])
 
     return F.arrow_udf(of, "double").asNondeterministic()(posterior)
 

@@ -22,6 +22,7 @@ their own. Input columns named like output columns are replaced.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from dataclasses import dataclass
 
@@ -39,13 +40,16 @@ SALTS = 64
 VOCABULARY = "word_bpe_49k.json"
 
 
+_MARK_AFTER_LETTER = re.compile(rb"(?<=[a-z])[!-/:-@\[-`{-~]")
+
+
 class WordIds:
     """Ids of texts by a vocabulary that never joins words across white space: each
     distinct word is encoded once and remembered, up to ``limit`` words."""
 
     MARK = "<|endoftext|>"
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -72,8 +76,11 @@ class WordIds:
 
     def encode(self, raw: bytes | None) -> bytes:
         """Little-endian unsigned 32-bit ids of a text."""
-        # Only A-Z: the vocabulary lowers all letters itself.
-        words = split_words(raw.lower()) if raw else []
+        if not raw:
+            return b""
+        # The vocabulary lowers all letters itself and never joins a letter with the mark
+        # after it, so there are fewer words to know. The marks of special tokens stay.
+        words = split_words(raw if b"<|" in raw else _MARK_AFTER_LETTER.sub(rb" \g<0>", raw.lower()))
         known = self.known
         try:
             return b"".join([known[w] for w in words])
