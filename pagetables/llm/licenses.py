@@ -199,9 +199,7 @@ def train(lines: list[str], seed: int = 11) -> LicenceModel:
     features = {g: i for i, g in enumerate(vocabulary)}
     families = [UNKNOWN, *TEMPLATES]
     made = _variants(rng, filler, 24)
-    # Parts of templates without their name are no grant either.
-    cut = [w[rng.randrange(len(w)) :][:2] for _, w in made[::6]]
-    unknown = plain + cut + other * 10
+    unknown = plain + other * 10
     rows = [(families.index(f), w) for f, w in made] + [(0, w) for w in unknown]
     rng.shuffle(rows)
     empty = Logistic(np.zeros((len(features), len(families))), np.zeros(len(families)))
@@ -209,7 +207,7 @@ def train(lines: list[str], seed: int = 11) -> LicenceModel:
     x, y = [model.row(w) for _, w in rows], np.array([c for c, _ in rows])
     held = np.arange(len(rows)) % 4 == 0
     kept = np.flatnonzero(~held)
-    model.model = Logistic.fit([x[i] for i in kept], y[kept], len(features), len(families), rounds=150)
+    model.model = Logistic.fit([x[i] for i in kept], y[kept], len(features), len(families), penalty=1e-5, rounds=300, rate=0.2)
     test = np.flatnonzero(held)
     p = model.model.probabilities([x[i] for i in test])
     taken = np.sort(p[:, 1:].max(axis=1)[y[test] == 0])[::-1]

@@ -248,7 +248,7 @@ def nearest(
         units = 1 + total // UNIT
         every = distinct.select(F.pmod(F.xxhash64("vec_id"), F.lit(units)).alias("unit"), F.lit(0).cast("long").alias("cell"), "vec_id", "vector")
         short = short.select(
-            F.explode(F.sequence(F.lit(0), F.lit(units - 1))).cast("long").alias("unit"),
+            F.explode(F.sequence(F.lit(0).cast("long"), F.lit(units - 1).cast("long"))).alias("unit"),
             "query_id",
             "qvec",
             F.lit(None).cast("array<bigint>").alias("cells"),

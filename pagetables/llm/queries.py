@@ -26,7 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 # Shares of the tokens that the mixture should have, by domain.
-MIXTURE = {"quality1_toxic0": 0.9, "quality0_toxic0": 0.1}
+MIXTURE = {"quality1_toxic0": 0.88, "quality0_toxic0": 0.1, "quality1_toxic1": 0.018, "quality0_toxic1": 0.002}
 LABELS = ("quality", "toxic")
 
 
