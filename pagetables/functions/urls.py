@@ -87,17 +87,23 @@ def _unsplit(u: Column) -> Column:
 
 
 def _remove_dots(parts: Column) -> Column:
-    """Join path segments after applying '.' and '..'."""
-    kept = F.aggregate(
-        parts,
-        F.array().cast("array<string>"),
-        lambda done, s: F.when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))))
-        .when(s == ".", done)
-        .otherwise(F.array_append(done, s)),
-    )
+    """Join path segments after applying '.' and '..'.
+
+    Read from the end, every '..' drops the next segment that nothing else drops, so one
+    pass with a counter and the text so far will do; paths without dot segments are
+    just joined."""
     last = F.element_at(parts, -1)
-    kept = F.when(last.isin(".", ".."), F.array_append(kept, F.lit(""))).otherwise(kept)
-    return default_path(F.array_join(kept, "/"))
+    start = F.struct(F.lit(0).alias("drop"), F.when(last.isin(".", ".."), F.lit("")).alias("path"))
+
+    def step(done: Column, s: Column) -> Column:
+        kept = (s != ".") & (s != "..") & (done.drop == 0)
+        joined = F.when(done.path.isNull(), s).otherwise(F.concat(s, F.lit("/"), done.path))
+        drop = F.when(s == "..", done.drop + 1).when(s == ".", done.drop).otherwise(F.greatest(done.drop - 1, F.lit(0)))
+        return F.struct(drop.alias("drop"), F.when(kept, joined).otherwise(done.path).alias("path"))
+
+    walked = F.aggregate(F.reverse(parts), start, step, lambda done: F.coalesce(done.path, F.lit("")))
+    dotted = F.exists(parts, lambda s: s.isin(".", ".."))
+    return default_path(F.when(dotted, walked).otherwise(F.array_join(parts, "/")))
 
 
 def default_path(path: Column) -> Column:

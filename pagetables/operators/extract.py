@@ -1,8 +1,8 @@
 """Page extraction: DataFrame(page_id, url, html) to records of six kinds.
 
 All kinds are narrow: a page's records are computed in its own row and exploded
-there, so the HTML is read once and never shuffled. The exception is a page with
-nested tables, whose structural tags take one exchange by ``page_id``.
+there, so the HTML is read and marked once and never shuffled. Pages may share a
+``page_id``: each row is a page of its own.
 ``record_no`` numbers a page's records after deduplication.
 """
 
@@ -14,12 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html, text, urls
-from ..functions.arrays import cap, explode_items, keep_rows
+from ..functions.arrays import cap, explode_items
 from . import records, tables
+from .nested_tables import nested_tables
 
 # The kinds of records and their names.
 SCRAPE_TYPES = ("Page Title", "Headings", "Links", "Paragraphs", "Tables", "Images")
-DEFAULT_MAX_RECORDS = 100
 
 # The names records are shown and exported with.
 DISPLAY_NAMES = {
@@ -96,22 +96,19 @@ def extract_images(pages: DataFrame, max_records: int | None = None) -> DataFram
     return _explode(mark_pages(pages), records.images(F.col("marked"), F.col("base"), max_records))
 
 
-def nested_pages(pages: DataFrame) -> DataFrame:
-    """Marked pages with nested tables. The plain test on the raw text spares
-    most pages the marking."""
-    maybe = pages.where(F.col("html").rlike(r"(?is)<table[\s/>].*?<table[\s/>]"))
-    return keep_rows(mark_pages(maybe), tables.has_nested_tables(F.col("marked")))
+def with_nested(marked_pages: DataFrame) -> DataFrame:
+    """Marked pages with ``nested``: the tables of a page where one holds another, else
+    null. Decided on the marked text alone, so every page is read in exactly one way."""
+    marked = F.col("marked")
+    tags = F.when(tables.has_nested_tables(marked), html.only_tags(marked, tables.STRUCTURE))
+    return marked_pages.withColumn("nested", nested_tables(tags))
 
 
 def table_rows(pages: DataFrame, max_records: int | None = None) -> DataFrame:
-    """(page_id, table_rows): all data rows of a page's tables, in order; null for
-    pages without tables."""
-    marked = F.col("marked")
-    is_flat = html.has_tag(marked, "table") & ~tables.has_nested_tables(marked)
-    flat = mark_pages(pages).select(
-        "page_id", F.when(is_flat, tables.flat_table_rows(marked, max_records)).alias("table_rows")
+    """(page_id, table_rows): all data rows of a page's tables, in order."""
+    return with_nested(mark_pages(pages)).select(
+        "page_id", tables.table_rows(F.col("marked"), F.col("nested"), max_records).alias("table_rows")
     )
-    return flat.unionByName(tables.nested_table_rows(nested_pages(pages), max_records))
 
 
 def _table_records(pages: DataFrame, max_records: int | None) -> DataFrame:
@@ -138,11 +135,13 @@ def extract_tables(pages: DataFrame, max_records: int | None = None) -> DataFram
 def row_map(col_names: Column, cells: Column) -> Column:
     """map<column name, cell>. Headers such as A, A, A_1 collide after numbering;
     the later column is then told apart by its position, so no cell is lost."""
-    distinct = F.transform(
+    told_apart = F.transform(
         col_names,
         lambda n, i: F.when(F.array_position(col_names, n) == i + 1, n).otherwise(F.concat(n, F.lit("#"), i + 1)),
     )
-    return F.map_from_arrays(distinct, cells)
+    # Names are made unique when a table is read, so collisions are rare.
+    collide = F.size(F.array_distinct(col_names)) < F.size(col_names)
+    return F.map_from_arrays(F.when(collide, told_apart).otherwise(col_names), cells)
 
 
 def extract_tables_map(pages: DataFrame, max_records: int | None = None) -> DataFrame:
@@ -170,25 +169,16 @@ def page_records(pages: DataFrame, max_records: int | None = None) -> DataFrame:
     marking of the page: (page_id, url, page_chars, is_blank, titles, headings,
     links, paragraphs, table_rows, images, unreadable). ``unreadable`` lists the
     kinds that hold a URL with a broken host."""
-    plain = keep_rows(mark_pages(pages), ~tables.has_nested_tables(F.col("marked")))
-    nested = nested_pages(pages)
-    nested_rows = tables.nested_table_rows(nested, max_records)
-    none = F.lit(None).cast(nested_rows.schema["table_rows"].dataType)
     marked, base = F.col("marked"), F.col("base")
-    found = (
-        plain.withColumn("table_rows", none)
-        .unionByName(
-            nested.join(nested_rows, "page_id", "left").withColumn("table_rows", F.coalesce("table_rows", F.array()))
-        )
-        .select(
-            *[c for c in plain.columns if c not in ("base", "marked")],
-            F.array(records.title_record(marked, base)).alias("titles"),
-            records.headings(marked, max_records).alias("headings"),
-            records.links(marked, base).alias("links"),
-            records.paragraphs(marked, max_records).alias("paragraphs"),
-            F.coalesce("table_rows", tables.flat_table_rows(marked, max_records)).alias("table_rows"),
-            records.images(marked, base).alias("images"),
-        )
+    read = with_nested(mark_pages(pages))
+    found = read.select(
+        *[c for c in read.columns if c not in ("base", "marked", "nested")],
+        F.array(records.title_record(marked, base)).alias("titles"),
+        records.headings(marked, max_records).alias("headings"),
+        records.links(marked, base).alias("links"),
+        records.paragraphs(marked, max_records).alias("paragraphs"),
+        tables.table_rows(marked, F.col("nested"), max_records).alias("table_rows"),
+        records.images(marked, base).alias("images"),
     )
     broken = {
         "Page Title": F.exists("titles", lambda r: urls.has_bad_host(r.canonical_url)),
@@ -272,7 +262,7 @@ EXTRACTORS: dict[str, Callable[..., DataFrame]] = {
 }
 
 
-def extract(pages: DataFrame, scrape_type: str, max_records: int | None = DEFAULT_MAX_RECORDS) -> DataFrame:
+def extract(pages: DataFrame, scrape_type: str, max_records: int | None = None) -> DataFrame:
     """Extract one kind of records by its name."""
     if scrape_type not in EXTRACTORS:
         raise ValueError(f"Unknown scraping type '{scrape_type}'. Supported: {list(EXTRACTORS)}")
@@ -280,13 +270,16 @@ def extract(pages: DataFrame, scrape_type: str, max_records: int | None = DEFAUL
 
 
 def table_shape(pages: DataFrame) -> DataFrame:
-    """(page_id, table_no, n_rows, n_cols) of every table with data, without
-    spreading its cells out."""
-    return (
-        _table_records(pages, None)
-        .groupBy("page_id", "table_no")
-        .agg(
-            F.count(F.lit(1)).alias("n_rows"),
-            F.max(F.size("cells")).cast("bigint").alias("n_cols"),
-        )
+    """(page_id, table_no, n_rows, n_cols) of every table with data, counted in the
+    page's row."""
+    rows = F.col("table_rows")
+    # A table's rows are numbered from 1, and all have its width.
+    last = F.filter(
+        rows, lambda r, i: F.when(i + 1 < F.size(rows), F.get(rows, i + 1).row_no == 1).otherwise(True)
+    )
+    return explode_items(table_rows(pages), last, "page_id").select(
+        "page_id",
+        "r.table_no",
+        F.col("r.row_no").alias("n_rows"),
+        F.size("r.cells").cast("bigint").alias("n_cols"),
     )

@@ -1,190 +1,122 @@
-"""Tables inside tables.
-
-The rows of an inner table also count as rows of every table around it, and the
-text of a cell includes the text of the tables in it. Here each structural tag is
-a row (page_id, pos), nesting depth is a running sum, and every element knows the
-position where it ends. Enclosing elements are looked up per nesting level with
-``last`` over (page_id, level), so the work is the real nesting and never all
-pairs of a page. All steps share one exchange by ``page_id``.
+"""Tables inside tables, read in the page's own row.
+
+The rows of an inner table also count as rows of every table around it, and the text of
+a cell includes the text of the tables in it. ``read_tables`` is a small helper over the
+structural tags of one page; only pages with nested tables pass any to it. Names,
+widths and cleaning are column expressions, the same as for other pages.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions import html
-from ..functions.arrays import explode_items
-from .tables import STRUCTURE, clean_cells, shape_table
-
-_TABLE = ["table", "/table"]
-_SECTION = [*_TABLE, "thead", "/thead", "tbody", "/tbody", "tfoot", "/tfoot"]
-_ROW = [*_SECTION, "tr", "/tr"]
-_CELL = [*_ROW, "td", "/td", "th", "/th"]
+_TABLE = frozenset(("table", "/table"))
+_SECTION = _TABLE | frozenset(("thead", "/thead", "tbody", "/tbody", "tfoot", "/tfoot"))
+_ROW = _SECTION | frozenset(("tr", "/tr"))
+_CELL = _ROW | frozenset(("td", "/td", "th", "/th"))
+_ENDS = {"table": _TABLE, "thead": _SECTION, "tbody": _SECTION, "tr": _ROW, "td": _CELL, "th": _CELL}
 _NEVER = 2**31 - 1
 
-
-def structure_tags(marked_pages: DataFrame) -> DataFrame:
-    """One row per structural tag with its nesting level and the position where
-    the element of each kind that is open there ends."""
-    tags = (
-        explode_items(marked_pages, F.split(html.only_tags(F.col("marked"), STRUCTURE), "\x01", -1), "page_id")
-        .select("page_id", F.col("i").alias("pos"), F.col("r").alias("tag"))
-        .where("pos > 0")
-        .select(
-            "page_id",
-            "pos",
-            html.segment_name(F.col("tag")).alias("element"),
-            F.substring_index("tag", "\x03", -1).alias("text"),
-        )
-        .repartition("page_id")
-    )
-    element = F.col("element")
-    in_page = Window.partitionBy("page_id").orderBy("pos")
-    step = F.when(element == "table", 1).when(element == "/table", -1).otherwise(0)
-    tags = tags.withColumn("run", F.sum(step).over(in_page))
-    # closing tags without an open table do not count
-    depth = F.col("run") - F.least(F.lit(0), F.min("run").over(in_page))
-    tags = tags.withColumn("level", (depth + (element == "/table").cast("int")).cast("int")).withColumn(
-        "table_no", F.count(F.when(element == "table", 1)).over(in_page)
-    )
-    later_on_level = (
-        Window.partitionBy("page_id", "level").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
-    )
-
-    def ends_at(names: list[str]) -> Column:
-        following = F.min(F.when(element.isin(names), F.col("pos"))).over(later_on_level)
-        return F.coalesce(following, F.lit(_NEVER))
-
-    tags = tags.select(
-        "*",
-        ends_at(_TABLE).alias("table_end"),
-        ends_at(_SECTION).alias("section_end"),
-        ends_at(_ROW).alias("row_end"),
-        ends_at(_CELL).alias("cell_end"),
-    )
-    later_in_page = Window.partitionBy("page_id").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
-
-    def next_section(name: str) -> Column:
-        section = F.struct(F.col("pos").alias("start"), F.col("section_end").alias("end"))
-        return F.min(F.when(element == name, section)).over(later_in_page)
-
-    return tags.select("*", next_section("thead").alias("head"), next_section("tbody").alias("body"))
-
-
-def _enclosing(tags: DataFrame) -> DataFrame:
-    """Every tag once per nesting level, with the cell, row and table of that level."""
-    element, here = F.col("element"), F.col("level") == F.col("k")
-    body_open = F.col("body.start") < F.col("table_end")
-    head_open = F.col("head.start") < F.col("table_end")
-    table = F.struct(
-        "table_no",
-        F.when(body_open, F.col("body.start")).otherwise(F.col("pos")).alias("body_start"),
-        F.when(body_open, F.col("body.end")).otherwise(F.col("table_end")).alias("body_end"),
-        F.when(head_open, F.col("head.start")).alias("head_start"),
-        F.when(head_open, F.col("head.end")).alias("head_end"),
-    )
-    row = F.struct(F.col("pos").alias("start"), F.col("row_end").alias("end"))
-    cell = F.struct(F.col("pos").alias("start"), F.col("cell_end").alias("end"))
-    on_level = Window.partitionBy("page_id", "k").orderBy("pos")
-
-    def latest(is_open: Column, value: Column) -> Column:
-        return F.last(F.when(is_open & here, value), ignorenulls=True).over(on_level)
-
-    return (
-        tags.where("level > 0")
-        .withColumn("k", F.explode(F.sequence(F.lit(1), F.col("level"))))
-        .select(
-            "page_id",
-            "pos",
-            "element",
-            "text",
-            latest(element == "table", table).alias("table"),
-            latest(element == "tr", row).alias("row"),
-            latest(element.isin("td", "th"), cell).alias("cell"),
-        )
-    )
-
-
-_NOTE = {"at": "int", "part": "struct<pos:int,text:string>", "is_th": "boolean", "row_at": "int"}
-_NOTE |= {"head_of": "bigint", "body_of": "bigint"}
-_PLACE = {"key": "bigint", "cell": "struct<at:int,is_th:boolean,text:string>", "tables": "array<bigint>"}
-_MEMBER = {"table_no": "bigint", "row": f"struct<at:bigint,cells:array<{_PLACE['cell']}>>"}
-_MEMBER |= {"head": f"array<{_PLACE['cell']}>"}
-
-
-def _struct(fields: dict[str, str], **values: Column) -> Column:
-    """A struct with all ``fields``, null where no value is given."""
-    return F.struct(*[values.get(f, F.lit(None)).cast(kind).alias(f) for f, kind in fields.items()])
-
-
-def nested_tables(marked_pages: DataFrame) -> DataFrame:
-    """(page_id, table_no, t) with t = struct(col_names, rows) as ``shape_table`` gives.
-
-    Tags are gathered into cells and rows, cells into rows and heads, and those into
-    tables: three groupings that start with ``page_id``, so the one exchange serves
-    all of them."""
-    tags = _enclosing(structure_tags(marked_pages))
-    pos, element, col = F.col("pos"), F.col("element"), F.col
-    in_row = F.when((col("row.start") < pos) & (col("row.end") > pos), col("row.start"))
-    in_head = F.when((col("table.head_start") < pos) & (col("table.head_end") > pos), col("table.table_no"))
-    in_body = F.when((col("table.body_start") < pos) & (col("table.body_end") > pos), col("table.table_no"))
-    notes = F.array_compact(
-        F.array(
-            # the text of a cell is what stands between its tag and its end
-            F.when(col("cell.end") > pos, _struct(_NOTE, at=col("cell.start"), part=F.struct("pos", "text"))),
-            F.when(element.isin("td", "th"), _struct(_NOTE, at=pos, is_th=element == "th", row_at=in_row, head_of=in_head)),
-            F.when(element == "tr", _struct(_NOTE, at=pos, body_of=in_body)),
-        )
-    )
-    elements = (
-        explode_items(tags, notes, "page_id")
-        .groupBy("page_id", col("r.at").alias("at"))
-        .agg(
-            F.array_sort(F.collect_list("r.part")).alias("parts"),
-            F.max("r.is_th").alias("is_th"),
-            F.collect_set("r.row_at").alias("rows"),
-            F.collect_set("r.head_of").alias("heads"),
-            F.collect_set("r.body_of").alias("bodies"),
-        )
-    )
-    text = F.array_join(F.transform("parts", lambda p: p.text), "")
-    cell = F.struct("at", "is_th", text.alias("text"))
-    # rows are known by their position, heads by the negative table number
-    places = F.when(
-        col("is_th").isNull(), F.array(_struct(_PLACE, key=col("at"), tables=col("bodies")))
-    ).otherwise(
-        F.concat(
-            F.transform("rows", lambda at: _struct(_PLACE, key=at, cell=cell)),
-            F.transform("heads", lambda number: _struct(_PLACE, key=-number, cell=cell)),
-        )
-    )
-    groups = (
-        explode_items(elements, places, "page_id")
-        .groupBy("page_id", col("r.key").alias("key"))
-        .agg(
-            F.array_sort(F.collect_list("r.cell")).alias("cells"),
-            F.flatten(F.collect_list("r.tables")).alias("tables"),
-        )
-    )
-    row = F.struct(col("key").alias("at"), "cells")
-    members = F.when(
-        col("key") < 0, F.array(_struct(_MEMBER, table_no=-col("key"), head=col("cells")))
-    ).otherwise(F.transform("tables", lambda number: _struct(_MEMBER, table_no=number, row=row)))
-    shaped = (
-        explode_items(groups, members, "page_id")
-        .groupBy("page_id", col("r.table_no").alias("table_no"))
-        .agg(
-            F.array_sort(F.collect_list("r.row")).alias("rows"),
-            F.first("r.head", ignorenulls=True).alias("head"),
-        )
-        .select(
-            "page_id",
-            "table_no",
-            shape_table(
-                F.transform(clean_cells(F.coalesce("head", F.array())), lambda c: c.text),
-                F.transform("rows", lambda r: clean_cells(r.cells)),
-            ).alias("t"),
-        )
+_CELL_TYPE = pa.struct([("is_th", pa.bool_()), ("text", pa.string())])
+TABLES_TYPE = pa.list_(
+    pa.struct(
+        [("table_no", pa.int64()), ("head", pa.list_(_CELL_TYPE)), ("rows", pa.list_(pa.list_(_CELL_TYPE)))]
     )
-    return shaped.where("t is not null")
+)
+SPARK_TYPE = (
+    "array<struct<table_no: bigint, head: array<struct<is_th: boolean, text: string>>, "
+    "rows: array<array<struct<is_th: boolean, text: string>>>>>"
+)
+
+
+def _levels(elements: list[str]) -> list[int]:
+    """Nesting level of each tag; closing tags without an open table do not count."""
+    out, run, low = [], 0, 0
+    for e in elements:
+        run += (e == "table") - (e == "/table")
+        low = min(low, run)
+        out.append(run - low + (e == "/table"))
+    return out
+
+
+def _ends(elements: list[str], levels: list[int]) -> list[int]:
+    """Where each element ends: at the next tag of its level that closes it."""
+    out, following = [_NEVER] * len(elements), {}
+    for at in range(len(elements) - 1, -1, -1):
+        own = following.setdefault(levels[at], {})
+        if elements[at] in _ENDS:
+            out[at] = own.get(_ENDS[elements[at]], _NEVER)
+        for closing in (_TABLE, _SECTION, _ROW, _CELL):
+            if elements[at] in closing:
+                own[closing] = at
+    return out
+
+
+def _next(elements: list[str], name: str) -> list[int]:
+    """The next tag of this name after each tag."""
+    out, following = [_NEVER] * len(elements), _NEVER
+    for at in range(len(elements) - 1, -1, -1):
+        out[at] = following
+        if elements[at] == name:
+            following = at
+    return out
+
+
+def read_tables(structure: str) -> list[dict]:
+    """All tables of a page from its table tags, as ``html.only_tags`` leaves them."""
+    segments = structure.split("\x01")[1:]
+    elements = [s.partition("\x02")[0] for s in segments]
+    levels = _levels(elements)
+    ends = _ends(elements, levels)
+    heads, bodies = _next(elements, "thead"), _next(elements, "tbody")
+    tables: list[dict] = []
+    # What was opened last on each level: (number, body, head), a row, a cell.
+    open_table: dict[int, tuple] = {}
+    open_row: dict[int, int] = {}
+    open_cell: dict[int, int] = {}
+    text: dict[int, list[str]] = {}
+    row_cells: dict[int, list[int]] = {}
+    for at, (element, level) in enumerate(zip(elements, levels)):
+        if element == "table":
+            tables.append({"rows": [], "head": []})
+            body, head = (n if n < ends[at] else None for n in (bodies[at], heads[at]))
+            span = (at, ends[at]) if body is None else (body, ends[body])
+            if level:
+                open_table[level] = (len(tables) - 1, span, (head, ends[head]) if head is not None else (_NEVER, 0))
+        elif element == "tr":
+            open_row[level] = at
+            row_cells[at] = []
+        elif element in ("td", "th"):
+            open_cell[level] = at
+            text[at] = []
+        for k in range(1, level + 1):
+            cell = open_cell.get(k)
+            if cell is not None and ends[cell] > at:
+                text[cell].append(segments[at].rpartition("\x03")[2])
+            if element in ("td", "th"):
+                row = open_row.get(k)
+                if row is not None and row < at < ends[row]:
+                    row_cells[row].append(at)
+                if k in open_table and open_table[k][2][0] < at < open_table[k][2][1]:
+                    tables[open_table[k][0]]["head"].append(at)
+            elif element == "tr" and k in open_table and open_table[k][1][0] < at < open_table[k][1][1]:
+                tables[open_table[k][0]]["rows"].append(at)
+
+    def cells(places: list[int]) -> list[dict]:
+        return [{"is_th": elements[p] == "th", "text": "".join(text[p])} for p in places]
+
+    return [
+        {"table_no": n, "head": cells(t["head"]), "rows": [cells(row_cells[r]) for r in t["rows"]]}
+        for n, t in enumerate(tables, 1)
+    ]
+
+
+def nested_tables(structure: Column) -> Column:
+    """Array of (table_no, head, rows) for a page's table tags; null stays null."""
+
+    def of(pages: pa.Array) -> pa.Array:
+        return pa.array([None if p is None else read_tables(p) for p in pages.to_pylist()], TABLES_TYPE)
+
+    return F.arrow_udf(of, SPARK_TYPE).asNondeterministic()(structure)

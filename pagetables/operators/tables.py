@@ -1,9 +1,8 @@
 """HTML tables as records.
 
-Pages without nested tables are read inside their own row, with arrays. Pages
-where a table holds another table go through ``nested_tables``, which works on
-tag positions with windows. Both give the same struct per data row:
-(table_no, row_no, col_names, cells).
+Every page is read inside its own row. Pages without nested tables are read with
+arrays; where a table holds another one, ``nested_tables`` reads the tags. Both give
+the same struct per data row: (table_no, table_label, row_no, col_names, cells).
 """
 
 from __future__ import annotations
@@ -79,13 +78,26 @@ def column_names(headers: Column, width: Column) -> Column:
     A blank header is called ``Column``, the k-th repeat of a name ``name_k``."""
 
     def unique(given: Column) -> Column:
-        return F.transform(
-            given,
-            lambda n, i: let(
-                F.size(F.filter(F.slice(given, 1, i), lambda other: other == n)),
-                lambda seen: F.when(seen > 0, F.concat_ws("_", n, seen)).otherwise(n),
-            ),
-        )
+        # Equal names stand together when sorted by (name, position), so a name's
+        # repeats are counted from where its run begins.
+        tagged = F.array_sort(F.transform(given, lambda n, i: F.struct(n.alias("n"), i.alias("i"))))
+
+        def counted(t: Column) -> Column:
+            first = lambda j: F.when(j == 0, True).otherwise(t[j - 1].n != t[j].n)
+            begins = F.filter(F.transform(t, lambda x, j: F.when(first(j), j)), lambda j: j.isNotNull())
+            runs = F.transform(begins, lambda b, k: F.struct(b.alias("b"), F.coalesce(F.get(begins, k + 1), F.size(t)).alias("e")))
+            named = F.flatten(
+                F.transform(
+                    runs,
+                    lambda r: F.transform(
+                        F.slice(t, r.b + 1, r.e - r.b),
+                        lambda x, j: F.struct(x.i.alias("i"), F.when(j == 0, x.n).otherwise(F.concat_ws("_", x.n, j)).alias("n")),
+                    ),
+                )
+            )
+            return F.transform(F.array_sort(named), lambda x: x.n)
+
+        return let(tagged, counted)
 
     def named(given: Column) -> Column:
         return F.when(F.size(F.array_distinct(given)) == F.size(given), given).otherwise(unique(given))
@@ -191,18 +203,23 @@ def flat_table_rows(marked: Column, max_records: int | None = None) -> Column:
     return cap(F.flatten(let(tables, rows)), max_records)
 
 
-def nested_table_rows(marked_pages: DataFrame, max_records: int | None = None) -> DataFrame:
-    """(page_id, table_rows) of pages with nested tables; array as ``flat_table_rows``."""
-    from .nested_tables import nested_tables
+def nested_table_rows(found: Column, max_records: int | None = None) -> Column:
+    """Data rows, as ``flat_table_rows`` gives them, of ``nested_tables``."""
+    shaped = F.transform(
+        found,
+        lambda t: F.struct(
+            t.table_no.alias("table_no"),
+            shape_table(
+                F.transform(clean_cells(t.head), lambda c: c.text), F.transform(t.rows, clean_cells)
+            ).alias("t"),
+        ),
+    )
+    filled = F.filter(shaped, lambda t: t.t.isNotNull())
+    return cap(F.flatten(F.transform(filled, lambda t: _numbered_rows(t.table_no, t.t, F.lit(True)))), max_records)
 
-    return (
-        nested_tables(marked_pages)
-        .groupBy("page_id")
-        .agg(F.array_sort(F.collect_list(F.struct("table_no", "t"))).alias("tables"))
-        .select(
-            "page_id",
-            cap(
-                F.flatten(F.transform("tables", lambda t: _numbered_rows(t.table_no, t.t, F.lit(True)))), max_records
-            ).alias("table_rows"),
-        )
+
+def table_rows(marked: Column, nested: Column, max_records: int | None = None) -> Column:
+    """Data rows of a page; ``nested`` is null where no table holds another one."""
+    return F.when(nested.isNotNull(), nested_table_rows(nested, max_records)).otherwise(
+        flat_table_rows(marked, max_records)
     )

@@ -39,17 +39,21 @@ DEFAULT_LIMIT = 100
 LOG_CAPACITY = 500
 
 
-def number_rows(rows: DataFrame, order: list[str], first_id: int, partitions: int | None = None) -> DataFrame:
+def number_rows(
+    rows: DataFrame, order: list[str], first_id: int, partitions: int | None = None, folder: str | None = None
+) -> DataFrame:
     """Add ``id`` = first_id, first_id + 1, … in the given order, without passing all
-    rows through one task.
+    rows through one task. ``order`` must tell the rows apart: ties are numbered in any
+    order.
 
     Rows are range-partitioned and written once with their partition number, so a
     lost executor cannot move a row between partitions afterwards. One small count
-    per partition then gives the offsets.
+    per partition then gives the offsets. The result reads ``folder``, which the caller
+    may remove when it has used the result.
     """
     spark = rows.sparkSession
     ranged = rows.repartitionByRange(*([partitions] if partitions else []), *order)
-    folder = new_folder(spark, "numbering")
+    folder = folder or new_folder(spark, "numbering")
     ranged.withColumn("_part", F.spark_partition_id()).write.parquet(folder)
     stored = spark.read.parquet(folder)
     # as many rows as partitions, so one task may order them
@@ -71,9 +75,9 @@ def number_rows(rows: DataFrame, order: list[str], first_id: int, partitions: in
     )
 
 
-def with_ids(rows: DataFrame, order: list[str], last_id: int = 0) -> DataFrame:
+def with_ids(rows: DataFrame, order: list[str], last_id: int = 0, folder: str | None = None) -> DataFrame:
     """New history rows with ids after the highest one ever given."""
-    numbered = number_rows(rows, order, last_id + 1)
+    numbered = number_rows(rows, order, last_id + 1, folder=folder)
     return numbered.select(
         *[
             F.round("execution_time", 2).alias("execution_time") if f.name == "execution_time" else F.col(f.name)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import outcome, urls
 from ..functions.arrays import explode_items
-from ..operators.extract import DEFAULT_MAX_RECORDS, SCRAPE_TYPES, page_records, record_counts, shown_records
+from ..operators.extract import SCRAPE_TYPES, page_records, record_counts, shown_records
 from ..operators.robots import BROWSER_AGENT, check_robots
 
 PREVIEW_ROWS = 5
@@ -24,7 +24,7 @@ def preview_json(scrape_type: str) -> Column:
     return F.when(F.size(shown) > 0, F.to_json(shown))
 
 
-def runs_by_page(pages: DataFrame, max_records: int | None = DEFAULT_MAX_RECORDS) -> DataFrame:
+def runs_by_page(pages: DataFrame, max_records: int | None = None) -> DataFrame:
     """(page_id, url, page_chars, is_blank, runs): counts and previews of all kinds."""
     counts = record_counts()
     runs = F.array(
@@ -43,14 +43,14 @@ def runs_by_page(pages: DataFrame, max_records: int | None = DEFAULT_MAX_RECORDS
     return found.select(*kept, runs.alias("runs"))
 
 
-def runs(pages: DataFrame, max_records: int | None = DEFAULT_MAX_RECORDS) -> DataFrame:
+def runs(pages: DataFrame, max_records: int | None = None) -> DataFrame:
     """One row per page and kind: (page_id, scrape_type, record_count, preview_json)."""
     return explode_items(runs_by_page(pages, max_records), F.col("runs"), "page_id").select(
         "page_id", "r.scrape_type", "r.record_count", "r.preview_json"
     )
 
 
-def record_count(pages: DataFrame, max_records: int | None = DEFAULT_MAX_RECORDS) -> DataFrame:
+def record_count(pages: DataFrame, max_records: int | None = None) -> DataFrame:
     """(page_id, scrape_type, record_count), also where there are none."""
     return runs(pages, max_records).select("page_id", "scrape_type", "record_count")
 
@@ -64,7 +64,7 @@ def run_report(
     responses: DataFrame | None = None,
     rules: DataFrame | None = None,
     scrape_types: tuple[str, ...] = SCRAPE_TYPES,
-    max_records: int | None = DEFAULT_MAX_RECORDS,
+    max_records: int | None = None,
     user_agent: str = BROWSER_AGENT,
     timeout: int = outcome.DEFAULT_TIMEOUT,
 ) -> DataFrame:

@@ -28,18 +28,27 @@ def build_session(app: str = "pagetables", master: str | None = None, **settings
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors reach: ``spark.checkpoint.dir``. Only a local run
-    without that setting gets a temporary folder."""
+    """The folder all executors reach: ``spark.checkpoint.dir``."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors reach")
-        folder = tempfile.mkdtemp(prefix="pagetables-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
+        raise ValueError("set spark.checkpoint.dir to a folder all executors reach")
     return folder.rstrip("/")
 
 
+def set_local_folder(spark: SparkSession) -> None:
+    """For programs that run on one machine: a temporary shared folder where none is
+    set. On a cluster the setting has to be there."""
+    unset = not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir())
+    if unset and spark.sparkContext.master.split("[")[0] == "local":
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pagetables-"))
+
+
 def new_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder name for one run inside the shared folder."""
     return f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Remove a folder that ``new_folder`` named."""
+    location = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    location.getFileSystem(spark._jsc.hadoopConfiguration()).delete(location, True)

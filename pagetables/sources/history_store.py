@@ -1,9 +1,10 @@
-"""The history table: Parquet folders that are only added or replaced.
+"""The history table: Parquet folders that are only added to.
 
-``<path>/gen=<g>/batch=<b>`` holds the rows of one saved batch and ``<path>/ids``
-one row per batch with the ids it got, which outlive deletions, so ids are never
-used again. Saving a batch again replaces it under the same ids. A delete writes
-the next generation and readers take the newest complete one.
+``<path>/rows/batch=<b>`` holds the rows of one saved batch, ``<path>/ids`` one row per
+batch with the ids it got, so ids are never used again, ``<path>/deleted`` the ids of
+deleted runs and ``<path>/cleared`` the highest id at each clearing. Saving a batch again
+replaces it under the same ids, and deletions hold for ids: appends, deletions, clearings
+and repeated batches give the same table in any order of the repeats.
 """
 
 from __future__ import annotations
@@ -12,70 +13,68 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import history
+from ..session import new_folder, remove_folder
 
 _IDS = "batch bigint, first_id bigint, n bigint"
+_ID = "id bigint"
 
 
 class HistoryStore:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _exists(self, path: str) -> bool:
-        location = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return location.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(location)
+    def _small(self, name: str, schema: str) -> DataFrame:
+        """A small table of the store; empty while it is not there."""
+        location = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        if not location.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(location):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
 
-    def _generation(self) -> int:
-        g = 0
-        while self._exists(f"{self.path}/gen={g + 1}/_SUCCESS"):
-            g += 1
-        return g
-
-    def _rows_path(self) -> str:
-        return f"{self.path}/gen={self._generation()}"
-
-    def _ids(self) -> DataFrame:
-        folder = f"{self.path}/ids"
-        if not self._exists(folder):
-            return self.spark.createDataFrame([], _IDS)
-        return self.spark.read.schema(_IDS).parquet(folder)
+    def _note(self, name: str, schema: str, *values: int) -> None:
+        row = self.spark.createDataFrame([values], schema)
+        row.coalesce(1).write.mode("append").parquet(f"{self.path}/{name}")
 
     def read(self) -> DataFrame:
-        """All saved runs; an empty table when nothing was saved yet."""
-        folder = self._rows_path()
-        if not self._exists(folder):
+        """All saved runs that are not deleted; an empty table when nothing was saved."""
+        known = self._small("ids", _IDS)
+        if known.isEmpty():
             return self.spark.createDataFrame([], history.HISTORY_SCHEMA)
-        stored = self.spark.read.schema(history.HISTORY_SCHEMA).option("recursiveFileLookup", "true").parquet(folder)
-        return stored.select(*history.HISTORY_SCHEMA.names)
+        rows = self.spark.read.schema(history.HISTORY_SCHEMA).option("recursiveFileLookup", "true")
+        stored = rows.parquet(f"{self.path}/rows").select(*history.HISTORY_SCHEMA.names)
+        cleared = self._small("cleared", _ID).agg(F.max("id")).first()[0]
+        if cleared is not None:
+            stored = stored.where(F.col("id") > cleared)
+        return stored.join(self._small("deleted", _ID).distinct(), "id", "left_anti")
 
     def append(self, rows: DataFrame, order: list[str], batch: int | None = None) -> int:
-        """Save ``rows`` (history columns without id) and return the last id given."""
-        known = self._ids().agg(
+        """Save ``rows`` (history columns without id) and return the last id given.
+
+        ``order`` must tell all rows apart, so that a batch saved again gets the same
+        ids. A batch that is saved again must have the rows it had."""
+        known = self._small("ids", _IDS).agg(
             F.max("batch").alias("batch"),
             F.max(F.col("first_id") + F.col("n") - 1).alias("last_id"),
-            F.min(F.when(F.col("batch") == F.lit(batch), F.col("first_id"))).alias("again"),
+            F.min(F.when(F.col("batch") == F.lit(batch), F.struct("first_id", "n"))).alias("again"),
         ).first()
         number = batch if batch is not None else (-1 if known.batch is None else known.batch) + 1
-        first = known.again or (known.last_id or 0) + 1
-        folder = f"{self._rows_path()}/batch={number}"
-        history.with_ids(rows, order, first - 1).write.mode("overwrite").parquet(folder)
-        n = self.spark.read.parquet(folder).count()
-        if known.again is None:
-            self.spark.range(1).select(
-                F.lit(number).cast("bigint").alias("batch"),
-                F.lit(first).cast("bigint").alias("first_id"),
-                F.lit(n).cast("bigint").alias("n"),
-            ).coalesce(1).write.mode("append").parquet(f"{self.path}/ids")
+        first = known.again.first_id if known.again else (known.last_id or 0) + 1
+        scratch = new_folder(self.spark, "numbering")
+        numbered = history.with_ids(rows, order, first - 1, scratch)
+        n = self.spark.read.parquet(scratch).count()
+        if known.again and n != known.again.n:
+            raise ValueError(f"batch {batch} had {known.again.n} rows and now has {n}")
+        numbered.write.mode("overwrite").parquet(f"{self.path}/rows/batch={number}")
+        remove_folder(self.spark, scratch)
+        if not known.again:
+            self._note("ids", _IDS, number, first, n)
         return first + n - 1
 
-    def _replace(self, rows: DataFrame) -> None:
-        # the next generation counts once its _SUCCESS file is there
-        rows.write.mode("overwrite").parquet(f"{self.path}/gen={self._generation() + 1}")
-
     def delete(self, run_id: int) -> bool:
         """Delete one run; true also when there is none."""
-        self._replace(history.without_id(self.read(), run_id))
+        self._note("deleted", _ID, run_id)
         return True
 
     def clear(self) -> bool:
-        self._replace(self.read().limit(0))
+        last = self._small("ids", _IDS).agg(F.max(F.col("first_id") + F.col("n") - 1)).first()[0]
+        self._note("cleared", _ID, last or 0)
         return True

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.extract import DEFAULT_MAX_RECORDS, extract_all
+from ..operators.extract import extract_all
 from ..plans.history import level_counts
 from ..plans.report import history_rows, run_report
 from ..sources.history_store import HistoryStore
@@ -17,7 +17,7 @@ def stream_extract(
     records_path: str,
     checkpoint: str,
     history: HistoryStore | None = None,
-    max_records: int | None = DEFAULT_MAX_RECORDS,
+    max_records: int | None = None,
 ) -> StreamingQuery:
     """Extract every new page and log its runs, then stop when all input is read.
 

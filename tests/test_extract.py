@@ -1,16 +1,19 @@
 import pytest
 from pyspark.sql import functions as F
 
+from pagetables.functions import html
 from pagetables.operators import extract as x
-from pagetables.operators import tables
+from pagetables.operators import nested_tables, tables
+from pagetables.sources.pages import read_pages
 from workload import rendered
 
-SAMPLE = """<!DOCTYPE html><html><head><title> A  sample </title>
-<meta name="description" content="What it &amp; others say."><link rel="canonical" href="/canon"></head><body>
-<h1>Top</h1><h2>First</h2><h2>Second</h2><h3>Deep</h3><p>One paragraph.</p><p>Another one with words.</p><p>  </p>
-<a href="/in">In</a><a href="https://other.example/out" target="_blank">Out</a><a href="/in">In</a><a href="#x">skip</a>
-<table><thead><tr><th>Item</th><th>Price</th></tr></thead><tbody><tr><td>A</td><td>$10</td></tr>
-<tr><td>B</td><td><span>$20</span></td></tr></tbody></table><img src="/i.png" alt="Pic"></body></html>"""
+# One page for the rules of every kind: what is kept, merged, numbered, left out.
+ORCHARD = """<html><body><img data-src=map.png><h4>Pears &amp; <i>quinces</i></h4><p>Ripe in <b>late</b>
+October.</p><ul><li><a href="?sort=size">by size</a><li><a name=top>no address</a><li><a href=HTTP://seeds.example/>Seeds</a></ul>
+<h4>Pears & quinces</h4><h2>&nbsp;</h2><p>ok</p><p>ok!</p><p>Ripe in late October.</p>
+<table><tr><th>Tree<th>Rows<th>Tree</tr><tr><td>Pear<td>12<td>old</tr><tr><td> <td></tr><tr><td>Quince</table>
+<img src="data:image/gif;base64,R0" alt=dot><img src=map.png alt=twice><a href="mailto:me@seeds.example">write</a>
+</body><head><meta property="og:description" content=" Fruit	list "><link href=//cdn.example/o rel="author CANONICAL canonical"></head></html>"""
 
 
 def rows(frame, *columns):
@@ -18,29 +21,25 @@ def rows(frame, *columns):
     return sorted(picked)
 
 
-def test_sample_page(pages_of):
-    pages = pages_of(SAMPLE)
-    title = x.extract_title(pages).first()
-    assert (title.page_title, title.length_chars) == ("A sample", 8)
-    assert title.meta_description == "What it & others say."
-    assert title.canonical_url == "https://example.com/canon"
-    assert rows(x.extract_headings(pages), "record_no", "tag", "heading_text") == [
-        (1, "H1", "Top"), (2, "H2", "First"), (3, "H2", "Second"), (4, "H3", "Deep"),
-    ]
-    assert rows(x.extract_links(pages), "record_no", "link_url", "link_type", "target") == [
-        (1, "https://example.com/in", "Internal", "_self"),
-        (2, "https://other.example/out", "External", "_blank"),
+def test_orchard_page(pages_of):
+    pages = pages_of(ORCHARD, url="http://grove.example/trees/list.html")
+    assert rows(x.extract_images(pages), "alt_text", "image_url", "image_type") == [
+        ("[No Alt Text]", "http://grove.example/trees/map.png", "Internal")
     ]
-    assert rows(x.extract_paragraphs(pages), "paragraph_no", "paragraph_text", "word_count") == [
-        (1, "One paragraph.", 2), (2, "Another one with words.", 4),
+    assert rows(x.extract_paragraphs(pages), "paragraph_no", "paragraph_text", "word_count", "character_count") == [
+        (1, "Ripe in late October.", 4, 21), (2, "ok!", 1, 3),
     ]
-    wide = x.extract_tables_wide(pages, ["Item", "Price", "None"])
-    assert rows(wide, "row_no", "table_label", "Item", "Price", "None") == [
-        (1, None, "A", "$10", None), (2, None, "B", "$20", None),
-    ]
-    assert rows(x.extract_images(pages), "alt_text", "image_url", "image_type") == [
-        ("Pic", "https://example.com/i.png", "Internal")
+    assert rows(x.extract_headings(pages), "record_no", "level", "heading_text") == [(1, "Heading 4", "Pears & quinces")]
+    assert rows(x.extract_links(pages), "record_no", "text", "link_url", "link_type") == [
+        (1, "by size", "http://grove.example/trees/list.html?sort=size", "Internal"),
+        (2, "Seeds", "http://seeds.example/", "External"),
     ]
+    wide = x.extract_tables_wide(pages, ["Tree_1", "Tree", "Crown"])
+    assert rows(wide, "row_no", "Tree", "Tree_1", "Crown") == [(1, "Pear", "old", None), (2, "Quince", "", None)]
+    title = x.extract_title(pages).first()
+    assert (title.page_title, title.meta_description, title.canonical_url) == (
+        "No Title Found", "Fruit list", "http://cdn.example/o",
+    )
 
 
 def test_empty_pages_have_a_title_only(pages_of):
@@ -63,8 +62,8 @@ def test_unclosed_and_hidden_markup(pages_of):
 
 def test_registry(pages_of):
     with pytest.raises(ValueError, match="Unknown scraping type 'Nothing'. Supported: \\['Page Title', 'Headings'"):
-        x.extract(pages_of(SAMPLE), "Nothing")
-    assert x.extract(pages_of(SAMPLE), "Headings").count() == 4
+        x.extract(pages_of(ORCHARD), "Nothing")
+    assert x.extract(pages_of(ORCHARD), "Headings").count() == 1
 
 
 def test_caps_are_prefixes(pages_of):
@@ -89,13 +88,17 @@ TABLES = [
 ]
 
 
-def test_windows_and_arrays_read_flat_tables_alike(pages_of):
+def test_both_readers_read_flat_tables_alike(pages_of):
     pages = pages_of(*TABLES)
-    marked = x.mark_pages(pages)
-    by_window = tables.nested_table_rows(marked).select("page_id", F.explode("table_rows").alias("r"))
-    by_window = rows(by_window.select("page_id", "r.table_no", "r.row_no", "r.col_names", "r.cells"), "*")
-    by_array = rows(x._table_records(pages, None), "page_id", "table_no", "row_no", "col_names", "cells")
-    assert by_array == by_window
+    tags = html.only_tags(F.col("marked"), tables.STRUCTURE)
+    marked = x.mark_pages(pages).withColumn("nested", nested_tables.nested_tables(tags))
+    # the label says whether a page has several tables, which nesting implies
+    kept = ("table_no", "row_no", "col_names", "cells")
+    by_tags = marked.select("page_id", tables.nested_table_rows(F.col("nested")).alias("found"))
+    by_tags = by_tags.select("page_id", F.explode("found").alias("r"))
+    by_tags = rows(by_tags.select("page_id", *[f"r.{c}" for c in kept]), "*")
+    by_array = rows(x._table_records(pages, None), "page_id", *kept)
+    assert by_array == by_tags
     assert len(by_array) == 1 + 4 + 2 + 1 + 1
 
 
@@ -127,8 +130,55 @@ def test_partitioning_does_not_matter(spark):
     assert one == rows(x.extract_all(pages.repartition(13)), "*")
 
 
-def test_narrow_kinds_do_not_shuffle(spark, pages_of):
-    pages = pages_of(SAMPLE)
-    for kind in ("Page Title", "Headings", "Links", "Paragraphs", "Images"):
-        plan = x.EXTRACTORS[kind](pages, 10)._jdf.queryExecution().executedPlan().toString()
-        assert "Exchange" not in plan
+def plan_of(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_one_scan_and_no_exchange_over_the_given_pages(spark):
+    pages = read_pages(spark, "/root/testdata/sf0.001/pages.parquet")
+    frames = {kind: x.extract(pages, kind) for kind in x.SCRAPE_TYPES}
+    frames |= {
+        "all": x.extract_all(pages),
+        "map": x.extract_tables_map(pages),
+        "wide": x.extract_tables_wide(pages, ["A"]),
+        "shape": x.table_shape(pages),
+    }
+    for kind, frame in frames.items():
+        plan = plan_of(frame)
+        assert "Exchange" not in plan, kind
+        assert plan.count("FileScan") == 1, kind
+
+
+NESTED = "<h1>N</h1><table><tr><td>out<ta\x01ble><tr><td>in</table></table>"
+
+
+def test_no_page_is_lost_or_mixed(spark, pages_of):
+    # A control character hides the inner table from a look at the raw text.
+    found = x.extract_all(pages_of(NESTED)).collect()
+    assert sorted((r.scrape_type, r.record_no) for r in found) == [
+        ("Headings", 1), ("Page Title", 1), ("Tables", 1), ("Tables", 2), ("Tables", 3),
+    ]
+    again = spark.createDataFrame(
+        [(7, "https://a.example", NESTED), (7, "https://a.example", NESTED.replace("out", "new"))],
+        "page_id bigint, url string, html string",
+    )
+    cells = rows(x._table_records(again, None), "page_id", "table_no", "row_no", "cells")
+    assert cells == sorted(
+        (7, *own)
+        for word in ("out", "new")
+        for own in [(1, 1, [word + "in", "in"]), (1, 2, ["in", ""]), (2, 1, ["in"])]
+    )
+
+
+def test_no_kind_is_capped_by_default(pages_of):
+    page = "".join(f"<p>para {i}</p><h2>h{i}</h2><a href='/{i}'>x</a><img src='/{i}'>" for i in range(250))
+    pages = pages_of(page + "<table>" + "".join(f"<tr><td>{i}</td></tr>" for i in range(250)) + "</table>")
+    for kind in x.SCRAPE_TYPES[1:]:
+        assert x.extract(pages, kind).count() == 250
+    assert x.extract_all(pages).count() == 5 * 250 + 1
+
+
+def test_repeated_headers_are_counted_by_name(pages_of):
+    names = "b a b a_1 a b a c".split()
+    page = "<table><thead><tr>" + "".join(f"<th>{n}" for n in names) + "</thead><tbody><tr>" + "<td>1" * 8 + "</tbody></table>"
+    assert x._table_records(pages_of(page), None).first().col_names == ["b", "a", "b_1", "a_1", "a_1", "b_2", "a_2", "c"]

@@ -1,10 +1,12 @@
 import json
+import pathlib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from pagetables.plans import history
-from pagetables.session import new_folder
+from pagetables.session import new_folder, shared_folder
 from pagetables.sources import sinks
 from pagetables.sources.history_store import HistoryStore
 from pagetables.sources.pages import PAGE_SCHEMA, read_html_files
@@ -14,36 +16,88 @@ SCHEMA = (
     "url string, scrape_type string, record_count bigint, status string, execution_time double, timestamp string, "
     "error_message string, preview_json string"
 )
-RUNS = [
-    ("https://quotes.example.com", "Headings", 15, "Success", 0.454, "2024-01-01 10:00:00", None, '[{"a":"A","b":"B"}]'),
-    ("https://invalid.example", "Links", 0, "Failed", 0.2, "2024-01-01 10:00:01", "Connection timeout", None),
-]
+HOSTS = ["orchard.example", "mill.example/flour", "harbour.example"]
 
 
-def test_lifecycle(spark):
-    store = HistoryStore(spark, new_folder(spark, "history"))
-    assert store.read().count() == 0
-    stats = history.stats(store.read()).first()
-    assert tuple(stats) == (0, 0, 0, 0, 0.0, 0.0)
+def saved_runs(spark, first, n):
+    """Runs number first to first + n - 1: every third one fails, the others find as many
+    records as their number says."""
+    rows = []
+    for i in range(first, first + n):
+        bad = i % 3 == 2
+        kind = ("Images", "Paragraphs")[i % 2]
+        note, shown = ("no answer", None) if bad else (None, json.dumps([{"No": str(i)}]))
+        at = f"2031-07-{10 + i // 60:02d} 08:{i % 60:02d}:00"
+        rows.append((f"https://{HOSTS[i % 3]}", kind, 0 if bad else i, ("Success", "Failed")[bad], i / 8, at, note, shown))
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def ids(store):
+    return [r.id for r in store.read().orderBy("id").collect()]
+
+
+def new_store(spark):
+    return HistoryStore(spark, new_folder(spark, "history"))
+
+
+def test_an_empty_history(spark):
+    store = new_store(spark)
+    assert ids(store) == [] and store.clear() and store.delete(4) and ids(store) == []
+    assert tuple(history.stats(store.read()).first()) == (0, 0, 0, 0, 0.0, 0.0)
     assert history.page_kpis(store.read()).first().time_of_day == "Never"
 
-    assert store.append(spark.createDataFrame(RUNS, SCHEMA), ["timestamp"]) == 2
-    saved = store.read()
-    assert tuple(history.stats(saved).first()) == (2, 1, 1, 15, 0.45, 50.0)
-    assert [r["Target URL"] for r in history.rename_display(history.recent(saved, "QUOTES")).collect()] == [RUNS[0][0]]
-    assert [r.id for r in history.recent(saved, "  ", "All").collect()] == [2, 1]
-    assert [r.id for r in history.recent(saved, None, "Failed").collect()] == [2]
-    assert [r.id for r in history.recent(saved, "links").collect()] == [2]
-    assert [r.record for r in history.preview_rows(saved).collect()] == [{"a": "A", "b": "B"}]
-    kpis = history.page_kpis(saved).first()
-    assert tuple(kpis) == (0, "0.20s", "invalid.example", "10:00:01")
-
-    assert store.delete(2) and store.delete(99)
-    assert [r.id for r in store.read().collect()] == [1]
-    assert store.append(spark.createDataFrame(RUNS[:1], SCHEMA), ["timestamp"]) == 3
-    assert history.by_id(store.read(), 3).first().execution_time == 0.45
-    assert store.clear() and store.read().count() == 0
-    assert store.append(spark.createDataFrame(RUNS, SCHEMA), ["timestamp"]) == 5
+
+def test_what_is_saved_can_be_searched(spark):
+    store = new_store(spark)
+    assert store.append(saved_runs(spark, 0, 9), ["timestamp"]) == 9
+    runs = store.read()
+    # runs 2, 5 and 8 failed; the others found 0 + 1 + 3 + 4 + 6 + 7 records
+    assert tuple(history.stats(runs).first()) == (9, 6, 3, 21, 0.44, 66.7)
+    assert [r.id for r in history.recent(runs, "MILL").collect()] == [8, 5, 2]
+    assert [r.id for r in history.recent(runs, "paragraphs", "Success").collect()] == [8, 4, 2]
+    assert [r.id for r in history.recent(runs, limit=2).collect()] == [9, 8]
+    assert history.rename_display(history.recent(runs, status="Failed")).first()["Notes / Error"] == "no answer"
+    assert tuple(history.page_kpis(runs).first()) == (0, "1.00s", "harbour.example", "08:08:00")
+    assert sorted(r.record["No"] for r in history.preview_rows(runs).collect()) == list("013467")
+    assert history.by_id(runs, 4).first().execution_time == 0.38
+
+
+def test_repeated_batches_undo_nothing(spark):
+    store = new_store(spark)
+    batches = [saved_runs(spark, 0, 3), saved_runs(spark, 3, 2)]
+    store.append(batches[0], ["timestamp"], batch=0)
+    store.delete(2)
+    store.append(batches[0], ["timestamp"], batch=0)
+    assert ids(store) == [1, 3]
+    store.append(batches[1], ["timestamp"], batch=1)
+    store.delete(5)
+    for again in (1, 0, 1):
+        store.append(batches[again], ["timestamp"], batch=again)
+        assert ids(store) == [1, 3, 4]
+    store.clear()
+    for again in (0, 1):
+        assert store.append(batches[again], ["timestamp"], batch=again) == (3, 5)[again]
+    assert ids(store) == []
+    assert store.append(batches[0], ["timestamp"]) == 8
+    assert ids(store) == [6, 7, 8]
+
+
+def test_a_repeated_batch_must_have_its_rows(spark):
+    store = new_store(spark)
+    store.append(saved_runs(spark, 0, 3), ["timestamp"], batch=0)
+    store.append(saved_runs(spark, 3, 1), ["timestamp"], batch=1)
+    with pytest.raises(ValueError, match="batch 0 had 3 rows and now has 4"):
+        store.append(saved_runs(spark, 0, 4), ["timestamp"], batch=0)
+    assert ids(store) == [1, 2, 3, 4]
+
+
+def test_nothing_is_left_of_the_numbering(spark):
+    store = new_store(spark)
+    store.append(saved_runs(spark, 0, 3), ["timestamp"])
+    shared = pathlib.Path(shared_folder(spark).removeprefix("file:"))
+    before = {p.name for p in shared.glob("numbering-*")}
+    store.append(saved_runs(spark, 3, 3), ["timestamp"])
+    assert {p.name for p in shared.glob("numbering-*")} == before
 
 
 def test_numbering_follows_the_order(spark):
@@ -60,8 +114,6 @@ def test_log_tail(spark):
 
 
 def parts(folder, suffix):
-    import pathlib
-
     return sorted(pathlib.Path(folder).glob(f"*{suffix}"))
 
 

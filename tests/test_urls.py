@@ -82,3 +82,17 @@ def test_display_and_robots_path(spark):
         return quote(urlunparse(("", "", u.path, u.params, u.query, u.fragment))) or "/"
 
     assert values(spark, urls.robots_path(F.col("s")), inputs) == [expected(u) for u in inputs]
+
+
+def test_long_relative_paths_are_quick(spark):
+    import time
+
+    base = "https://a.example/b/c"
+    hrefs = ["x/" * 20_000, "../y/./" * 20_000, "z/../" * 20_000, "../" * 20_000 + "end"]
+    rows = spark.createDataFrame([(i, h) for i, h in enumerate(hrefs)], "i int, h string").coalesce(1)
+    frame = rows.select("i", urls.resolve_url(F.lit(base), F.col("h")).alias("u"))
+    frame.where("i < 0").collect()
+    start = time.time()
+    found = [r.u for r in frame.orderBy("i").collect()]
+    assert time.time() - start < 8
+    assert found == [urljoin(base, h) for h in hrefs]

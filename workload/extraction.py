@@ -124,8 +124,7 @@ def extract_all(spark, sf_dir):
 
 
 @query(
-    f"WITH {PARAGRAPHS_SQL} SELECT page_id, paragraph_no, paragraph_text, word_count, character_count FROM paragraphs "
-    "WHERE paragraph_no <= 100"
+    f"WITH {PARAGRAPHS_SQL} SELECT page_id, paragraph_no, paragraph_text, word_count, character_count FROM paragraphs"
 )
 def registry_dispatch(spark, sf_dir):
     return extract.extract(views.pages(spark, sf_dir), "Paragraphs")

@@ -32,7 +32,7 @@ records AS (
     paragraph_text, 'Word Count', word_count, 'Character Count', character_count) FROM paragraphs),
 kinds AS (SELECT unnest(['Page Title', 'Headings', 'Links', 'Paragraphs', 'Tables', 'Images']) AS scrape_type),
 counted AS (
-  SELECT p.page_id, p.url, length(p.html) AS page_chars, k.scrape_type, least(count(r.n), 100)::BIGINT AS found,
+  SELECT p.page_id, p.url, length(p.html) AS page_chars, k.scrape_type, count(r.n)::BIGINT AS found,
     CASE WHEN count(r.n) > 0 THEN '[' || string_agg(CAST(r.payload AS VARCHAR), ',' ORDER BY r.n) FILTER (r.n <= 5) || ']' END
       AS preview
   FROM pages p CROSS JOIN kinds k LEFT JOIN records r ON r.page_id = p.page_id AND r.scrape_type = k.scrape_type
@@ -329,7 +329,7 @@ def log_tail(spark, sf_dir):
 # -- streams --------------------------------------------------------------------------
 
 
-@query(f"WITH {RECORDS_SQL} SELECT page_id, scrape_type, n::BIGINT AS record_no, CAST(payload AS VARCHAR) AS payload FROM records WHERE n <= 100")
+@query(f"WITH {RECORDS_SQL} SELECT page_id, scrape_type, n::BIGINT AS record_no, CAST(payload AS VARCHAR) AS payload FROM records")
 def stream_extract(spark, sf_dir):
     """The pages as a stream of files; the records of all batches."""
     folder = new_folder(spark, "stream")

@@ -6,14 +6,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetables.sources.pages import spread
-
 from .registry import table as small_table
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The rows that pages are rendered from, dealt out before they are rendered: the
+    given tables have one row group each. The pages themselves are not moved."""
     rows = small_table(spark, sf_dir, name)
-    return spread(rows, rows.columns[0])
+    return rows.repartition(rows.columns[0])
 
 
 def _fill(template: str, **values: Column) -> Column:
