@@ -20,6 +20,9 @@ TLS_ERROR = (
 )
 PARSE_ERROR = "❌ Parsing Error: An unexpected error occurred while parsing HTML: Invalid IPv6 URL"
 NO_RECORDS_NOTE = "0 records found"
+HTML_TYPE = "text/html; charset=utf-8"
+# What a page without an answer is reported with.
+NO_ANSWER = "no answer"
 DEFAULT_TIMEOUT = 10
 
 
@@ -27,8 +30,19 @@ def _text(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
+def seconds(time: Column) -> Column:
+    """Seconds as they are shown and saved."""
+    return F.round(time, 2)
+
+
+def percent(part: Column, whole: Column) -> Column:
+    """Percentage with one digit; 0 of nothing."""
+    return F.when(whole > 0, F.round(part / whole * 100, 1)).otherwise(0.0)
+
+
 def fetch_error_message(fetch_error: Column, url: Column, timeout: int = DEFAULT_TIMEOUT) -> Column:
     """Message for a failed request; null where nothing failed."""
+    # The messages.
     return F.when(
         fetch_error.isNotNull(),
         F.when(

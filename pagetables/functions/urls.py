@@ -255,14 +255,43 @@ PRIVATE_BLOCKS = (
 PUBLIC_EXCEPTIONS = "192.0.0.9 192.0.0.10".split()
 
 
-def is_private_host(host: Column) -> Column:
-    """True for a literal IPv4 address in a private block; names are not looked up."""
-    octet = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-    address = rf"^{octet}\.{octet}\.{octet}\.{octet}\z"
-    number = sum(
-        (F.regexp_extract(host, address, i).cast("bigint") * 256 ** (4 - i) for i in range(2, 5)),
-        F.regexp_extract(host, address, 1).cast("bigint") * 256**3,
+_NUMBER = r"(?:0[xX][0-9a-fA-F]+|[0-9]+)"
+
+
+def ipv4_number(host: Column) -> Column:
+    """A literal IPv4 address as a number, in all the forms that system resolvers read:
+    one to four parts, decimal, octal after 0 or hexadecimal after 0x, the last part
+    filling what the others leave. Null for anything else."""
+
+    def value(part: Column) -> Column:
+        digits = (
+            F.when(part.rlike("^0[xX]"), F.conv(F.concat(F.lit("0"), F.substring(part, 3, 2**31 - 1)), 16, 10))
+            .when(part.rlike("^0[0-7]*$"), F.conv(part, 8, 10))
+            .when(part.rlike("^[1-9]"), part)
+        )
+        # longer numbers than these are no address
+        return F.when(F.length(part) <= 16, digits.cast("decimal(20,0)").cast("bigint"))
+
+    def number(parts: Column) -> Column:
+        last = F.element_at(parts, -1)
+        k = F.size(parts)
+        fits = F.forall(F.slice(parts, 1, k - 1), lambda p: (p <= 255)) & (last < F.pow(F.lit(256.0), 5 - k))
+        high = F.aggregate(
+            F.transform(F.slice(parts, 1, k - 1), lambda p, i: p * F.pow(F.lit(256.0), 3 - i).cast("bigint")),
+            F.lit(0).cast("bigint"),
+            lambda done, x: done + x,
+        )
+        return F.when(fits, high + last)
+
+    parts = F.when(
+        F.coalesce(host, F.lit("")).rlike(rf"^{_NUMBER}(?:\.{_NUMBER}){{0,3}}\z"), F.transform(F.split(host, "[.]"), value)
     )
+    return F.when(F.lower(host) == "localhost", F.lit(_ipv4("127.0.0.1"))).otherwise(let(parts, number))
+
+
+def is_private_host(host: Column) -> Column:
+    """True for an IPv4 address in a private block, in any literal form, and for
+    ``localhost``; other names are not looked up."""
 
     def inside(n: Column) -> Column:
         hit = F.lit(False)
@@ -270,9 +299,9 @@ def is_private_host(host: Column) -> Column:
             first, bits = block.split("/")
             low = _ipv4(first)
             hit = hit | n.between(low, low + 2 ** (32 - int(bits)) - 1)
-        return hit & ~n.isin([_ipv4(x) for x in PUBLIC_EXCEPTIONS])
+        return F.coalesce(hit & ~n.isin([_ipv4(x) for x in PUBLIC_EXCEPTIONS]), F.lit(False))
 
-    return F.when(F.coalesce(host, F.lit("")).rlike(address), let(number, inside)).otherwise(False)
+    return let(ipv4_number(host), inside)
 
 
 def domain_display(url: Column) -> Column:

@@ -151,6 +151,15 @@ def extract_tables_map(pages: DataFrame, max_records: int | None = None) -> Data
     )
 
 
+def table_headers(pages: DataFrame) -> DataFrame:
+    """(page_id, table_no, col_no, col_name): the column names of every table with data."""
+    first = F.filter("table_rows", lambda r: r.row_no == 1)
+    tables_of = explode_items(table_rows(pages), first, "page_id").select("page_id", "r.table_no", "r.col_names")
+    return explode_items(tables_of, F.col("col_names"), "page_id", "table_no").select(
+        "page_id", "table_no", (F.col("i") + 1).cast("bigint").alias("col_no"), F.col("r").alias("col_name")
+    )
+
+
 def extract_tables_wide(pages: DataFrame, columns: list[str], max_records: int | None = None) -> DataFrame:
     """Wide form over all tables: one column per given name, null where a table
     does not have it. ``table_label`` is set for pages with several tables."""
@@ -164,35 +173,44 @@ def extract_tables_wide(pages: DataFrame, columns: list[str], max_records: int |
     )
 
 
-def page_records(pages: DataFrame, max_records: int | None = None) -> DataFrame:
-    """One row per page with the records of all six kinds as arrays, from one
-    marking of the page: (page_id, url, page_chars, is_blank, titles, headings,
-    links, paragraphs, table_rows, images, unreadable). ``unreadable`` lists the
-    kinds that hold a URL with a broken host."""
+def page_reader(max_records: int | None = None) -> Callable[[DataFrame], DataFrame]:
+    """``page_records`` as a function whose column expressions are built once, for
+    callers that read many batches."""
     marked, base = F.col("marked"), F.col("base")
-    read = with_nested(mark_pages(pages))
-    found = read.select(
-        *[c for c in read.columns if c not in ("base", "marked", "nested")],
+    arrays = [
         F.array(records.title_record(marked, base)).alias("titles"),
         records.headings(marked, max_records).alias("headings"),
         records.links(marked, base).alias("links"),
         records.paragraphs(marked, max_records).alias("paragraphs"),
         tables.table_rows(marked, F.col("nested"), max_records).alias("table_rows"),
         records.images(marked, base).alias("images"),
-    )
+    ]
     broken = {
         "Page Title": F.exists("titles", lambda r: urls.has_bad_host(r.canonical_url)),
         "Links": F.exists("links", lambda r: urls.has_bad_host(r.link_url)),
         "Images": F.exists("images", lambda r: urls.has_bad_host(r.image_url)),
     }
-    return found.select(
-        "*", F.array_compact(F.array(*[F.when(b, F.lit(t)) for t, b in broken.items()])).alias("unreadable")
-    ).select(
-        *[c for c in found.columns if c not in ("links", "images")],
-        cap(F.col("links"), max_records).alias("links"),
-        cap(F.col("images"), max_records).alias("images"),
-        "unreadable",
-    )
+    unreadable = F.array_compact(F.array(*[F.when(b, F.lit(t)) for t, b in broken.items()])).alias("unreadable")
+
+    def read(pages: DataFrame) -> DataFrame:
+        rows = with_nested(mark_pages(pages))
+        found = rows.select(*[c for c in rows.columns if c not in ("base", "marked", "nested")], *arrays)
+        return found.select("*", unreadable).select(
+            *[c for c in found.columns if c not in ("links", "images")],
+            cap(F.col("links"), max_records).alias("links"),
+            cap(F.col("images"), max_records).alias("images"),
+            "unreadable",
+        )
+
+    return read
+
+
+def page_records(pages: DataFrame, max_records: int | None = None) -> DataFrame:
+    """One row per page with the records of all six kinds as arrays, from one
+    marking of the page: (page_id, url, page_chars, is_blank, titles, headings,
+    links, paragraphs, table_rows, images, unreadable). ``unreadable`` lists the
+    kinds that hold a URL with a broken host."""
+    return page_reader(max_records)(pages)
 
 
 def _shown(items: Column, scrape_type: str) -> Column:
@@ -235,8 +253,8 @@ def record_counts() -> Column:
     )
 
 
-def extract_all(pages: DataFrame, max_records: int | None = None) -> DataFrame:
-    """All six kinds from one scan: (page_id, scrape_type, record_no, payload JSON)."""
+def records_of(found: DataFrame) -> DataFrame:
+    """``page_records`` as (page_id, scrape_type, record_no, payload JSON)."""
 
     def numbered(scrape_type: str) -> Column:
         return F.transform(
@@ -249,7 +267,12 @@ def extract_all(pages: DataFrame, max_records: int | None = None) -> DataFrame:
         )
 
     kinds = F.concat(*[numbered(t) for t in SCRAPE_TYPES])
-    return explode_items(page_records(pages, max_records), kinds, "page_id").select("page_id", "r.*")
+    return explode_items(found, kinds, "page_id").select("page_id", "r.*")
+
+
+def extract_all(pages: DataFrame, max_records: int | None = None) -> DataFrame:
+    """All six kinds from one scan: (page_id, scrape_type, record_no, payload JSON)."""
+    return records_of(page_records(pages, max_records))
 
 
 EXTRACTORS: dict[str, Callable[..., DataFrame]] = {

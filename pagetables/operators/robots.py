@@ -2,7 +2,9 @@
 
 ``rules(host, group_no, agent, rule_no, allow, path_prefix)`` holds the parsed
 robots.txt files; ``group_no`` and ``rule_no`` are file order. A host that answered
-401 or 403 has one rule disallowing '/', one that answered 404 has no rules.
+401 or 403 has one rule disallowing '/', one that answered 404 has no rules. A host
+whose file could not be fetched has a row with the error in the optional column
+``fetch_error``.
 """
 
 from __future__ import annotations
@@ -17,79 +19,81 @@ BROWSER_AGENT = (
     "Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 (KHTML, like Gecko) "
     "Chrome/124.0.0.0 Safari/537.36"
 )
-# The agent that means all, and the reason without a host.
+# The agent that means all, the reason without a host, and the one for a
+# file that could not be fetched, before and after the error.
 ANY_AGENT = "*"
 NO_DOMAIN = "Cannot verify robots.txt: invalid domain."
+NOT_FETCHED = ("robots.txt could not be fetched (", "). Defaulting to permissible public access.")
 
 
-def rules_for_agent(rules: DataFrame, user_agent: str) -> DataFrame:
-    """The rules that apply to one agent: (host, rule_no, allow, prefix).
+def rules_by_host(rules: DataFrame, user_agent: str) -> DataFrame:
+    """(host, rules, fetch_error): the rules that apply to one agent, as an array in file
+    order. An array is as long as one robots.txt file.
 
     The first group naming the agent wins, else the first group for '*'."""
     token = F.lit(user_agent.split("/")[0].lower())
-    named = rules.withColumn("star", F.col("agent") == ANY_AGENT).where(
-        F.col("star") | F.contains(token, F.lower("agent"))
+    error = F.col("fetch_error") if "fetch_error" in rules.columns else F.lit(None).cast("string")
+    rule = F.struct(
+        "rule_no",
+        "group_no",
+        (F.col("agent") == ANY_AGENT).alias("star"),
+        (F.col("allow") | (F.coalesce("path_prefix", F.lit("")) == "")).alias("allow"),
+        urls.robots_prefix(F.coalesce("path_prefix", F.lit(""))).alias("prefix"),
     )
-    groups = named.groupBy("host", "group_no").agg(F.max("star").alias("star"))
-    chosen = groups.groupBy("host").agg(F.min(F.struct("star", "group_no")).alias("g"))
-    return (
-        named.join(chosen.select("host", F.col("g.group_no").alias("group_no")), ["host", "group_no"])
-        .select(
-            "host",
-            "rule_no",
-            (F.col("allow") | (F.coalesce("path_prefix", F.lit("")) == "")).alias("allow"),
-            urls.robots_prefix(F.coalesce("path_prefix", F.lit(""))).alias("prefix"),
-        )
-        .distinct()
+    named = (F.col("agent") == ANY_AGENT) | F.contains(token, F.lower("agent"))
+    hosts = rules.groupBy("host").agg(
+        F.sort_array(F.collect_list(F.when(named, rule))).alias("rules"), F.max(error).alias("fetch_error")
+    )
+    stars = F.array_distinct(F.transform(F.filter("rules", lambda r: r.star), lambda r: r.group_no))
+    own = F.array_min(
+        F.transform(F.filter("rules", lambda r: ~F.array_contains("stars", r.group_no)), lambda r: r.group_no)
+    )
+    chosen = hosts.withColumn("stars", stars).withColumn("group_no", F.coalesce(own, F.array_min("stars")))
+    return chosen.select(
+        "host",
+        F.filter("rules", lambda r: r.group_no == F.col("group_no")).alias("rules"),
+        "fetch_error",
     )
 
 
-def check_robots(pages: DataFrame, rules: DataFrame, user_agent: str = ANY_AGENT, salts: int = 16) -> DataFrame:
-    """(page_id, url, is_allowed, reason) for every page.
+def with_robots(rows: DataFrame, rules: DataFrame, user_agent: str = ANY_AGENT) -> DataFrame:
+    """The rows with is_allowed and reason for their ``url``.
 
-    Only (page_id, url) is read. The first rule in file order whose path is a prefix
-    decides. One host may hold most pages, so its pages are spread over ``salts``
-    join keys; the rules, which are few per host, are repeated for each.
-    """
-    checked = pages.select(
-        "page_id",
-        "url",
-        urls.sanitize_url(F.col("url")).alias("clean_url"),
-    ).select(
-        "*",
-        urls.url_netloc(F.col("clean_url")).alias("host"),
-        urls.robots_path(F.col("clean_url")).alias("path"),
-        F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int").alias("salt"),
-    )
-    repeated = rules_for_agent(rules, user_agent).select(
-        "*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
+    One join by host; the first rule in file order whose path is a prefix decides, in the
+    row itself. A host with very many rows is split by adaptive execution."""
+    clean = urls.sanitize_url(F.col("url"))
+    checked = rows.withColumn("_clean", clean).withColumn("_host", urls.url_netloc(F.col("_clean")))
+    known = rules_by_host(rules, user_agent).select(
+        F.col("host").alias("_host"), F.col("rules").alias("_rules"), F.col("fetch_error").alias("_error")
     )
-    matches = (
-        checked.select("page_id", "host", "path", "salt")
-        .join(repeated, ["host", "salt"])
-        .where(F.startswith("path", "prefix"))
-        .groupBy("page_id")
-        .agg(F.min_by("allow", "rule_no").alias("allow"))
-    )
-    allowed = F.coalesce("allow", F.lit(True))
-    scheme = urls.split_url(F.col("clean_url")).scheme
-    netloc = urls.split_url(F.col("clean_url")).netloc
+    joined = checked.join(known, "_host", "left").withColumn("_path", urls.robots_path(F.col("_clean")))
+    first = F.get(F.filter("_rules", lambda r: F.startswith("_path", r.prefix)), F.lit(0))
+    failed = F.col("_error").isNotNull()
+    allowed = failed | F.coalesce(first.allow, F.lit(True))
+    address = urls.split_url(F.col("_clean"))
     reason = F.concat(
         F.when(allowed, F.lit("Allowed by ")).otherwise("Disallowed by "),
-        scheme,
+        address.scheme,
         F.lit("://"),
-        netloc,
+        address.netloc,
         F.lit(f"/robots.txt for user-agent '{user_agent}'."),
     )
-    no_host: Column = F.col("host") == ""
-    return checked.join(matches, "page_id", "left").select(
-        "page_id",
-        "url",
+    no_host: Column = F.col("_host") == ""
+    return joined.select(
+        *rows.columns,
         F.when(no_host, False).otherwise(allowed).alias("is_allowed"),
-        F.when(no_host, F.lit(NO_DOMAIN)).otherwise(reason).alias("reason"),
+        F.when(no_host, F.lit(NO_DOMAIN))
+        .when(failed, F.concat(F.lit(NOT_FETCHED[0]), "_error", F.lit(NOT_FETCHED[1])))
+        .otherwise(reason)
+        .alias("reason"),
     )
 
 
+def check_robots(pages: DataFrame, rules: DataFrame, user_agent: str = ANY_AGENT) -> DataFrame:
+    """(page_id, url, is_allowed, reason) for every page; only (page_id, url) is read."""
+    return with_robots(pages.select("page_id", "url"), rules, user_agent)
+
+
 def robots_blocked(pages: DataFrame, rules: DataFrame, user_agent: str = BROWSER_AGENT) -> DataFrame:
     """Pages a run must not extract, with the reason."""
     return check_robots(pages, rules, user_agent).where(~F.col("is_allowed"))

@@ -107,6 +107,11 @@ def column_names(headers: Column, width: Column) -> Column:
     ).otherwise(F.transform(F.sequence(F.lit(1), width), lambda i: F.concat(F.lit("Column "), i)))
 
 
+def has_text(cells: Column) -> Column:
+    """Whether a row of cleaned cell texts is data."""
+    return F.exists(cells, lambda c: c != "")
+
+
 def shape_table(head: Column, rows: Column) -> Column:
     """struct(col_names, rows) of one table, null when it has no data row.
 
@@ -124,7 +129,7 @@ def shape_table(head: Column, rows: Column) -> Column:
                 .otherwise(head)
                 .alias("headers"),
                 F.transform(
-                    F.filter(r, lambda c, i: (i + 1 != p) & F.exists(c, lambda x: x.text != "")),
+                    F.filter(r, lambda c, i: (i + 1 != p) & has_text(F.transform(c, lambda x: x.text))),
                     lambda c: F.transform(c, lambda x: x.text),
                 ).alias("data"),
             ),

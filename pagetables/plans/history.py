@@ -80,7 +80,7 @@ def with_ids(rows: DataFrame, order: list[str], last_id: int = 0, folder: str |
     numbered = number_rows(rows, order, last_id + 1, folder=folder)
     return numbered.select(
         *[
-            F.round("execution_time", 2).alias("execution_time") if f.name == "execution_time" else F.col(f.name)
+            outcome.seconds(F.col("execution_time")).alias("execution_time") if f.name == "execution_time" else F.col(f.name)
             for f in HISTORY_SCHEMA.fields
         ]
     )
@@ -130,8 +130,8 @@ def stats(history: DataFrame) -> DataFrame:
         good.alias("successful"),
         F.count_if(F.col("status") == "Failed").alias("failed"),
         F.coalesce(F.sum(F.when(ok, F.col("record_count"))), F.lit(0)).cast("bigint").alias("total_records"),
-        F.coalesce(F.round(F.avg(F.when(ok, F.col("execution_time"))), 2), F.lit(0.0)).alias("avg_time"),
-        F.when(total > 0, F.round(good / total * 100, 1)).otherwise(0.0).alias("success_rate"),
+        F.coalesce(outcome.seconds(F.avg(F.when(ok, F.col("execution_time")))), F.lit(0.0)).alias("avg_time"),
+        outcome.percent(good, total).alias("success_rate"),
     )
 
 

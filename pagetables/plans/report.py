@@ -1,7 +1,7 @@
 """Run reports: what happened to each page and kind of records.
 
 A run is one page with one kind. Records are counted and previewed in the page's
-row; only those small rows meet the responses and the robots decisions, so HTML is
+row; only those small rows meet the responses and the robots rules, so HTML is
 never shuffled.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import outcome, urls
 from ..functions.arrays import explode_items
 from ..operators.extract import SCRAPE_TYPES, page_records, record_counts, shown_records
-from ..operators.robots import BROWSER_AGENT, check_robots
+from ..operators.robots import BROWSER_AGENT, with_robots
 
 PREVIEW_ROWS = 5
 
@@ -24,8 +24,9 @@ def preview_json(scrape_type: str) -> Column:
     return F.when(F.size(shown) > 0, F.to_json(shown))
 
 
-def runs_by_page(pages: DataFrame, max_records: int | None = None) -> DataFrame:
-    """(page_id, url, page_chars, is_blank, runs): counts and previews of all kinds."""
+def runs_of(found: DataFrame) -> DataFrame:
+    """(page_id, url, page_chars, is_blank, runs) of ``page_records``: counts and previews
+    of all kinds."""
     counts = record_counts()
     runs = F.array(
         *[
@@ -38,14 +39,13 @@ def runs_by_page(pages: DataFrame, max_records: int | None = None) -> DataFrame:
             for t in SCRAPE_TYPES
         ]
     )
-    found = page_records(pages, max_records)
     kept = [c for c in found.columns if c in ("page_id", "url", "raw_url", "page_chars", "is_blank")]
     return found.select(*kept, runs.alias("runs"))
 
 
 def runs(pages: DataFrame, max_records: int | None = None) -> DataFrame:
     """One row per page and kind: (page_id, scrape_type, record_count, preview_json)."""
-    return explode_items(runs_by_page(pages, max_records), F.col("runs"), "page_id").select(
+    return explode_items(runs_of(page_records(pages, max_records)), F.col("runs"), "page_id").select(
         "page_id", "r.scrape_type", "r.record_count", "r.preview_json"
     )
 
@@ -59,9 +59,50 @@ def _line(level: str, *parts: Column | str) -> Column:
     return F.concat(F.lit(f"[{level}] "), *[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
+def addressed(pages: DataFrame) -> DataFrame:
+    """Pages with their URL made complete; ``raw_url`` is the one given."""
+    return pages.select("page_id", F.col("url").alias("raw_url"), "html").withColumn(
+        "url", urls.sanitize_url(F.col("raw_url"))
+    )
+
+
+def _known(scrape_types: tuple[str, ...]) -> None:
+    unknown = [t for t in scrape_types if t not in SCRAPE_TYPES]
+    if unknown:
+        raise ValueError(f"Unknown scraping type '{unknown[0]}'. Supported: {list(SCRAPE_TYPES)}")
+
+
+def report_of(
+    found: DataFrame,
+    responses: DataFrame,
+    rules: DataFrame | None = None,
+    scrape_types: tuple[str, ...] = SCRAPE_TYPES,
+    user_agent: str = BROWSER_AGENT,
+    timeout: int = outcome.DEFAULT_TIMEOUT,
+) -> DataFrame:
+    """``run_report`` from the ``page_records`` of ``addressed`` pages."""
+    _known(scrape_types)
+    facts = runs_of(found).withColumn("check", urls.validate_url(F.col("raw_url")))
+    names = ("status_code", "content_type", "fetch_error", "execution_time")
+    known = [c for c in names if c in responses.columns]
+    facts = facts.join(responses.select("page_id", *known), "page_id", "left")
+    for name, kind in zip(names, ("int", "string", "string", "double")):
+        if name not in known:
+            facts = facts.withColumn(name, F.lit(None).cast(kind))
+    unanswered = F.when(F.col("status_code").isNull(), F.lit(outcome.NO_ANSWER))
+    facts = facts.withColumn("fetch_error", F.coalesce("fetch_error", unanswered))
+    if rules is None:
+        facts = facts.select("*", F.lit(True).alias("is_allowed"), F.lit(None).cast("string").alias("reason"))
+    else:
+        facts = with_robots(facts, rules, user_agent)
+    wanted = F.filter("runs", lambda r: r.scrape_type.isin(*scrape_types))
+    run = explode_items(facts, wanted, *[c for c in facts.columns if c != "runs"]).select("*", "r.*")
+    return run.select(*_report_columns(rules is not None, timeout))
+
+
 def run_report(
     pages: DataFrame,
-    responses: DataFrame | None = None,
+    responses: DataFrame,
     rules: DataFrame | None = None,
     scrape_types: tuple[str, ...] = SCRAPE_TYPES,
     max_records: int | None = None,
@@ -71,39 +112,44 @@ def run_report(
     """One row per page and kind: success, url, scrape_type, status_code,
     execution_time, record_count, error_message, logs, content_type, preview_json.
 
-    ``responses(page_id, status_code, content_type, fetch_error, execution_time)``
-    says how each page was fetched; without it every page counts as a good answer.
-    ``rules`` switches the robots check on.
+    ``responses(page_id, status_code, content_type, fetch_error, execution_time)``, one
+    row per page, says how each page was fetched. A page without a row, or without a
+    status and an error, was not answered and fails. ``rules`` switches the robots check
+    on. Pages that nobody fetched go through ``run_html``.
     """
-    unknown = [t for t in scrape_types if t not in SCRAPE_TYPES]
-    if unknown:
-        raise ValueError(f"Unknown scraping type '{unknown[0]}'. Supported: {list(SCRAPE_TYPES)}")
-    checked = pages.select("page_id", F.col("url").alias("raw_url"), "html").withColumn(
-        "url", urls.sanitize_url(F.col("raw_url"))
-    )
-    facts = runs_by_page(checked, max_records).withColumn("check", urls.validate_url(F.col("raw_url")))
-    if responses is None:
-        facts = facts.select(
-            "*",
-            F.lit(200).alias("status_code"),
-            F.lit("text/html; charset=utf-8").alias("content_type"),
-            F.lit(None).cast("string").alias("fetch_error"),
-            F.lit(0.0).alias("execution_time"),
-        )
-    else:
-        known = [c for c in ("status_code", "content_type", "fetch_error", "execution_time") if c in responses.columns]
-        facts = facts.join(responses.select("page_id", *known), "page_id", "left")
-        if "execution_time" not in known:
-            facts = facts.withColumn("execution_time", F.lit(0.0))
-    if rules is None:
-        facts = facts.select("*", F.lit(True).alias("is_allowed"), F.lit(None).cast("string").alias("reason"))
-    else:
-        decisions = check_robots(pages, rules, user_agent).select("page_id", "is_allowed", "reason")
-        facts = facts.join(decisions, "page_id", "left")
+    found = page_records(addressed(pages), max_records)
+    return report_of(found, responses, rules, scrape_types, user_agent, timeout)
 
+
+def html_report_of(found: DataFrame, scrape_types: tuple[str, ...] = SCRAPE_TYPES) -> DataFrame:
+    """``run_html`` from ``page_records``."""
+    _known(scrape_types)
     wanted = F.filter("runs", lambda r: r.scrape_type.isin(*scrape_types))
-    run = explode_items(facts, wanted, *[c for c in facts.columns if c != "runs"]).select("*", "r.*")
-    return run.select(*_report_columns(rules is not None, timeout))
+    run = explode_items(runs_of(found), wanted, "page_id", "url", "page_chars").select("*", "r.*")
+    ok = ~F.col("is_broken")
+    count = F.when(ok, F.col("record_count")).otherwise(0).cast("bigint")
+    error = F.when(~ok, F.lit(outcome.PARSE_ERROR)).when(count == 0, outcome.no_records_notice(F.col("scrape_type")))
+    return run.select(
+        "page_id",
+        ok.alias("success"),
+        "url",
+        "scrape_type",
+        F.when(ok, 200).cast("int").alias("status_code"),
+        F.lit(0.0).alias("execution_time"),
+        count.alias("record_count"),
+        error.alias("error_message"),
+        html_logs(F.col("page_chars"), F.col("scrape_type"), count, F.col("is_broken")).alias("logs"),
+        F.when(ok, F.lit(outcome.HTML_TYPE)).otherwise("").alias("content_type"),
+        F.when(ok, F.col("preview_json")).alias("preview_json"),
+    )
+
+
+def run_html(
+    pages: DataFrame, scrape_types: tuple[str, ...] = SCRAPE_TYPES, max_records: int | None = None
+) -> DataFrame:
+    """Runs on HTML that was already there: nothing is requested, so neither the URL
+    nor robots rules nor a blank page can fail them. Columns as ``run_report``."""
+    return html_report_of(page_records(pages, max_records), scrape_types)
 
 
 def _report_columns(with_robots: bool, timeout: int) -> list[Column]:
@@ -120,8 +166,9 @@ def _report_columns(with_robots: bool, timeout: int) -> list[Column]:
     answered = F.coalesce(invalid, denied, unfetched).isNull()
     fetched = answered & refused.isNull() & empty.isNull()
     count = F.when(error.isNull(), col("record_count")).otherwise(F.lit(0)).cast("bigint")
-    elapsed = F.coalesce(F.round("execution_time", 2), F.lit(0.0))
+    elapsed = F.coalesce(outcome.seconds(F.col("execution_time")), F.lit(0.0))
 
+    # The lines of a run, in their order.
     steps: list[Column] = [
         _line("INFO", "Scraping process initiated."),
         F.when(invalid.isNotNull(), _line("ERROR", "URL validation failed: ", col("check.error"))),
@@ -197,15 +244,16 @@ def _report_columns(with_robots: bool, timeout: int) -> list[Column]:
     ]
 
 
-def html_logs(page_chars: Column, scrape_type: Column, count: Column) -> Column:
+def html_logs(page_chars: Column, scrape_type: Column, count: Column, is_broken: Column) -> Column:
     """Log lines of a run on HTML that was already there (nothing was fetched)."""
+    # The lines of such a run.
     return F.array(
         _line("INFO", "Scraping from local HTML test bench."),
         _line("INFO", "Content length: ", F.format_number(page_chars, 0), " characters."),
         _line("INFO", "Running parser for '", scrape_type, "'..."),
-        F.when(count == 0, _line("WARNING", "0 records extracted.")).otherwise(
-            _line("SUCCESS", "Successfully extracted ", count.cast("string"), " records in 0.0s.")
-        ),
+        F.when(is_broken, _line("ERROR", outcome.PARSE_ERROR))
+        .when(count == 0, _line("WARNING", "0 records extracted."))
+        .otherwise(_line("SUCCESS", "Successfully extracted ", count.cast("string"), " records in 0.0s.")),
     )
 
 
@@ -229,7 +277,7 @@ def history_rows(report: DataFrame, timestamp: Column) -> DataFrame:
         "scrape_type",
         "record_count",
         F.when(ok, F.lit("Success")).otherwise("Failed").alias("status"),
-        F.round("execution_time", 2).alias("execution_time"),
+        outcome.seconds(F.col("execution_time")).alias("execution_time"),
         F.date_format(timestamp, "yyyy-MM-dd HH:mm:ss").alias("timestamp"),
         F.when(ok & (F.col("record_count") == 0), F.lit(outcome.NO_RECORDS_NOTE))
         .when(~ok, F.col("error_message"))

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.extract import extract_all
+from ..operators.extract import page_reader, records_of
 from ..plans.history import level_counts
-from ..plans.report import history_rows, run_report
+from ..plans.report import addressed, history_rows, html_report_of, report_of
+from ..session import new_folder, remove_folder
 from ..sources.history_store import HistoryStore
 
 
@@ -18,19 +19,28 @@ def stream_extract(
     checkpoint: str,
     history: HistoryStore | None = None,
     max_records: int | None = None,
+    responses: DataFrame | None = None,
+    rules: DataFrame | None = None,
 ) -> StreamingQuery:
     """Extract every new page and log its runs, then stop when all input is read.
 
-    A batch is written under its own number and replaces itself when it is run
-    again, so a restart neither loses nor repeats records.
+    ``responses`` and ``rules`` are as in ``run_report``; without responses the pages are
+    HTML that was already there. A batch's pages are read once, and records and runs
+    come from what was read. A batch is written under its own number and replaces itself
+    when it is run again, so a restart neither loses nor repeats records.
     """
+    read = page_reader(max_records)
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        extract_all(batch, max_records).write.mode("overwrite").parquet(f"{records_path}/batch_id={batch_id}")
+        spark = batch.sparkSession
+        scratch = new_folder(spark, "stream-batch")
+        read(addressed(batch)).write.parquet(scratch)
+        found = spark.read.parquet(scratch)
+        records_of(found).write.mode("overwrite").parquet(f"{records_path}/batch_id={batch_id}")
         if history is not None:
-            report = run_report(batch, max_records=max_records)
-            rows = history_rows(report, F.current_timestamp())
-            history.append(rows, ["page_id", "scrape_type"], batch_id)
+            report = html_report_of(found) if responses is None else report_of(found, responses, rules)
+            history.append(history_rows(report, F.current_timestamp()), ["page_id", "scrape_type"], batch_id)
+        remove_folder(spark, scratch)
 
     return (
         pages.writeStream.foreachBatch(save)
@@ -40,17 +50,18 @@ def stream_extract(
     )
 
 
-def stream_log_counts(lines: DataFrame, line: Column, name: str, checkpoint: str) -> StreamingQuery:
-    """Running number of log lines per level, kept in a table in memory: there are
-    four levels, so the state does not grow."""
+def stream_log_counts(lines: DataFrame, line: Column, path: str, checkpoint: str) -> StreamingQuery:
+    """Running number of log lines per level, in a folder that every batch replaces:
+    there are four levels, so neither the state nor the folder grows."""
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        batch.coalesce(1).write.mode("overwrite").parquet(path)
+
     return (
         level_counts(lines, line)
         .writeStream.outputMode("complete")
-        .format("memory")
-        .queryName(name)
+        .foreachBatch(save)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
-
-

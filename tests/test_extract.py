@@ -94,7 +94,7 @@ def test_both_readers_read_flat_tables_alike(pages_of):
     marked = x.mark_pages(pages).withColumn("nested", nested_tables.nested_tables(tags))
     # the label says whether a page has several tables, which nesting implies
     kept = ("table_no", "row_no", "col_names", "cells")
-    by_tags = marked.select("page_id", tables.nested_table_rows(F.col("nested")).alias("found"))
+    by_tags = marked.select("page_id", tables.table_rows(F.col("marked"), F.col("nested")).alias("found"))
     by_tags = by_tags.select("page_id", F.explode("found").alias("r"))
     by_tags = rows(by_tags.select("page_id", *[f"r.{c}" for c in kept]), "*")
     by_array = rows(x._table_records(pages, None), "page_id", *kept)

@@ -9,12 +9,15 @@ from pagetables.plans import report
 PAGE = "<title>T</title><h1>A</h1><p>Some words</p><a href='/x'>x</a>"
 
 
+ANSWERS = "page_id bigint, status_code int, content_type string, fetch_error string, execution_time double"
+
+
+def good_answers(spark, n=9):
+    return spark.createDataFrame([(i, 200, "text/html", None, 0.1) for i in range(n)], ANSWERS)
+
+
 def make_report(spark, pages, responses=None, **options):
-    frame = None
-    if responses is not None:
-        frame = spark.createDataFrame(
-            responses, "page_id bigint, status_code int, content_type string, fetch_error string, execution_time double"
-        )
+    frame = good_answers(spark) if responses is None else spark.createDataFrame(responses, ANSWERS)
     return {
         r.page_id: r for r in report.run_report(pages, frame, scrape_types=("Headings",), **options).collect()
     }
@@ -55,7 +58,7 @@ def test_invalid_url_and_broken_link(spark, pages_of):
     assert "URL cannot be empty" in blank.error_message and blank.url == "  "
 
     broken = pages_of(PAGE + "<a href='http://[x'>broken</a>")
-    links = report.run_report(broken, scrape_types=("Links", "Headings")).collect()
+    links = report.run_report(broken, good_answers(spark), scrape_types=("Links", "Headings")).collect()
     state = {r.scrape_type: (r.success, r.record_count, r.status_code) for r in links}
     assert state == {"Links": (False, 0, None), "Headings": (True, 1, 200)}
 
@@ -71,7 +74,7 @@ def test_counts_are_there_for_all_kinds(pages_of):
 
 
 def test_explode_logs(spark, pages_of):
-    lines = report.explode_logs(report.run_report(pages_of(PAGE), scrape_types=("Headings",))).orderBy("line_no").collect()
+    lines = report.explode_logs(report.run_report(pages_of(PAGE), good_answers(spark), scrape_types=("Headings",))).orderBy("line_no").collect()
     assert [r.line_no for r in lines] == list(range(1, len(lines) + 1))
     assert (lines[0].level, lines[0].message) == ("INFO", "Scraping process initiated.")
 
@@ -100,7 +103,7 @@ def test_robots_match_the_standard_library(spark):
         rule_rows, "host string, group_no int, agent string, rule_no int, allow boolean, path_prefix string"
     )
     for agent in ("*", robots.BROWSER_AGENT, "OtherBot/2"):
-        found = {r.url: r.is_allowed for r in robots.check_robots(pages, rules, agent, salts=3).collect()}
+        found = {r.url: r.is_allowed for r in robots.check_robots(pages, rules, agent).collect()}
         assert found.pop("http:///x") is False
         for host, lines in files.items():
             parser = urllib.robotparser.RobotFileParser()
@@ -119,3 +122,46 @@ def test_robots_block_a_run(spark, pages_of):
     assert not row.success and "robots.txt policy (Disallowed by https://example.com/robots.txt" in row.error_message
     assert row.logs[-1].startswith("[WARNING] Robots.txt check: ")
     assert robots.robots_blocked(pages_of(PAGE), rules).count() == 1
+
+
+def test_pages_without_an_answer_fail(spark, pages_of):
+    rows = make_report(spark, pages_of(PAGE, PAGE), [(1, None, None, None, None)])
+    for r in rows.values():
+        assert not r.success and r.status_code is None and r.record_count == 0
+        assert r.error_message.endswith("no answer") and not any("Response received" in x for x in r.logs)
+
+
+def test_html_that_was_already_there(pages_of):
+    pages = pages_of(PAGE, " \n", PAGE + "<a href='http://[x'>broken</a>", url="not a url")
+    rows = {(r.page_id, r.scrape_type): r for r in report.run_html(pages).collect()}
+    assert len(rows) == 18
+    good = rows[0, "Headings"]
+    assert good.success and good.record_count == 1 and good.url == "not a url" and good.status_code == 200
+    assert good.logs == [
+        "[INFO] Scraping from local HTML test bench.",
+        f"[INFO] Content length: {len(PAGE)} characters.",
+        "[INFO] Running parser for 'Headings'...",
+        "[SUCCESS] Successfully extracted 1 records in 0.0s.",
+    ]
+    assert rows[1, "Links"].success and rows[1, "Links"].logs[-1] == "[WARNING] 0 records extracted."
+    bad = rows[2, "Links"]
+    assert not bad.success and bad.status_code is None and bad.logs[-1].startswith("[ERROR]") and rows[2, "Headings"].success
+
+
+def test_counts_are_not_capped(pages_of):
+    page = "".join(f"<p>paragraph {i}</p>" for i in range(250))
+    found = {r.scrape_type: r.record_count for r in report.record_count(pages_of(page)).collect()}
+    assert found["Paragraphs"] == 250
+    assert {r.scrape_type: r.record_count for r in report.run_html(pages_of(page)).collect()}["Paragraphs"] == 250
+
+
+def test_rules_that_could_not_be_fetched(spark, pages_of):
+    rules = spark.createDataFrame(
+        [("example.com", None, None, None, None, None, "timed out")],
+        "host string, group_no int, agent string, rule_no int, allow boolean, path_prefix string, fetch_error string",
+    )
+    row = robots.check_robots(pages_of(PAGE), rules).first()
+    assert row.is_allowed
+    assert row.reason == "robots.txt could not be fetched (timed out). Defaulting to permissible public access."
+    plan = robots.check_robots(pages_of(PAGE), rules)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ") == 2 and plan.count("Exchange ") <= 2

@@ -84,6 +84,24 @@ def test_display_and_robots_path(spark):
     assert values(spark, urls.robots_path(F.col("s")), inputs) == [expected(u) for u in inputs]
 
 
+def test_addresses_in_other_forms(spark):
+    import socket
+
+    rng = random.Random(3)
+    parts = lambda n: [rng.choice(["%d", "0%o", "0x%x", "0X%X"]) % rng.choice([0, 1, 10, 127, 172, 192, 255, 256, 65535]) for _ in range(n)]
+    hosts = [".".join(parts(rng.randint(1, 5))) for _ in range(400)]
+    hosts += ["127.1", "2130706433", "0x7f.0.0.1", "0177.1", "10.65535", "1.2.3.256", "4294967296", "08.1.1.1", "1..2", "0x", "9" * 40]
+
+    def number(host):
+        try:
+            return int.from_bytes(socket.inet_aton(host), "big")
+        except OSError:
+            return None
+
+    assert values(spark, urls.ipv4_number(F.col("s")), hosts) == [number(h) for h in hosts]
+    assert values(spark, urls.is_private_host(F.col("s")), ["localhost", "LOCALHOST", "127.1", "8.8", None]) == [True, True, True, False, False]
+
+
 def test_long_relative_paths_are_quick(spark):
     import time
 

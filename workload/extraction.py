@@ -179,23 +179,16 @@ def extract_tables_wide(spark, sf_dir):
     return extract.extract_tables_wide(rendered.table_pages(spark, sf_dir), rendered.WIDE_COLUMNS)
 
 
-@query(
-    "SELECT page_id, table_label, row_no, \"Order\", \"Customer\", \"Key\" FROM (" + rendered.TABLES_WIDE_SQL
-    + ") WHERE table_no IN (1, 2, 7)"
-)
+@query(rendered.UNION_TABLES_SQL)
 def union_tables(spark, sf_dir):
-    """Several tables of a page as one, missing columns null."""
-    rows = extract.extract_tables_map(rendered.table_pages(spark, sf_dir)).where(F.col("table_no").isin(1, 2, 7))
+    """All tables of a page as one, with every column, missing ones null."""
+    return extract.extract_tables_wide(rendered.table_pages(spark, sf_dir), rendered.ALL_COLUMNS)
 
-    def one(number: int, *columns: str):
-        picked = [F.element_at("record", F.lit(c)).alias(c) for c in columns]
-        return rows.where(F.col("table_no") == number).select("page_id", "table_label", "row_no", *picked)
 
-    return (
-        one(1, "Order")
-        .unionByName(one(2, "Customer"), allowMissingColumns=True)
-        .unionByName(one(7, "Key"), allowMissingColumns=True)
-    )
+@query(f"WITH {rendered.MIXED_SQL} SELECT page_id, scrape_type, record_no, CAST(payload AS VARCHAR) AS payload FROM mixed")
+def extract_all_rendered(spark, sf_dir):
+    """All kinds of pages that hold all kinds, nested tables among them."""
+    return extract.extract_all(rendered.mixed_pages(spark, sf_dir))
 
 
 @query(
@@ -207,13 +200,9 @@ def table_shape(spark, sf_dir):
     return extract.table_shape(rendered.table_pages(spark, sf_dir))
 
 
-@query(
-    "SELECT DISTINCT page_id, table_no, col_no, col_name FROM (" + rendered.TABLES_LONG_SQL + ") WHERE table_no IN (3, 4, 6)"
-)
+@query("SELECT DISTINCT page_id, table_no, col_no, col_name FROM (" + rendered.TABLES_LONG_SQL + ")")
 def unique_headers(spark, sf_dir):
-    cells = extract.extract_tables(rendered.table_pages(spark, sf_dir))
-    first = cells.where((F.col("row_no") == 1) & F.col("table_no").isin(3, 4, 6))
-    return first.select("page_id", "table_no", "col_no", "col_name")
+    return extract.table_headers(rendered.table_pages(spark, sf_dir))
 
 
 @query("SELECT page_id, record_no, link_url FROM (" + rendered.RENDERED_LINKS_SQL + ") WHERE link_type = 'Internal'")
@@ -276,8 +265,7 @@ def dedup_links(spark, sf_dir):
 
 @query(f"WITH {PARAGRAPHS_SQL} SELECT page_id, paragraph_text FROM firsts")
 def dedup_paragraphs(spark, sf_dir):
-    marked = extract.mark_pages(views.pages(spark, sf_dir))
-    return marked.select("page_id", F.explode(F.array_distinct(records.raw_paragraphs(F.col("marked")))).alias("paragraph_text"))
+    return extract.extract_paragraphs(views.pages(spark, sf_dir)).select("page_id", "paragraph_text")
 
 
 @query(
@@ -296,10 +284,10 @@ def dedup_images(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.inline(records.dedup_images(found)))
 
 
-@query(f"WITH {PARAGRAPHS_SQL} SELECT page_id, max(paragraph_no) AS last_no, count(*) AS n FROM paragraphs GROUP BY page_id")
+@query(f"WITH {PARAGRAPHS_SQL} SELECT page_id, paragraph_no, md5(paragraph_text) AS text_md5 FROM paragraphs")
 def renumber_paragraphs(spark, sf_dir):
     found = extract.extract_paragraphs(views.pages(spark, sf_dir))
-    return found.groupBy("page_id").agg(F.max("paragraph_no").alias("last_no"), F.count(F.lit(1)).alias("n"))
+    return found.select("page_id", "paragraph_no", F.md5("paragraph_text").alias("text_md5"))
 
 
 @query(f"WITH {LINKS_SQL} SELECT count(*) AS n_rows, 6::BIGINT AS n_cols FROM links")

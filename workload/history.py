@@ -13,7 +13,7 @@ from pagetables.sources.history_store import HistoryStore
 from pagetables.sources.pages import PAGE_SCHEMA
 from pagetables.streaming import jobs
 
-from . import views
+from . import rendered, views
 from .registry import query, table
 from .views import HEADINGS_SQL, LINKS_SQL, LOG_SQL, PARAGRAPHS_SQL, RESPONSES_SQL, RUNS_SQL, SCRUBBED_SQL, TITLES_SQL
 
@@ -43,16 +43,18 @@ FAILURE_SQL = f"""coalesce(CASE fetch_error
     WHEN 'ssl' THEN '{outcome.TLS_ERROR.replace("'", "''")}'
     WHEN 'connection' THEN '❌ Connection Error: Unable to reach ''' || url
       || '''. The domain might be down, invalid, or blocking connections.'
-    WHEN 'other' THEN '❌ HTTP Request Exception: other' END,
+    WHEN 'other' THEN '❌ HTTP Request Exception: other' WHEN 'no answer' THEN '❌ HTTP Request Exception: no answer' END,
   CASE WHEN status_code = 403 THEN '{outcome.HTTP_403}'
     WHEN status_code = 404 THEN '🔍 HTTP 404 Not Found: The requested URL ''' || url || ''' does not exist on the server.'
     WHEN status_code >= 500 THEN '⚠️ Server Error (HTTP ' || status_code
       || '): The remote server encountered an error while processing the request.' END)"""
 
 REPORT_SQL = f"""{RECORDS_SQL}, {RESPONSES_SQL},
-judged AS (SELECT c.*, r.* EXCLUDE (page_id), {FAILURE_SQL} AS failure FROM counted c LEFT JOIN responses r USING (page_id)),
+answered AS (SELECT c.*, r.* EXCLUDE (page_id, fetch_error), CASE WHEN r.page_id IS NULL THEN 'no answer' ELSE fetch_error END
+  AS fetch_error FROM counted c LEFT JOIN (SELECT * FROM responses WHERE page_id % 11 <> 0) r ON r.page_id = c.page_id),
+judged AS (SELECT *, {FAILURE_SQL} AS failure FROM answered),
 report AS (
-  SELECT page_id, failure IS NULL AS success, url, scrape_type, status_code, execution_time,
+  SELECT page_id, failure IS NULL AS success, url, scrape_type, status_code, coalesce(execution_time, 0.0)::DOUBLE AS execution_time,
     CASE WHEN failure IS NULL THEN found ELSE 0 END::BIGINT AS record_count,
     coalesce(failure, CASE WHEN found = 0 THEN 'ℹ️ Notice: No ''' || scrape_type
       || ''' elements were found on this webpage.' END) AS error_message,
@@ -66,7 +68,9 @@ _REPORT_COLUMNS = (
 
 
 def _report(spark, sf_dir):
-    return report.run_report(views.pages(spark, sf_dir), views.responses(spark, sf_dir))
+    """Every eleventh page has no answer."""
+    answers = views.responses(spark, sf_dir).where("page_id % 11 <> 0")
+    return report.run_report(views.pages(spark, sf_dir), answers)
 
 
 # -- reports ------------------------------------------------------------------------
@@ -162,6 +166,46 @@ def run_history(spark, sf_dir):
     return history.with_ids(rows, ["page_id", "scrape_type"])
 
 
+# Runs on HTML that was already there.
+HTML_RUNS_SQL = f"""{RECORDS_SQL}, html_runs AS (SELECT *, CASE WHEN found = 0 THEN 'ℹ️ Notice: No ''' || scrape_type
+  || ''' elements were found on this webpage.' END AS error_message FROM counted)"""
+
+
+@query(
+    f"WITH {HTML_RUNS_SQL} SELECT page_id, true AS success, url, scrape_type, 200 AS status_code, 0.0::DOUBLE AS execution_time, "
+    "found AS record_count, error_message, 'text/html; charset=utf-8' AS content_type, preview AS preview_json FROM html_runs"
+)
+def run_html(spark, sf_dir):
+    return report.run_html(views.pages(spark, sf_dir)).select(*_REPORT_COLUMNS)
+
+
+@query(
+    f"WITH {HTML_RUNS_SQL}, lines AS (SELECT page_id, scrape_type, unnest(['Scraping from local HTML test bench.', "
+    "'Content length: ' || format('{:,}', page_chars) || ' characters.', 'Running parser for ''' || scrape_type || '''...', "
+    "CASE WHEN found = 0 THEN '0 records extracted.' ELSE 'Successfully extracted ' || found || ' records in 0.0s.' END]) AS message, "
+    "unnest([1, 2, 3, 4])::BIGINT AS line_no, found FROM html_runs) SELECT page_id, scrape_type, line_no, CASE WHEN line_no < 4 "
+    "THEN 'INFO' WHEN found = 0 THEN 'WARNING' ELSE 'SUCCESS' END AS level, message FROM lines"
+)
+def explode_logs_html(spark, sf_dir):
+    return report.explode_logs(report.run_html(views.pages(spark, sf_dir)))
+
+
+@query(
+    f"""WITH {rendered.MIXED_SQL}, kinds AS (SELECT unnest(['Page Title', 'Headings', 'Links', 'Paragraphs', 'Tables', 'Images'])
+  AS scrape_type), runs AS (SELECT c_custkey AS page_id, k.scrape_type, count(m.record_no)::BIGINT AS n,
+  CASE WHEN count(m.record_no) > 0 THEN '[' || string_agg(CAST(m.payload AS VARCHAR), ',' ORDER BY m.record_no) || ']' END AS preview
+  FROM customer CROSS JOIN kinds k LEFT JOIN mixed m ON m.page_id = c_custkey AND m.scrape_type = k.scrape_type GROUP BY ALL)
+SELECT row_number() OVER (ORDER BY page_id, scrape_type) AS id, 'https://shop.example.com/a/b' AS url, scrape_type,
+  n AS record_count, 'Success' AS status, 0.0::DOUBLE AS execution_time, '2024-02-01 12:00:00' AS "timestamp",
+  CASE WHEN n = 0 THEN '0 records found' END AS error_message, preview AS preview_json FROM runs"""
+)
+def run_history_rendered(spark, sf_dir):
+    """The history of runs on pages that hold all kinds, nested tables among them."""
+    at = F.to_timestamp(F.lit("2024-02-01 12:00:00"))
+    rows = report.history_rows(report.run_html(rendered.mixed_pages(spark, sf_dir)), at)
+    return history.with_ids(rows, ["page_id", "scrape_type"])
+
+
 # -- robots ---------------------------------------------------------------------------
 
 # The decision for an agent, from the path after the host.
@@ -172,21 +216,30 @@ _FIRST_RULE = {
 
 
 def _robots_sql(agent: str, rule: str) -> str:
-    return f"""SELECT page_id, url, is_allowed, (CASE WHEN is_allowed THEN 'Allowed' ELSE 'Disallowed' END) || ' by ' || origin
-    || '/robots.txt for user-agent ''{agent}''.' AS reason
-  FROM (SELECT page_id, url, origin, starts_with(host, 'm.') OR ({rule}) AS is_allowed
+    # Hosts with 'www.' in front could not be asked for their rules; every 17th URL has none.
+    return f"""SELECT page_id, url, is_allowed, CASE WHEN host = '' THEN 'Cannot verify robots.txt: invalid domain.'
+    WHEN starts_with(host, 'www.') THEN 'robots.txt could not be fetched (HTTP Error 500). Defaulting to permissible public access.'
+    ELSE (CASE WHEN is_allowed THEN 'Allowed' ELSE 'Disallowed' END) || ' by ' || origin
+    || '/robots.txt for user-agent ''{agent}''.' END AS reason
+  FROM (SELECT page_id, url, origin, host, host <> '' AND (starts_with(host, 'm.') OR starts_with(host, 'www.') OR ({rule})) AS is_allowed
     FROM (SELECT page_id, url, regexp_extract(url, '^https?://[^/]+') AS origin, regexp_extract(url, '^https?://([^/]+)', 1)
-      AS host, regexp_replace(url, '^https?://[^/]+', '') AS path FROM pages))"""
+      AS host, regexp_replace(url, '^https?://[^/]+', '') AS path
+      FROM (SELECT page_id, CASE WHEN page_id % 17 = 0 THEN 'https:///x' ELSE url END AS url FROM pages)))"""
+
+
+def _addresses(spark, sf_dir):
+    no_host = F.when(F.col("page_id") % 17 == 0, "https:///x")
+    return table(spark, sf_dir, "pages").select("page_id", F.coalesce(no_host, "url").alias("url"))
 
 
 @query(_robots_sql("*", _FIRST_RULE["*"]))
 def robots_check(spark, sf_dir):
-    return robots.check_robots(table(spark, sf_dir, "pages"), views.robots_rules(spark, sf_dir))
+    return robots.check_robots(_addresses(spark, sf_dir), views.robots_rules(spark, sf_dir))
 
 
 @query(f"SELECT * FROM ({_robots_sql(robots.BROWSER_AGENT, _FIRST_RULE['browser'])}) WHERE NOT is_allowed")
 def robots_blocked(spark, sf_dir):
-    return robots.robots_blocked(table(spark, sf_dir, "pages"), views.robots_rules(spark, sf_dir))
+    return robots.robots_blocked(_addresses(spark, sf_dir), views.robots_rules(spark, sf_dir))
 
 
 # -- history --------------------------------------------------------------------------
@@ -223,6 +276,24 @@ def history_append(spark, sf_dir):
     return store.read()
 
 
+@query(
+    f"WITH {RUNS_SQL}, numbered AS (SELECT row_number() OVER (ORDER BY status <> 'Failed', id) AS new_id, * FROM runs) "
+    f"SELECT new_id AS id, {_SAVED} FROM numbered WHERE new_id NOT IN (3, (SELECT count(*) FROM runs))"
+)
+def history_replay(spark, sf_dir):
+    """Two batches, a run deleted from each, and both batches once more."""
+    store = HistoryStore(spark, new_folder(spark, "history"))
+    rows = _new_runs(spark, sf_dir)
+    failed, good = rows.where("status = 'Failed'"), rows.where("status = 'Success'")
+    store.append(failed, ["seq"], batch=0)
+    store.delete(3)
+    last = store.append(good, ["seq"], batch=1)
+    store.delete(last)
+    store.append(failed, ["seq"], batch=0)
+    store.append(good, ["seq"], batch=1)
+    return store.read()
+
+
 @query(f"WITH {RUNS_SQL} SELECT {_HISTORY} FROM runs WHERE url ILIKE '%U1_.Example%' OR scrape_type ILIKE '%U1_.Example%'")
 def history_search(spark, sf_dir):
     return history.search(views.runs(spark, sf_dir), " U1_.Example ")
@@ -343,6 +414,21 @@ def stream_extract(spark, sf_dir):
     return spark.read.parquet(f"{folder}/records").drop("batch_id")
 
 
+@query(
+    f"WITH {REPORT_SQL} SELECT row_number() OVER (ORDER BY page_id, scrape_type) AS id, url, scrape_type, record_count, "
+    "CASE WHEN success THEN 'Success' ELSE 'Failed' END AS status, round(execution_time, 2) AS execution_time, "
+    "CASE WHEN NOT success THEN error_message WHEN record_count = 0 THEN '0 records found' END AS error_message, preview_json FROM report"
+)
+def stream_history(spark, sf_dir):
+    """The history of a stream of pages with their answers."""
+    folder = new_folder(spark, "stream")
+    pages = spark.readStream.schema(PAGE_SCHEMA).option("pathGlobFilter", "pages.parquet").parquet(sf_dir)
+    store = HistoryStore(spark, f"{folder}/history")
+    answers = views.responses(spark, sf_dir).where("page_id % 11 <> 0")
+    jobs.stream_extract(pages, f"{folder}/records", f"{folder}/checkpoint", store, responses=answers).awaitTermination()
+    return store.read().drop("timestamp")
+
+
 @query(
     f"WITH {LOG_SQL} SELECT CASE level WHEN 'ERROR' THEN 'error' WHEN 'WARNING' THEN 'warning' WHEN 'SUCCESS' THEN 'success' "
     "ELSE 'info' END AS level, count(*) AS n FROM log_lines GROUP BY ALL"
@@ -352,8 +438,5 @@ def stream_log_counts(spark, sf_dir):
     folder = new_folder(spark, "log-stream")
     views.log_lines(spark, sf_dir).select("line").write.parquet(f"{folder}/lines")
     lines = spark.readStream.schema("line string").parquet(f"{folder}/lines")
-    name = folder.rsplit("/", 1)[-1].replace("-", "_")
-    jobs.stream_log_counts(lines, F.col("line"), name, f"{folder}/checkpoint").awaitTermination()
-    return spark.table(name)
-
-
+    jobs.stream_log_counts(lines, F.col("line"), f"{folder}/counts", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/counts")

@@ -87,13 +87,23 @@ TABLES_MAP_SQL = " UNION ALL ".join(
     + ") AS VARCHAR) AS record FROM orders"
     for t, r, names, cells in _TABLE_ROWS
 )
+
+
+def _wide(columns: list[str]) -> str:
+    """SQL of the expected rows with these columns, null where a table lacks one."""
+    return " UNION ALL ".join(
+        f"SELECT o_orderkey AS page_id, {t}::BIGINT AS table_no, 'Table {t}' AS table_label, {r}::BIGINT AS row_no, "
+        + ", ".join(f'CAST({dict(zip(names, cells)).get(w, "NULL")} AS VARCHAR) AS "{w}"' for w in columns)
+        + " FROM orders"
+        for t, r, names, cells in _TABLE_ROWS
+    )
+
+
 WIDE_COLUMNS = ["Order", "Status", "Customer", "Column 1", "Column 2", "A_1", "Key"]
-TABLES_WIDE_SQL = " UNION ALL ".join(
-    f"SELECT o_orderkey AS page_id, {t}::BIGINT AS table_no, 'Table {t}' AS table_label, {r}::BIGINT AS row_no, "
-    + ", ".join(f'CAST({dict(zip(names, cells)).get(w, "NULL")} AS VARCHAR) AS "{w}"' for w in WIDE_COLUMNS)
-    + " FROM orders"
-    for t, r, names, cells in _TABLE_ROWS
-)
+TABLES_WIDE_SQL = _wide(WIDE_COLUMNS)
+# Every column of every table.
+ALL_COLUMNS = list(dict.fromkeys(n for _, _, names, _ in _TABLE_ROWS for n in names))
+UNION_TABLES_SQL = _wide(ALL_COLUMNS)
 
 
 def nested_table_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -260,3 +270,43 @@ FROM (SELECT c_custkey AS page_id,
   CASE c_custkey % 8 WHEN 0 THEN 'https://shop.example.com/c/' || c_custkey WHEN 3 THEN 'https://x.example.org/' || c_custkey
     WHEN 5 THEN 'https://shop.example.com/a/c' || c_custkey ELSE 'N/A' END AS canonical_url
   FROM customer)"""
+
+
+def mixed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of all six kinds on one page, with a table in a table; odd customers have
+    a second, plain table, multiples of five no table at all."""
+    k = F.col("c_custkey")
+    head = """<title>Customer {k}</title><meta name=description content="Of {m}"><link rel=canonical href="/c/{k}"><h1>{n}</h1>
+<p>Segment {m} &amp; more.</p><a href="/s/{m}">Segment</a><img src="{k}.png" alt="{n}"><h2>{n}</h2>"""
+    nested = "<table><tr><td>{n}<table><tr><td>{k}</td></tr></table></td></tr></table>"
+    plain = "<table><tr><th>Name</th><th>Segment</th></tr><tr><td>{n}</td><td>{m}</td></tr></table>"
+    fill = lambda t: _fill(t, k=k, n=F.col("c_name"), m=F.col("c_mktsegment"))
+    html = F.concat(
+        fill(head),
+        F.when(k % 5 == 0, F.lit("")).when(k % 2 == 1, fill(plain)).otherwise(fill(nested)),
+    )
+    return table(spark, sf_dir, "customer").select(
+        k.alias("page_id"), F.lit("https://shop.example.com/a/b").alias("url"), html.alias("html")
+    )
+
+
+# (page_id, scrape_type, record_no, payload) of the mixed pages.
+MIXED_SQL = """mixed AS (
+  SELECT c_custkey AS page_id, 'Page Title' AS scrape_type, 1::BIGINT AS record_no, json_object('Page Title', 'Customer ' || c_custkey,
+    'Length (Chars)', length('Customer ' || c_custkey), 'Meta Description', 'Of ' || c_mktsegment, 'Canonical URL',
+    'https://shop.example.com/c/' || c_custkey) AS payload FROM customer
+  UNION ALL SELECT c_custkey, 'Headings', i, json_object('Level', 'Heading ' || i, 'Tag', 'H' || i, 'Heading Text', c_name,
+    'Character Count', length(c_name)) FROM customer, (VALUES (1::BIGINT), (2::BIGINT)) v(i)
+  UNION ALL SELECT c_custkey, 'Links', 1, json_object('Text', 'Segment', 'URL', 'https://shop.example.com/s/' || c_mktsegment,
+    'Type', 'Internal', 'Target', '_self') FROM customer
+  UNION ALL SELECT c_custkey, 'Paragraphs', 1, json_object('Paragraph #', 1, 'Paragraph Text', 'Segment ' || c_mktsegment || ' & more.',
+    'Word Count', 4, 'Character Count', length('Segment ' || c_mktsegment || ' & more.')) FROM customer
+  UNION ALL SELECT c_custkey, 'Images', 1, json_object('Alt Text', c_name, 'Image URL', 'https://shop.example.com/a/' || c_custkey || '.png',
+    'Type', 'Internal') FROM customer
+  UNION ALL SELECT c_custkey, 'Tables', 1, json_object('Name', c_name, 'Segment', c_mktsegment) FROM customer
+    WHERE c_custkey % 5 <> 0 AND c_custkey % 2 = 1
+  UNION ALL SELECT c_custkey, 'Tables', i, CASE i
+      WHEN 1 THEN json_object('Table #', 'Table 1', 'Column 1', c_name || c_custkey, 'Column 2', '' || c_custkey)
+      WHEN 2 THEN json_object('Table #', 'Table 1', 'Column 1', '' || c_custkey, 'Column 2', '')
+      ELSE json_object('Table #', 'Table 2', 'Column 1', '' || c_custkey) END
+    FROM customer, (VALUES (1::BIGINT), (2::BIGINT), (3::BIGINT)) v(i) WHERE c_custkey % 5 <> 0 AND c_custkey % 2 = 0)"""

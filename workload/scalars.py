@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagetables.functions import html, outcome, text, urls
-from pagetables.operators import records
+from pagetables.operators import records, tables
 from pagetables.plans import history, report
 
 from . import views
@@ -160,19 +160,22 @@ def link_type(spark, sf_dir):
     )
 
 
-_PRIVATE_SQL = " OR ".join(
-    f"n BETWEEN {urls._ipv4(b.split('/')[0])} AND {urls._ipv4(b.split('/')[0]) + 2 ** (32 - int(b.split('/')[1])) - 1}"
-    for b in urls.PRIVATE_BLOCKS
-)
+# First and last number of every private block.
+_PRIVATE_SQL = """n BETWEEN 0 AND 16777215 OR n BETWEEN 167772160 AND 184549375 OR n BETWEEN 2130706432 AND 2147483647
+  OR n BETWEEN 2851995648 AND 2852061183 OR n BETWEEN 2886729728 AND 2887778303 OR n BETWEEN 3221225472 AND 3221225727
+  OR n BETWEEN 3221225984 AND 3221226239 OR n BETWEEN 3232235520 AND 3232301055 OR n BETWEEN 3323068416 AND 3323199487
+  OR n BETWEEN 3325256704 AND 3325256959 OR n BETWEEN 3405803776 AND 3405804031 OR n BETWEEN 4026531840 AND 4294967295"""
 
 
 @query(
     f"""SELECT c_custkey, host, is_literal AND ({_PRIVATE_SQL}) AND n NOT IN (3221225481, 3221225482) AS is_private
-FROM (SELECT c_custkey, c_custkey % 7 <> 6 AS is_literal,
-  a * 16777216 + b * 65536 + (c_custkey * 31 % 256) * 256 + c_custkey % 256 AS n,
-  CASE WHEN c_custkey % 7 = 6 THEN 'host' || c_custkey || '.example.com'
-    ELSE a || '.' || b || '.' || (c_custkey * 31 % 256) || '.' || (c_custkey % 256) END AS host
-  FROM (SELECT c_custkey,
+FROM (SELECT c_custkey, m <> 6 AS is_literal, a * 16777216 + b * 65536 + c * 256 + d AS n,
+  CASE WHEN m = 6 THEN 'host' || c_custkey || '.example.com'
+    WHEN c_custkey % 4 = 0 THEN '' || (a * 16777216 + b * 65536 + c * 256 + d)
+    WHEN c_custkey % 4 = 1 THEN printf('0x%x.%d', a, b * 65536 + c * 256 + d)
+    WHEN c_custkey % 4 = 2 THEN printf('%d.0%o.%d', a, b, c * 256 + d)
+    ELSE a || '.' || b || '.' || c || '.' || d END AS host
+  FROM (SELECT c_custkey, c_custkey % 7 AS m, c_custkey * 31 % 256 AS c, c_custkey % 256 AS d,
     CASE c_custkey % 7 WHEN 0 THEN 10 WHEN 1 THEN 172 WHEN 2 THEN 192 WHEN 3 THEN 169 WHEN 4 THEN 127
       ELSE c_custkey * 7 % 256 END AS a,
     CASE c_custkey % 7 WHEN 2 THEN 168 WHEN 3 THEN 254 ELSE c_custkey * 13 % 256 END AS b FROM customer))"""
@@ -182,8 +185,14 @@ def is_private_host(spark, sf_dir):
     m = k % 7
     a = F.when(m == 0, 10).when(m == 1, 172).when(m == 2, 192).when(m == 3, 169).when(m == 4, 127).otherwise(k * 7 % 256)
     b = F.when(m == 2, 168).when(m == 3, 254).otherwise(k * 13 % 256)
-    host = F.when(m == 6, F.concat(F.lit("host"), k, F.lit(".example.com"))).otherwise(
-        F.concat_ws(".", a, b, k * 31 % 256, k % 256)
+    c, d = k * 31 % 256, k % 256
+    rest = c * 256 + d
+    host = (
+        F.when(m == 6, F.concat(F.lit("host"), k, F.lit(".example.com")))
+        .when(k % 4 == 0, (a * 16777216 + b * 65536 + rest).cast("string"))
+        .when(k % 4 == 1, F.concat(F.lit("0x"), F.lower(F.hex(a)), F.lit("."), b * 65536 + rest))
+        .when(k % 4 == 2, F.concat(a, F.lit(".0"), F.conv(b, 10, 8), F.lit("."), rest))
+        .otherwise(F.concat_ws(".", a, b, c, d))
     )
     url = F.concat(F.lit("http://"), host, F.lit(":80/x"))
     hosts = table(spark, sf_dir, "customer").select("c_custkey", urls.url_hostname(url).alias("host"))
@@ -303,12 +312,15 @@ def fetch_error_message(spark, sf_dir):
     )
 
 
-@query(f"WITH {RUNS_SQL} SELECT id, round(execution_time / 3, 2) AS time2, round(record_count / 7.0, 1) AS rate1 FROM runs")
+@query(
+    f"WITH {RUNS_SQL} SELECT id, round(execution_time / 3, 2) AS time2, "
+    "CASE WHEN id % 5 > 0 THEN round(record_count / (id % 5) * 100, 1) ELSE 0.0 END AS rate1 FROM runs"
+)
 def round2(spark, sf_dir):
     return views.runs(spark, sf_dir).select(
         "id",
-        F.round(F.col("execution_time") / 3, 2).alias("time2"),
-        F.round(F.col("record_count") / 7.0, 1).alias("rate1"),
+        outcome.seconds(F.col("execution_time") / 3).alias("time2"),
+        outcome.percent(F.col("record_count"), F.col("id") % 5).alias("rate1"),
     )
 
 
@@ -383,6 +395,6 @@ def filter_empty_rows(spark, sf_dir):
     cells = F.when(F.col("o_orderkey") % 2 == 0, F.array(F.lit(""), F.col("o_orderstatus"))).otherwise(F.array(F.lit(""), F.lit("")))
     return (
         table(spark, sf_dir, "orders")
-        .select("o_orderkey", F.exists(cells, lambda c: c != "").alias("has_text"))
+        .select("o_orderkey", tables.has_text(cells).alias("has_text"))
         .where("has_text")
     )
