@@ -83,9 +83,22 @@ def heading_label(tag: Column) -> Column:
     return F.concat(F.lit("Heading "), F.substring(tag, 2, 1))
 
 
-def _entity_map() -> Column:
-    pairs = "\x02".join(f"{name}\x01{text}" for name, text in _ENTITIES.items())
-    return F.str_to_map(F.lit(pairs), F.lit("\x02"), F.lit("\x01"))
+def _entity(name: Column) -> Column:
+    """Text of a named reference, null for an unknown name: first the names with one
+    first letter, as one string, then the name in it."""
+    buckets: dict[str, str] = {}
+    for key, text in _ENTITIES.items():
+        buckets[key[0]] = buckets.get(key[0], "") + f"\x04{key}\x05{text}"
+    letters = F.str_to_map(
+        F.lit("\x02".join(f"{c}\x01{names}\x04" for c, names in buckets.items())), F.lit("\x02"), F.lit("\x01")
+    )
+    marked = F.concat(F.lit("\x04"), name, F.lit("\x05"))
+    return let(
+        F.element_at(letters, F.substring(name, 1, 1)),
+        lambda names: F.when(
+            F.contains(names, marked), F.substring_index(F.split_part(names, marked, F.lit(2)), "\x04", 1)
+        ),
+    )
 
 
 def _code_point(number: Column) -> Column:
@@ -127,7 +140,7 @@ def _reference(piece: Column, in_attribute: Column) -> Column:
     # in attribute values a name without ';' counts only before a separator
     bare = F.when(in_attribute & piece.rlike(f"^(?:{_BARE})[=A-Za-z0-9]"), F.lit("")).otherwise(bare)
     hits = F.transform(
-        F.array(closed, bare), lambda n: F.struct(n.alias("ref"), F.element_at(_entity_map(), n).alias("char"))
+        F.array(closed, bare), lambda n: F.struct(n.alias("ref"), F.when(n != "", _entity(n)).alias("char"))
     )
     numeric = r"^#(?:[0-9]+|[xX][0-9a-fA-F]+);?"
     found = let(
@@ -172,7 +185,9 @@ def common_references(marked: Column) -> Column:
     """A marked page in which only common references are left, so that its fields
     need no entity table. Pages without other references pass through."""
     parts = F.split(marked, "(?<=[\x01\x03])", -1)
-    spelled = F.array_join(F.transform(parts, lambda p: _spell_out(p, p.contains("\x02"))), "")
+    spelled = F.array_join(
+        F.transform(parts, lambda p: F.when(p.rlike(_UNCOMMON), _spell_out(p, p.contains("\x02"))).otherwise(p)), ""
+    )
     return F.when(marked.rlike(_UNCOMMON), spelled).otherwise(marked)
 
 
