@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, main_text, mixing, neighbours, packing, quality, sharding, simhash, substrings, token_counts
+from . import licenses, main_text, mixing, neighbours, oracles, packing, quality, sharding, simhash, substrings, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -116,3 +116,7 @@ def op9_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_multiprobe_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+ORACLES["op4_suffix_automaton_dedup"] = oracles.SUBSTRINGS
+ORACLES["op9_quality_cascade"] = oracles.QUALITY

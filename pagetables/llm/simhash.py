@@ -49,11 +49,22 @@ BITS = 64
 _ALL = (1 << BITS) - 1
 
 
-def fingerprint(raw: bytes | None, width: int = SHINGLE) -> int:
-    """SimHash of the text's shingles of ``width`` words, A-Z lowered."""
+def _mixed(hashes: np.ndarray, table: int) -> np.ndarray:
+    """Other hashes for every further table, made from the first ones."""
+    if not table:
+        return hashes
+    with np.errstate(over="ignore"):
+        x = hashes + np.uint64(table * 0x9E3779B97F4A7C15 & _ALL)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprint(raw: bytes | None, width: int = SHINGLE, tables: int = 1) -> np.ndarray:
+    """SimHash of the text's shingles of ``width`` words, A-Z lowered, for each table."""
     words = split_words(raw.lower()) if raw else []
     if not words:
-        return 0
+        return np.zeros(tables, dtype=np.uint64)
     joined, n = b" ".join(words), max(1, len(words) - width + 1)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
@@ -61,21 +72,24 @@ def fingerprint(raw: bytes | None, width: int = SHINGLE) -> int:
     spans = zip(starts[:n].tolist(), ends[last : last + n].tolist())
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(joined[s:e], SEED) for s, e in spans), np.uint64, n)
-    counts = np.zeros(BITS, dtype=np.int64)
+    counts = np.zeros((tables, BITS), dtype=np.int64)
     for at in range(0, n, 1 << 14):
-        part = hashes[at : at + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8)
-        counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+        part = hashes[at : at + (1 << 14)]
+        for t in range(tables):
+            bits = _mixed(part, t).astype("<u8").view(np.uint8).reshape(-1, 8)
+            counts[t] += np.unpackbits(bits, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > n, axis=1, bitorder="little").view("<u8").ravel().astype(np.uint64)
 
 
-def fingerprints(text: Column, width: int = SHINGLE) -> Column:
-    """The fingerprint as a signed long."""
+def fingerprints(text: Column, width: int = SHINGLE, tables: int = 1) -> Column:
+    """The fingerprints as an array of signed longs, one for each table."""
 
     def of(texts: pa.Array) -> pa.Array:
-        found = np.array([fingerprint(r, width) for r in raw_texts(texts)], dtype=np.uint64)
-        return pa.array(found.view(np.int64))
+        found = [fingerprint(r, width, tables).view(np.int64) for r in raw_texts(texts)]
+        flat = np.concatenate(found) if found else np.empty(0, np.int64)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * tables, pa.int32()), pa.array(flat))
 
-    return F.arrow_udf(of, "bigint").asNondeterministic()(text.cast("string"))
+    return F.arrow_udf(of, "array<bigint>").asNondeterministic()(text.cast("string"))
 
 
 # --- the index inside a node ------------------------------------------------------
@@ -149,37 +163,43 @@ def forest(codes: np.ndarray, limit: int, step: int = 128) -> tuple[np.ndarray,
 
 
 def _links(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """Spanning forests of the nodes in a partition that is sorted by node."""
+    """Spanning forests of the nodes in a partition (t, mask, pattern, code) that is
+    sorted by node."""
 
-    def of(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        ends = np.flatnonzero((np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)) + 1
-        codes = rows[2].view(np.uint64)
-        two = np.diff(np.concatenate([[0], ends, [rows.shape[1]]])) == 2
+    def of(rows: np.ndarray) -> list[np.ndarray]:
+        ends = np.flatnonzero((np.diff(rows[:3]) != 0).any(axis=0)) + 1
+        codes = rows[3].view(np.uint64)
         starts = np.concatenate([[0], ends])
+        stops = np.concatenate([ends, [rows.shape[1]]])
+        two = stops - starts == 2
         pair = starts[two]
         near = pair[np.bitwise_count(codes[pair] ^ codes[pair + 1]) <= limit]
-        a, b = [codes[near]], [codes[near + 1]]
-        stops = np.concatenate([ends, [rows.shape[1]]])
+        t, a, b = [rows[0][near]], [codes[near]], [codes[near + 1]]
         for s, e in zip(starts[~two].tolist(), stops[~two].tolist()):
             own, root = forest(codes[s:e], limit)
             linked = own != root
             a.append(own[linked])
             b.append(root[linked])
-        return np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)
+            t.append(np.full(int(linked.sum()), rows[0, s]))
+        return [np.concatenate(t), np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)]
+
+    def batch_of(rows: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in of(rows)], names=["t", "a", "b"])
 
-    left = np.empty((3, 0), dtype=np.int64)
+    left = np.empty((4, 0), dtype=np.int64)
     for batch in batches:
-        rows = np.hstack([left, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])])
+        columns = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
+        rows = np.hstack([left, np.stack(columns)])
         if not rows.shape[1]:
             continue
         # The last node may go on in the next batch.
-        same = (rows[0] == rows[0, -1]) & (rows[1] == rows[1, -1])
+        same = (rows[:3] == rows[:3, -1:]).all(axis=0)
         cut = rows.shape[1] - int(np.argmin(same[::-1])) if not same.all() else 0
         left = rows[:, cut:]
         if cut:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in of(rows[:, :cut])], names=["a", "b"])
+            yield batch_of(rows[:, :cut])
     if left.shape[1]:
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in of(left)], names=["a", "b"])
+        yield batch_of(left)
 
 
 # --- the upper nodes --------------------------------------------------------------
@@ -197,19 +217,19 @@ def _signed(mask: int) -> int:
 
 
 def links(codes: DataFrame, limit: int = LIMIT, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
-    """(a, b): links between the distinct longs of column ``code`` that connect
+    """(t, a, b): links between the distinct codes (t, code) of each table that connect
     all codes within the limit, directly or by others."""
     masks = parts_of(_ALL, limit + 1)
-    filed = codes.select("code", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask"))
-    found = None
+    filed = codes.select("t", "code", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask"))
+    found, node = None, ["t", "mask", "pattern"]
     for level in range(depth):
         filed = filed.withColumn("pattern", F.col("code").bitwiseAND(F.col("mask")))
-        sizes = filed.groupBy("mask", "pattern").agg(F.count("*").alias("n")).where("n > 1")
-        nodes = stored(filed.join(sizes, ["mask", "pattern"]), "nodes")
+        sizes = filed.groupBy(*node).agg(F.count("*").alias("n")).where("n > 1")
+        nodes = stored(filed.join(sizes, node), "nodes")
         last = level == depth - 1
         small = nodes if last else nodes.where(F.col("n") <= leaf)
-        dealt = small.select("mask", "pattern", "code").repartition("mask", "pattern").sortWithinPartitions("mask", "pattern")
-        own = dealt.mapInArrow(lambda batches: _links(batches, limit), "a bigint, b bigint")
+        dealt = small.select(*node, "code").repartition(*node).sortWithinPartitions(*node)
+        own = dealt.mapInArrow(lambda batches: _links(batches, limit), "t bigint, a bigint, b bigint")
         found = own if found is None else found.union(own)
         large = nodes.where(F.col("n") > leaf)
         if last or large.isEmpty():
@@ -219,36 +239,56 @@ def links(codes: DataFrame, limit: int = LIMIT, leaf: int = LEAF, depth: int = D
         children = F.create_map(
             *[x for m, c in below.items() for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(i)) for i in c]))]
         )
-        filed = large.select("code", F.explode(children[F.col("mask")]).alias("mask"))
+        filed = large.select("t", "code", F.explode(children[F.col("mask")]).alias("mask"))
         masks = [i for c in below.values() for i in c]
     return found
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE, limit: int = LIMIT) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE, limit: int = LIMIT, tables: int = 1
+) -> DataFrame:
     """(doc_id, text_key, code, component, component_id) for every row: the fingerprint
-    as a long, its class and the smallest id of the class. ``text_key`` is a hash of
-    the text that tells rows of one id apart."""
+    as a long (the first table's), its class and the smallest id of the class.
+    ``text_key`` is a hash of the text that tells rows of one id apart.
+
+    With one table the links are exactly those within the limit. Near copies often differ in
+    more bits; further tables of fingerprints from other hashes link them without a
+    higher limit, which would link unlike texts."""
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    marked = stored(
-        own.select("doc_id", F.xxhash64("text").alias("text_key"), fingerprints(F.col("text"), width).alias("code")),
-        "fingerprints",
-    )
-    codes = stored(marked.groupBy("code").agg(F.min("doc_id").alias("first_id")), "codes")
-    classes = connected_components(links(codes.select("code"), limit))
-    known = codes.join(classes.withColumnRenamed("node", "code"), "code", "left").select(
-        "code", "first_id", F.coalesce("component", "code").alias("component")
+    marked = own.select("doc_id", F.xxhash64("text").alias("text_key"), fingerprints(F.col("text"), width, tables).alias("codes"))
+    # One table: the code itself; several: a hash of them all.
+    one = F.col("codes")[0] if tables == 1 else F.xxhash64("codes")
+    marked = stored(marked.withColumn("sign", one), "fingerprints")
+    signs = stored(marked.groupBy("sign").agg(F.min("doc_id").alias("first_id"), F.any_value("codes").alias("codes")), "signs")
+    filed = signs.select("sign", F.posexplode("codes").alias("t", "code"))
+    filed = filed.select("sign", F.col("t").cast("long").alias("t"), "code")
+    if tables == 1:
+        edges = links(filed, limit).select("a", "b")
+    else:
+        filed = stored(filed, "codes")
+        heads = stored(filed.groupBy("t", "code").agg(F.min("sign").alias("head")), "heads")
+        alike = filed.join(heads, ["t", "code"]).where("sign != head").select(F.col("sign").alias("a"), F.col("head").alias("b"))
+        near = links(heads, limit)
+        for end in ("a", "b"):
+            near = near.join(heads.select("t", F.col("code").alias(end), F.col("head").alias(f"head_{end}")), ["t", end])
+        edges = alike.union(near.select("head_a", "head_b"))
+    classes = connected_components(edges)
+    known = signs.join(classes.withColumnRenamed("node", "sign"), "sign", "left").select(
+        "sign", "first_id", F.coalesce("component", "sign").alias("component")
     )
     named = known.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    table = known.select("code", "component").join(named, "component")
-    return marked.join(table, "code").select("doc_id", "text_key", "code", "component", "component_id")
+    table = known.select("sign", "component").join(named, "component")
+    return marked.join(table, "sign").select("doc_id", "text_key", F.col("codes")[0].alias("code"), "component", "component_id")
 
 
-def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE, limit: int = LIMIT) -> DataFrame:
+def deduplicate(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE, limit: int = LIMIT, tables: int = 1
+) -> DataFrame:
     """One document of every class, the one with the smallest id, in the columns of the
     input. Rows without an id come last, rows of one id go by the hash of their text;
     of rows alike in both one stays."""
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "text_key")
-    first = near_duplicates(docs, doc_id, text, width, limit).groupBy("component").agg(F.min(order).alias("r"))
+    first = near_duplicates(docs, doc_id, text, width, limit, tables).groupBy("component").agg(F.min(order).alias("r"))
     first = first.select(F.col("r.no_id").alias("_no_id"), F.col("r.id").alias("_id"), F.col("r.text_key").alias("_key"))
     own = without(docs, "_no_id", "_id", "_key", "_n")
     keyed = (

@@ -104,7 +104,7 @@ def test_large_nodes_are_cut_again(spark):
         for _ in range(rng.randint(0, 6)):
             c ^= 1 << rng.randrange(64)
         codes.add(c)
-    frame = spark.createDataFrame([(simhash._signed(c),) for c in codes], "code bigint")
+    frame = spark.createDataFrame([(0, simhash._signed(c)) for c in codes], "t bigint, code bigint")
     links = simhash.links(frame, limit=2, leaf=8)
     found = {r.node: r.component for r in components.connected_components(links).collect()}
     groups, want = {}, {}
@@ -114,6 +114,42 @@ def test_large_nodes_are_cut_again(spark):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+def test_more_tables_find_near_copies_and_leave_others_alone(docs_of, prose):
+    pairs = []
+    for i in range(60):
+        words = prose(200, i).split()
+        pairs.append((i, " ".join(words)))
+        for k in (60, 130):
+            words[k] = f"changed{i}"
+        pairs.append((100 + i, " ".join(words)))
+    docs = docs_of(pairs)
+    kept = {t: {r.doc_id for r in simhash.deduplicate(docs, tables=t).collect()} for t in (1, 16)}
+    assert set(range(60)) <= kept[16] <= kept[1]
+    assert len(kept[16]) <= 66
+
+
+def test_links_of_several_tables_against_brute_force(docs_of, odd_pairs):
+    pairs = [(i, t) for i, t in odd_pairs if i is not None]
+    codes = {t: simhash.fingerprint((t or "").encode(), 3, 4).tolist() for _, t in pairs}
+    texts = list(codes)
+    linked = {
+        (a, b)
+        for a in range(len(texts))
+        for b in range(a)
+        if any((x ^ y).bit_count() <= 2 for x, y in zip(codes[texts[a]], codes[texts[b]]))
+    }
+    root = list(range(len(texts)))
+    for _ in texts:
+        for a, b in linked:
+            root[a] = root[b] = min(root[a], root[b])
+    smallest = {}
+    for i, t in pairs:
+        r = root[texts.index(t)]
+        smallest[r] = min(i, smallest.get(r, i))
+    rows = simhash.near_duplicates(docs_of(pairs), tables=4).collect()
+    assert sorted((r.doc_id, r.component_id) for r in rows) == sorted((i, smallest[root[texts.index(t)]]) for i, t in pairs)
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (None, 3), (7, 7)], "a bigint, b bigint")
     found = {r.node: r.component for r in components.connected_components(edges).collect()}
