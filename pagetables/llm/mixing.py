@@ -63,7 +63,9 @@ class Membership:
     def posteriors(self, rows: list[np.ndarray]) -> np.ndarray:
         if self.model is None:
             return np.ones((len(rows), 1))
-        return self.model.probabilities(rows)
+        # A few documents at a time: their features' weights are gathered at once.
+        parts = [self.model.probabilities(rows[i : i + 64]) for i in range(0, len(rows), 64)]
+        return np.concatenate(parts) if parts else np.empty((0, len(self.domains)))
 
 
 def fit_membership(
@@ -103,7 +105,7 @@ def with_posteriors(docs: DataFrame, membership: Membership, text: str = "text")
 
     def of(texts: pa.Array) -> pa.Array:
         found = [word_features(r) for r in raw_texts(texts)]
-        p = shared.value.posteriors([f[0] for f in found]) if found else np.empty((0, 1))
+        p = shared.value.posteriors([f[0] for f in found])
         kind = pa.struct([("n_tokens", pa.int64()), ("posterior", pa.list_(pa.float64()))])
         return pa.array([{"n_tokens": n, "posterior": row} for (_, n), row in zip(found, p)], kind)
 
