@@ -19,9 +19,10 @@ its automata cannot be broadcast: they are built where their part of the corpus
    shards by anchor; an automaton of the shard's passages knows for every state the
    smallest id that has it. Each passage is streamed past the automaton, and where its
    matching statistics reach ``width`` words the state says who has the window first.
-4. An anchor with more words than fit a shard is dealt by single windows instead, each
-   distinct window that several runs share once, so a passage in every document is
-   one unit.
+4. An anchor with more words than fit a shard is not gathered: its passages get longer
+   anchors, which tell their surroundings apart, and go through steps 2 and 3 again,
+   in the end with anchors as long as a window. A passage that stands in every
+   document so becomes one run.
 5. A document loses the words of each window that a smaller id has.
 
 Words are compared as bytes. Windows are judged on the input. Null and empty texts and
@@ -153,12 +154,12 @@ def runs_of(words: list[bytes], width: int, anchor_words: int = ANCHOR_WORDS) ->
     return short[at[starts]].view(np.int64), passages.view(np.int64), starts, counts
 
 
-def _runs(docs: DataFrame, width: int) -> DataFrame:
+def _runs(docs: DataFrame, width: int, anchor_words: int) -> DataFrame:
     """(doc_id, text_key, anchor, run, start, n) of all documents with an id."""
     kind = pa.list_(pa.struct([("anchor", pa.int64()), ("run", pa.int64()), ("start", pa.int32()), ("n", pa.int32())]))
 
     def of(texts: pa.Array) -> pa.Array:
-        found = [runs_of(split_words(r), width) for r in raw_texts(texts)]
+        found = [runs_of(split_words(r), width, anchor_words) for r in raw_texts(texts)]
         offsets = np.cumsum([0] + [len(f[0]) for f in found])
         columns = [np.concatenate([f[i] for f in found]) if found else np.empty(0) for i in range(4)]
         rows = pa.StructArray.from_arrays(
@@ -175,7 +176,7 @@ def _runs(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _owners_in_shard(width: int):
-    """Applied to one shard (anchor, unit, owner, passage): stretches of each unit's
+    """Applied to one shard (anchor, run, owner, passage): stretches of each run's
     windows that one id owns."""
     stretch = pa.list_(pa.struct([("i", pa.int32()), ("n", pa.int32()), ("owner", pa.int64())]))
 
@@ -195,20 +196,81 @@ def _owners_in_shard(width: int):
             automaton.add(words, owner)
         automaton.settle()
         owners = [stretches(automaton.statistics(words, width)[1][width - 1 :]) for words in passages]
-        return pa.table({"anchor": shard["anchor"], "unit": shard["unit"], "owners": pa.array(owners, stretch)})
+        return pa.table({"anchor": shard["anchor"], "run": shard["run"], "owners": pa.array(owners, stretch)})
 
     return of
 
 
-def _window_owners(units: DataFrame, n_words: int, key: str, width: int, shard_words: int) -> DataFrame:
-    """(anchor, unit, owners) of units (anchor, unit, owner, passage) dealt by ``key``."""
+def _window_owners(units: DataFrame, n_words: int, width: int, shard_words: int) -> DataFrame:
+    """(anchor, run, i, n, owner): stretches of windows of units (anchor, run, owner, n,
+    passage), by automata of shards that hold whole anchors."""
     shards = 1 + n_words // shard_words
-    dealt = units.withColumn("shard", F.pmod(F.xxhash64(key), F.lit(shards)))
-    return (
-        dealt.select("shard", "anchor", "unit", "owner", "passage")
+    dealt = units.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+    found = (
+        dealt.select("shard", "anchor", "run", "owner", "passage")
         .groupBy("shard")
-        .applyInArrow(_owners_in_shard(width), "anchor bigint, unit string, owners array<struct<i: int, n: int, owner: bigint>>")
+        .applyInArrow(_owners_in_shard(width), "anchor bigint, run bigint, owners array<struct<i: int, n: int, owner: bigint>>")
     )
+    return found.select("anchor", "run", F.explode("owners").alias("o")).select("anchor", "run", "o.*")
+
+
+def _sub_runs(width: int, anchor_words: int):
+    """UDF over passages: their runs by longer anchors, with the words of each."""
+    kind = pa.list_(
+        pa.struct(
+            [("anchor", pa.int64()), ("run", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("passage", pa.string())]
+        )
+    )
+
+    def of(passages: pa.Array) -> pa.Array:
+        out = []
+        for raw in raw_texts(passages):
+            words = raw.split(b"\x20")
+            found = zip(*(x.tolist() for x in runs_of(words, width, anchor_words)))
+            out.append(
+                [
+                    {"anchor": a, "run": r, "start": s, "n": n, "passage": b" ".join(words[s : s + n + width - 1]).decode()}
+                    for a, r, s, n in found
+                ]
+            )
+        return pa.array(out, kind)
+
+    spark_type = "array<struct<anchor: bigint, run: bigint, start: int, n: int, passage: string>>"
+    return F.arrow_udf(of, spark_type).asNondeterministic()
+
+
+def _owned(units: DataFrame, width: int, shard_words: int, anchor_words: int) -> DataFrame:
+    """(anchor, run, i, n, owner): who has the windows of each distinct run first. The
+    units (anchor, run, owner, n, passage) are stored and have anchors of
+    ``anchor_words`` words."""
+    words = F.col("n") + width - 1
+    sizes = units.groupBy("anchor").agg(F.sum(words).alias("words"), F.count("*").alias("runs"))
+    large = stored(sizes.where((F.col("words") > shard_words) & (F.col("runs") > 1)).select("anchor"), "large")
+    total = units.agg(F.sum(words)).first()[0] or 0
+    if anchor_words == width or large.isEmpty():
+        return _window_owners(units, total, width, shard_words)
+    small = _window_owners(units.join(large, "anchor", "left_anti"), total, width, shard_words)
+
+    longer = min(width, anchor_words + max(1, width // 3))
+    sub = units.join(large, "anchor").select("anchor", "run", "owner", _sub_runs(width, longer)("passage").alias("s"))
+    sub = sub.select("anchor", "run", "owner", F.explode("s").alias("s")).select(
+        "anchor", "run", "owner", F.xxhash64("anchor", "s.anchor").alias("sub"), F.col("s.run").alias("sub_run"), "s.start", "s.n", "s.passage"
+    )
+    sub = stored(sub, "sub-runs")
+    groups = sub.groupBy("sub").agg(
+        F.min("owner").alias("first_id"), (F.min("sub_run") != F.max("sub_run")).alias("varied")
+    )
+    joined = sub.join(stored(groups, "sub-anchors"), "sub")
+    alike = joined.where("not varied").select("anchor", "run", F.col("start").alias("i"), "n", F.col("first_id").alias("owner"))
+    varied = joined.where("varied")
+    inner = varied.groupBy("sub", "sub_run").agg(F.min("owner").alias("owner"), F.min("n").alias("n"), F.min("passage").alias("passage"))
+    inner = stored(inner.select(F.col("sub").alias("anchor"), F.col("sub_run").alias("run"), "owner", "n", "passage"), "units")
+    found = _owned(inner, width, shard_words, longer).select(
+        F.col("anchor").alias("sub"), F.col("run").alias("sub_run"), "i", F.col("n").alias("m"), F.col("owner").alias("first_owner")
+    )
+    parts = varied.select("anchor", "run", "sub", "sub_run", "start").join(found, ["sub", "sub_run"])
+    parts = parts.select("anchor", "run", (F.col("start") + F.col("i")).alias("i"), F.col("m").alias("n"), F.col("first_owner").alias("owner"))
+    return small.unionByName(alike).unionByName(parts)
 
 
 def _passages(docs: DataFrame, units: DataFrame, width: int) -> DataFrame:
@@ -237,57 +299,26 @@ def _passages(docs: DataFrame, units: DataFrame, width: int) -> DataFrame:
 def repeated_windows(docs: DataFrame, width: int = WIDTH, shard_words: int = SHARD_WORDS) -> DataFrame:
     """(doc_id, text_key, start, n): stretches of windows that begin in a document with
     a smaller id too. ``docs`` has doc_id and text."""
-    runs = _runs(docs, width)
+    anchor_words = min(ANCHOR_WORDS, width)
+    runs = _runs(docs, width, anchor_words)
     anchors = runs.groupBy("anchor").agg(
         F.min("doc_id").alias("first_id"),
         F.max("doc_id").alias("last_id"),
         (F.min("run") != F.max("run")).alias("varied"),
     )
-    shared = anchors.where("first_id < last_id").select("anchor", "first_id", "varied")
+    # Stored, so that both sides of the join are shuffled and a frequent anchor's can be split.
+    shared = stored(anchors.where("first_id < last_id").select("anchor", "first_id", "varied"), "anchors")
     hits = stored(runs.join(shared, "anchor"), "hits")
     alike = hits.where("not varied and first_id < doc_id").select("doc_id", "text_key", "start", "n")
 
     varied = hits.where("varied")
     first = varied.groupBy("anchor", "run").agg(F.min(F.struct("doc_id", "text_key", "start", "n")).alias("r"))
-    units = stored(
-        first.select("anchor", "run", F.col("r.doc_id").alias("owner"), "r.text_key", "r.start", "r.n"), "units"
-    )
-    words = F.col("n") + width - 1
-    sizes = units.groupBy("anchor").agg(F.sum(words).alias("words"), F.count("*").alias("runs"))
-    large = sizes.where((F.col("words") > shard_words) & (F.col("runs") > 1)).select("anchor")
-    total = units.agg(F.sum(words)).first()[0]
-    if not total:
-        return alike
+    units = first.select("anchor", "run", F.col("r.doc_id").alias("owner"), "r.text_key", "r.start", "r.n")
     passages = stored(_passages(docs, units, width).dropDuplicates(["anchor", "run"]), "passages")
-
-    small = passages.join(large, "anchor", "left_anti").select(
-        "anchor", F.col("run").cast("string").alias("unit"), "owner", "passage"
-    )
-    by_run = _window_owners(small, total, "anchor", width, shard_words)
-
-    # Anchors beyond a shard: their distinct windows that several runs share.
-    piece = f"array_join(slice(split(passage, ' '), i + 1, {width}), ' ')"
-    windows = (
-        passages.join(large, "anchor")
-        .select("anchor", "run", "owner", "passage", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
-        .select("anchor", "run", "owner", "i", F.expr(f"md5({piece})").alias("unit"))
-    )
-    windows = stored(windows, "windows")
-    common = windows.groupBy("anchor", "unit").agg(F.min(F.struct("owner", "run", "i")).alias("r"), F.max("owner").alias("last_id"))
-    common = stored(common.where("r.owner < last_id").select("anchor", "unit", "r.owner", "r.run", "r.i"), "common")
-    texts = common.join(passages.select("anchor", "run", "passage"), ["anchor", "run"])
-    single = texts.select("anchor", "unit", "owner", F.expr(piece).alias("passage"))
-    by_window = _window_owners(single, width * common.count(), "unit", width, shard_words)
-    by_window = by_window.select("anchor", "unit", F.col("owners")[0]["owner"].alias("owner"))
-    of_runs = windows.select("anchor", "run", "i", "unit").join(by_window, ["anchor", "unit"])
-
-    whole = varied.withColumn("unit", F.col("run").cast("string")).join(by_run, ["anchor", "unit"])
-    whole = whole.select("doc_id", "text_key", "start", F.explode("owners").alias("o"))
-    whole = whole.select("doc_id", "text_key", "start", "o.i", "o.n", "o.owner")
-    parts = varied.select("doc_id", "text_key", "anchor", "run", "start").join(of_runs, ["anchor", "run"])
-    parts = parts.select("doc_id", "text_key", "start", "i", F.lit(1).alias("n"), "owner")
-    taken = whole.unionByName(parts).where("owner < doc_id")
-    return alike.unionByName(taken.select("doc_id", "text_key", (F.col("start") + F.col("i")).alias("start"), "n"))
+    owned = _owned(passages, width, shard_words, anchor_words).withColumnsRenamed({"n": "m"})
+    taken = varied.select("doc_id", "text_key", "anchor", "run", "start").join(owned, ["anchor", "run"])
+    taken = taken.where("owner < doc_id").select("doc_id", "text_key", (F.col("start") + F.col("i")).alias("start"), F.col("m").alias("n"))
+    return alike.unionByName(taken)
 
 
 def _cut(width: int):
