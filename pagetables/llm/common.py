@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ..session import new_folder
 
@@ -41,3 +42,12 @@ def without(rows: DataFrame, *names: str) -> DataFrame:
     columns take the place of input columns that are named alike."""
     taken = {n.lower() for n in names}
     return rows.select(*[rows[f"`{c}`"] for c in rows.columns if c.lower() not in taken])
+
+
+def sampled(rows: DataFrame, by: Column, n: int) -> DataFrame:
+    """At most ``n`` rows, those with the lowest hash of ``by``. Rows that cannot be among
+    them are dropped where they are, so that tasks send few rows and not ``n`` each."""
+    total, hashed = rows.count(), rows.withColumn("_hash", F.pmod(F.xxhash64(by), F.lit(1 << 40)))
+    if total > 4 * n:
+        hashed = hashed.where(F.col("_hash") < (1 << 40) * 4 * n // total)
+    return hashed.orderBy("_hash").limit(n).drop("_hash")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import without
+from .common import sampled, without
 from .linear import Logistic
 
 UNKNOWN = "unknown"
@@ -219,9 +219,9 @@ def train(lines: list[str], seed: int = 11) -> LicenceModel:
 def sample_lines(docs: DataFrame, text: str = "text", lines: int = SAMPLE_LINES) -> list[str]:
     """At most so many lines: the last line and one by hash of the documents whose texts hash lowest."""
     texts = docs.where(F.col(text).isNotNull()).select(F.col(text).cast("string").alias("t"))
-    hashed = texts.select(F.xxhash64("t").alias("h"), F.split("t", "\n").alias("l")).where("size(l) > 0")
-    picked = hashed.select("h", F.expr("array(l[size(l) - 1], l[pmod(h, size(l))])").alias("l"))
-    rows = picked.orderBy("h").limit(lines // 2).collect()
+    picked = sampled(texts, F.col("t"), lines // 2)
+    two = "array(l[size(l) - 1], l[pmod(xxhash64(t), size(l))])"
+    rows = picked.withColumn("l", F.split("t", "\n")).select(F.expr(two).alias("l")).collect()
     return [p for r in rows for p in r.l if p]
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import without
+from .common import sampled, without
 from .linear import Logistic
 
 TRAIN_PAGES = 400
@@ -319,8 +319,8 @@ def train(pages: DataFrame, html: str = "html", train_pages: int = TRAIN_PAGES)
             out.append(rows if len({r["content"] for r in rows}) == 2 else [])
         return pa.array(out, kind)
 
-    texts = pages.where(F.col(html).isNotNull()).select(F.xxhash64(html).alias("h"), F.col(html).cast("string").alias("t"))
-    sample = texts.orderBy("h").limit(train_pages)
+    texts = pages.where(F.col(html).isNotNull()).select(F.col(html).cast("string").alias("t"))
+    sample = sampled(texts, F.col("t"), train_pages)
     reader = F.arrow_udf(of, "array<struct<f: array<int>, content: boolean>>").asNondeterministic()
     # One row per distinct set of features: a bounded number, with its count.
     rows = (

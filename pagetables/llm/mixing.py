@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw_texts, split_words, stored, without
+from .common import raw_texts, sampled, split_words, stored, without
 from .linear import Logistic
 
 TRAIN_ROWS = 6000
@@ -77,7 +77,7 @@ def fit_membership(
     known = labels.where(" and ".join(f"{n} is not null" for n in names)).select(
         F.col("doc_id").alias("_id"), domain.alias("domain")
     )
-    known = known.orderBy(F.xxhash64("_id"), "domain").limit(train_rows)
+    known = sampled(known, F.struct("_id", "domain"), train_rows)
 
     def features(texts: pa.Array) -> pa.Array:
         return pa.array([word_features(r)[0] for r in raw_texts(texts)], pa.list_(pa.int32()))
