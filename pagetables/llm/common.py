@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -18,9 +20,11 @@ def stored(rows: DataFrame, purpose: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-def raw_texts(texts: pa.Array) -> list[bytes | None]:
-    """UTF-8 bytes of each text."""
-    return texts.cast(pa.binary()).to_pylist()
+def raw_texts(texts: pa.Array) -> Iterator[bytes | None]:
+    """UTF-8 bytes of each text, a few texts at a time."""
+    raw = texts.cast(pa.binary())
+    for at in range(0, len(raw), 64):
+        yield from raw.slice(at, 64).to_pylist()
 
 
 def split_words(raw: bytes | None) -> list[bytes]:

@@ -120,7 +120,7 @@ def plan_cascade(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "te
 
     def measure(batches):
         for batch in batches:
-            raws = raw_texts(batch.column(0))
+            raws = list(raw_texts(batch.column(0)))
             hit, spent = [], []
             for rule in rules:
                 start = time.thread_time_ns()

@@ -171,11 +171,11 @@ def _links(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordB
         codes = rows[3].view(np.uint64)
         starts = np.concatenate([[0], ends])
         stops = np.concatenate([ends, [rows.shape[1]]])
-        two = stops - starts == 2
+        two, more = stops - starts == 2, stops - starts > 2
         pair = starts[two]
         near = pair[np.bitwise_count(codes[pair] ^ codes[pair + 1]) <= limit]
         t, a, b = [rows[0][near]], [codes[near]], [codes[near + 1]]
-        for s, e in zip(starts[~two].tolist(), stops[~two].tolist()):
+        for s, e in zip(starts[more].tolist(), stops[more].tolist()):
             own, root = forest(codes[s:e], limit)
             linked = own != root
             a.append(own[linked])
@@ -224,22 +224,23 @@ def links(codes: DataFrame, limit: int = LIMIT, leaf: int = LEAF, depth: int = D
     found, node = None, ["t", "mask", "pattern"]
     for level in range(depth):
         filed = filed.withColumn("pattern", F.col("code").bitwiseAND(F.col("mask")))
-        sizes = filed.groupBy(*node).agg(F.count("*").alias("n")).where("n > 1")
-        nodes = stored(filed.join(sizes, node), "nodes")
         last = level == depth - 1
-        small = nodes if last else nodes.where(F.col("n") <= leaf)
+        sizes = filed.groupBy(*node).agg(F.count("*").alias("n"))
+        large = None if last else stored(sizes.where(F.col("n") > leaf).select(*node), "large-nodes")
+        done = last or large.isEmpty()
+        small = filed if done else filed.join(large, node, "left_anti")
         dealt = small.select(*node, "code").repartition(*node).sortWithinPartitions(*node)
         own = dealt.mapInArrow(lambda batches: _links(batches, limit), "t bigint, a bigint, b bigint")
         found = own if found is None else found.union(own)
-        large = nodes.where(F.col("n") > leaf)
-        if last or large.isEmpty():
+        if done:
             return found
         # The masks in use are known: (limit + 1) to the power of the level.
         below = {m: [m | p for p in parts_of(_ALL & ~m, limit + 1)] for m in masks}
         children = F.create_map(
             *[x for m, c in below.items() for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(i)) for i in c]))]
         )
-        filed = large.select("t", "code", F.explode(children[F.col("mask")]).alias("mask"))
+        rest = stored(filed.join(large, node), "nodes")
+        filed = rest.select("t", "code", F.explode(children[F.col("mask")]).alias("mask"))
         masks = [i for c in below.values() for i in c]
     return found
 
