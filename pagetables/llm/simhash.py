@@ -60,18 +60,27 @@ def _mixed(hashes: np.ndarray, table: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprint(raw: bytes | None, width: int = SHINGLE, tables: int = 1) -> np.ndarray:
-    """SimHash of the text's shingles of ``width`` words, A-Z lowered, for each table."""
+def shingle_hashes(raw: bytes | None, width: int = SHINGLE) -> np.ndarray:
+    """Hashes of the text's shingles of ``width`` words, A-Z lowered; a text of fewer
+    words is one shingle."""
     words = split_words(raw.lower()) if raw else []
     if not words:
-        return np.zeros(tables, dtype=np.uint64)
+        return np.empty(0, dtype=np.uint64)
     joined, n = b" ".join(words), max(1, len(words) - width + 1)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     last = min(width, len(words)) - 1
     spans = zip(starts[:n].tolist(), ends[last : last + n].tolist())
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[s:e], SEED) for s, e in spans), np.uint64, n)
+    return np.fromiter((digest(joined[s:e], SEED) for s, e in spans), np.uint64, n)
+
+
+def fingerprint(raw: bytes | None, width: int = SHINGLE, tables: int = 1) -> np.ndarray:
+    """SimHash of the text's shingles of ``width`` words, A-Z lowered, for each table."""
+    hashes = shingle_hashes(raw, width)
+    n = len(hashes)
+    if not n:
+        return np.zeros(tables, dtype=np.uint64)
     counts = np.zeros((tables, BITS), dtype=np.int64)
     for at in range(0, n, 1 << 14):
         part = hashes[at : at + (1 << 14)]
@@ -288,8 +297,13 @@ def deduplicate(
     """One document of every class, the one with the smallest id, in the columns of the
     input. Rows without an id come last, rows of one id go by the hash of their text;
     of rows alike in both one stays."""
+    return first_of_class(docs, near_duplicates(docs, doc_id, text, width, limit, tables), doc_id, text)
+
+
+def first_of_class(docs: DataFrame, classes: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The first document of every class of (doc_id, text_key, component)."""
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "text_key")
-    first = near_duplicates(docs, doc_id, text, width, limit, tables).groupBy("component").agg(F.min(order).alias("r"))
+    first = classes.groupBy("component").agg(F.min(order).alias("r"))
     first = first.select(F.col("r.no_id").alias("_no_id"), F.col("r.id").alias("_id"), F.col("r.text_key").alias("_key"))
     own = without(docs, "_no_id", "_id", "_key", "_n")
     keyed = (
