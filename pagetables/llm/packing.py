@@ -40,7 +40,16 @@ SALTS = 64
 VOCABULARY = "word_bpe_49k.json"
 
 
-_MARK_AFTER_LETTER = re.compile(rb"(?<=[a-z])[!-/:-@\[-`{-~]")
+_MARK_AFTER_LETTER = re.compile(rb"(?<=[a-z])[!-/:-@\[-`{-~](?![\x80-\xff])")
+_MAY_COMPOSE = re.compile(rb"[A-Z](?=[\x80-\xff])")
+
+
+def lowered(raw: bytes) -> bytes:
+    """A-Z lowered, but for letters that a character after them may be composed with."""
+    out = bytearray(raw.lower())
+    for m in _MAY_COMPOSE.finditer(raw):
+        out[m.start()] = raw[m.start()]
+    return bytes(out)
 
 
 class WordIds:
@@ -79,8 +88,9 @@ class WordIds:
         if not raw:
             return b""
         # The vocabulary lowers all letters itself and never joins a letter with the mark
-        # after it, so there are fewer words to know. The marks of special tokens stay.
-        words = split_words(raw if b"<|" in raw else _MARK_AFTER_LETTER.sub(rb" \g<0>", raw.lower()))
+        # after it, so there are fewer words to know. It composes before it lowers: what
+        # stands before a character outside ASCII stays. So do the marks of special tokens.
+        words = split_words(raw if b"<|" in raw else _MARK_AFTER_LETTER.sub(rb" \g<0>", lowered(raw)))
         known = self.known
         try:
             return b"".join([known[w] for w in words])

@@ -101,3 +101,12 @@ def test_small_memory_gives_the_same_ids(prose, limit):
     for i in range(20):
         raw = prose(60, i).encode()
         assert tight.encode(raw) == wide.encode(raw)
+
+
+def test_capitals_that_compose_only_when_lowered():
+    tokenizer = Tokenizer.from_file(packing.vocabulary_path())
+    words = packing.WordIds(packing.vocabulary_path())
+    for letter in ("J\u030c", "H\u0331", "T\u0308", "W\u030a", "Y\u030a"):
+        for text in (letter, letter + "an, Plain. A" + letter, "Latin, Words! " + letter + "' \u00c9t\u00c9, x", "a" + letter + "=\u0338b<\u0338 a=\u0338"):
+            got = np.frombuffer(words.encode(text.encode()), "<u4").tolist()
+            assert got == tokenizer.encode(text, add_special_tokens=False).ids, text
