@@ -1,6 +1,7 @@
 """Licence scan by a trained paragraph classifier.
 
-A paragraph is a line of a text. Sparse word 1-, 2- and 3-grams go into a multinomial
+Paragraphs are the lines of a text and, as notices are wrapped over lines and a line may
+grant two licences, the runs of words of the whole text that hold a template. Sparse word 1-, 2- and 3-grams go into a multinomial
 logistic regression over licence families and ``unknown``. Only n-grams of the templates are
 features, so a paragraph without any is unknown at once. The model is trained on
 variants of the templates (other versions, words left out, text before and after) and, as
@@ -13,6 +14,16 @@ would be taken for a licence. An accepted paragraph is then compared with the fa
 templates; it is confirmed if ``CONFIRM`` of the words of one template stand in it in
 order.
 
+A run has at most ``2 n + SLACK`` words for a template of n, across line ends, and is cut
+to what the template spans. Runs are looked for where a text has one of the template's
+rarest words, so many that a confirmed run cannot do without all of them. A run counts for
+its family if the classifier takes its words for that family and its telling words are not
+all those of another family's run, so that a notice is not also one of a licence with a
+shorter name. Words of other families' runs are left out where the
+template does not need them, if the words outside these runs still speak for the family:
+that is the second licence of a notice that grants two. A run is numbered by the line it
+begins in.
+
 Null and empty texts have no paragraphs. Repeated rows are scanned each. Input columns
 named like output columns are replaced.
 """
@@ -21,8 +32,9 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +49,9 @@ SAMPLE_LINES = 4000
 MAX_FALSE = 0.001
 CONFIRM = 0.7
 GRAMS = 3
+SLACK = 8
+# Words in the templates of so many families at most tell families apart.
+TELLING = 3
 
 # Customary short notices of public licences. A number stands for a version.
 TEMPLATES = {
@@ -121,6 +136,57 @@ def grams(words: list[str]) -> set[str]:
     return {" ".join(words[i : i + n]) for n in range(1, GRAMS + 1) for i in range(len(words) - n + 1)}
 
 
+def rare_words(template: list[str], counts: Counter) -> list[str]:
+    """The rarest words of a template, one of which is in every run that confirms it."""
+    own, out = Counter(template), []
+    spare = max(k for k in range(len(template) + 1) if (len(template) - k) / len(template) >= CONFIRM)
+    for w in sorted(own, key=lambda w: (counts[w], w)):
+        out.append(w)
+        spare -= own[w]
+        if spare < 0:
+            break
+    return out
+
+
+def matched(template: list[str], words: list[str]) -> list[int]:
+    """Places of the longest common order of a template and a few words."""
+    n, m = len(template), len(words)
+    best = np.zeros((n + 1, m + 1), dtype=np.int64)
+    for i in range(n - 1, -1, -1):
+        for j in range(m - 1, -1, -1):
+            best[i, j] = best[i + 1, j + 1] + 1 if template[i] == words[j] else max(best[i + 1, j], best[i, j + 1])
+    i = j = 0
+    out = []
+    while i < n and j < m:
+        if template[i] == words[j]:
+            out.append(j)
+            i, j = i + 1, j + 1
+        elif best[i + 1, j] >= best[i, j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
+def runs(template: list[str], words: list[str], places: list[int]) -> list[tuple[float, list[int]]]:
+    """(similarity, places of the matched words) of the runs around ``places`` that
+    confirm the template. They do not overlap."""
+    longest, known = 2 * len(template) + SLACK, set(template)
+    starts = {s for i in places for s in range(max(0, i - longest + 1), i + 1) if words[s] in known}
+    scored = []
+    for s in sorted(starts):
+        window = words[s : s + longest]
+        if len(known.intersection(window)) >= CONFIRM * len(known) / 2 and (similarity := in_order(template, window)) >= CONFIRM:
+            scored.append((similarity, s))
+    out: list[tuple[float, list[int]]] = []
+    # The best first, of equal ones the latest start: the shortest run.
+    for similarity, s in sorted(scored, reverse=True):
+        own = [s + j for j in matched(template, words[s : s + longest])]
+        if all(own[-1] < o[0] or o[-1] < own[0] for _, o in out):
+            out.append((similarity, own))
+    return out
+
+
 def in_order(template: list[str], words: list[str]) -> float:
     """Part of the template's words that stand in the paragraph in the same order."""
     places: dict[str, list[int]] = {}
@@ -145,9 +211,12 @@ class LicenceModel:
     model: Logistic
     threshold: float
     templates: dict[str, list[list[str]]]
+    anchors: dict[str, list[tuple[str, int]]] = field(default_factory=dict)
 
     def __post_init__(self):
         self.first_words = {g for g in self.features if " " not in g}
+        holders = Counter(w for ts in self.templates.values() for w in {w for t in ts for w in t})
+        self.telling = {w for w, n in holders.items() if n <= TELLING}
 
     def row(self, words: list[str]) -> np.ndarray:
         known = self.features
@@ -155,7 +224,9 @@ class LicenceModel:
 
     def scan(self, paragraphs: Iterable[str]) -> list[tuple[str, float, float] | None]:
         """(family, probability, similarity) of each paragraph, None if unknown."""
-        split = [tokens(p) for p in paragraphs]
+        return self.scan_words([tokens(p) for p in paragraphs])
+
+    def scan_words(self, split: list[list[str]]) -> list[tuple[str, float, float] | None]:
         out: list[tuple[str, float, float] | None] = [None] * len(split)
         # Without a word of the templates no n-gram of them is there.
         some = [i for i, words in enumerate(split) if not self.first_words.isdisjoint(words)]
@@ -171,6 +242,67 @@ class LicenceModel:
                 out[i] = (family, float(p[best]), similarity)
         return out
 
+    def judge(self, words: list[str]) -> tuple[str, float]:
+        """The most likely family, also ``unknown``, and its probability."""
+        p = self.model.probabilities([self.row(words)])[0]
+        return self.families[int(p.argmax())], float(p.max())
+
+    def scan_runs(self, words: list[str]) -> list[tuple[str, float, float, int, int]]:
+        """(family, probability, similarity, first place, last place) of the confirmed
+        runs of a text's words, the best of each family where they overlap."""
+        places: dict[tuple[str, int], list[int]] = {}
+        for i, w in enumerate(words):
+            for key in self.anchors.get(w, ()):
+                places.setdefault(key, []).append(i)
+        found = [(f, x, own) for (f, t), at in places.items() for x, own in runs(self.templates[f][t], words, at)]
+        taken, open_ = [], []
+        for family, similarity, own in found:
+            best, p = self.judge(words[own[0] : own[-1] + 1])
+            if best == family and p >= self.threshold:
+                taken.append((family, p, similarity, own))
+            else:
+                open_.append((family, similarity, own))
+        first = list(taken)
+        for family, similarity, own in open_:
+            others = {i for f, _, _, o in first if f != family for i in range(o[0], o[-1] + 1)}
+            span = range(own[0], own[-1] + 1)
+            outside = [words[i] for i in span if i not in others]
+            if len(outside) < len(span) and self.judge(outside)[0] == family:
+                needed = set(own)
+                best, p = self.judge([words[i] for i in span if i in needed or i not in others])
+                if best == family and p >= self.threshold:
+                    taken.append((family, p, similarity, own))
+        out: list[tuple[str, float, float, int, int]] = []
+        told: dict[int, str] = {}
+        telling = [{i for i in hit[3] if words[i] in self.telling} for hit in taken]
+        # The run with the most telling words first. One whose telling words all tell of
+        # another family already is that family's notice.
+        for k in sorted(range(len(taken)), key=lambda k: (-len(telling[k]), -taken[k][2], -taken[k][1], taken[k][3])):
+            family, p, similarity, own = taken[k]
+            if telling[k] and all(told.get(i, family) != family for i in telling[k]):
+                continue
+            if all(o[0] != family or o[4] < own[0] or own[-1] < o[3] for o in out):
+                out.append((family, p, similarity, own[0], own[-1]))
+                told.update((i, family) for i in telling[k] if i not in told)
+        return out
+
+    def scan_text(self, text: str) -> list[tuple[int, str, float, float]]:
+        """(line, family, probability, similarity) of all lines and runs, in order. A
+        run stands for its family's lines within it, unless one of them is confirmed."""
+        split = [tokens(p) for p in text.split("\n")]
+        lines = {(i, h[0]): h[1:] for i, h in enumerate(self.scan_words(split)) if h}
+        words = [w for line in split for w in line]
+        if not self.anchors.keys() & set(words):
+            return [(i, f, *x) for (i, f), x in lines.items()]
+        line_of = [i for i, line in enumerate(split) for _ in line]
+        for family, p, similarity, a, b in self.scan_runs(words):
+            within = [(i, family) for i in range(line_of[a], line_of[b] + 1) if (i, family) in lines]
+            if not any(lines[k][1] >= CONFIRM for k in within):
+                for k in within:
+                    del lines[k]
+                lines[line_of[a], family] = (p, similarity)
+        return sorted((i, f, *x) for (i, f), x in lines.items())
+
 
 def _variants(rng: random.Random, filler: list[list[str]], n: int) -> list[tuple[str, list[str]]]:
     out = []
@@ -203,7 +335,12 @@ def train(lines: list[str], seed: int = 11) -> LicenceModel:
     rows = [(families.index(f), w) for f, w in made] + [(0, w) for w in unknown]
     rng.shuffle(rows)
     empty = Logistic(np.zeros((len(features), len(families))), np.zeros(len(families)))
-    model = LicenceModel(families, features, empty, 0.0, templates)
+    counts, anchors = Counter(w for words in plain for w in words), {}
+    for family, own in templates.items():
+        for k, template in enumerate(own):
+            for w in rare_words(template, counts):
+                anchors.setdefault(w, []).append((family, k))
+    model = LicenceModel(families, features, empty, 0.0, templates, anchors)
     x, y = [model.row(w) for _, w in rows], np.array([c for c, _ in rows])
     held = np.arange(len(rows)) % 4 == 0
     kept = np.flatnonzero(~held)
@@ -226,8 +363,8 @@ def sample_lines(docs: DataFrame, text: str = "text", lines: int = SAMPLE_LINES)
 
 
 def scan(docs: DataFrame, text: str = "text", model: LicenceModel | None = None) -> DataFrame:
-    """The documents with ``licences``: for each paragraph that a family was accepted
-    for, its number among the lines, family, probability, similarity and confirmed."""
+    """The documents with ``licences``: for each line or run that a family was accepted
+    for, the number of its (first) line, family, probability, similarity and confirmed."""
     model = model or train(sample_lines(docs, text))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(
@@ -245,13 +382,10 @@ def scan(docs: DataFrame, text: str = "text", model: LicenceModel | None = None)
     def of(texts: pa.Array) -> pa.Array:
         out = []
         for text in texts.to_pylist():
-            found = []
-            for i, hit in enumerate(shared.value.scan((text or "").split("\n"))):
-                if hit:
-                    family, p, similarity = hit
-                    found.append(
-                        {"paragraph": i, "family": family, "probability": p, "similarity": similarity, "confirmed": similarity >= CONFIRM}
-                    )
+            found = [
+                {"paragraph": i, "family": family, "probability": p, "similarity": similarity, "confirmed": similarity >= CONFIRM}
+                for i, family, p, similarity in shared.value.scan_text(text or "")
+            ]
             out.append(found)
         return pa.array(out, kind)
 

@@ -68,3 +68,35 @@ def test_scan(docs_of, odd_pairs):
 
 def test_empty_table(docs_of):
     assert licenses.scan(docs_of([])).count() == 0
+
+
+NOTICES = {
+    " * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General "
+    "Public License as published by\n * the Free Software Foundation": {(0, "gpl")},
+    "Intro\nThis work is licensed under a Creative Commons\nAttribution-ShareAlike 4.0 International License\nend": {(1, "cc-by-sa")},
+    "# you can redistribute it under the terms\n#\n# of the GNU Lesser General\n# Public License": {(0, "lgpl")},
+    "x\nLicensed under the MIT License or the Apache License, Version 2.0": {(1, "mit"), (1, "apache")},
+    "Licensed under either the Apache License, Version 2.0 or the MIT License.": {(0, "apache"), (0, "mit")},
+    "Released under the BSD License. This work is released into the public domain.": {(0, "bsd"), (0, "public-domain")},
+    "This work is licensed under the GNU\nAffero General Public License version 3": {(0, "agpl")},
+    "Permission is hereby\ngranted, free of charge, to any\nperson obtaining a copy of this software\n\nand\n\n"
+    "SPDX-License-Identifier: MPL-2.0": {(0, "mit"), (6, "mpl")},
+}
+
+
+@pytest.mark.parametrize("notice", NOTICES)
+def test_wrapped_and_double_notices(model, notice):
+    found = model.scan_text(notice)
+    assert {(i, f) for i, f, _, x in found if x >= licenses.CONFIRM} == NOTICES[notice]
+
+
+def test_held_out_texts_stay_unknown(model, lines):
+    found = [h for i in range(1000, 1500, 10) for h in model.scan_text("\n".join(lines[i : i + 10]))]
+    assert len(found) <= 1
+    assert not model.scan_text("\n".join(licenses.OTHER))
+
+
+def test_a_confirmed_run_has_a_rare_word():
+    for template in (licenses.tokens(t) for ts in licenses.TEMPLATES.values() for t in ts):
+        rare = set(licenses.rare_words(template, {w: 0 for w in template}))
+        assert sum(w not in rare for w in template) / len(template) < licenses.CONFIRM
