@@ -49,9 +49,13 @@ def without(rows: DataFrame, *names: str) -> DataFrame:
 
 
 def sampled(rows: DataFrame, by: Column, n: int) -> DataFrame:
-    """At most ``n`` rows, those with the lowest hash of ``by``. Rows that cannot be among
-    them are dropped where they are, so that tasks send few rows and not ``n`` each."""
-    total, hashed = rows.count(), rows.withColumn("_hash", F.pmod(F.xxhash64(by), F.lit(1 << 40)))
+    """At most ``n`` rows, one for each of the lowest hashes of ``by``: of rows alike in it
+    there is one. The hashes are made distinct alone, so that no task sends many rows."""
+    hashed = rows.withColumn("_hash", F.pmod(F.xxhash64(by), F.lit(1 << 40)))
+    hashes = stored(hashed.select("_hash").distinct(), "hashes")
+    total, low = hashes.count(), hashes
     if total > 4 * n:
-        hashed = hashed.where(F.col("_hash") < (1 << 40) * 4 * n // total)
-    return hashed.orderBy("_hash").limit(n).drop("_hash")
+        low = hashes.where(F.col("_hash") < (1 << 40) * 4 * n // total)
+        low = low if low.count() >= n else hashes
+    last = low.orderBy("_hash").limit(n).agg(F.max("_hash")).first()[0]
+    return hashed.where(F.col("_hash") <= F.lit(last).cast("long")).dropDuplicates(["_hash"]).drop("_hash")
