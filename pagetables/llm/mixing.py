@@ -132,12 +132,36 @@ def rates_after(posteriors: np.ndarray, steps: list[tuple[np.ndarray, float]]) -
 @dataclass
 class Fit:
     """Steps of the projected gradient with their momentum; domain totals before and
-    after, and targets."""
+    after, and targets; where rates are rounded to whole numbers, the totals of these."""
 
     steps: list[tuple[np.ndarray, float]]
     present: np.ndarray
     reached: np.ndarray
     targets: np.ndarray
+    rounded: np.ndarray | None = None
+
+
+def sums(rows: DataFrame, k: int, size: int, of) -> np.ndarray:
+    """Sums of the ``size`` numbers that ``of`` makes of tokens and posteriors."""
+
+    def partial(batches):
+        out = np.zeros(size)
+        for batch in batches:
+            out += of(*_table(batch, k)).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array([out.tolist()], pa.list_(pa.float64()))], names=["t"])
+
+    parts = rows.select("n_tokens", "posterior").mapInArrow(partial, "t array<double>")
+    out = np.zeros(size)
+    for r in parts.select(F.posexplode("t").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect():
+        out[r.i] = r.x
+    return out
+
+
+def rounded_totals(rows: DataFrame, k: int, fit: Fit) -> np.ndarray:
+    """Domain totals of rows (n_tokens, posterior) at rates rounded to the nearest whole
+    number, in one aggregation."""
+    steps = fit.steps
+    return sums(rows, k, k, lambda tokens, p: (np.floor(rates_after(p, steps)[0] + 0.5) * tokens) @ p)
 
 
 def fit_rates(rows: DataFrame, k: int, targets, rounds: int = ROUNDS, close: float = CLOSE) -> Fit:
@@ -145,17 +169,7 @@ def fit_rates(rows: DataFrame, k: int, targets, rounds: int = ROUNDS, close: flo
     present ones. Every round is one aggregation of 2 K numbers."""
 
     def summed(size: int, of) -> np.ndarray:
-        def partial(batches):
-            out = np.zeros(size)
-            for batch in batches:
-                out += of(*_table(batch, k)).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array([out.tolist()], pa.list_(pa.float64()))], names=["t"])
-
-        parts = rows.select("n_tokens", "posterior").mapInArrow(partial, "t array<double>")
-        out = np.zeros(size)
-        for r in parts.select(F.posexplode("t").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect():
-            out[r.i] = r.x
-        return out
+        return sums(rows, k, size, of)
 
     moments = summed(k * k, lambda tokens, p: (p * tokens[:, None]).T @ p).reshape(k, k)
     present = moments.sum(axis=1)
@@ -222,11 +236,14 @@ def mix(
     of (domains) that makes a function of the present totals.
 
     ``copies`` is the rate rounded up or down by a hash of the document, such that the
-    expectation is the rate; with ``whole`` it is the nearest whole number."""
+    expectation is the rate; with ``whole`` it is the nearest whole number, whose totals
+    miss the targets: ``rounded`` of the fit has them."""
     membership = fit_membership(docs, labels, names, doc_id, text, train_rows)
     marked = with_posteriors(docs, membership, text)
     small = stored(marked.select("n_tokens", "posterior"), "posteriors")
     fit = fit_rates(small, len(membership.domains), targets(membership.domains))
+    if whole:
+        fit.rounded = rounded_totals(small, len(membership.domains), fit)
     rated = marked.withColumn("rate", rate_of(fit, F.col("posterior")))
     chance = F.pmod(F.xxhash64(F.lit("copies"), F.col(doc_id), F.col(text).cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     up = F.lit(0.5) if whole else chance

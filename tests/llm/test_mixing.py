@@ -90,3 +90,14 @@ def test_logistic_gradient_reaches_separation():
     rows = [np.array([0]), np.array([1]), np.array([], dtype=int), np.array([0, 2]), np.array([1, 2])] * 5
     model = Logistic.fit(rows, np.array([0, 1, 0, 0, 1] * 5), 3, 2)
     assert (model.probabilities(rows).argmax(axis=1) == np.array([0, 1, 0, 0, 1] * 5)).all()
+
+
+def test_totals_of_rounded_rates(docs_of, spark, prose):
+    docs, labels = labelled(docs_of, spark, prose)
+    scale = {"quality0_toxic1": 0.1, "quality1_toxic1": 0.1}
+    mixed, membership, fit = mixing.mix(docs, labels, NAMES, lambda d: mixing.targets_by_scale(d, scale), whole=True)
+    rows = mixed.collect()
+    want = sum(r.copies * r.n_tokens * np.array(r.posterior) for r in rows)
+    assert np.allclose(fit.rounded, want)
+    exact = sum(r.rate * r.n_tokens * np.array(r.posterior) for r in rows)
+    assert np.allclose(fit.reached, exact, rtol=1e-3, atol=1.0)
