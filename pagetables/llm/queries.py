@@ -35,16 +35,20 @@ def op1_min_cost_flow_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     own = docs.select(
         "doc_id",
-        F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).alias("text_crc32"),
-        sharding.text_bytes(F.col("text")).alias("text_bytes"),
+        "text",
         sharding.file_number(docs).alias("file_no"),
         F.struct("_metadata.file_name", "_metadata.row_index").alias("place"),
     )
-    found, _ = sharding.reshard(own, F.col("file_no"), [F.col("place")], 16, F.col("text_bytes"))
-    return found.select(
+    found, plan = sharding.reshard(own, F.col("file_no"), [F.col("place")], 16)
+    found = found.select("doc_id", "text", "size", "shard", "slot")
+    # The digest is that of the shards as they are now: the written ones and those left.
+    path = sharding.rewrite(found, plan)
+    left = found.where(~F.col("shard").isin(plan.affected)) if plan.affected else found
+    written = spark.read.schema(found.schema).parquet(path).select(*found.columns)
+    return left.union(written).select(
         "doc_id",
         "size",
-        "text_crc32",
+        F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).alias("text_crc32"),
         F.lit("bytes").alias("law"),
         "shard",
         "slot",

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from pagetables.llm import sharding
+from pagetables.llm import queries, sharding
 
 
 @settings(max_examples=60, deadline=None)
@@ -95,3 +95,20 @@ def test_empty_table(spark, docs_of, tmp_path):
     docs = stored(docs_of([]), str(tmp_path / "in"), 1)
     found, _ = sharding.reshard(docs, sharding.file_number(docs), place(), 4)
     assert found.count() == 0
+
+
+def test_query_writes_the_touched_shards(spark, docs_of, prose, odd_pairs, tmp_path, monkeypatch):
+    pairs = odd_pairs + [(100 + i, prose(5 + i % 60, i)) for i in range(300)]
+    stored(docs_of(pairs), str(tmp_path / "documents.parquet"), 5)
+    written, rewrite = [], sharding.rewrite
+    monkeypatch.setattr(sharding, "rewrite", lambda found, plan: written.append((rewrite(found, plan), plan)) or written[0][0])
+    rows = queries.op1_min_cost_flow_sharding(spark, str(tmp_path)).collect()
+    (path, plan), = written
+    moved = spark.read.parquet(path).collect()
+    assert {r.shard for r in moved} <= set(plan.affected) and moved
+    assert len(moved) == sum(r.shard in plan.affected for r in rows)
+    crc = lambda t: zlib.crc32((t or "").encode())
+    key = lambda x: tuple(map(str, x))
+    assert sorted(((r.doc_id, r.text_crc32) for r in rows), key=key) == sorted(((i, crc(t)) for i, t in pairs), key=key)
+    places = {(r.shard, r.slot): r.text_crc32 for r in rows}
+    assert len(places) == len(rows) and all(places[r.shard, r.slot] == crc(r.text) for r in moved)
