@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 from ..session import new_folder
 
 
-def stored(rows: DataFrame, purpose: str) -> DataFrame:
+def stored(rows: DataFrame, purpose: str, *folders: str) -> DataFrame:
     """The rows written once to the shared folder and read back: later jobs start
-    from the files, also after an executor is lost."""
+    from the files, also after an executor is lost. ``folders``: columns whose values get
+    a folder each."""
     path = new_folder(rows.sparkSession, f"llm-{purpose}")
-    rows.write.parquet(path)
+    rows.write.partitionBy(*folders).parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 

@@ -35,3 +35,14 @@ marked AS (SELECT rid, j, word,
 kept AS (SELECT rid, sum(gone)::BIGINT AS n_removed, string_agg(word, ' ' ORDER BY j) FILTER (gone = 0) AS text FROM marked GROUP BY rid)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM split LEFT JOIN kept USING (rid)"""
+
+LINES = r"""WITH texts AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+lines AS (SELECT rid, doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS j FROM texts),
+keyed AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
+often AS (SELECT k, max(doc_id) AS owner FROM keyed WHERE length(k) >= 40 GROUP BY k
+    HAVING count(DISTINCT doc_id) + max((doc_id IS NULL)::INT) >= 5),
+marked AS (SELECT rid, j, line, owner IS NOT NULL AND doc_id IS DISTINCT FROM owner AS gone FROM keyed LEFT JOIN often USING (k))
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY j) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked JOIN texts USING (rid) GROUP BY rid"""

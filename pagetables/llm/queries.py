@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, main_text, mixing, neighbours, oracles, packing, quality, sharding, simhash, substrings, token_counts
+from . import licenses, line_runs, main_text, mixing, neighbours, oracles, packing, quality, sharding, simhash, substrings, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -122,5 +122,13 @@ def op10_multiprobe_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+@query
+def op13_levelled_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256")
+    return line_runs.deduplicate(docs).select("doc_id", "n_lines", "n_dropped", kept)
+
+
 ORACLES["op4_suffix_automaton_dedup"] = oracles.SUBSTRINGS
 ORACLES["op9_quality_cascade"] = oracles.QUALITY
+ORACLES["op13_levelled_line_runs"] = oracles.LINES
