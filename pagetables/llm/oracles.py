@@ -46,3 +46,28 @@ marked AS (SELECT rid, j, line, owner IS NOT NULL AND doc_id IS DISTINCT FROM ow
 SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY j) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked JOIN texts USING (rid) GROUP BY rid"""
+
+
+def _centroids(rounds: int = 5) -> str:
+    """Each round as two tables: who is nearest, and the means after it."""
+    steps = [
+        """v AS (SELECT row_number() OVER () AS rid, vec_id,
+  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), x) - 1 AS k, x AS c FROM v
+  QUALIFY row_number() OVER (ORDER BY sha256('2:' || vec_id), x) <= 40)"""
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"""d{r} AS MATERIALIZED (SELECT rid, vec_id, x, k, c,
+  list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d
+  FROM v, c{r} QUALIFY row_number() OVER (PARTITION BY rid ORDER BY d, k) = 1)""")
+        if r < rounds:
+            steps.append(f"""s{r} AS (SELECT k, j, floor(sum(e)::DECIMAL(38, 0) / count(*))::BIGINT AS m FROM
+  (SELECT k, unnest(x) AS e, generate_subscripts(x, 1) AS j FROM d{r}) GROUP BY k, j),
+c{r + 1} AS MATERIALIZED (SELECT k, coalesce(m, c) AS c FROM c{r} LEFT JOIN (SELECT k, list(m ORDER BY j) AS m FROM s{r} GROUP BY k) USING (k))""")
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, k::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY k)::BIGINT AS cluster_inertia,
+  sum(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM d{rounds}"""
+
+
+CENTROIDS = _centroids()

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, line_runs, main_text, mixing, neighbours, oracles, packing, quality, sharding, simhash, substrings, token_counts
+from . import centroids, licenses, line_runs, main_text, mixing, neighbours, oracles, packing, quality, sharding, simhash, substrings, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -122,6 +122,12 @@ def op10_multiprobe_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+@query
+def op12_incremental_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = F.sha2(F.concat(F.lit("2:"), F.col("vec_id").cast("string")), 256)
+    return centroids.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), order)
+
+
 @query
 def op13_levelled_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -132,3 +138,4 @@ def op13_levelled_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op4_suffix_automaton_dedup"] = oracles.SUBSTRINGS
 ORACLES["op9_quality_cascade"] = oracles.QUALITY
 ORACLES["op13_levelled_line_runs"] = oracles.LINES
+ORACLES["op12_incremental_centroids"] = oracles.CENTROIDS
