@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetables.llm import mixing, near_copies, packing, quality, substrings
+from pagetables.llm import mixing, packing, quality, simhash, substrings
 from pagetables.session import new_folder, set_local_folder
 
 # Parts of their tokens that the toxic domains keep; the others keep what they have. Not
@@ -30,9 +30,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each class of texts that have four
-    fifths of their five-word sequences in common."""
-    return near_copies.deduplicate(docs, width=5, similarity=0.8)
+    """One document, the one with the smallest id, of each class of texts whose fingerprints of
+    three-word sequences are linked by at most two differing bits."""
+    return simhash.deduplicate(docs, width=3, limit=2)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
