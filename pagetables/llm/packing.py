@@ -25,6 +25,7 @@ import os
 import re
 import zlib
 from dataclasses import dataclass
+from struct import Struct
 
 import numpy as np
 import pyarrow as pa
@@ -37,70 +38,79 @@ CAPACITY = 4096
 END_ID = 1
 GROUPS = 64
 SALTS = 64
+LONGEST = 64
 VOCABULARY = "word_bpe_49k.json"
 
 
-_MARK_AFTER_LETTER = re.compile(rb"(?<=[a-z])[!-/:-@\[-`{-~](?![\x80-\xff])")
 _MAY_COMPOSE = re.compile(rb"[A-Z](?=[\x80-\xff])")
+# The vocabulary takes runs of letters, single digits and runs of other marks, so it always cuts a
+# mark from a letter before it; one that a character outside ASCII follows is left, since the
+# two may be composed or form one run.
+_MARK_AFTER_LETTER = re.compile(rb"(?<=[a-z])[!-/:-@\[-`{-~](?![\x80-\xff])")
+# Words that neither normalising nor cutting changes: a-z and the small letters of U+00DF to U+00FF.
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+
+
+# Byte-level vocabularies write a byte as the Latin-1 character of its number, but for bytes that
+# are not printable there; these are the ones a plain word can hold. Fixed values.
+_WRITTEN = {0x9F: "\u0141", 0xA0: "\u0142", 0xAD: "\u0143"}
+_PACKERS = [Struct(f"<{n}I").pack for n in range(128)]
 
 
 def lowered(raw: bytes) -> bytes:
     """A-Z lowered, but for letters that a character after them may be composed with."""
+    if raw.isascii():
+        return raw.lower()
     out = bytearray(raw.lower())
     for m in _MAY_COMPOSE.finditer(raw):
         out[m.start()] = raw[m.start()]
     return bytes(out)
 
 
-class WordIds:
-    """Ids of texts by a vocabulary that never joins words across white space: each
-    distinct word is encoded once and remembered, up to ``limit`` words."""
-
-    MARK = "<|endoftext|>"
+class WordIds(dict[bytes, bytes]):
+    """Ids of words by a vocabulary that never joins words across white space: each is encoded when
+    first asked for and remembered. When ``limit`` words are known, those that do not come
+    again before as many others are known are forgotten."""
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 250_000):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.mark = self.tokenizer.token_to_id(self.MARK)
+        self.merges = self.tokenizer.model.tokenize
         self.limit = limit
-        self.known: dict[bytes, bytes] = {}
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
-
-    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        odd = [w for w in words if b"<|" in w]
-        words = [w for w in words if b"<|" not in w]
-        found = {w: self._ids(w.decode()).tobytes() for w in odd}
-        if words:
-            ids = self._ids(self.MARK.join(w.decode() for w in words))
-            cuts = np.flatnonzero(ids == self.mark) * 4
-            raw = ids.tobytes()
-            ends = [*cuts.tolist(), len(raw)]
-            starts = [0, *(cuts + 4).tolist()]
-            found.update(zip(words, (raw[a:b] for a, b in zip(starts, ends, strict=True)), strict=True))
+        self.before: dict[bytes, bytes] = {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        found = self.before.get(word)
+        if found is None:
+            if _PLAIN.fullmatch(word):
+                # The merges alone are what is left of the tokenizer's work.
+                written = word.decode("latin-1")
+                ids = [t.id for t in self.merges(written if word.isascii() else written.translate(_WRITTEN))]
+            else:
+                ids = self.tokenizer.encode_batch_fast([word.decode()], add_special_tokens=False)[0].ids
+            found = _PACKERS[len(ids)](*ids) if len(ids) < 128 else np.array(ids, dtype="<u4").tobytes()
+        if len(word) <= LONGEST:
+            if len(self) >= self.limit:
+                self.before = dict(self)
+                self.clear()
+            self[word] = found
         return found
 
+    @staticmethod
+    def words(raw: bytes | None) -> list[bytes]:
+        """The text cut at white space and before marks. The vocabulary lowers all letters itself, but
+        composes before: what stands before a character outside ASCII stays. So do the
+        marks of special tokens."""
+        if not raw:
+            return []
+        return split_words(raw if b"<|" in raw else _MARK_AFTER_LETTER.sub(rb" \g<0>", lowered(raw)))
+
     def encode(self, raw: bytes | None) -> bytes:
         """Little-endian unsigned 32-bit ids of a text."""
-        if not raw:
-            return b""
-        # The vocabulary lowers all letters itself and never joins a letter with the mark
-        # after it, so there are fewer words to know. It composes before it lowers: what
-        # stands before a character outside ASCII stays. So do the marks of special tokens.
-        words = split_words(raw if b"<|" in raw else _MARK_AFTER_LETTER.sub(rb" \g<0>", lowered(raw)))
-        known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            new = self._learn([w for w in set(words) if w not in known])
-            if len(known) > self.limit:
-                known.clear()
-                new |= self._learn([w for w in set(words) if w not in new])
-            known.update((w, v) for w, v in new.items() if len(w) <= 64)
-            return b"".join([new[w] if w in new else known[w] for w in words])
+        return b"".join([self[w] for w in self.words(raw)])
 
 
 _ENCODERS: dict[str, WordIds] = {}
@@ -323,8 +333,8 @@ def best_fit(plan: Plan, length: int, n: int) -> None:
         plan.keep(s)
 
 
-def plan_packing(counts: np.ndarray, capacity: int = CAPACITY, groups: int = GROUPS) -> Plan:
-    """The plan for ``counts[length]`` pieces of each length."""
+def grouped_plan(counts: np.ndarray, capacity: int, groups: int) -> Plan:
+    """The plan by configurations of grouped lengths."""
     plan, counts = Plan(capacity), counts.astype(np.int64).copy()
     if counts[capacity]:
         plan.put(capacity, plan.open(int(counts[capacity])))
@@ -345,6 +355,15 @@ def plan_packing(counts: np.ndarray, capacity: int = CAPACITY, groups: int = GRO
     return plan
 
 
+def plan_packing(counts: np.ndarray, capacity: int = CAPACITY, groups: int = GROUPS) -> Plan:
+    """The plan for ``counts[length]`` pieces of each length. Rounding up costs most where few
+    pieces or groups are; if best fit alone needs fewer sequences, that plan is taken."""
+    plan, plain = grouped_plan(counts, capacity, groups), Plan(capacity)
+    for length in np.flatnonzero(counts)[::-1].tolist():
+        best_fit(plain, length, int(counts[length]))
+    return plain if plain.n_sequences < plan.n_sequences else plan
+
+
 # --- the packing ------------------------------------------------------------------
 
 

@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -110,3 +111,43 @@ def test_capitals_that_compose_only_when_lowered():
         for text in (letter, letter + "an, Plain. A" + letter, "Latin, Words! " + letter + "' \u00c9t\u00c9, x", "a" + letter + "=\u0338b<\u0338 a=\u0338"):
             got = np.frombuffer(words.encode(text.encode()), "<u4").tolist()
             assert got == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def test_ids_of_random_strings_equal_the_tokenizers():
+    path = packing.vocabulary_path()
+    plain, words = Tokenizer.from_file(path), packing.WordIds(path, limit=3000)
+    rng = random.Random(11)
+    pool = [*"abcXYZJHTWKk'.,!=<>-_ \t\n019", "don't", "it's", "5's", "İ", "ß", "é", "É", "ñ", "×", "÷", "«", "»", "—", "…", " ", "　", " "]
+    pool += ["ñó", "süß", "à", "ÿ,", "\u0301", "̊", "̸", "⃣", "ͅ", "ẞ", "ΣΑΣ", "中文", "٣", "²", "½", "\U0001f600", "\x1c", "\x85", "ﬁ", "K", "<|endoftext|>", "<|", "ୋ"]
+    texts = ["".join(rng.choices(pool, k=rng.randint(0, 40))) for _ in range(4000)]
+    for t in texts:
+        assert np.frombuffer(words.encode(t.encode()), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def fewest_bins(lengths, capacity):
+    """The exact optimum, by trying every place for every piece."""
+    best = len(lengths)
+
+    def place(i, room):
+        nonlocal best
+        if len(room) >= best:
+            return
+        if i == len(lengths):
+            best = len(room)
+            return
+        for j in range(len(room)):
+            if room[j] >= lengths[i] and room[j] not in room[:j]:
+                place(i + 1, [r - lengths[i] * (k == j) for k, r in enumerate(room)])
+        place(i + 1, [*room, capacity - lengths[i]])
+
+    place(0, [])
+    return best
+
+
+def test_close_to_the_exact_optimum_of_small_cases():
+    rng, extra = random.Random(4), []
+    for _ in range(150):
+        lengths = sorted((rng.randint(1, 64) for _ in range(rng.randint(1, 8))), reverse=True)
+        n = check_plan(np.bincount(lengths, minlength=65), 64, 64)
+        extra.append(n - fewest_bins(lengths, 64))
+    assert min(extra) >= 0 and max(extra) <= 1 and sum(extra) <= 0.05 * len(extra)

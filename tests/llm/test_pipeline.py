@@ -49,4 +49,4 @@ def test_empty_documents(spark, docs_of, tmp_path):
 
 
 def test_every_operator_has_its_query():
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 14)}
