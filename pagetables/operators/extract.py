@@ -104,15 +104,18 @@ def with_nested(marked_pages: DataFrame) -> DataFrame:
     return marked_pages.withColumn("nested", nested_tables(tags))
 
 
-def table_rows(pages: DataFrame, max_records: int | None = None) -> DataFrame:
-    """(page_id, table_rows): all data rows of a page's tables, in order."""
-    return with_nested(mark_pages(pages)).select(
-        "page_id", tables.table_rows(F.col("marked"), F.col("nested"), max_records).alias("table_rows")
+def page_tables(pages: DataFrame, max_records: int | None = None) -> DataFrame:
+    """(page_id, table_rows, nested): the data rows of a page's tables, in order."""
+    rows = with_nested(mark_pages(pages))
+    marked, found = F.col("marked"), F.col("nested")
+    return rows.select(
+        "page_id", tables.flat_rows(marked, found, max_records).alias("table_rows"), tables.shape_nested(found, max_records).alias("nested")
     )
 
 
 def _table_records(pages: DataFrame, max_records: int | None) -> DataFrame:
-    return explode_items(table_rows(pages, max_records), F.col("table_rows"), "page_id").select("page_id", "r.*")
+    parts = explode_items(page_tables(pages, max_records), tables.parts_of(), "page_id", "table_rows", "nested")
+    return explode_items(parts.withColumnRenamed("r", "part").drop("i"), tables.rows_of_part(F.col("part")), "page_id").select("page_id", "r.*")
 
 
 def extract_tables(pages: DataFrame, max_records: int | None = None) -> DataFrame:
@@ -151,11 +154,25 @@ def extract_tables_map(pages: DataFrame, max_records: int | None = None) -> Data
     )
 
 
+def _tables_of(pages: DataFrame) -> DataFrame:
+    """(page_id, table_no, n_rows, col_names) of every table with data, counted in the page's row."""
+    rows = F.col("table_rows")
+    # A table's rows are numbered from 1, and all have its width.
+    last = F.filter(
+        rows, lambda r, i: F.when(i + 1 < F.size(rows), F.get(rows, i + 1).row_no == 1).otherwise(True)
+    )
+    flat = F.transform(last, lambda r: F.struct(r.table_no.alias("table_no"), r.row_no.alias("n_rows"), r.col_names.alias("col_names")))
+    inner = F.transform(
+        F.col("nested.tables"),
+        lambda t: F.struct(t.table_no.alias("table_no"), F.size(t["rows"]).cast("bigint").alias("n_rows"), t.col_names.alias("col_names")),
+    )
+    found = F.when(F.col("nested").isNull(), flat).otherwise(inner)
+    return explode_items(page_tables(pages), found, "page_id").select("page_id", "r.*")
+
+
 def table_headers(pages: DataFrame) -> DataFrame:
     """(page_id, table_no, col_no, col_name): the column names of every table with data."""
-    first = F.filter("table_rows", lambda r: r.row_no == 1)
-    tables_of = explode_items(table_rows(pages), first, "page_id").select("page_id", "r.table_no", "r.col_names")
-    return explode_items(tables_of, F.col("col_names"), "page_id", "table_no").select(
+    return explode_items(_tables_of(pages), F.col("col_names"), "page_id", "table_no").select(
         "page_id", "table_no", (F.col("i") + 1).cast("bigint").alias("col_no"), F.col("r").alias("col_name")
     )
 
@@ -182,7 +199,8 @@ def page_reader(max_records: int | None = None) -> Callable[[DataFrame], DataFra
         records.headings(marked, max_records).alias("headings"),
         records.links(marked, base).alias("links"),
         records.paragraphs(marked, max_records).alias("paragraphs"),
-        tables.table_rows(marked, F.col("nested"), max_records).alias("table_rows"),
+        tables.flat_rows(marked, F.col("nested"), max_records).alias("table_rows"),
+        tables.shape_nested(F.col("nested"), max_records).alias("nested"),
         records.images(marked, base).alias("images"),
     ]
     broken = {
@@ -208,7 +226,8 @@ def page_reader(max_records: int | None = None) -> Callable[[DataFrame], DataFra
 def page_records(pages: DataFrame, max_records: int | None = None) -> DataFrame:
     """One row per page with the records of all six kinds as arrays, from one
     marking of the page: (page_id, url, page_chars, is_blank, titles, headings,
-    links, paragraphs, table_rows, images, unreadable). ``unreadable`` lists the
+    links, paragraphs, table_rows, nested, images, unreadable). Pages with nested tables have
+    theirs in ``nested``, each cell once (``tables.shape_nested``). ``unreadable`` lists the
     kinds that hold a URL with a broken host."""
     return page_reader(max_records)(pages)
 
@@ -238,36 +257,40 @@ _ARRAYS = {
 }
 
 
-def shown_records(scrape_type: str, limit: int | None = None) -> Column:
-    """Records of one kind of a ``page_records`` row under their display names."""
-    items = F.col(_ARRAYS[scrape_type])
-    if limit:
-        items = F.slice(items, 1, limit)
-    return _shown_rows(items) if scrape_type == "Tables" else _shown(items, scrape_type)
+def shown_records(scrape_type: str, limit: int) -> Column:
+    """The first records of one kind of a ``page_records`` row under their display names."""
+    if scrape_type == "Tables":
+        return _shown_rows(tables.first_rows(limit))
+    return _shown(F.slice(F.col(_ARRAYS[scrape_type]), 1, limit), scrape_type)
 
 
 def record_counts() -> Column:
     """map<scrape_type, number of records> of a ``page_records`` row."""
-    return F.create_map(
-        *[x for t, a in _ARRAYS.items() for x in (F.lit(t), F.size(a).cast("bigint"))]
-    )
+    counts = {t: tables.row_count() if t == "Tables" else F.size(a) for t, a in _ARRAYS.items()}
+    return F.create_map(*[x for t, n in counts.items() for x in (F.lit(t), n.cast("bigint"))])
 
 
 def records_of(found: DataFrame) -> DataFrame:
-    """``page_records`` as (page_id, scrape_type, record_no, payload JSON)."""
+    """``page_records`` as (page_id, scrape_type, record_no, payload JSON). Nested tables are handed
+    out one after the other, all else of a page at once."""
 
-    def numbered(scrape_type: str) -> Column:
+    def numbered(scrape_type: str, shown: Column, before: Column) -> Column:
         return F.transform(
-            shown_records(scrape_type),
+            shown,
             lambda r, i: F.struct(
                 F.lit(scrape_type).alias("scrape_type"),
-                (i + 1).cast("bigint").alias("record_no"),
+                (before + i + 1).cast("bigint").alias("record_no"),
                 F.to_json(r).alias("payload"),
             ),
         )
 
-    kinds = F.concat(*[numbered(t) for t in SCRAPE_TYPES])
-    return explode_items(found, kinds, "page_id").select("page_id", "r.*")
+    none = F.lit(0)
+    flat = [numbered(t, _shown_rows(F.col(a)) if t == "Tables" else _shown(F.col(a), t), none) for t, a in _ARRAYS.items()]
+    part = F.col("part")
+    inner = numbered("Tables", _shown_rows(tables.nested_rows(F.col("nested.texts"), part)), part.before)
+    kept = ["page_id", *_ARRAYS.values(), "nested"]
+    parts = explode_items(found, tables.parts_of(), *kept).withColumnRenamed("r", "part").drop("i")
+    return explode_items(parts, F.when(part.isNull(), F.concat(*flat)).otherwise(inner), "page_id").select("page_id", "r.*")
 
 
 def extract_all(pages: DataFrame, max_records: int | None = None) -> DataFrame:
@@ -293,16 +316,5 @@ def extract(pages: DataFrame, scrape_type: str, max_records: int | None = None)
 
 
 def table_shape(pages: DataFrame) -> DataFrame:
-    """(page_id, table_no, n_rows, n_cols) of every table with data, counted in the
-    page's row."""
-    rows = F.col("table_rows")
-    # A table's rows are numbered from 1, and all have its width.
-    last = F.filter(
-        rows, lambda r, i: F.when(i + 1 < F.size(rows), F.get(rows, i + 1).row_no == 1).otherwise(True)
-    )
-    return explode_items(table_rows(pages), last, "page_id").select(
-        "page_id",
-        "r.table_no",
-        F.col("r.row_no").alias("n_rows"),
-        F.size("r.cells").cast("bigint").alias("n_cols"),
-    )
+    """(page_id, table_no, n_rows, n_cols) of every table with data."""
+    return _tables_of(pages).select("page_id", "table_no", "n_rows", F.size("col_names").cast("bigint").alias("n_cols"))

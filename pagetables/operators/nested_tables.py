@@ -1,13 +1,21 @@
 """Tables inside tables, read in the page's own row.
 
 The rows of an inner table also count as rows of every table around it, and the text of
-a cell includes the text of the tables in it. ``read_tables`` is a small helper over the
-structural tags of one page; only pages with nested tables pass any to it. Names,
-widths and cleaning are column expressions, the same as for other pages.
+a cell includes the text of the tables in it. So a row is an interval of the page's cells, a
+table an interval of its rows: ``read_tables`` numbers the tags where elements begin and
+end, and keeps each cell once. What a table shows of its rows is decided on intervals;
+cells are copied when a row is handed out, one row at a time.
+
+``read_tables`` is a small helper over the structural tags of one page; only pages with nested
+tables pass any to it. Names, widths and cleaning are column expressions, the same as
+for other pages.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
+
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,15 +27,17 @@ _CELL = _ROW | frozenset(("td", "/td", "th", "/th"))
 _ENDS = {"table": _TABLE, "thead": _SECTION, "tbody": _SECTION, "tr": _ROW, "td": _CELL, "th": _CELL}
 _NEVER = 2**31 - 1
 
-_CELL_TYPE = pa.struct([("is_th", pa.bool_()), ("text", pa.string())])
-TABLES_TYPE = pa.list_(
-    pa.struct(
-        [("table_no", pa.int64()), ("head", pa.list_(_CELL_TYPE)), ("rows", pa.list_(pa.list_(_CELL_TYPE)))]
-    )
+_INTERVAL = [("first", pa.int32()), ("n", pa.int32())]
+TABLES_TYPE = pa.struct(
+    [
+        ("cells", pa.list_(pa.struct([("is_th", pa.bool_()), ("text", pa.string())]))),
+        ("rows", pa.list_(pa.struct(_INTERVAL))),
+        ("tables", pa.list_(pa.struct([("table_no", pa.int64()), ("head", pa.struct(_INTERVAL)), ("rows", pa.struct(_INTERVAL))]))),
+    ]
 )
 SPARK_TYPE = (
-    "array<struct<table_no: bigint, head: array<struct<is_th: boolean, text: string>>, "
-    "rows: array<array<struct<is_th: boolean, text: string>>>>>"
+    "struct<cells: array<struct<is_th: boolean, text: string>>, rows: array<struct<first: int, n: int>>, "
+    "tables: array<struct<table_no: bigint, head: struct<first: int, n: int>, rows: struct<first: int, n: int>>>>"
 )
 
 
@@ -64,57 +74,45 @@ def _next(elements: list[str], name: str) -> list[int]:
     return out
 
 
-def read_tables(structure: str) -> list[dict]:
-    """All tables of a page from its table tags, as ``html.only_tags`` leaves them."""
+def _inside(places: list[int], begin: int, end: int) -> dict[str, int]:
+    """The interval of the sorted ``places`` between two tags."""
+    first = bisect_right(places, begin)
+    return {"first": first, "n": max(0, bisect_left(places, end) - first)}
+
+
+def read_tables(structure: str) -> dict:
+    """All tables of a page from its table tags, as ``html.only_tags`` leaves them: cells, rows as
+    intervals of cells, tables as intervals of rows. No tag of an outer level stands
+    between the begin and the end of an element, so what is inside one is what stands between."""
     segments = structure.split("\x01")[1:]
     elements = [s.partition("\x02")[0] for s in segments]
     levels = _levels(elements)
     ends = _ends(elements, levels)
     heads, bodies = _next(elements, "thead"), _next(elements, "tbody")
-    tables: list[dict] = []
-    # What was opened last on each level: (number, body, head), a row, a cell.
-    open_table: dict[int, tuple] = {}
-    open_row: dict[int, int] = {}
-    open_cell: dict[int, int] = {}
-    text: dict[int, list[str]] = {}
-    row_cells: dict[int, list[int]] = {}
-    for at, (element, level) in enumerate(zip(elements, levels)):
-        if element == "table":
-            tables.append({"rows": [], "head": []})
+    # Rows and cells outside of all tables belong to none.
+    inner = [at for at, level in enumerate(levels) if level]
+    cells = [at for at in inner if elements[at] in ("td", "th")]
+    rows = [at for at in inner if elements[at] == "tr"]
+    texts = [s.rpartition("\x03")[2] for s in segments]
+    whole, starts = "".join(texts), [0, *accumulate(map(len, texts))]
+    tables = []
+    for at in inner:
+        if elements[at] == "table":
             body, head = (n if n < ends[at] else None for n in (bodies[at], heads[at]))
-            span = (at, ends[at]) if body is None else (body, ends[body])
-            if level:
-                open_table[level] = (len(tables) - 1, span, (head, ends[head]) if head is not None else (_NEVER, 0))
-        elif element == "tr":
-            open_row[level] = at
-            row_cells[at] = []
-        elif element in ("td", "th"):
-            open_cell[level] = at
-            text[at] = []
-        for k in range(1, level + 1):
-            cell = open_cell.get(k)
-            if cell is not None and ends[cell] > at:
-                text[cell].append(segments[at].rpartition("\x03")[2])
-            if element in ("td", "th"):
-                row = open_row.get(k)
-                if row is not None and row < at < ends[row]:
-                    row_cells[row].append(at)
-                if k in open_table and open_table[k][2][0] < at < open_table[k][2][1]:
-                    tables[open_table[k][0]]["head"].append(at)
-            elif element == "tr" and k in open_table and open_table[k][1][0] < at < open_table[k][1][1]:
-                tables[open_table[k][0]]["rows"].append(at)
-
-    def cells(places: list[int]) -> list[dict]:
-        return [{"is_th": elements[p] == "th", "text": "".join(text[p])} for p in places]
-
-    return [
-        {"table_no": n, "head": cells(t["head"]), "rows": [cells(row_cells[r]) for r in t["rows"]]}
-        for n, t in enumerate(tables, 1)
-    ]
+            begin, end = (at, ends[at]) if body is None else (body, ends[body])
+            shown = _inside(cells, head, ends[head]) if head is not None else {"first": 0, "n": 0}
+            tables.append({"table_no": len(tables) + 1, "head": shown, "rows": _inside(rows, begin, end)})
+    return {
+        "cells": [
+            {"is_th": elements[c] == "th", "text": whole[starts[c] : starts[min(ends[c], len(elements))]]} for c in cells
+        ],
+        "rows": [_inside(cells, r, ends[r]) for r in rows],
+        "tables": tables,
+    }
 
 
 def nested_tables(structure: Column) -> Column:
-    """Array of (table_no, head, rows) for a page's table tags; null stays null."""
+    """What ``read_tables`` finds in a page's table tags; null stays null."""
 
     def of(pages: pa.Array) -> pa.Array:
         return pa.array([None if p is None else read_tables(p) for p in pages.to_pylist()], TABLES_TYPE)

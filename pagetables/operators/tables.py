@@ -1,8 +1,10 @@
 """HTML tables as records.
 
 Every page is read inside its own row. Pages without nested tables are read with
-arrays; where a table holds another one, ``nested_tables`` reads the tags. Both give
-the same struct per data row: (table_no, table_label, row_no, col_names, cells).
+arrays into one struct per data row: (table_no, table_label, row_no, col_names, cells). Where a
+table holds another one, ``nested_tables`` reads the tags, and the page keeps its cells once with
+the intervals of its rows (``shape_nested``), from which the same structs are made when they are
+handed out.
 """
 
 from __future__ import annotations
@@ -208,23 +210,142 @@ def flat_table_rows(marked: Column, max_records: int | None = None) -> Column:
     return cap(F.flatten(let(tables, rows)), max_records)
 
 
-def nested_table_rows(found: Column, max_records: int | None = None) -> Column:
-    """Data rows, as ``flat_table_rows`` gives them, of ``nested_tables``."""
-    shaped = F.transform(
-        found,
-        lambda t: F.struct(
+def shape_nested(found: Column, max_records: int | None = None) -> Column:
+    """struct(texts, tables) of ``nested_tables``: the cleaned cells of the page, and for every table with
+    data (table_no, col_names, width, rows, before). A row is an interval of the cells; ``before``
+    counts the data rows of the tables in front."""
+
+    def part(items: Column, interval: Column) -> Column:
+        return F.slice(items, interval["first"] + 1, interval["n"])
+
+    def row_facts(cells: Column) -> Column:
+        return F.transform(
+            found["rows"],
+            lambda r: F.struct(
+                r["first"].alias("first"),
+                r["n"].alias("n"),
+                F.forall(part(cells, r), lambda c: c.is_th).alias("all_th"),
+                F.exists(part(cells, r), lambda c: c.text != "").alias("filled"),
+            ),
+        )
+
+    def shape(t: Column, rows: Column, texts: Column) -> Column:
+        def choose(own: Column) -> Column:
+            first_th = F.array_position(F.transform(own, lambda r: r.all_th), True)
+            position = F.when(t["head"]["n"] > 0, F.lit(0)).otherwise(first_th)
+            return let(
+                position,
+                lambda p: F.struct(
+                    F.when(p > 0, part(texts, F.element_at(own, p.cast("int")))).otherwise(part(texts, t["head"])).alias("headers"),
+                    F.transform(
+                        F.filter(own, lambda r, i: (i + 1 != p) & r.filled),
+                        lambda r: F.struct(r["first"].alias("first"), r["n"].alias("n")),
+                    ).alias("data"),
+                ),
+            )
+
+        def named(chosen: Column) -> Column:
+            return let(
+                F.array_max(F.transform(chosen.data, lambda r: r["n"])),
+                lambda width: F.when(
+                    F.size(chosen.data) > 0,
+                    F.struct(
+                        t.table_no.alias("table_no"),
+                        column_names(chosen.headers, width).alias("col_names"),
+                        width.alias("width"),
+                        chosen.data.alias("rows"),
+                    ),
+                ),
+            )
+
+        return let(let(F.filter(part(rows, t["rows"]), lambda r: r["n"] > 0), choose), named)
+
+    def numbered(shaped: Column) -> Column:
+        """With the count of rows in front; beyond the cap there are no rows."""
+        sizes = F.transform(shaped, lambda t: F.size(t["rows"]).cast("bigint"))
+        start = F.struct(F.array().cast("array<bigint>").alias("all"), F.lit(0).cast("bigint").alias("n"))
+        step = lambda s, n: F.struct(F.concat(s["all"], F.array(s["n"])).alias("all"), (s["n"] + n).alias("n"))
+        before = F.aggregate(sizes, start, step, lambda s: s["all"])
+
+        def kept(t: Column, n: Column) -> Column:
+            if max_records and max_records > 0:
+                return F.slice(t["rows"], 1, F.greatest(F.lit(0), F.lit(max_records) - n).cast("int"))
+            return t["rows"]
+
+        return let(
+            before,
+            lambda b: F.transform(
+                shaped,
+                lambda t, i: F.struct(
+                    t.table_no.alias("table_no"), t.col_names.alias("col_names"), t.width.alias("width"), kept(t, b[i]).alias("rows"), b[i].alias("before")
+                ),
+            ),
+        )
+
+    def whole(cells: Column) -> Column:
+        return let(
+            F.struct(row_facts(cells).alias("rows"), F.transform(cells, lambda c: c.text).alias("texts")),
+            lambda x: F.struct(
+                x.texts.alias("texts"),
+                let(
+                    F.filter(F.transform(found.tables, lambda t: shape(t, x["rows"], x.texts)), lambda t: t.isNotNull()), numbered
+                ).alias("tables"),
+            ),
+        )
+
+    return F.when(found.isNotNull(), let(clean_cells(found.cells), whole))
+
+
+def nested_rows(texts: Column, t: Column, limit: int | None = None) -> Column:
+    """Data rows of one table of ``shape_nested``, as ``flat_table_rows`` gives them."""
+
+    def cells(r: Column) -> Column:
+        own = F.slice(texts, r["first"] + 1, r["n"])
+        return F.when(r["n"] == t.width, own).otherwise(F.concat(own, F.array_repeat(F.lit(""), t.width - r["n"])))
+
+    return F.transform(
+        F.slice(t["rows"], 1, limit) if limit else t["rows"],
+        lambda r, i: F.struct(
             t.table_no.alias("table_no"),
-            shape_table(
-                F.transform(clean_cells(t.head), lambda c: c.text), F.transform(t.rows, clean_cells)
-            ).alias("t"),
+            F.concat(F.lit("Table "), t.table_no).alias("table_label"),
+            (i + 1).cast("bigint").alias("row_no"),
+            t.col_names.alias("col_names"),
+            cells(r).alias("cells"),
         ),
     )
-    filled = F.filter(shaped, lambda t: t.t.isNotNull())
-    return cap(F.flatten(F.transform(filled, lambda t: _numbered_rows(t.table_no, t.t, F.lit(True)))), max_records)
 
 
-def table_rows(marked: Column, nested: Column, max_records: int | None = None) -> Column:
-    """Data rows of a page; ``nested`` is null where no table holds another one."""
-    return F.when(nested.isNotNull(), nested_table_rows(nested, max_records)).otherwise(
-        flat_table_rows(marked, max_records)
-    )
+# The two columns of a page row that hold its tables: ``table_rows`` for pages without nested
+# tables, ``nested`` (as ``shape_nested`` gives it, else null) for the others.
+
+
+def flat_rows(marked: Column, found: Column, max_records: int | None = None) -> Column:
+    """``table_rows``: empty for pages with nested tables."""
+    rows = flat_table_rows(marked, max_records)
+    return F.when(found.isNull(), rows).otherwise(F.slice(rows, 1, 0))
+
+
+def row_count() -> Column:
+    """Number of data rows of a page."""
+    inner = F.aggregate(F.col("nested.tables"), F.lit(0).cast("bigint"), lambda n, t: n + F.size(t["rows"]))
+    return F.size("table_rows") + F.coalesce(inner, F.lit(0))
+
+
+def first_rows(limit: int) -> Column:
+    """The first data rows of a page."""
+    some = F.slice(F.filter(F.col("nested.tables"), lambda t: F.size(t["rows"]) > 0), 1, limit)
+    inner = F.slice(F.flatten(F.transform(some, lambda t: nested_rows(F.col("nested.texts"), t, limit))), 1, limit)
+    return F.when(F.col("nested").isNull(), F.slice("table_rows", 1, limit)).otherwise(inner)
+
+
+def parts_of() -> Column:
+    """A page in parts to be handed out: null for all but nested tables, then those one by one."""
+    tables = F.col("nested.tables")
+    nothing = F.transform(F.slice(tables, 1, 1), lambda t: F.when(F.lit(False), t))
+    alone = F.array(F.when(F.lit(False), F.get(tables, F.lit(0))))
+    return F.when(F.size(nothing) > 0, F.concat(nothing, tables)).otherwise(alone)
+
+
+def rows_of_part(part: Column) -> Column:
+    """Data rows of one of ``parts_of``."""
+    return F.when(part.isNull(), F.col("table_rows")).otherwise(nested_rows(F.col("nested.texts"), part))

@@ -1,7 +1,11 @@
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from pagetables.functions import html
+from pagetables.functions.arrays import explode_items
 from pagetables.operators import extract as x
 from pagetables.operators import nested_tables, tables
 from pagetables.sources.pages import read_pages
@@ -90,12 +94,13 @@ TABLES = [
 
 def test_both_readers_read_flat_tables_alike(pages_of):
     pages = pages_of(*TABLES)
-    tags = html.only_tags(F.col("marked"), tables.STRUCTURE)
-    marked = x.mark_pages(pages).withColumn("nested", nested_tables.nested_tables(tags))
+    tags = F.when(html.has_tag(F.col("marked"), "table"), html.only_tags(F.col("marked"), tables.STRUCTURE))
+    marked = x.mark_pages(pages).withColumn("found", nested_tables.nested_tables(tags))
     # the label says whether a page has several tables, which nesting implies
     kept = ("table_no", "row_no", "col_names", "cells")
-    by_tags = marked.select("page_id", tables.table_rows(F.col("marked"), F.col("nested")).alias("found"))
-    by_tags = by_tags.select("page_id", F.explode("found").alias("r"))
+    shaped = marked.select("page_id", tables.shape_nested(F.col("found")).alias("nested"))
+    by_tags = explode_items(shaped, F.col("nested.tables"), "page_id", "nested").withColumnRenamed("r", "t").drop("i")
+    by_tags = explode_items(by_tags, tables.nested_rows(F.col("nested.texts"), F.col("t")), "page_id")
     by_tags = rows(by_tags.select("page_id", *[f"r.{c}" for c in kept]), "*")
     by_array = rows(x._table_records(pages, None), "page_id", *kept)
     assert by_array == by_tags
@@ -119,6 +124,43 @@ def test_nested_tables(pages_of):
     ]
 
 
+def deep(n):
+    return "".join(f"<table><tr><td>c{i}" for i in range(n)) + "</td></tr></table>" * n
+
+
+def test_deep_tables_hold_each_cell_once(spark, pages_of):
+    """The page's row stays small; tables show the rows of the tables inside."""
+    page = deep(500)
+    tags = "".join(f"\x01{e}\x02\x03{t}" for e, t in re.findall(r"<(/?[a-z]+)>([^<]*)", page))
+    start = time.perf_counter()
+    found = nested_tables.read_tables(tags)
+    assert time.perf_counter() - start < 1
+    assert len(found["cells"]) == len(found["rows"]) == len(found["tables"]) == 500
+    assert found["tables"][0]["rows"] == {"first": 0, "n": 500} and found["rows"][499] == {"first": 499, "n": 1}
+    pages = pages_of(page)
+    assert x.page_tables(pages).select(F.size("nested.texts")).first()[0] == 500
+    shape = {r.table_no: (r.n_rows, r.n_cols) for r in x.table_shape(pages).collect()}
+    assert shape == {k: (501 - k, 501 - k) for k in range(1, 501)}
+    small = rows(x.extract_tables(pages_of(deep(6))), "table_no", "row_no", "col_no", "cell")
+    text = lambda a: "".join(f"c{i}" for i in range(a, 6))
+    want = [(t, r - t + 1, c - r + 1, text(c - 1)) for t in range(1, 7) for r in range(t, 7) for c in range(r, 7)]
+    want += [(t, r - t + 1, c + 1, "") for t in range(1, 7) for r in range(t, 7) for c in range(7 - r, 7 - t)]
+    assert small == sorted(want)
+
+
+@pytest.mark.parametrize("most", [1, 2, 3, 7])
+def test_cap_over_nested_tables(pages_of, most):
+    pages = pages_of(deep(3), "<table><tr><td>x<tr><td>y</table>")
+    every = x._table_records(pages, None).orderBy("page_id", "table_no", "row_no").collect()
+    want = [r for p in (0, 1) for r in [r for r in every if r.page_id == p][:most]]
+    assert x._table_records(pages, most).orderBy("page_id", "table_no", "row_no").collect() == want
+    assert {r.page_id: r.n for r in x.page_records(pages, most).select("page_id", tables.row_count().alias("n")).collect()} == {
+        p: len([r for r in want if r.page_id == p]) for p in (0, 1)
+    }
+    numbers = x.extract_all(pages, most).where("scrape_type = 'Tables'").orderBy("page_id", "record_no").collect()
+    assert [(r.page_id, r.record_no) for r in numbers] == [(p, i + 1) for p in (0, 1) for i in range(len([r for r in want if r.page_id == p]))]
+
+
 def test_colliding_headers_keep_all_cells(pages_of):
     pages = pages_of("<table><thead><tr><th>A<th>A<th>A_1</thead><tbody><tr><td>1<td>2<td>3</tbody></table>")
     assert x.extract_tables_map(pages).first().record == {"A": "1", "A_1": "2", "A_1#3": "3"}
