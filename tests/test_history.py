@@ -1,8 +1,10 @@
 import json
 import pathlib
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from pagetables.plans import history
@@ -91,6 +93,67 @@ def test_a_repeated_batch_must_have_its_rows(spark):
     assert ids(store) == [1, 2, 3, 4]
 
 
+def test_writers_at_the_same_time(spark):
+    """Every row is kept and every id given once, also to writers of one batch."""
+    store = new_store(spark)
+    store.append(saved_runs(spark, 0, 2), ["timestamp"])
+    jobs = [(3 + k, 4, None) for k in range(3)] + [(30, 5, 7)] * 3
+    with ThreadPoolExecutor(6) as pool:
+        save = lambda j: HistoryStore(spark, store.path).append(saved_runs(spark, j[0], j[1]), ["timestamp"], batch=j[2])
+        last = list(pool.map(save, jobs))
+    assert ids(store) == list(range(1, 2 + 3 * 4 + 5 + 1))
+    assert len(set(last[3:])) == 1 and len(set(last)) == 4
+    assert store.read().where("url IS NOT NULL").groupBy("timestamp").count().where("count > 3").isEmpty()
+
+
+class Crash(Exception):
+    pass
+
+
+@pytest.mark.parametrize("step", ["before the claim", "after the claim", "while writing", "before closing", "after closing"])
+def test_a_writer_that_dies(spark, monkeypatch, step):
+    store = new_store(spark)
+    store.append(saved_runs(spark, 0, 2), ["timestamp"], batch=0)
+    publish = HistoryStore._publish
+
+    def crash(self, name, **row):
+        claim = name.startswith("claims")
+        if step == "before the claim" and claim or step == "before closing" and not claim:
+            raise Crash
+        done = publish(self, name, **row)
+        if step == "after the claim" and claim or step == "after closing" and not claim:
+            raise Crash
+        return done
+
+    def half_written(self, path, *args, **kwargs):
+        if "/rows/" in path:
+            write(self, path, *args, **kwargs)
+            raise Crash
+        return write(self, path, *args, **kwargs)
+
+    write = DataFrameWriter.parquet
+    with monkeypatch.context() as dying:
+        dying.setattr(HistoryStore, "_publish", crash)
+        if step == "while writing":
+            dying.setattr(DataFrameWriter, "parquet", half_written)
+        with pytest.raises(Crash):
+            store.append(saved_runs(spark, 2, 3), ["timestamp"], batch=1)
+    # The batch's ids are taken once it claimed them; its rows show when they are closed.
+    begun = step != "before the claim"
+    assert ids(store) == [1, 2, 3, 4, 5] if step == "after closing" else ids(store) == [1, 2]
+    assert store.append(saved_runs(spark, 5, 1), ["timestamp"], batch=2) == (6 if begun else 3)
+    assert store.append(saved_runs(spark, 2, 3), ["timestamp"], batch=1) == (5 if begun else 6)
+    assert ids(store) == [1, 2, 3, 4, 5, 6]
+    assert [r.record_count for r in store.read().orderBy("id").collect()] == ([0, 1, 0, 3, 4, 0] if begun else [0, 1, 0, 0, 3, 4])
+
+
+def test_a_file_appears_once(spark):
+    store = new_store(spark)
+    assert store._publish("claims/1", claim=1, batch=4, first_id=1, n=2)
+    assert not store._publish("claims/1", claim=1, batch=5, first_id=1, n=9)
+    assert [tuple(r) for r in store._small("claims", "claim bigint, batch bigint, n bigint").collect()] == [(1, 4, 2)]
+
+
 def test_nothing_is_left_of_the_numbering(spark):
     store = new_store(spark)
     store.append(saved_runs(spark, 0, 3), ["timestamp"])
