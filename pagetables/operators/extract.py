@@ -47,6 +47,10 @@ DISPLAY_NAMES = {
 TABLE_LABEL = "Table #"
 
 
+# Most columns of a wide table whose names are found in the data.
+MOST_COLUMNS = 2000
+
+
 def mark_pages(pages: DataFrame) -> DataFrame:
     """(page_id, url, base, page_chars, is_blank, marked): the page read once, its
     URL split once. A column ``raw_url`` is kept."""
@@ -135,16 +139,21 @@ def extract_tables(pages: DataFrame, max_records: int | None = None) -> DataFram
     )
 
 
-def row_map(col_names: Column, cells: Column) -> Column:
-    """map<column name, cell>. Headers such as A, A, A_1 collide after numbering;
-    the later column is then told apart by its position, so no cell is lost."""
+def map_names(col_names: Column) -> Column:
+    """The keys of ``row_map``. Headers such as A, A, A_1 collide after numbering; the later
+    column is then told apart by its position, so no cell is lost."""
     told_apart = F.transform(
         col_names,
         lambda n, i: F.when(F.array_position(col_names, n) == i + 1, n).otherwise(F.concat(n, F.lit("#"), i + 1)),
     )
     # Names are made unique when a table is read, so collisions are rare.
     collide = F.size(F.array_distinct(col_names)) < F.size(col_names)
-    return F.map_from_arrays(F.when(collide, told_apart).otherwise(col_names), cells)
+    return F.when(collide, told_apart).otherwise(col_names)
+
+
+def row_map(col_names: Column, cells: Column) -> Column:
+    """map<column name, cell> of a data row."""
+    return F.map_from_arrays(map_names(col_names), cells)
 
 
 def extract_tables_map(pages: DataFrame, max_records: int | None = None) -> DataFrame:
@@ -177,17 +186,31 @@ def table_headers(pages: DataFrame) -> DataFrame:
     )
 
 
-def extract_tables_wide(pages: DataFrame, columns: list[str], max_records: int | None = None) -> DataFrame:
-    """Wide form over all tables: one column per given name, null where a table
-    does not have it. ``table_label`` is set for pages with several tables."""
+def table_columns(pages: DataFrame, most: int = MOST_COLUMNS) -> list[str]:
+    """The names of all tables' columns, in the order of their first place. One aggregation that
+    counts a name once a task; more than ``most`` names are refused."""
+    names = explode_items(_tables_of(pages), map_names(F.col("col_names")), "page_id", "table_no")
+    first = names.groupBy(F.col("r").alias("name")).agg(F.min(F.struct("page_id", "table_no", "i")).alias("place"))
+    found = [r.name for r in first.orderBy("place").limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"the tables have more than {most} different columns")
+    return found
+
+
+def extract_tables_wide(
+    pages: DataFrame, columns: list[str] | None = None, max_records: int | None = None, most: int = MOST_COLUMNS
+) -> DataFrame:
+    """Wide form over all tables: one column per name, null where a table does not have it. Without a
+    list the names are those that the tables have. ``table_label`` is set for pages with several
+    tables. A name that is already taken, in any case, gets its position added."""
     rows = extract_tables_map(pages, max_records)
-    return rows.select(
-        "page_id",
-        "table_no",
-        "table_label",
-        "row_no",
-        *[F.element_at("record", F.lit(c)).alias(c) for c in columns],
-    )
+    own = ("page_id", "table_no", "table_label", "row_no")
+    taken, wide = set(own), []
+    for i, c in enumerate(table_columns(pages, most) if columns is None else columns, 1):
+        name = c if c.lower() not in taken else f"{c}#{i}"
+        taken.add(name.lower())
+        wide.append(F.element_at("record", F.lit(c)).alias(name))
+    return rows.select(*own, *wide)
 
 
 def page_reader(max_records: int | None = None) -> Callable[[DataFrame], DataFrame]:

@@ -224,3 +224,17 @@ def test_repeated_headers_are_counted_by_name(pages_of):
     names = "b a b a_1 a b a c".split()
     page = "<table><thead><tr>" + "".join(f"<th>{n}" for n in names) + "</thead><tbody><tr>" + "<td>1" * 8 + "</tbody></table>"
     assert x._table_records(pages_of(page), None).first().col_names == ["b", "a", "b_1", "a_1", "a_1", "b_2", "a_2", "c"]
+
+
+def test_wide_tables_find_their_columns(spark, pages_of):
+    many = ["<table><tr><th>Name<th>Age<tr><td>a<td>1</table>"] * 30
+    pages = pages_of(*many, "<table><tr><td>only</table><table><tr><th>Late<th>name<th>page_id<tr><td>x<td>y<td>z</table>").repartition(5)
+    wide = x.extract_tables_wide(pages)
+    assert wide.columns[4:] == ["Name", "Age", "Column 1", "Late", "name#5", "page_id#6"]
+    found = {(r.page_id, r.table_no): tuple(r)[4:] for r in wide.collect()}
+    assert found[(0, 1)] == ("a", "1", None, None, None, None)
+    assert found[(30, 1)] == (None, None, "only", None, None, None) and found[(30, 2)] == (None, None, None, "x", "y", "z")
+    assert x.table_columns(pages_of(deep(3))) == ["Column 1", "Column 2", "Column 3"]
+    assert x.table_columns(pages_of("no table")) == [] and x.extract_tables_wide(pages_of("no table")).count() == 0
+    with pytest.raises(ValueError, match="more than 3 different columns"):
+        x.table_columns(pages, most=3)

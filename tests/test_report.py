@@ -165,3 +165,38 @@ def test_rules_that_could_not_be_fetched(spark, pages_of):
     assert row.reason == "robots.txt could not be fetched (timed out). Defaulting to permissible public access."
     plan = robots.check_robots(pages_of(PAGE), rules)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Scan ") == 2 and plan.count("Exchange ") <= 2
+
+
+ROBOTS = [
+    "User-agent: *\nDisallow: /a\nAllow: /a/b\n",
+    "Disallow: /all\nUser-agent: *\n\nDisallow: /a\n",
+    "User-agent: one\nUser-agent: Two # both\nDisallow: /a\nUser-agent: *\nDisallow: /b",
+    "User-agent: one\n\nUser-agent: *\nCrawl-delay: 2\n\nUser-agent: *\nDisallow: /",
+    "USER-AGENT : two\rdisallow:/a%62/%zz+\r\n  \r\nallow: /b\n#c\nDisallow: /b\nsitemap: /a\nfoo: bar\nDisallow: /c",
+    "user-agent: one\nallow: \ndisallow: \nuser-agent: two\nrequest-rate: 1/5\n \nDisallow: /c#d\n\n\nDisallow: /b",
+    "﻿User-agent: *\nDisallow: /\n\nUser-agent: one\nDisallow: /a?x=é",
+    "",
+    "# nothing\n\n",
+    "User-agent: two\x0bDisallow: /a Disallow: /b",
+]
+
+
+def test_robots_files_match_the_standard_library(spark):
+    """The decisions from texts and answers, for agents and paths, against the parser that comes with Python."""
+    paths = ["/", "/a", "/a/b", "/ab/%zz+", "/ab/x", "/b", "/c", "/c?d=1", "/all", "/a?x=%C3%A9", "/d"]
+    files = [(f"h{i}.example", 200, t, None) for i, t in enumerate(ROBOTS)]
+    files += [("no.example", 403, None, None), ("gone.example", 404, "x", None), ("ill.example", 503, None, None), ("off.example", None, None, "timed out")]
+    table = spark.createDataFrame(files, "host string, status int, body string, fetch_error string")
+    rules = robots.parse_robots(table)
+    pages = spark.createDataFrame([(i, f"https://{f[0]}{p}") for f in files for i, p in enumerate(paths)], "page_id bigint, url string")
+    for agent in ("*", "one", "TWO/1.0", "three"):
+        found = {r.url: (r.is_allowed, r.reason) for r in robots.check_robots(pages, rules, agent).collect()}
+        for host, status, text, error in files:
+            parser = urllib.robotparser.RobotFileParser()
+            parser.disallow_all = status in (403, 503)
+            parser.allow_all = status == 404 or error is not None
+            parser.parse((text or "").splitlines())
+            for p in paths:
+                url = f"https://{host}{p}"
+                assert found[url][0] == parser.can_fetch(agent, url), (agent, url, text)
+        assert found["https://off.example/"][1].startswith("robots.txt could not be fetched (timed out)")

@@ -176,13 +176,14 @@ def extract_tables_map(spark, sf_dir):
 
 @query(rendered.TABLES_WIDE_SQL)
 def extract_tables_wide(spark, sf_dir):
+    """The columns that are asked for."""
     return extract.extract_tables_wide(rendered.table_pages(spark, sf_dir), rendered.WIDE_COLUMNS)
 
 
 @query(rendered.UNION_TABLES_SQL)
 def union_tables(spark, sf_dir):
-    """All tables of a page as one, with every column, missing ones null."""
-    return extract.extract_tables_wide(rendered.table_pages(spark, sf_dir), rendered.ALL_COLUMNS)
+    """All tables of a page as one, with every column that some table has, missing ones null."""
+    return extract.extract_tables_wide(rendered.table_pages(spark, sf_dir))
 
 
 @query(f"WITH {rendered.MIXED_SQL} SELECT page_id, scrape_type, record_no, CAST(payload AS VARCHAR) AS payload FROM mixed")

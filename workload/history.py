@@ -237,6 +237,17 @@ def robots_check(spark, sf_dir):
     return robots.check_robots(_addresses(spark, sf_dir), views.robots_rules(spark, sf_dir))
 
 
+@query(_robots_sql("*", _FIRST_RULE["*"]))
+def robots_check_files(spark, sf_dir):
+    """The same decisions from the files as they were answered."""
+    return robots.check_robots(_addresses(spark, sf_dir), robots.parse_robots(views.robots_files(spark, sf_dir)))
+
+
+@query(f"SELECT * FROM ({_robots_sql(robots.BROWSER_AGENT, _FIRST_RULE['browser'])}) WHERE NOT is_allowed")
+def robots_blocked_files(spark, sf_dir):
+    return robots.robots_blocked(_addresses(spark, sf_dir), robots.parse_robots(views.robots_files(spark, sf_dir)))
+
+
 @query(f"SELECT * FROM ({_robots_sql(robots.BROWSER_AGENT, _FIRST_RULE['browser'])}) WHERE NOT is_allowed")
 def robots_blocked(spark, sf_dir):
     return robots.robots_blocked(_addresses(spark, sf_dir), views.robots_rules(spark, sf_dir))
