@@ -21,6 +21,8 @@ def stream_extract(
     max_records: int | None = None,
     responses: DataFrame | None = None,
     rules: DataFrame | None = None,
+    event_time: str | None = None,
+    repeats_within: str = "1 day",
 ) -> StreamingQuery:
     """Extract every new page and log its runs, then stop when all input is read.
 
@@ -30,6 +32,8 @@ def stream_extract(
     when it is run again, so a restart neither loses nor repeats records.
     """
     read = page_reader(max_records)
+    if event_time is not None:
+        pages = pages.withWatermark(event_time, repeats_within).dropDuplicatesWithinWatermark(["page_id"]).drop(event_time)
 
     def save(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession

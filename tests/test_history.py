@@ -1,3 +1,4 @@
+import datetime
 import json
 import pathlib
 import random
@@ -239,3 +240,28 @@ def test_stream_picks_up_new_files_once(spark):
     records = spark.read.parquet(f"{folder}/out").where("scrape_type = 'Headings'")
     assert sorted(r.page_id for r in records.collect()) == [1, 2]
     assert [r.id for r in store.read().orderBy("id").collect()] == list(range(1, 13))
+
+
+def test_a_page_that_comes_again_counts_once(spark):
+    folder = new_folder(spark, "stream")
+    schema = "page_id bigint, url string, html string, seen_at timestamp"
+
+    def arrive(number, *pages):
+        rows = [(i, "https://x.example/", f"<h1>{t}</h1>", datetime.datetime(2031, 5, 1, h, m)) for i, t, h, m in pages]
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/in/{number}")
+
+    def run():
+        pages = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
+        jobs.stream_extract(pages, f"{folder}/out", f"{folder}/checkpoint", event_time="seen_at", repeats_within="2 hours").awaitTermination()
+        found = spark.read.parquet(f"{folder}/out").where("scrape_type = 'Headings'").orderBy("page_id", "payload").collect()
+        return [(r.page_id, json.loads(r.payload)["Heading Text"]) for r in found]
+
+    arrive(0, (1, "first", 9, 0), (2, "two", 9, 10), (2, "two", 9, 10))
+    assert run() == [(1, "first"), (2, "two")]
+    arrive(1, (1, "again", 10, 0), (3, "late, but not too late", 8, 0))
+    assert run() == [(1, "first"), (2, "two"), (3, "late, but not too late")]
+    # Five hours on, page 1 is new again, and a page of nine o'clock comes too late.
+    arrive(2, (4, "four", 15, 0))
+    run()
+    arrive(3, (1, "much later", 15, 30), (5, "too late", 9, 0))
+    assert run() == [(1, "first"), (1, "much later"), (2, "two"), (3, "late, but not too late"), (4, "four")]

@@ -425,6 +425,21 @@ def stream_extract(spark, sf_dir):
     return spark.read.parquet(f"{folder}/records").drop("batch_id")
 
 
+@query(f"WITH {RECORDS_SQL} SELECT page_id, scrape_type, n::BIGINT AS record_no, CAST(payload AS VARCHAR) AS payload FROM records")
+def stream_extract_repeats(spark, sf_dir):
+    """The pages as a stream of several batches, many of them twice or three times, some late: the
+    records of each page once."""
+    folder = new_folder(spark, "stream")
+    pages = views.pages(spark, sf_dir).select(*PAGE_SCHEMA.names, F.timestamp_seconds(F.lit(1_900_000_000) - F.col("page_id") % 3000).alias("seen_at"))
+    for number, some in enumerate(("page_id % 2 = 0", "page_id % 3 = 0", "page_id % 2 = 1", "page_id % 5 < 2")):
+        pages.where(some).coalesce(1).write.parquet(f"{folder}/in/{number}")
+    arriving = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
+    jobs.stream_extract(
+        arriving, f"{folder}/records", f"{folder}/checkpoint", event_time="seen_at", repeats_within="1 hour"
+    ).awaitTermination()
+    return spark.read.parquet(f"{folder}/records").drop("batch_id")
+
+
 @query(
     f"WITH {REPORT_SQL} SELECT row_number() OVER (ORDER BY page_id, scrape_type) AS id, url, scrape_type, record_count, "
     "CASE WHEN success THEN 'Success' ELSE 'Failed' END AS status, round(execution_time, 2) AS execution_time, "
