@@ -14,7 +14,10 @@ blocks in navigation, headers, footers, asides, forms and the like are not. Ever
 block is used twice, once without the markup features, so that pages without such
 elements are judged by text, links and class names.
 
-Null and empty pages have an empty text. Repeated rows are extracted each. Input columns named
+Null and empty pages have an empty text; an empty table gives an empty table. Pages are read
+whole in time linear in their length, also where tags, quotes, comments or elements are left
+open or stand inside each other by the thousand. A page's labelling does not depend on other
+rows, and of equally cheap cuts it takes the one with the fewest blocks of main text. Repeated rows are extracted each. Input columns named
 like output columns are replaced.
 """
 
@@ -23,6 +26,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import deque
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -46,7 +50,6 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTENT = frozenset("article main".split())
 BOILERPLATE = frozenset("nav header footer aside form button select dialog menu fieldset".split())
-HIDDEN = frozenset("head script style noscript template svg iframe textarea title object".split())
 BAD_NAMES = re.compile(
     r"(?<![a-z])(ad|ads|advert\w*|banner|promo\w*|sponsor\w*|sidebar|side|menu|nav\w*|breadcrumb\w*|footer|foot|header|masthead|"
     r"comment\w*|reply|replies|respond|disqus|cookie\w*|consent|notice\w*|alert|popup|modal|newsletter|subscri\w*|signup|login|"
@@ -54,6 +57,16 @@ BAD_NAMES = re.compile(
 )
 GOOD_NAMES = re.compile(r"(?<![a-z])(article\w*|content|post|entry|story|body|main|text|prose|page)(?![a-z])")
 
+_RAW = re.compile(r"<(script|style|noscript|template|svg|iframe|textarea|title)\b", re.I)
+_TAG = re.compile(r"<(/?)([a-z][a-z0-9:-]*)", re.I)
+_SPECIAL = re.compile("[>\"']")
+_NAMES = re.compile(
+    r"(?<![a-z])(ad|ads|advert\w*|banner|promo\w*|sponsor\w*|sidebar|side|menu|nav\w*|breadcrumb\w*|footer|foot|header|masthead|"
+    r"comment\w*|reply|replies|respond|disqus|cookie\w*|consent|notice\w*|alert|popup|modal|newsletter|subscri\w*|signup|login|"
+    r"share|sharing|social|related|recommend\w*|widget\w*|toolbar|copyright|legal|search|pagination|pager|tags?)(?![a-z])"
+)
+GOOD_NAMES = re.compile(r"(?<![a-z])(article\w*|content|post|entry|story|body|main|text|prose|page)(?![a-z])")
+
 _PIECE = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<",
@@ -66,7 +79,10 @@ _NAMES = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^'
 class Block:
     text: str
     tag: str
-    path: tuple[int, ...]
+    depth: int  # block-level elements around it,
+    element: int  # the number of the innermost (0: none)
+    parent: int  # and of the one around that (0: none)
+    shared: int  # elements that are also around the block before
     linked: int
     good: int
     bad: int
@@ -75,14 +91,18 @@ class Block:
 
 
 class _Element:
-    __slots__ = ("tag", "number", "good", "bad", "content", "boilerplate", "linked")
+    __slots__ = ("tag", "number", "place", "block", "outer", "depth", "good", "bad", "content", "boilerplate", "linked")
 
-    def __init__(self, tag: str, number: int, names: str, above: _Element | None):
+    def __init__(self, tag: str, number: int, place: int, names: str, above: _Element | None):
         good, bad = (bool(GOOD_NAMES.search(names)), bool(BAD_NAMES.search(names))) if names else (False, False)
         # Names of wrappers, such as content-with-sidebar, say nothing of what is inside.
         if (good and bad) or tag in ("html", "body", "article", "main"):
             good = bad = False
-        self.tag, self.number = tag, number
+        self.tag, self.number, self.place = tag, number, place
+        # The innermost block-level element here, the one around this element, and how many there are.
+        self.outer = above.block if above else None
+        self.block = self if tag in BLOCKS else self.outer
+        self.depth = (above.depth if above else 0) + (tag in BLOCKS)
         self.good = (above.good if above else 0) + good
         self.bad = (above.bad if above else 0) + bad
         self.content = tag in CONTENT or bool(above and above.content)
@@ -90,26 +110,108 @@ class _Element:
         self.linked = tag == "a" or bool(above and above.linked)
 
 
+class _Scanner:
+    """Cuts a page into text and tags, each place of the page read a bounded number of times
+    however many tags, quotes or comments are left open."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.following: dict[str, tuple[int, int]] = {}
+        self.ends: dict[int, int] = {}
+
+    def after(self, what: str, at: int) -> int:
+        """Where ``what`` comes next at or after ``at``, -1 if nowhere. Asked for growing
+        places, so that the last answer holds up to the place it names."""
+        since, found = self.following.get(what, (0, -2))
+        if found == -2 or (found != -1 and not since <= at <= found) or at < since:
+            found = self.page.find(what, at)
+            self.following[what] = (at, found)
+        return found
+
+    def special(self, at: int) -> int:
+        """The next of > and the quotes at or after ``at``, -1 if there is none."""
+        since, found = self.following.get("special", (0, -2))
+        if found == -2 or (found != -1 and not since <= at <= found) or at < since:
+            m = _SPECIAL.search(self.page, at)
+            found = m.start() if m else -1
+            self.following["special"] = (at, found)
+        return found
+
+    def end_of_tag(self, at: int) -> int:
+        """The > that ends a tag whose attributes begin at ``at``, outside of quotes; -1 if the
+        tag or a quote in it stays open. What is known of a quote is kept for later tags."""
+        page, ends, seen = self.page, self.ends, []
+        place = self.special(at)
+        while place >= 0 and page[place] != ">" and place not in ends:
+            seen.append(place)
+            closing = page.find(page[place], place + 1)
+            if closing < 0:
+                place = -1
+            else:
+                m = _SPECIAL.search(page, closing + 1)
+                place = m.start() if m else -1
+        end = ends.get(place, place)
+        for quote in seen:
+            ends[quote] = end
+        return end
+
+    def pieces(self) -> Iterator[tuple[str | None, str, bool]]:
+        """(tag, its attributes, whether it ends an element) or (None, text, False); comments,
+        declarations and elements whose content is no text are left out."""
+        page, at, n = self.page, 0, len(self.page)
+        while at < n:
+            if page[at] != "<":
+                stop = page.find("<", at)
+                stop = n if stop < 0 else stop
+                yield None, page[at:stop], False
+                at = stop
+            elif page.startswith("<!--", at):
+                stop = self.after("-->", at + 4)
+                at = n if stop < 0 else stop + 3
+            elif page.startswith(("<!", "<?"), at):
+                stop = self.after(">", at + 2)
+                if stop < 0:
+                    yield None, "<", False
+                at = at + 1 if stop < 0 else stop + 1
+            else:
+                m = _TAG.match(page, at)
+                stop = self.end_of_tag(m.end()) if m else -1
+                if stop < 0:
+                    yield None, "<", False
+                    at += 1
+                    continue
+                raw = _RAW.match(page, at)
+                if raw:
+                    closed = re.compile(rf"</{re.escape(raw[1])}\s*+>", re.I).search(page, stop + 1)
+                    at = closed.end() if closed else n
+                else:
+                    yield m[2].lower(), page[m.end() : stop], bool(m[1])
+                    at = stop + 1
+
+
 def blocks_of(page: str) -> list[Block]:
     """The blocks of a page in page order."""
     out: list[Block] = []
     stack: list[_Element] = []
+    places: dict[str, list[int]] = {}
     parts: list[str] = []
-    linked = 0
-    number = 0
+    linked = number = lowest = 0
 
     def close() -> None:
-        nonlocal linked
+        nonlocal linked, lowest
         text = " ".join(entities.unescape("".join(parts)).split())
         if text:
-            at = [e for e in stack if e.tag in BLOCKS]
             top = stack[-1] if stack else None
-            tag = at[-1].tag if at else ""
+            block = top.block if top else None
+            depth = top.depth if top else 0
             out.append(
                 Block(
                     text,
-                    tag,
-                    tuple(e.number for e in at),
+                    block.tag if block else "",
+                    depth,
+                    block.number if block else 0,
+                    block.outer.number if block and block.outer else 0,
+                    lowest,
                     min(linked, len(text)),
                     top.good if top else 0,
                     top.bad if top else 0,
@@ -117,45 +219,44 @@ def blocks_of(page: str) -> list[Block]:
                     bool(top and top.boilerplate),
                 )
             )
+            lowest = depth
         parts.clear()
         linked = 0
 
-    for m in _PIECE.finditer(page):
-        tag = m[3]
+    def leave(place: int) -> None:
+        nonlocal lowest
+        for element in reversed(stack[place:]):
+            places[element.tag].pop()
+        del stack[place:]
+        lowest = min(lowest, stack[-1].depth if stack else 0)
+
+    for tag, piece, ends in _Scanner(page).pieces():
         if tag is None:
-            piece = m[0]
-            if m[1] is None and not piece.startswith(("<!", "<?")):
-                parts.append(piece)
-                if stack and stack[-1].linked:
-                    linked += len(piece)
+            parts.append(piece)
+            if stack and stack[-1].linked:
+                linked += len(piece)
             continue
-        tag = tag.lower()
-        if m[2]:
+        if ends:
             if tag in BLOCKS:
                 close()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                # An inline end tag does not reach over a block.
-                if stack[i].tag in BLOCKS and tag not in BLOCKS:
-                    break
+            around = stack[-1].block if stack else None
+            # An inline end tag does not reach over a block.
+            if places.get(tag) and (tag in BLOCKS or around is None or places[tag][-1] > around.place):
+                leave(places[tag][-1])
         else:
             if tag in BLOCKS:
                 close()
                 # A paragraph or list item ends where the next block begins.
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i].tag == "p" or (tag == "li" and stack[i].tag == "li"):
-                        del stack[i:]
-                        break
-                    if stack[i].tag in BLOCKS:
-                        break
+                around = stack[-1].block if stack else None
+                if around is not None and (around.tag == "p" or around.tag == tag == "li"):
+                    leave(around.place)
             elif tag == "br":
                 parts.append(" ")
-            if tag not in VOID and not (m[4] or "").endswith("/"):
+            if tag not in VOID and not piece.endswith("/"):
                 number += 1
-                names = " ".join(a or b or c for a, b, c in _NAMES.findall(m[4])).lower() if m[4] else ""
-                stack.append(_Element(tag, number, names, stack[-1] if stack else None))
+                names = " ".join(a or b or c for a, b, c in _NAMES.findall(piece)).lower() if piece else ""
+                places.setdefault(tag, []).append(len(stack))
+                stack.append(_Element(tag, number, len(stack), names, stack[-1] if stack else None))
     close()
     return out
 
@@ -271,19 +372,14 @@ def smoothness(blocks: list[Block], smooth: float = SMOOTH) -> list[tuple[int, i
     """Edges between neighbours and between blocks of one parent, with capacities."""
     out, last_child = [], {}
     for i, b in enumerate(blocks):
-        parent = b.path[:-1]
-        near = {i - 1} if i else set()
-        if parent in last_child:
-            near.add(last_child[parent])
-        for j in near:
-            common = 0
-            for x, y in zip(b.path, blocks[j].path):
-                if x != y:
-                    break
-                common += 1
-            share = common / max(1, len(b.path), len(blocks[j].path))
+        near = {i - 1: b.shared} if i else {}
+        if b.parent in last_child:
+            j = last_child[b.parent]
+            near[j] = max(0, b.depth - 1) + (b.element == blocks[j].element != 0)
+        for j, common in near.items():
+            share = common / max(1, b.depth, blocks[j].depth)
             out.append((j, i, int(SCALE * smooth * (0.2 + 0.8 * share))))
-        last_child[parent] = i
+        last_child[b.parent] = i
     return out
 
 

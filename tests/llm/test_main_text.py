@@ -1,4 +1,6 @@
 import itertools
+import re
+import time
 
 import numpy as np
 import pytest
@@ -74,3 +76,36 @@ def test_smoothness_flips_a_doubtful_block():
     content, other = np.array([1000, 40, 1000]), np.array([10, 60, 10])
     assert M.minimum_cut(content, other, []).tolist() == [True, False, True]
     assert M.minimum_cut(content, other, [(0, 1, 50), (1, 2, 50)]).tolist() == [True, True, True]
+
+
+@pytest.mark.parametrize("unit", ["<a ", '<a "', "<a '\"", "<!--", "<script ", "<!", "</", '<a x="\'>', "<div>", "<i>", "<div></i>", "<p>a "])
+def test_hostile_pages_take_linear_time(unit):
+    start = time.perf_counter()
+    M.blocks_of(unit * (2_000_000 // len(unit)))
+    # A quadratic reader takes hours.
+    assert time.perf_counter() - start < 20
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("< </ > \" ' a p div i script <!-- --> <! / = x <p> </p> <div> </div> </script> <i> </i> text".split()), max_size=40))
+def test_pieces_are_those_of_one_pattern(bits):
+    page = " ".join(bits).replace(" a", "a")
+    pattern = re.compile(
+        r"<!--.*?(?:-->|\Z)|<(script)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
+        r"|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<",
+        re.S | re.I,
+    )
+    expected = []
+    for m in pattern.finditer(page):
+        if m[3]:
+            expected.append((m[3].lower(), m[4], bool(m[2])))
+        elif m[1] is None and not m[0].startswith(("<!", "<?")):
+            expected.append((None, m[0], False))
+    assert list(M._Scanner(page).pieces()) == expected
+
+
+def test_smoothness_is_stronger_the_deeper_the_common_path():
+    blocks = M.blocks_of("<div><ul><li>a<li>b</ul><p>c</div><p>d")
+    assert [(b.depth, b.shared) for b in blocks] == [(3, 0), (3, 2), (2, 1), (1, 0)]
+    costs = {(i, j): c for i, j, c in M.smoothness(blocks, 1.0)}
+    assert costs[0, 1] == int(1000 * (0.2 + 0.8 * 2 / 3)) and costs[1, 2] == int(1000 * (0.2 + 0.8 / 3)) and costs[2, 3] == 200
