@@ -1,5 +1,6 @@
 import datetime
 import json
+import os
 import pathlib
 import random
 from concurrent.futures import ThreadPoolExecutor
@@ -265,3 +266,61 @@ def test_a_page_that_comes_again_counts_once(spark):
     run()
     arrive(3, (1, "much later", 15, 30), (5, "too late", 9, 0))
     assert run() == [(1, "first"), (1, "much later"), (2, "two"), (3, "late, but not too late"), (4, "four")]
+
+
+def _log_stream(spark, folder):
+    """Adds files of lines (minute of the day, level) and starts streams over them."""
+
+    def arrive(number, *lines):
+        rows = [(i, f"[2031-05-01 {m // 60:02d}:{m % 60:02d}:00] [{level}] x" if m is not None else "no time") for i, m, level in lines]
+        spark.createDataFrame(rows, "line_id bigint, line string").coalesce(1).write.parquet(f"{folder}/in/{number}")
+
+    def lines():
+        return spark.readStream.schema("line_id bigint, line string").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
+
+    return arrive, lines
+
+
+def test_log_windows_count_late_lines_and_keep_little_state(spark):
+    folder = new_folder(spark, "stream")
+    arrive, lines = _log_stream(spark, folder)
+
+    def run():
+        started = jobs.stream_log_windows(lines(), F.col("line"), f"{folder}/out", f"{folder}/checkpoint", "10 minutes", "30 minutes")
+        started.awaitTermination()
+        found = spark.read.schema("window_start timestamp, level string, n bigint").parquet(f"{folder}/out")
+        state = started.lastProgress.stateOperators[0].numRowsTotal if started.lastProgress else 0
+        return sorted((r.window_start.hour * 60 + r.window_start.minute, r.level, r.n) for r in found.collect()), state
+
+    arrive(0, (1, 0, "INFO"), (2, 5, "INFO"), (3, 9, "ERROR"), (4, 25, "INFO"), (5, None, "INFO"))
+    assert run() == ([], 3)
+    # Line 6 is late, but its window is open; line 7 closes the first window.
+    arrive(1, (6, 3, "ERROR"), (7, 41, "SUCCESS"))
+    assert run()[0] == [(0, "error", 2), (0, "info", 2)]
+    # Hours later no window but the newest is kept; what belongs to a closed one is not counted.
+    arrive(2, (8, 600, "INFO"))
+    run()
+    arrive(3, (9, 4, "INFO"), (10, 601, "INFO"))
+    found, state = run()
+    assert found == [(0, "error", 2), (0, "info", 2), (20, "info", 1), (40, "success", 1)] and state == 1
+
+
+def test_log_tail_of_a_stream(spark):
+    folder = new_folder(spark, "stream")
+    arrive, lines = _log_stream(spark, folder)
+
+    def run():
+        jobs.stream_log_tail(lines(), F.col("line"), ["line_id"], f"{folder}/tail", f"{folder}/checkpoint", 3).awaitTermination()
+        return sorted(r.line_id for r in jobs.read_log_tail(spark, f"{folder}/tail").collect())
+
+    arrive(0, (1, None, ""), (2, 10, "INFO"))
+    assert run() == [1, 2]
+    # Ties go to the larger id; a late line counts while it is among the newest.
+    arrive(1, (3, 20, "INFO"), (4, 20, "INFO"), (5, 20, "INFO"))
+    assert run() == [3, 4, 5]
+    arrive(2, (6, 15, "INFO"), (7, 30, "INFO"))
+    assert run() == run() == [4, 5, 7]
+    arrive(3, (8, 20, "INFO"))
+    arrive(4, (9, 40, "INFO"))
+    assert run() == [7, 8, 9]
+    assert len([f for f in os.listdir(f"{folder}/tail") if f.startswith("batch_id")]) == 2

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from pagetables.operators import extract, records
 from pagetables.session import new_folder
+from pagetables.sources import archives, sinks
 from pagetables.sources import pages as page_source
-from pagetables.sources import sinks
 
 from . import rendered, views
 from .registry import query, table
@@ -35,6 +35,24 @@ def scan_html_files(spark, sf_dir):
     return files.select("page_id", "url", F.md5(body).alias("html_md5"))
 
 
+@query("SELECT page_id, url, 200 AS status_code, md5(html) AS html_md5 FROM pages")
+def scan_archives(spark, sf_dir):
+    """The pages written to archives of many pages a file, each in the smallest charset that
+    holds it, and read back."""
+    folder = new_folder(spark, "archives")
+    narrow = F.col("html").rlike(r"^[\x00-\x7f\xa0-\xff]*+$")
+    pages = views.pages(spark, sf_dir).select(
+        F.concat(F.lit("<urn:page:"), F.col("page_id"), F.lit(">")).alias("record_id"),
+        "url",
+        "html",
+        F.when(narrow, F.lit("iso-8859-1")).otherwise("utf-8").alias("charset"),
+    )
+    archives.write_archives(pages, folder)
+    found = archives.read_archives(spark, folder)
+    page_id = F.regexp_extract("record_id", "[0-9]+", 0).cast("bigint")
+    return found.select(page_id.alias("page_id"), "url", "status_code", F.md5("html").alias("html_md5"))
+
+
 _LINK_COLUMNS = "page_id, record_no, text, link_url, link_type, target"
 
 

@@ -466,3 +466,44 @@ def stream_log_counts(spark, sf_dir):
     lines = spark.readStream.schema("line string").parquet(f"{folder}/lines")
     jobs.stream_log_counts(lines, F.col("line"), f"{folder}/counts", f"{folder}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{folder}/counts")
+
+
+def _arriving_lines(spark, sf_dir, folder):
+    """The log lines as a stream of files of six days each; every tenth line comes one file
+    late and every tenth four files late."""
+    days = F.date_diff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date"))
+    delay = F.when(F.col("event_id") % 10 == 3, 1).when(F.col("event_id") % 10 == 7, 4).otherwise(0)
+    file = F.least(F.greatest(F.floor(days / 6), F.lit(0)), F.lit(4)) + delay
+    lines = views.log_lines(spark, sf_dir).select("event_id", "line", file.alias("file"))
+    for number in range(9):
+        lines.where(F.col("file") == number).drop("file").coalesce(1).write.parquet(f"{folder}/lines/{number}")
+    return spark.readStream.schema("event_id bigint, line string").option("maxFilesPerTrigger", 1).parquet(f"{folder}/lines/*")
+
+
+@query(
+    f"WITH {LOG_SQL} SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, CASE level WHEN 'ERROR' THEN 'error' "
+    "WHEN 'WARNING' THEN 'warning' WHEN 'SUCCESS' THEN 'success' ELSE 'info' END AS level, count(*) AS n FROM log_lines "
+    "WHERE event_id % 10 <> 7 AND date_trunc('hour', ts) + INTERVAL 1 HOUR <= "
+    "(SELECT date_trunc('second', max(ts)) - INTERVAL 7 DAY FROM log_lines) GROUP BY ALL"
+)
+def stream_log_windows(spark, sf_dir):
+    """Lines per level and hour, lines up to a week late included; hours that are still open at
+    the end of the stream, and lines that come later than that, are left out."""
+    folder = new_folder(spark, "log-windows")
+    lines = _arriving_lines(spark, sf_dir, folder)
+    jobs.stream_log_windows(lines, F.col("line"), f"{folder}/out", f"{folder}/checkpoint", "1 hour", "7 days").awaitTermination()
+    found = spark.read.schema("window_start timestamp, level string, n bigint").parquet(f"{folder}/out")
+    return found.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query(
+    f"WITH {LOG_SQL} SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS logged_at FROM "
+    "(SELECT event_id, date_trunc('second', ts) AS ts FROM log_lines ORDER BY date_trunc('second', ts) DESC, event_id DESC LIMIT 500)"
+)
+def stream_log_tail(spark, sf_dir):
+    """The 500 newest lines of the stream, late ones included."""
+    folder = new_folder(spark, "log-tail")
+    lines = _arriving_lines(spark, sf_dir, folder)
+    jobs.stream_log_tail(lines, F.col("line"), ["event_id"], f"{folder}/tail", f"{folder}/checkpoint").awaitTermination()
+    tail = jobs.read_log_tail(spark, f"{folder}/tail")
+    return tail.select("event_id", F.date_format("logged_at", "yyyy-MM-dd HH:mm:ss").alias("logged_at"))
