@@ -1,3 +1,5 @@
+import gzip
+import os
 import re
 import time
 
@@ -8,6 +10,8 @@ from pagetables.functions import html
 from pagetables.functions.arrays import explode_items
 from pagetables.operators import extract as x
 from pagetables.operators import nested_tables, tables
+from pagetables.session import new_folder
+from pagetables.sources import archives
 from pagetables.sources.pages import read_pages
 from workload import rendered
 
@@ -238,3 +242,54 @@ def test_wide_tables_find_their_columns(spark, pages_of):
     assert x.table_columns(pages_of("no table")) == [] and x.extract_tables_wide(pages_of("no table")).count() == 0
     with pytest.raises(ValueError, match="more than 3 different columns"):
         x.table_columns(pages, most=3)
+
+
+def test_archives_of_many_pages(spark):
+    folder = new_folder(spark, "archives")
+    texts = ["", "plain", "ünïcode é", "a\r\n\r\nWARC/1.0\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc" * 3, "日本", "x" * 50_000, None]
+    rows = [(f"<urn:{i}>", f"https://x.example/{i}", t, "iso-8859-1" if i == 2 else "shift_jis" if i == 4 else None) for i, t in enumerate(texts * 5)]
+    pages = spark.createDataFrame(rows, "record_id string, url string, html string, charset string")
+    archives.write_archives(pages.repartition(3), folder)
+    assert len([f for f in os.listdir(folder) if not f.startswith(".")]) == 3
+    # Ranges shorter than a record: every page once all the same.
+    for size in (1000, 1 << 20):
+        found = archives.read_archives(spark, folder, rangeBytes=size).collect()
+        assert sorted((r.record_id, r.url, r.html, r.status_code) for r in found) == sorted((i, u, t or "", 200) for i, u, t, _ in rows)
+    archives.write_archives(pages.limit(1), folder)
+    assert archives.read_archives(spark, folder).count() == len(rows) + 1
+    # Compressed archives, and one that is cut short.
+    names = sorted(f for f in os.listdir(folder) if f.endswith(".warc"))
+    other = new_folder(spark, "archives")
+    os.makedirs(other)
+    with open(f"{folder}/{names[0]}", "rb") as f, gzip.open(f"{other}/a.warc.gz", "wb") as g:
+        whole = f.read()
+        g.write(whole)
+    n = archives.read_archives(spark, f"{folder}/{names[0]}").count()
+    assert archives.read_archives(spark, other).count() == n
+    with open(f"{other}/b.warc", "wb") as f:
+        f.write(whole[:-20])
+    with pytest.raises(Exception, match="cut short"):
+        archives.read_archives(spark, other).count()
+    assert archives.read_archives(spark, other, failOnCut="false").count() == 2 * n - 1
+    with pytest.raises(Exception, match="record_id"):
+        archives.write_archives(pages.drop("record_id"), folder)
+
+
+@pytest.mark.parametrize(
+    "body, kind, text",
+    [
+        (b"\xef\xbb\xbf\xc3\xa9", "text/html; charset=latin1", "é"),
+        (b"\xff\xfea\x00", None, "a"),
+        (b"\xe9", "text/html; charset=ISO-8859-1", "é"),
+        (b"\x80", "text/html; charset=ISO-8859-1", "€"),
+        (b"\xd0", 'text/html; charset="koi8-r"', "п"),
+        (b"<META http-equiv=x content='text/html; charset=koi8-r'>\xd0", "text/html", "<META http-equiv=x content='text/html; charset=koi8-r'>п"),
+        (b"<meta charset=utf-16>\xc3\xa9", None, "<meta charset=utf-16>é"),
+        (b"\xc3\xa9", "text/html; charset=nonsense", "é"),
+        (b"\xe9", "text/html; charset=hex", "é"),
+        (b"\xc3(", "text/html; charset=utf-8", "�("),
+        (b"", None, ""),
+    ],
+)
+def test_charsets(body, kind, text):
+    assert archives.decoded(body, kind) == text
