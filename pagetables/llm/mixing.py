@@ -13,11 +13,12 @@ step size is one and a round without a rate at zero already solves the problem.
 depends on the posterior alone, so the history of the K-component steps, which is all
 the driver holds, restores every rate without a join.
 
-The classifier is fitted on at most ``TRAIN_ROWS`` labelled documents; posteriors,
-totals and rates cover all documents.
+The classifier is fitted on at most ``TRAIN_ROWS`` labelled documents, one text of each id and
+at most ``TRAIN_FEATURES`` distinct words of a text; posteriors, totals and rates cover all
+documents and all words.
 
 Null and empty texts have no tokens; their rate follows their posterior, as for any
-document. Labelled ids without a document are left out, as are labels that are null. A
+document; very long ones are read whole. An empty table gives no rows. Labelled ids without a document are left out, as are labels that are null. A
 document labelled twice counts twice. With no labelled documents there is one domain, ``all``.
 Rows alike get equal rates. Input columns named like output columns are replaced.
 """
@@ -36,6 +37,7 @@ from .common import raw_texts, sampled, split_words, stored, without
 from .linear import Logistic
 
 TRAIN_ROWS = 6000
+TRAIN_FEATURES = 2048
 FEATURES = 1 << 18
 # A feature must stand in so many of the labelled documents.
 MIN_DOCS = 4
@@ -80,12 +82,14 @@ def fit_membership(
     known = sampled(known, F.struct("_id", "domain"), train_rows)
 
     def features(texts: pa.Array) -> pa.Array:
-        return pa.array([word_features(r)[0] for r in raw_texts(texts)], pa.list_(pa.int32()))
+        # The numbers are hashes: the lowest are a sample that long texts share.
+        return pa.array([word_features(r)[0][:TRAIN_FEATURES] for r in raw_texts(texts)], pa.list_(pa.int32()))
 
     texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text"))
-    # At most train_rows ids; copies of one id give one row.
-    chosen = texts.join(F.broadcast(known), "_id").dropDuplicates(["_id", "domain", "_text"])
-    rows = chosen.select("domain", F.arrow_udf(features, "array<int>").asNondeterministic()("_text").alias("f")).collect()
+    # At most train_rows ids; of the texts of an id there is one, the one whose hash is lowest.
+    one = F.min(F.struct(F.xxhash64("_text").alias("h"), F.col("_text").alias("t")))
+    chosen = texts.join(F.broadcast(known), "_id").groupBy("_id", "domain").agg(one.alias("one"))
+    rows = chosen.select("domain", F.arrow_udf(features, "array<int>").asNondeterministic()("one.t").alias("f")).collect()
     domains = sorted({r.domain for r in rows})
     if len(domains) < 2:
         return Membership(domains or ["all"], None)

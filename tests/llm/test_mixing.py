@@ -101,3 +101,15 @@ def test_totals_of_rounded_rates(docs_of, spark, prose):
     assert np.allclose(fit.rounded, want)
     exact = sum(r.rate * r.n_tokens * np.array(r.posterior) for r in rows)
     assert np.allclose(fit.reached, exact, rtol=1e-3, atol=1.0)
+
+
+def test_a_labelled_id_gives_one_text_and_a_bounded_row(spark, monkeypatch):
+    docs = spark.range(3000).selectExpr("id % 3 AS doc_id", "concat('word', id, ' other', id) AS text").repartition(6)
+    long = spark.range(1).selectExpr("9 AS doc_id", "array_join(transform(sequence(1, 9000), x -> concat('w', x)), ' ') AS text")
+    labels = spark.createDataFrame([(0, 0), (1, 1), (2, 1), (9, 0)], "doc_id bigint, quality int")
+    seen = []
+    fit = mixing.Logistic.fit
+    monkeypatch.setattr(mixing.Logistic, "fit", lambda x, *rest, **named: seen.append(x) or fit(x, *rest, **named))
+    first, again = (mixing.fit_membership(docs.unionByName(long), labels, ("quality",)) for _ in "ab")
+    assert sorted(map(len, seen[0])) == [2, 2, 2, mixing.TRAIN_FEATURES]
+    assert [x.tolist() for x in seen[0]] == [x.tolist() for x in seen[1]] and first.domains == again.domains
