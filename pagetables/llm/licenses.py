@@ -12,7 +12,8 @@ The unknown class is calibrated on held-out variants and lines: a family is acce
 from the probability at which at most ``MAX_FALSE`` of the held-out unknown paragraphs
 would be taken for a licence. An accepted paragraph is then compared with the family's
 templates; it is confirmed if ``CONFIRM`` of the words of one template stand in it in
-order.
+order, among them all that name the licence, and if no negation stands one or two words before.
+A licence that is worded like a family's but has another name is not confirmed.
 
 A run has at most ``2 n + SLACK`` words for a template of n, across line ends, and is cut
 to what the template spans. Runs are looked for where a text has one of the template's
@@ -24,7 +25,9 @@ template does not need them, if the words outside these runs still speak for the
 that is the second licence of a notice that grants two. A run is numbered by the line it
 begins in.
 
-Null and empty texts have no paragraphs. Repeated rows are scanned each. Input columns
+Null and empty texts have no paragraphs, an empty table gives no rows. Texts are scanned whole; a text that
+is nothing but licence wording takes milliseconds a word. Of equally probable families the first by
+name counts. Repeated rows are scanned each. Input columns
 named like output columns are replaced.
 """
 
@@ -58,6 +61,8 @@ TEMPLATES = {
     "agpl": (
         "licensed under the gnu affero general public license version 3",
         "you can redistribute it under the terms of the gnu affero general public license",
+        "spdx-license-identifier agpl-3.0-only",
+        "spdx-license-identifier agpl-3.0-or-later",
     ),
     "apache": (
         "licensed under the apache license version 2.0",
@@ -85,11 +90,14 @@ TEMPLATES = {
         "licensed under the gnu general public license version 3",
         "this work is licensed under the gnu general public license version 3",
         "you can redistribute it and or modify it under the terms of the gnu general public license",
+        "spdx-license-identifier gpl-3.0-only",
         "spdx-license-identifier gpl-3.0-or-later",
     ),
     "lgpl": (
         "licensed under the gnu lesser general public license version 3",
         "you can redistribute it under the terms of the gnu lesser general public license",
+        "spdx-license-identifier lgpl-3.0-only",
+        "spdx-license-identifier lgpl-3.0-or-later",
     ),
     "mit": (
         "released under the mit license",
@@ -104,9 +112,18 @@ TEMPLATES = {
     "public-domain": (
         "this work is released into the public domain",
         "this is free and unencumbered software released into the public domain",
+        "spdx-license-identifier cc0-1.0",
     ),
 }
 
+# Words of the templates that name a licence. Another licence may share all the rest.
+NAMES = frozenset(
+    "affero agpl-0-only agpl-0-or-later apache apache-0 attribution attribution-noncommercial attribution-sharealike bsd "
+    "bsd-0-clause by by-nc by-sa cc cc0-0 commons domain general gnu gpl-0-only gpl-0-or-later lesser lgpl-0-only lgpl-0-or-later "
+    "mit mozilla mpl-0".split()
+)
+NEGATIONS = frozenset("never neither no nor not without".split())
+
 # Sentences that are no grant of a licence.
 OTHER = (
     "a driving license is needed to rent the car",
@@ -168,20 +185,37 @@ def matched(template: list[str], words: list[str]) -> list[int]:
     return out
 
 
+def named(template: list[str], words: Iterable[str]) -> bool:
+    """Whether the words name the licence that the template names."""
+    return NAMES.intersection(template) <= set(words)
+
+
+def likeness(template: list[str], words: list[str]) -> float:
+    """Part of the template's words that stand in the line in the same order; 0 if the line does
+    not name the licence or denies something, which is for the runs to look at closely."""
+    if not named(template, words) or not NEGATIONS.intersection(words) <= set(template):
+        return 0.0
+    return in_order(template, words)
+
+
 def runs(template: list[str], words: list[str], places: list[int]) -> list[tuple[float, list[int]]]:
     """(similarity, places of the matched words) of the runs around ``places`` that
-    confirm the template. They do not overlap."""
+    confirm the template, name its licence and are not denied. They do not overlap."""
     longest, known = 2 * len(template) + SLACK, set(template)
     starts = {s for i in places for s in range(max(0, i - longest + 1), i + 1) if words[s] in known}
     scored = []
     for s in sorted(starts):
         window = words[s : s + longest]
+        if not named(template, window):
+            continue
         if len(known.intersection(window)) >= CONFIRM * len(known) / 2 and (similarity := in_order(template, window)) >= CONFIRM:
             scored.append((similarity, s))
     out: list[tuple[float, list[int]]] = []
     # The best first, of equal ones the latest start: the shortest run.
     for similarity, s in sorted(scored, reverse=True):
         own = [s + j for j in matched(template, words[s : s + longest])]
+        if not named(template, [words[i] for i in own]) or NEGATIONS.intersection(words[max(0, own[0] - 2) : own[0]]):
+            continue
         if all(own[-1] < o[0] or o[-1] < own[0] for _, o in out):
             out.append((similarity, own))
     return out
@@ -238,7 +272,7 @@ class LicenceModel:
             best = int(p.argmax())
             if best != unknown and p[best] >= self.threshold:
                 family = self.families[best]
-                similarity = max(in_order(t, split[i]) for t in self.templates[family])
+                similarity = max(likeness(t, split[i]) for t in self.templates[family])
                 out[i] = (family, float(p[best]), similarity)
         return out
 
@@ -291,6 +325,10 @@ class LicenceModel:
         run stands for its family's lines within it, unless one of them is confirmed."""
         split = [tokens(p) for p in text.split("\n")]
         lines = {(i, h[0]): h[1:] for i, h in enumerate(self.scan_words(split)) if h}
+        for (i, family), (p, _) in lines.items():
+            # What the line before denies is for the runs to look at.
+            if i and NEGATIONS.intersection(split[i - 1][-2:]):
+                lines[i, family] = (p, 0.0)
         words = [w for line in split for w in line]
         if not self.anchors.keys() & set(words):
             return [(i, f, *x) for (i, f), x in lines.items()]

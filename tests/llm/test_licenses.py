@@ -100,3 +100,38 @@ def test_a_confirmed_run_has_a_rare_word():
     for template in (licenses.tokens(t) for ts in licenses.TEMPLATES.values() for t in ts):
         rare = set(licenses.rare_words(template, {w: 0 for w in template}))
         assert sum(w not in rare for w in template) / len(template) < licenses.CONFIRM
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Licensed under the ISC license",
+        "Licensed under the Eclipse Public License version 2.0",
+        "Licensed under the GNU Free Documentation License version 1.3",
+        "Released under the Boost license",
+        "Licensed under CC BY-ND 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License",
+        "This source code form is subject to the terms of the European Union Public License version 1.2",
+        "This file is not licensed under the MIT license",
+        "It was never released\nunder the BSD license",
+        "SPDX-License-Identifier: ISC",
+        "SPDX-License-Identifier: EPL-2.0",
+    ],
+)
+def test_other_licences_and_denials_are_not_confirmed(model, text):
+    assert not [h for h in model.scan_text(text) if h[3] >= licenses.CONFIRM]
+
+
+@pytest.mark.parametrize(
+    "text, family",
+    [
+        ("SPDX-License-Identifier: GPL-2.0-only", "gpl"),
+        ("SPDX-License-Identifier: AGPL-3.0-only", "agpl"),
+        ("SPDX-License-Identifier: LGPL-2.1-or-later", "lgpl"),
+        ("SPDX-License-Identifier: CC0-1.0", "public-domain"),
+        ("SPDX-License-Identifier: BSD-2-Clause", "bsd"),
+        ("This is not a toy. It was made with care and is licensed under the MIT License.", "mit"),
+    ],
+)
+def test_identifiers_and_grants_beside_a_negation(model, text, family):
+    assert [h[1] for h in model.scan_text(text) if h[3] >= licenses.CONFIRM] == [family]
