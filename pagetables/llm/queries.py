@@ -33,22 +33,27 @@ LABELS = ("quality", "toxic")
 @query
 def op1_min_cost_flow_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    crc = F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).alias("text_crc32")
     own = docs.select(
         "doc_id",
         "text",
+        crc,
         sharding.file_number(docs).alias("file_no"),
-        F.struct("_metadata.file_name", "_metadata.row_index").alias("place"),
+        F.struct("_metadata.file_path", "_metadata.row_index").alias("place"),
     )
     found, plan = sharding.reshard(own, F.col("file_no"), [F.col("place")], 16)
-    found = found.select("doc_id", "text", "size", "shard", "slot")
-    # The digest is that of the shards as they are now: the written ones and those left.
-    path = sharding.rewrite(found, plan)
+    found = found.select("doc_id", "text", "text_crc32", "size", "shard", "slot")
+    # The digest is that of the shards as they are now: the written ones, read back, and
+    # those left, whose texts do not move.
+    moved = found.drop("text_crc32")
+    path = sharding.rewrite(moved, plan)
+    digest = ["doc_id", "size", "text_crc32", "shard", "slot"]
     left = found.where(~F.col("shard").isin(plan.affected)) if plan.affected else found
-    written = spark.read.schema(found.schema).parquet(path).select(*found.columns)
-    return left.union(written).select(
+    written = spark.read.schema(moved.schema).parquet(path).select("doc_id", "size", crc, "shard", "slot")
+    return left.select(*digest).union(written).select(
         "doc_id",
         "size",
-        F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).alias("text_crc32"),
+        "text_crc32",
         F.lit("bytes").alias("law"),
         "shard",
         "slot",

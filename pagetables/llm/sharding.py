@@ -13,7 +13,9 @@ those and no others.
 
 A null text has no bytes, and every row has one byte more than its text. Rows are told
 apart by their place, so repeated rows and null ids are rows like any other. Input columns
-named like output columns are replaced.
+named like output columns are replaced. A very long text is a row that may be larger than a
+shard's room; the shard that has the most open takes it. An empty table gives no rows, and all
+new shards are written empty.
 """
 
 from __future__ import annotations
@@ -148,12 +150,15 @@ def plan_transfers(blocks: list[tuple[int, int, int, int]], new_shards: int, cap
 
 
 def file_number(docs: DataFrame) -> Column:
-    """Number of the file a row comes from, the files in the order of their names.
+    """Number of the file a row comes from, the files with rows in the order of their paths.
     Beyond MOST_OLD_SHARDS files, files that hash alike count as one old shard."""
-    files = sorted({f.rsplit("/", 1)[-1] for f in docs.inputFiles()})
-    name = F.col("_metadata.file_name")
+    name = F.col("_metadata.file_path")
+    found = docs.select(name.alias("file")).distinct().limit(MOST_OLD_SHARDS + 1).collect()
+    files = sorted(r.file for r in found)
     if len(files) > MOST_OLD_SHARDS:
         return F.pmod(F.xxhash64(name), F.lit(MOST_OLD_SHARDS)).cast("int")
+    if not files:
+        return F.lit(0)
     numbers = F.create_map(*[x for i, f in enumerate(files) for x in (F.lit(f), F.lit(i))])
     return numbers[name]
 
@@ -191,7 +196,9 @@ def reshard(
     table = docs.sparkSession.createDataFrame(rows, "old_shard int, _block int, shard int, _first bigint")
     # As many rows as there are blocks: bounded by ``blocks`` and MOST_OLD_SHARDS.
     found = blocked.join(F.broadcast(table), ["old_shard", "_block"])
-    in_block = Window.partitionBy("old_shard", "_block").orderBy("_at")
+    # A block lies in one shard. Named here, the shard can be filtered below the window: a job that
+    # needs some shards moves the texts of those alone.
+    in_block = Window.partitionBy("old_shard", "_block", "shard").orderBy("_at")
     slot = F.col("_first") + F.row_number().over(in_block) - 1
     names = [F.col(f"`{c}`") for c in own.columns]
     return found.withColumn("slot", slot.cast("long")).select(*names, "size", "old_shard", "shard", "slot"), plan

@@ -87,3 +87,66 @@ def test_probes_come_in_the_order_of_their_scores():
     score = lambda s: sum((inside[j] if d < 0 else 1 - inside[j]) ** 2 for j, d in s)
     assert len(steps) == len(set(steps)) == 27
     assert [score(s) for s in steps] == sorted(score(s) for s in steps)
+
+
+def clustered(n, size=32, around=64, seed=5):
+    """Unit vectors near centres, ``around`` for each."""
+    rng = np.random.default_rng(seed)
+    centres = rng.standard_normal((n // around, size))
+    rows = np.repeat(centres, around, axis=0) + 0.25 * rng.standard_normal((n // around * around, size))
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+
+
+def tuned(rows, some=N.SAMPLE_QUERIES, k=5):
+    rng = np.random.default_rng(1)
+    asked = rng.choice(len(rows), some, replace=False)
+    near = rows[asked] @ rows.T
+    near[np.arange(some), asked] = -2
+    best = np.argsort(-near, axis=1)[:, :k]
+    sample = rows[rng.choice(len(rows), min(len(rows), N.SAMPLE_ROWS), replace=False)]
+    return N.tune(len(rows), len(rows) // 50, rows[asked], [rows[b] for b in best], sample), asked, best
+
+
+def test_share_of_rows_visited_falls_as_rows_grow():
+    shares = []
+    for n in (2_000, 8_000, 32_000):
+        rows = clustered(n)
+        setting, asked, best = tuned(rows)
+        hashing = N.Hashing(rows.shape[1], N.TABLES, setting.projections, setting.width).first(setting.tables)
+        filed = hashing.buckets(np.floor(hashing.slots(rows)))
+        others = np.random.default_rng(9).choice(n // 64 * 64, 60, replace=False)
+        hits, seen = 0, 0
+        for i, visits in zip(others, hashing.visits(rows[others], setting.probes)):
+            near = rows[i] @ rows.T
+            near[i] = -2
+            met = np.isin(filed, np.array(visits, dtype=np.int64)).any(axis=0)
+            hits += met[np.argsort(-near)[:5]].sum()
+            seen += met.sum()
+        # Queries that the tuning did not see.
+        assert hits >= 0.9 * 5 * len(others)
+        shares.append(seen / len(others) / len(rows))
+    assert shares[0] > 1.5 * shares[1] > 2.25 * shares[2] and shares[2] < 0.1, shares
+
+
+def test_no_setting_where_the_probes_do_not_reach(monkeypatch):
+    monkeypatch.setattr(N, "PROBES", 1)
+    rows = clustered(2_000)
+    assert N.tune(len(rows), 40, rows[:8], [-rows[:8][i : i + 1] for i in range(8)], rows) is None
+
+
+def test_very_large_and_very_small_vectors(spark):
+    rows = vectors(120, 8, 2)
+    sizes = [1e200, 1e-200, 1.0]
+    scaled = [(i, [x * sizes[i % 3] for x in v]) for i, v in rows]
+    mine = found(N.nearest(spark.createDataFrame(scaled, "vec_id bigint, embedding array<double>"), F.col("vec_id") % 50 == 0))
+    want = brute(rows, 5, 50)
+    for q, near in mine.items():
+        assert [s for _, s in near] == [pytest.approx(s, abs=1e-9) for _, s in want[q]] or len({i for i, _ in near} & {i for i, _ in want[q]}) >= 4
+
+
+def test_without_a_setting_all_rows_are_searched(spark, monkeypatch):
+    monkeypatch.setattr(N, "PROBES", 1)
+    monkeypatch.setattr(N, "TABLES", 1)
+    rows = vectors(300, 16, 3)
+    mine = found(N.nearest(frame_of(spark, rows), F.col("vec_id") % 50 == 0))
+    assert {q: [i for i, _ in v] for q, v in mine.items()} == {q: [i for i, _ in v] for q, v in brute(rows, 5, 50).items()}

@@ -2,6 +2,7 @@ import itertools
 import zlib
 from collections import defaultdict
 
+import pyarrow.parquet as pq
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -112,3 +113,33 @@ def test_query_writes_the_touched_shards(spark, docs_of, prose, odd_pairs, tmp_p
     assert sorted(((r.doc_id, r.text_crc32) for r in rows), key=key) == sorted(((i, crc(t)) for i, t in pairs), key=key)
     places = {(r.shard, r.slot): r.text_crc32 for r in rows}
     assert len(places) == len(rows) and all(places[r.shard, r.slot] == crc(r.text) for r in moved)
+
+
+def test_files_of_one_name_and_uneven_size(spark, docs_of, prose, tmp_path, monkeypatch):
+    folder = tmp_path / "documents.parquet"
+    for at, (name, n) in enumerate((("a", 400), ("b", 40), ("c", 120))):
+        pairs = [(1000 * at + i, prose(5 + i % 60, i)) for i in range(n)]
+        (folder / f"part={name}").mkdir(parents=True)
+        pq.write_table(docs_of(pairs).toArrow(), folder / f"part={name}" / "part-0.parquet")
+    plans, rewrite = [], sharding.rewrite
+    monkeypatch.setattr(sharding, "rewrite", lambda moved, plan: plans.append(plan) or rewrite(moved, plan))
+    rows = queries.op1_min_cost_flow_sharding(spark, str(tmp_path)).collect()
+    docs = spark.read.parquet(str(folder))
+    numbers = docs.select(sharding.file_number(docs).alias("n"), "part").distinct().collect()
+    assert sorted((r.n, r.part) for r in numbers) == [(0, "a"), (1, "b"), (2, "c")]
+    slots = defaultdict(list)
+    for r in rows:
+        slots[r.shard].append(r.slot)
+    assert len(rows) == 560 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    (plan,) = plans
+    # A block of one text is the least that can move.
+    assert plan.flow_bytes <= plan.moved_bytes <= plan.flow_bytes + 16 * max(r["size"] for r in rows)
+
+
+def test_texts_of_shards_that_are_left_do_not_move(spark, docs_of, prose, tmp_path):
+    docs_of([(i, prose(20, i)) for i in range(200)]).write.parquet(str(tmp_path / "in"))
+    docs = spark.read.parquet(str(tmp_path / "in")).select("doc_id", "text", (F.col("doc_id") % 4).cast("int").alias("old"))
+    found, _ = sharding.reshard(docs, F.col("old"), [F.col("doc_id")], 4)
+    plan = found.where(F.col("shard") == 1).select("doc_id", "size", "slot")._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Window", 1)
+    assert "shard" not in above and "Filter" in below
