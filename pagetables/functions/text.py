@@ -62,6 +62,15 @@ def strip_space(text: Column) -> Column:
     return F.regexp_replace(text, rf"^[{WHITESPACE}]++|[{WHITESPACE}]++\z", "")
 
 
+def field(record: Column, name: str, kind: str = "string") -> Column:
+    """A field of a variant record with its type; null where it is missing or of another type."""
+    if not set("'\"\\?") & set(name):
+        return F.try_variant_get(record, f"$['{name}']", kind)
+    # Paths cannot quote these.
+    fields = F.try_variant_get(record, "$", "map<string,variant>")
+    return F.try_variant_get(F.element_at(fields, F.lit(name)), "$", kind)
+
+
 def is_blank(text: Column) -> Column:
     return ~F.coalesce(text, F.lit("")).rlike(f"[^{WHITESPACE}]")
 

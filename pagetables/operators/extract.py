@@ -293,8 +293,8 @@ def record_counts() -> Column:
     return F.create_map(*[x for t, n in counts.items() for x in (F.lit(t), n.cast("bigint"))])
 
 
-def records_of(found: DataFrame) -> DataFrame:
-    """``page_records`` as (page_id, scrape_type, record_no, payload JSON). Nested tables are handed
+def records_of(found: DataFrame, payload: Callable[[Column], Column] = F.to_json) -> DataFrame:
+    """``page_records`` as (page_id, scrape_type, record_no, payload). Nested tables are handed
     out one after the other, all else of a page at once."""
 
     def numbered(scrape_type: str, shown: Column, before: Column) -> Column:
@@ -303,7 +303,7 @@ def records_of(found: DataFrame) -> DataFrame:
             lambda r, i: F.struct(
                 F.lit(scrape_type).alias("scrape_type"),
                 (before + i + 1).cast("bigint").alias("record_no"),
-                F.to_json(r).alias("payload"),
+                payload(r).alias("payload"),
             ),
         )
 
@@ -321,6 +321,12 @@ def extract_all(pages: DataFrame, max_records: int | None = None) -> DataFrame:
     return records_of(page_records(pages, max_records))
 
 
+def extract_all_variant(pages: DataFrame, max_records: int | None = None) -> DataFrame:
+    """``extract_all`` with the payload as VARIANT, which keeps types: readers take fields of it
+    (``text.field``) without parsing text."""
+    return records_of(page_records(pages, max_records), F.to_variant_object)
+
+
 EXTRACTORS: dict[str, Callable[..., DataFrame]] = {
     "Page Title": extract_title,
     "Headings": extract_headings,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,7 +40,12 @@ LOG_CAPACITY = 500
 
 
 def number_rows(
-    rows: DataFrame, order: list[str], first_id: int, partitions: int | None = None, folder: str | None = None
+    rows: DataFrame,
+    order: list[str],
+    first_id: int,
+    partitions: int | None = None,
+    folder: str | None = None,
+    seen: Observation | None = None,
 ) -> DataFrame:
     """Add ``id`` = first_id, first_id + 1, … in the given order, without passing all
     rows through one task. ``order`` must tell the rows apart: ties are numbered in any
@@ -49,12 +54,15 @@ def number_rows(
     Rows are range-partitioned and written once with their partition number, so a
     lost executor cannot move a row between partitions afterwards. One small count
     per partition then gives the offsets. The result reads ``folder``, which the caller
-    may remove when it has used the result.
+    may remove when it has used the result. ``seen`` observes the rows as they are written: their
+    number ``n`` needs no reading.
     """
     spark = rows.sparkSession
     ranged = rows.repartitionByRange(*([partitions] if partitions else []), *order)
     folder = folder or new_folder(spark, "numbering")
-    ranged.withColumn("_part", F.spark_partition_id()).write.parquet(folder)
+    # Observed after the exchange, so that the sampling of ranges is not counted.
+    ranged = ranged.withColumn("_part", F.spark_partition_id())
+    (ranged.observe(seen, F.count(F.lit(1)).alias("n")) if seen else ranged).write.parquet(folder)
     stored = spark.read.parquet(folder)
     # as many rows as partitions, so one task may order them
     offsets = (
@@ -75,9 +83,11 @@ def number_rows(
     )
 
 
-def with_ids(rows: DataFrame, order: list[str], last_id: int = 0, folder: str | None = None) -> DataFrame:
+def with_ids(
+    rows: DataFrame, order: list[str], last_id: int = 0, folder: str | None = None, seen: Observation | None = None
+) -> DataFrame:
     """New history rows with ids after the highest one ever given."""
-    numbered = number_rows(rows, order, last_id + 1, folder=folder)
+    numbered = number_rows(rows, order, last_id + 1, folder=folder, seen=seen)
     return numbered.select(
         *[
             outcome.seconds(F.col("execution_time")).alias("execution_time") if f.name == "execution_time" else F.col(f.name)
@@ -157,6 +167,15 @@ def preview_rows(history: DataFrame) -> DataFrame:
     )
 
 
+def preview_variants(history: DataFrame) -> DataFrame:
+    """Stored previews as rows (id, record_no, record variant): the text is parsed once, and fields are
+    read with their types (``text.field``). A text that is not JSON gives no rows."""
+    parsed = F.try_variant_get(F.try_parse_json("preview_json"), "$", "array<variant>")
+    return explode_items(history, parsed, "id").select(
+        "id", (F.col("i") + 1).cast("bigint").alias("record_no"), F.col("r").alias("record")
+    )
+
+
 def log_tail(logs: DataFrame, order: list[str], capacity: int = LOG_CAPACITY) -> DataFrame:
     """The newest events in the order they came."""
     newest = logs.orderBy(*[F.desc(c) for c in order]).limit(capacity)

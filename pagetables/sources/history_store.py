@@ -25,7 +25,7 @@ import json
 import uuid
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import history
@@ -108,8 +108,9 @@ class HistoryStore:
         ``order`` must tell all rows apart, so that a batch saved again gets the same
         ids. A batch that is saved again must have the rows it had."""
         scratch = new_folder(self.spark, "numbering")
-        numbered = history.with_ids(rows, order, folder=scratch)
-        n = self.spark.read.parquet(scratch).count()
+        seen = Observation()
+        numbered = history.with_ids(rows, order, folder=scratch, seen=seen)
+        n = seen.get.get("n", 0)
         claim, first = self._claim(batch, n)
         if self._small("closed", _CLOSED).where(F.col("claim") == claim).isEmpty():
             attempt = f"a{uuid.uuid4().hex}"

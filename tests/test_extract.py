@@ -1,4 +1,5 @@
 import gzip
+import json
 import os
 import re
 import time
@@ -6,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from pagetables.functions import html
+from pagetables.functions import html, text
 from pagetables.functions.arrays import explode_items
 from pagetables.operators import extract as x
 from pagetables.operators import nested_tables, tables
@@ -293,3 +294,25 @@ def test_archives_of_many_pages(spark):
 )
 def test_charsets(body, kind, text):
     assert archives.decoded(body, kind) == text
+
+
+def test_payloads_as_variants(spark, pages_of):
+    page = "<title>T</title><p>one two three four five</p><table><tr><th>it's \"A\"</th><th>B?</th></tr><tr><td>1</td><td></td></tr></table>"
+    pages = pages_of(page, "", None)
+    folder = new_folder(spark, "variants")
+    x.extract_all_variant(pages).write.parquet(folder)
+    stored = spark.read.parquet(folder)
+    assert stored.schema["payload"].dataType.simpleString() == "variant"
+    key = ["page_id", "scrape_type", "record_no"]
+    mine = stored.select(*key, F.to_json("payload").alias("payload")).collect()
+    want = x.extract_all(pages).collect()
+    assert {tuple(r)[:3]: {k: v for k, v in json.loads(r.payload).items() if v is not None} for r in mine} == {
+        tuple(r)[:3]: json.loads(r.payload) for r in want
+    }
+    rows = stored.where("scrape_type in ('Paragraphs', 'Tables')").orderBy("scrape_type").select(
+        text.field(F.col("payload"), "Word Count", "bigint"),
+        text.field(F.col("payload"), "it's \"A\""),
+        text.field(F.col("payload"), "B?"),
+        text.field(F.col("payload"), "Paragraph Text", "bigint"),
+    )
+    assert [tuple(r) for r in rows.collect()] == [(5, None, None, None), (None, "1", "", None)]

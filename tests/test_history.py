@@ -8,7 +8,9 @@ from concurrent.futures import ThreadPoolExecutor
 import pytest
 from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
+from pagetables.functions.text import field
 from pagetables.plans import history
 from pagetables.session import new_folder, shared_folder
 from pagetables.sources import sinks
@@ -324,3 +326,24 @@ def test_log_tail_of_a_stream(spark):
     arrive(4, (9, 40, "INFO"))
     assert run() == [7, 8, 9]
     assert len([f for f in os.listdir(f"{folder}/tail") if f.startswith("batch_id")]) == 2
+
+
+def test_rows_are_counted_as_they_are_written(spark, monkeypatch):
+    store = HistoryStore(spark, new_folder(spark, "history"))
+
+    def refused(frame):
+        raise AssertionError("the rows were read to count them")
+
+    monkeypatch.setattr(DataFrame, "count", refused)
+    assert store.append(saved_runs(spark, 0, 9).repartition(5), ["timestamp"], batch=0) == 9
+    assert store.append(saved_runs(spark, 0, 0), ["timestamp"], batch=1) == 9
+    assert store.append(saved_runs(spark, 9, 4), ["timestamp"], batch=2) == 13
+    monkeypatch.undo()
+    assert sorted(r.id for r in store.read().collect()) == list(range(1, 14))
+
+
+def test_previews_as_variants(spark):
+    texts = ['[{"No": 1, "Text": "a"}, {"Text": null}]', "[]", None, "not json", '{"No": 1}', "[7]"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id bigint, preview_json string")
+    shown = history.preview_variants(rows).select("id", "record_no", field(F.col("record"), "No", "bigint"), field(F.col("record"), "Text"))
+    assert sorted(tuple(r) for r in shown.collect()) == [(0, 1, 1, "a"), (0, 2, None, None), (5, 1, None, None)]

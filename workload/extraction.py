@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 
+from pagetables.functions import text
 from pagetables.operators import extract, records
 from pagetables.session import new_folder
 from pagetables.sources import archives, sinks
@@ -210,6 +211,28 @@ def extract_all_rendered(spark, sf_dir):
     return extract.extract_all(rendered.mixed_pages(spark, sf_dir))
 
 
+@query(
+    f"WITH {rendered.MIXED_SQL}, typed AS (SELECT page_id, scrape_type, record_no, CAST(payload AS JSON) AS payload FROM mixed) "
+    "SELECT page_id, scrape_type, record_no, len(json_keys(payload))::BIGINT AS n_fields, "
+    "coalesce(payload ->> 'Paragraph Text', payload ->> 'URL', payload ->> 'Heading Text', payload ->> 'Page Title', "
+    "payload ->> 'Image URL') AS shown, CAST(payload ->> 'Word Count' AS BIGINT) AS words, "
+    "CAST(coalesce(payload ->> 'Character Count', payload ->> 'Length (Chars)') AS BIGINT) AS characters FROM typed"
+)
+def extract_all_variant(spark, sf_dir):
+    """All kinds as variants, their fields read with their types."""
+    found = extract.extract_all_variant(rendered.mixed_pages(spark, sf_dir))
+    record, names = F.col("payload"), ("Paragraph Text", "URL", "Heading Text", "Page Title", "Image URL")
+    return found.select(
+        "page_id",
+        "scrape_type",
+        "record_no",
+        F.size(F.variant_get(record, "$", "map<string,variant>")).cast("bigint").alias("n_fields"),
+        F.coalesce(*[text.field(record, n) for n in names]).alias("shown"),
+        text.field(record, "Word Count", "bigint").alias("words"),
+        F.coalesce(*[text.field(record, n, "bigint") for n in ("Character Count", "Length (Chars)")]).alias("characters"),
+    )
+
+
 @query(
     "SELECT page_id, table_no, count(DISTINCT row_no)::BIGINT AS n_rows, count(DISTINCT col_no)::BIGINT AS n_cols FROM ("
     + rendered.TABLES_LONG_SQL

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagetables.functions import outcome
+from pagetables.functions import outcome, text
 from pagetables.operators import robots
 from pagetables.plans import history, report
 from pagetables.session import new_folder
@@ -101,12 +101,12 @@ def preview_read(spark, sf_dir):
     runs = report.runs(views.pages(spark, sf_dir))
     stored = runs.select(F.struct("page_id", "scrape_type").alias("id"), "preview_json")
     names = ("Paragraph Text", "URL", "Heading Text", "Page Title")
-    return history.preview_rows(stored).select(
+    return history.preview_variants(stored).select(
         "id.page_id",
         "id.scrape_type",
         "record_no",
-        F.size("record").cast("bigint").alias("n_fields"),
-        F.coalesce(*[F.element_at("record", F.lit(n)) for n in names]).alias("shown"),
+        F.size(F.variant_get("record", "$", "map<string,variant>")).cast("bigint").alias("n_fields"),
+        F.coalesce(*[text.field(F.col("record"), n) for n in names]).alias("shown"),
     )
 
 
