@@ -15,8 +15,9 @@ from pagetables.plans import history
 from pagetables.session import new_folder, shared_folder
 from pagetables.sources import sinks
 from pagetables.sources.history_store import HistoryStore
-from pagetables.sources.pages import PAGE_SCHEMA, read_html_files
+from pagetables.sources.pages import PAGE_SCHEMA, read_html_files, write_html_files
 from pagetables.streaming import jobs
+import workload.history
 
 SCHEMA = (
     "url string, scrape_type string, record_count bigint, status string, execution_time double, timestamp string, "
@@ -223,6 +224,27 @@ def test_html_files(spark, tmp_path):
     assert pages.where("page_id = 1").first().html.count("\n") == 1
 
 
+def test_html_files_of_many_pages_need_few_folders(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"<p>{i}</p>é\n") for i in range(200)] + [(200, None)], "page_id bigint, html string")
+    write_html_files(pages.repartition(3), str(tmp_path))
+    assert len([p for p in tmp_path.rglob("*") if p.is_dir()]) <= 3
+    page_id = F.regexp_extract("path", "page_id=([0-9]+)", 1)
+    found = {r.page_id: r.html for r in read_html_files(spark, str(tmp_path), page_id, F.lit("")).collect()}
+    assert found == {i: f"<p>{i}</p>é\n\n" for i in range(200)} | {200: "\n"}
+
+
+def test_streams_read_a_table_of_many_files(spark, tmp_path):
+    rows = [(i, "https://x.example/", f"<title>{i}</title>") for i in range(20)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    pages.repartition(3).write.parquet(str(tmp_path / "many" / "pages.parquet"))
+    pages.coalesce(1).write.parquet(str(tmp_path / "written"))
+    (tmp_path / "one").mkdir()
+    next((tmp_path / "written").glob("*.parquet")).rename(tmp_path / "one" / "pages.parquet")
+    for table in ("many", "one"):
+        found = workload.history.stream_extract(spark, str(tmp_path / table))
+        assert sorted(r.page_id for r in found.collect()) == list(range(20))
+
+
 def test_stream_picks_up_new_files_once(spark):
     folder = new_folder(spark, "stream")
     store = HistoryStore(spark, f"{folder}/history")

@@ -411,15 +411,17 @@ def log_tail(spark, sf_dir):
 # -- streams --------------------------------------------------------------------------
 
 
+def _arriving_pages(spark, sf_dir):
+    """The pages as a stream of files, be the table one file or a folder of them."""
+    # a pattern, because a plain path has to be a folder
+    return spark.readStream.schema(PAGE_SCHEMA).parquet(f"{sf_dir}/pages[.]parquet")
+
+
 @query(f"WITH {RECORDS_SQL} SELECT page_id, scrape_type, n::BIGINT AS record_no, CAST(payload AS VARCHAR) AS payload FROM records")
 def stream_extract(spark, sf_dir):
     """The pages as a stream of files; the records of all batches."""
     folder = new_folder(spark, "stream")
-    pages = (
-        spark.readStream.schema(PAGE_SCHEMA)
-        .option("pathGlobFilter", "pages.parquet")
-        .parquet(sf_dir)
-    )
+    pages = _arriving_pages(spark, sf_dir)
     store = HistoryStore(spark, f"{folder}/history")
     jobs.stream_extract(pages, f"{folder}/records", f"{folder}/checkpoint", store).awaitTermination()
     return spark.read.parquet(f"{folder}/records").drop("batch_id")
@@ -448,7 +450,7 @@ def stream_extract_repeats(spark, sf_dir):
 def stream_history(spark, sf_dir):
     """The history of a stream of pages with their answers."""
     folder = new_folder(spark, "stream")
-    pages = spark.readStream.schema(PAGE_SCHEMA).option("pathGlobFilter", "pages.parquet").parquet(sf_dir)
+    pages = _arriving_pages(spark, sf_dir)
     store = HistoryStore(spark, f"{folder}/history")
     answers = views.responses(spark, sf_dir).where("page_id % 11 <> 0")
     jobs.stream_extract(pages, f"{folder}/records", f"{folder}/checkpoint", store, responses=answers).awaitTermination()
