@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+from itertools import groupby
+
+from pyarrow import fs
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,3 +32,19 @@ def read_html_files(spark: SparkSession, path: str, page_id: Column, url: Column
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("html")).select(
         page_id.cast("bigint").alias("page_id"), url.alias("url"), "html"
     )
+
+
+def write_html_files(pages: DataFrame, path: str) -> None:
+    """(page_id, html) as files ``page_id=...`` below ``path``, one document per file: a folder per
+    task, not one per page. Rows of one page in a task go to one file; each ends with a line break."""
+
+    def write(rows: Iterator[Row]) -> None:
+        store, root = fs.FileSystem.from_uri(path)
+        folder = f"{root}/part-{TaskContext.get().partitionId():05d}"
+        store.create_dir(folder)
+        for page_id, own in groupby(rows, lambda r: r.page_id):
+            with store.open_output_stream(f"{folder}/page_id={page_id}.html") as out:
+                for row in own:
+                    out.write(bytes(row.html or b"") + b"\n")
+
+    pages.select("page_id", F.col("html").cast("binary").alias("html")).sortWithinPartitions("page_id").foreachPartition(write)

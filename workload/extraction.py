@@ -26,12 +26,10 @@ def scan_pages(spark, sf_dir):
 @query("SELECT page_id, 'https://files.example.com/' || page_id AS url, md5(html) AS html_md5 FROM pages")
 def scan_html_files(spark, sf_dir):
     folder = new_folder(spark, "html")
-    pages = views.pages(spark, sf_dir).select("page_id", F.col("html").alias("value"))
-    # rows of one page go to one file named after it
-    pages.write.partitionBy("page_id").text(folder)
+    page_source.write_html_files(views.pages(spark, sf_dir), folder)
     page_id = F.regexp_extract("path", "page_id=([0-9]+)", 1)
     files = page_source.read_html_files(spark, folder, page_id, F.concat(F.lit("https://files.example.com/"), page_id))
-    # the text writer ends the document with one line break
+    # a written document ends with one line break
     body = F.substr("html", F.lit(1), F.length("html") - 1)
     return files.select("page_id", "url", F.md5(body).alias("html_md5"))
 
