@@ -29,37 +29,76 @@ MALFORMED_URL = "Malformed URL"
 MISSING_HOST = "Invalid URL structure. Missing host or domain name (e.g., https://example.com)."
 
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
-_PARTS = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?\z"
 
 
 def _tidy(url: Column) -> Column:
     """Leading control characters and inner tabs and line breaks do not count."""
-    url = F.regexp_replace(F.coalesce(url, F.lit("")), r"^[\x00-\x20]++", "")
-    return F.when(url.rlike(r"[\t\r\n]"), F.regexp_replace(url, r"[\t\r\n]", "")).otherwise(url)
+    url = F.coalesce(url, F.lit(""))
+    untidy = url.rlike(r"^[\x00-\x20]|[\t\r\n]")
+    return F.when(untidy, F.regexp_replace(url, r"^[\x00-\x20]++|[\t\r\n]", "")).otherwise(url)
+
+
+def _rest(text: Column, before: Column) -> Column:
+    """What follows ``before`` and one separator in ``text``."""
+    return F.when(F.length(before) < F.length(text), F.substr(text, F.length(before) + 2)).otherwise("")
 
 
 def split_url(url: Column) -> Column:
     """struct(raw, scheme, netloc, path, params, query, fragment)."""
 
-    def parts(u: Column) -> Column:
-        scheme = F.lower(F.regexp_extract(u, _PARTS, 1))
-        path = F.regexp_extract(u, _PARTS, 3)
-        has_params = path.rlike(r";[^/]*\z") & ((scheme == "") | scheme.isin(_WITH_PARAMS))
-        return F.struct(
-            url.alias("raw"),
-            scheme.alias("scheme"),
-            F.regexp_extract(u, _PARTS, 2).alias("netloc"),
-            F.when(has_params, F.regexp_replace(path, r"(?s)^((?:.*/)?[^/;]*);[^/]*\z", "$1"))
-            .otherwise(path)
-            .alias("path"),
-            F.when(has_params, F.regexp_extract(path, r"(?s)^(?:.*/)?[^/;]*;([^/]*)\z", 1))
-            .otherwise(F.lit(""))
-            .alias("params"),
-            F.regexp_extract(u, _PARTS, 4).alias("query"),
-            F.regexp_extract(u, _PARTS, 5).alias("fragment"),
+    def named(x: Column) -> Column:
+        has_params = (
+            x.path.contains(";") & x.path.rlike(r";[^/]*\z") & ((x.scheme == "") | x.scheme.isin(_WITH_PARAMS))
+        )
+        return let(
+            has_params,
+            lambda has: F.struct(
+                url.alias("raw"),
+                x.scheme.alias("scheme"),
+                x.netloc.alias("netloc"),
+                F.when(has, F.regexp_replace(x.path, r"(?s)^((?:.*/)?[^/;]*);[^/]*\z", "$1")).otherwise(x.path).alias("path"),
+                F.when(has, F.regexp_extract(x.path, r"(?s)^(?:.*/)?[^/;]*;([^/]*)\z", 1)).otherwise("").alias("params"),
+                x.query.alias("query"),
+                x.fragment.alias("fragment"),
+            ),
         )
 
-    return let(_tidy(url), parts)
+    def located(x: Column) -> Column:
+        """With the rest of the stem as authority and path."""
+        rest = F.when(x.scheme == "", x.stem).otherwise(_rest(x.stem, x.scheme))
+        return let(
+            rest,
+            lambda r: let(
+                F.when(r.startswith("//"), F.substring_index(F.substr(r, F.lit(3)), "/", 1)).otherwise(""),
+                lambda netloc: F.struct(
+                    F.lower(x.scheme).alias("scheme"),
+                    netloc.alias("netloc"),
+                    F.when(r.startswith("//"), F.substr(r, F.length(netloc) + 3)).otherwise(r).alias("path"),
+                    x.query.alias("query"),
+                    x.fragment.alias("fragment"),
+                ),
+            ),
+        )
+
+    def cut(x: Column) -> Column:
+        """With scheme and query cut off; both stand in front of the fragment."""
+        return let(
+            F.substring_index(x.head, "?", 1),
+            lambda stem: F.struct(
+                stem.alias("stem"),
+                F.when(stem.contains(":"), F.regexp_extract(stem, _SCHEME, 1)).otherwise("").alias("scheme"),
+                _rest(x.head, stem).alias("query"),
+                x.fragment.alias("fragment"),
+            ),
+        )
+
+    def whole(u: Column) -> Column:
+        return let(
+            F.substring_index(u, "#", 1),
+            lambda head: F.struct(head.alias("head"), _rest(u, head).alias("fragment")),
+        )
+
+    return let(let(let(let(_tidy(url), whole), cut), located), named)
 
 
 def _prefixed(prefix: str, text: Column) -> Column:
@@ -67,7 +106,10 @@ def _prefixed(prefix: str, text: Column) -> Column:
 
 
 def _unsplit(u: Column) -> Column:
-    path = F.concat(u.path, _prefixed(";", u.params))
+    return let(F.concat(u.path, _prefixed(";", u.params)), lambda path: _written(u, path))
+
+
+def _written(u: Column, path: Column) -> Column:
     slashes = (
         F.when((u.netloc != "") & ((path == "") | path.startswith("/")), F.concat(F.lit("//"), u.netloc))
         .when(u.netloc != "", F.concat(F.lit("//"), u.netloc, F.lit("/")))
@@ -107,7 +149,7 @@ def _remove_dots(parts: Column) -> Column:
 
 
 def default_path(path: Column) -> Column:
-    return F.when(path == "", F.lit("/")).otherwise(path)
+    return let(path, lambda p: F.when(p == "", F.lit("/")).otherwise(p))
 
 
 def _merge_paths(base_path: Column, path: Column) -> Column:

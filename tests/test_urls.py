@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagetables.functions import urls
+from workload import scalars
 
 from .test_text import values
 
@@ -114,3 +115,8 @@ def test_long_relative_paths_are_quick(spark):
     found = [r.u for r in frame.orderBy("i").collect()]
     assert time.time() - start < 8
     assert found == [urljoin(base, h) for h in hrefs]
+
+
+def test_resolve_url_query_is_dealt_to_several_tasks(spark, tmp_path):
+    spark.range(50).selectExpr("id AS c_custkey").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    assert scalars.resolve_url(spark, str(tmp_path)).rdd.getNumPartitions() > 1

@@ -13,7 +13,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The rows that pages are rendered from, dealt out before they are rendered: the
     given tables have one row group each. The pages themselves are not moved."""
     rows = small_table(spark, sf_dir, name)
-    return rows.repartition(rows.columns[0])
+    # a given number, because the rows are small and would be put back into few tasks
+    return rows.repartition(4 * spark.sparkContext.defaultParallelism, rows.columns[0])
 
 
 def _fill(template: str, **values: Column) -> Column:

@@ -9,7 +9,7 @@ from pagetables.functions import html, outcome, text, urls
 from pagetables.operators import records, tables
 from pagetables.plans import history, report
 
-from . import views
+from . import rendered, views
 from .registry import query, table
 from .views import LOG_SQL, RESPONSES_SQL, RUNS_SQL, WS, sql_clean
 
@@ -144,7 +144,7 @@ _RELATIVE = [
 def resolve_url(spark, sf_dir):
     hrefs = F.array(*[F.lit(h.replace("*", "#")) for h, _ in _RELATIVE if "#" not in h])
     base = F.concat(F.lit("http://a"), F.col("c_custkey"), F.lit("/b/c/d;p?q"))
-    refs = table(spark, sf_dir, "customer").select("c_custkey", base.alias("base"), F.explode(hrefs).alias("href"))
+    refs = rendered.table(spark, sf_dir, "customer").select("c_custkey", base.alias("base"), F.explode(hrefs).alias("href"))
     return refs.select("c_custkey", "href", urls.resolve_url(F.col("base"), F.col("href")).alias("resolved"))
 
 
