@@ -9,6 +9,8 @@ splits on ``\\x01``.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,7 +29,18 @@ ANCHOR_ENDS = "fieldset table td th".split()
 
 # Frequent names first: the matcher tries them in this order.
 _FREQUENT = "p a li div td tr img ul h1 h2 h3 h4 th".split()
-_MARKED = "|".join(dict.fromkeys([*_FREQUENT, "link", "meta", *BLOCK_TAGS]))
+_MARKED = tuple(dict.fromkeys([*_FREQUENT, "link", "meta", *BLOCK_TAGS]))
+
+
+def _any_of(names: Iterable[str]) -> str:
+    """Regex for one of the names, letter by letter, so that a name is not tried against all others."""
+    rests: dict[str, list[str]] = {}
+    for name in names:
+        rests.setdefault(name[:1], []).append(name[1:])
+    optional = "?" if rests.pop("", None) else ""
+    letters = [letter + _any_of(rest) for letter, rest in rests.items()]
+    return f"(?:{'|'.join(letters)}){optional}" if letters else ""
+
 
 # The rest of a tag up to '>': quotes count only right after '='. Possessive
 # quantifiers keep Java's matcher iterative and linear.
@@ -35,23 +48,34 @@ _REST = r"""(?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+"""
 # Control characters that serve as marks; a page's own ones are dropped.
 MARKS = "\x01\x02\x03\x04\x05\x06\x07\x08\x0e\x0f\x10\x11"
 
-_TAG = (
-    r"(?is)<(?:"
-    r"!--.*?(?:-->|\z)"
-    rf"|script(?=[\s/>]){_REST}>.*?(?:</script\s*+>|\z)"
-    rf"|style(?=[\s/>]){_REST}>.*?(?:</style\s*+>|\z)"
-    rf"|(/?(?:{_MARKED}))(?=[\s/>])({_REST})>"
-    rf"|[a-z/!?]{_REST}(?:>|\z)"
-    r")"
-)
 
 
-def mark_tags(html: Column) -> Column:
-    """One pass over the page; see the module text. Null becomes ''."""
+def _tag(names: Iterable[str]) -> str:
+    return (
+        r"(?is)<(?:"
+        r"!--.*?(?:-->|\z)"
+        rf"|script(?=[\s/>]){_REST}>.*?(?:</script\s*+>|\z)"
+        rf"|style(?=[\s/>]){_REST}>.*?(?:</style\s*+>|\z)"
+        rf"|(/?{_any_of(names)})(?=[\s/>])({_REST})>"
+        rf"|[a-z/!?]{_REST}(?:>|\z)"
+        r")"
+    )
+
+
+def _marked(html: Column, names: Iterable[str], mark: str) -> Column:
     page = F.coalesce(html, F.lit(""))
     page = F.when(page.rlike(f"[{MARKS}]"), F.translate(page, MARKS, "")).otherwise(page)
-    return F.replace(F.regexp_replace(page, _TAG, "\x01$1\x02$2\x03"), F.lit("\x01\x02\x03"), F.lit(""))
+    return F.replace(F.regexp_replace(page, _tag(names), mark), F.lit("\x01\x02\x03"), F.lit(""))
+
+
+def mark_tags(html: Column) -> Column:
+    """One pass over the page; see the module text. Null becomes ''."""
+    return _marked(html, _MARKED, "\x01$1\x02$2\x03")
+
 
+def mark_names(html: Column, names: Iterable[str]) -> Column:
+    """``mark_tags`` for these elements alone and without their attributes."""
+    return _marked(html, names, "\x01$1\x02\x03")
 
 
 def lower_tags(marked: Column) -> Column:

@@ -50,11 +50,16 @@ _BARE = "|".join(_BARE_NAMES)
 _WINDOWS_1252 = {i: bytes([i]).decode("cp1252", errors="ignore") or chr(i) for i in range(0x80, 0xA0)}
 
 
-def clean_text(text: Column) -> Column:
-    """Collapse white space to single spaces and trim; null becomes ''."""
+def collapse_space(text: Column) -> Column:
+    """White space as single spaces."""
     # Single plain spaces, by far the most common run, need no replacement.
     uneven = f"[{_GAPS}][{WHITESPACE}]*+| [{WHITESPACE}]++"
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), uneven, " "))
+    return F.regexp_replace(text, uneven, " ")
+
+
+def clean_text(text: Column) -> Column:
+    """Collapse white space to single spaces and trim; null becomes ''."""
+    return F.trim(collapse_space(F.coalesce(text, F.lit(""))))
 
 
 def strip_space(text: Column) -> Column:

@@ -51,15 +51,13 @@ TABLE_LABEL = "Table #"
 MOST_COLUMNS = 2000
 
 
-def mark_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, url, base, page_chars, is_blank, marked): the page read once, its
-    URL split once. A column ``raw_url`` is kept."""
+def _mark(pages: DataFrame, mark: Callable[[Column], Column]) -> DataFrame:
     kept = ["page_id", "url", *[c for c in pages.columns if c == "raw_url"]]
     marked = pages.select(
         *kept,
         F.length("html").cast("bigint").alias("page_chars"),
         text.is_blank(F.col("html")).alias("is_blank"),
-        html.mark_tags(F.col("html")).alias("marked"),
+        mark(F.col("html")).alias("marked"),
     )
     # Each step reads its input several times, so each is a projection of its own.
     lowered = marked.select(*kept, "page_chars", "is_blank", html.lower_tags(F.col("marked")).alias("marked"))
@@ -72,6 +70,12 @@ def mark_pages(pages: DataFrame) -> DataFrame:
     )
 
 
+def mark_pages(pages: DataFrame) -> DataFrame:
+    """(page_id, url, base, page_chars, is_blank, marked): the page read once, its
+    URL split once. A column ``raw_url`` is kept."""
+    return _mark(pages, html.mark_tags)
+
+
 def _explode(page_rows: DataFrame, items: Column) -> DataFrame:
     return explode_items(page_rows, items, "page_id").select(
         "page_id", (F.col("i") + 1).cast("bigint").alias("record_no"), "r.*"
@@ -100,20 +104,21 @@ def extract_images(pages: DataFrame, max_records: int | None = None) -> DataFram
     return _explode(mark_pages(pages), records.images(F.col("marked"), F.col("base"), max_records))
 
 
-def with_nested(marked_pages: DataFrame) -> DataFrame:
-    """Marked pages with ``nested``: the tables of a page where one holds another, else
-    null. Decided on the marked text alone, so every page is read in exactly one way."""
-    marked = F.col("marked")
-    tags = F.when(tables.has_nested_tables(marked), html.only_tags(marked, tables.STRUCTURE))
-    return marked_pages.withColumn("nested", nested_tables(tags))
+def with_nested(marked_pages: DataFrame, bare: Column) -> DataFrame:
+    """Marked pages with ``structure``, from their table tags, and ``nested``: the tables of a page
+    where one holds another, else null. Decided on the marked text alone, so every page is read in
+    exactly one way."""
+    marks = marked_pages.withColumn("bare", bare).withColumn("structure", tables.structure(F.col("bare")))
+    tags = F.when(tables.has_nested_tables(F.col("structure")), F.col("bare"))
+    return marks.withColumn("nested", nested_tables(tags)).drop("bare")
 
 
 def page_tables(pages: DataFrame, max_records: int | None = None) -> DataFrame:
     """(page_id, table_rows, nested): the data rows of a page's tables, in order."""
-    rows = with_nested(mark_pages(pages))
-    marked, found = F.col("marked"), F.col("nested")
-    return rows.select(
-        "page_id", tables.flat_rows(marked, found, max_records).alias("table_rows"), tables.shape_nested(found, max_records).alias("nested")
+    marked = _mark(pages, lambda page: html.mark_names(page, tables.NAMES)).select("page_id", "marked")
+    marks, found = F.col("structure"), F.col("nested")
+    return with_nested(marked, F.col("marked")).select(
+        "page_id", tables.flat_rows(marks, found, max_records).alias("table_rows"), tables.shape_nested(found, max_records).alias("nested")
     )
 
 
@@ -222,7 +227,7 @@ def page_reader(max_records: int | None = None) -> Callable[[DataFrame], DataFra
         records.headings(marked, max_records).alias("headings"),
         records.links(marked, base).alias("links"),
         records.paragraphs(marked, max_records).alias("paragraphs"),
-        tables.flat_rows(marked, F.col("nested"), max_records).alias("table_rows"),
+        tables.flat_rows(F.col("structure"), F.col("nested"), max_records).alias("table_rows"),
         tables.shape_nested(F.col("nested"), max_records).alias("nested"),
         records.images(marked, base).alias("images"),
     ]
@@ -234,8 +239,8 @@ def page_reader(max_records: int | None = None) -> Callable[[DataFrame], DataFra
     unreadable = F.array_compact(F.array(*[F.when(b, F.lit(t)) for t, b in broken.items()])).alias("unreadable")
 
     def read(pages: DataFrame) -> DataFrame:
-        rows = with_nested(mark_pages(pages))
-        found = rows.select(*[c for c in rows.columns if c not in ("base", "marked", "nested")], *arrays)
+        rows = with_nested(mark_pages(pages), tables.bare(marked))
+        found = rows.select(*[c for c in rows.columns if c not in ("base", "marked", "structure", "nested")], *arrays)
         return found.select("*", unreadable).select(
             *[c for c in found.columns if c not in ("links", "images")],
             cap(F.col("links"), max_records).alias("links"),

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from ..functions import html, text
 from ..functions.arrays import cap, let
 
-STRUCTURE = "/?(?:table|thead|tbody|tfoot|tr|td|th)"
+NAMES = ("td", "tr", "th", "table", "thead", "tbody", "tfoot")
+STRUCTURE = f"/?(?:{'|'.join(NAMES)})"
 # One character per structural tag: splitting on a single character needs no regex.
 _TABLE, _TABLE_END, _ROW, _ROW_END = "\x04", "\x05", "\x06", "\x07"
 _HEAD, _BODY, _SECTION, _CELL, _CELL_END = "\x08", "\x0e", "\x0f", "\x10", "\x11"
@@ -37,12 +38,20 @@ _TAG_MARKS = {
 }
 
 
+def bare(marked: Column) -> Column:
+    """A marked page with its table tags alone, as ``html.mark_names`` gives it."""
+    marks = F.regexp_replace(marked, f"\x01(?:({STRUCTURE})(?=\x02))?[^\x03]*+\x03", "\x01$1\x02\x03")
+    return F.replace(marks, F.lit("\x01\x02\x03"), F.lit(""))
+
+
 def structure(marked: Column) -> Column:
-    """The page with single-character marks for table tags only; '' without tables."""
-    marks = F.regexp_replace(marked, f"\x01(?:({STRUCTURE})(?=\x02))?[^\x03]*+\x03", "\x01$1\x03")
-    for tag, mark in {"": "", **_TAG_MARKS}.items():
-        marks = F.replace(marks, F.lit(f"\x01{tag}\x03"), F.lit(mark))
-    return F.when(html.has_tag(marked, "table"), marks).otherwise("")
+    """A ``bare`` page with single-character marks for its tags, its text decoded and with single
+    spaces (no reference and no white space goes past a mark); '' without tables."""
+    marks = marked
+    for tag, mark in _TAG_MARKS.items():
+        marks = F.replace(marks, F.lit(f"\x01{tag}\x02\x03"), F.lit(mark))
+    cleaned = let(marks, lambda m: text.collapse_space(text.decode_common(m)))
+    return F.when(html.has_tag(marked, "table"), cleaned).otherwise("")
 
 
 def _after(part: Column, mark: str) -> Column:
@@ -62,16 +71,14 @@ def _cells(row: Column) -> Column:
         _after(row, _CELL),
         lambda c: F.struct(
             c.startswith("h").alias("is_th"),
-            F.substr(_until(c, _CELL_END, _ROW, _ROW_END), F.lit(2)).alias("text"),
+            F.trim(F.substr(_until(c, _CELL_END, _ROW, _ROW_END), F.lit(2))).alias("text"),
         ),
     )
 
 
-def has_nested_tables(marked: Column) -> Column:
-    """True when a table opens before the one in front of it has closed."""
-    marks = F.regexp_extract_all(marked, F.lit("\x01(/?)table\x02"), F.lit(1))
-    opened_twice = F.array_join(F.transform(marks, lambda m: F.when(m == "", "o").otherwise("c")), "").contains("oo")
-    return F.when(html.has_tag(marked, "table"), opened_twice).otherwise(False)
+def has_nested_tables(marks: Column) -> Column:
+    """True when a table opens before the one in front of it has closed, from ``structure``."""
+    return marks.rlike(f"{_TABLE}[^{_TABLE}{_TABLE_END}]*+{_TABLE}")
 
 
 def column_names(headers: Column, width: Column) -> Column:
@@ -172,11 +179,7 @@ def _read_table(part: Column) -> Column:
     rows = F.transform(
         _after(body, _ROW), lambda r: _cells(_until(r, _ROW_END, _HEAD, _BODY, _SECTION))
     )
-    # The head travels as an extra first row, so that all cells are cleaned at once.
-    return let(
-        F.transform(F.concat(F.array(_cells(head)), rows), clean_cells),
-        lambda r: shape_table(F.transform(r[0], lambda c: c.text), F.slice(r, 2, F.size(r))),
-    )
+    return let(F.transform(_cells(head), lambda c: c.text), lambda h: shape_table(h, rows))
 
 
 def _numbered_rows(table_no: Column, t: Column, several: Column) -> Column:
@@ -193,10 +196,10 @@ def _numbered_rows(table_no: Column, t: Column, several: Column) -> Column:
     )
 
 
-def flat_table_rows(marked: Column, max_records: int | None = None) -> Column:
-    """array<struct(table_no, table_label, row_no, col_names, cells)> of a page, capped over
-    all its tables together. Every table counts for ``table_no``."""
-    parts = F.transform(_after(structure(marked), _TABLE), lambda t: _until(t, _TABLE_END))
+def flat_table_rows(marks: Column, max_records: int | None = None) -> Column:
+    """array<struct(table_no, table_label, row_no, col_names, cells)> of a page's ``structure``, capped
+    over all its tables together. Every table counts for ``table_no``."""
+    parts = F.transform(_after(marks, _TABLE), lambda t: _until(t, _TABLE_END))
     tables = F.transform(
         parts, lambda t, i: F.struct((i + 1).cast("bigint").alias("table_no"), _read_table(t).alias("t"))
     )
@@ -319,10 +322,9 @@ def nested_rows(texts: Column, t: Column, limit: int | None = None) -> Column:
 # tables, ``nested`` (as ``shape_nested`` gives it, else null) for the others.
 
 
-def flat_rows(marked: Column, found: Column, max_records: int | None = None) -> Column:
+def flat_rows(marks: Column, found: Column, max_records: int | None = None) -> Column:
     """``table_rows``: empty for pages with nested tables."""
-    rows = flat_table_rows(marked, max_records)
-    return F.when(found.isNull(), rows).otherwise(F.slice(rows, 1, 0))
+    return flat_table_rows(F.when(found.isNull(), marks).otherwise(""), max_records)
 
 
 def row_count() -> Column:

@@ -316,3 +316,11 @@ def test_payloads_as_variants(spark, pages_of):
         text.field(F.col("payload"), "Paragraph Text", "bigint"),
     )
     assert [tuple(r) for r in rows.collect()] == [(5, None, None, None), (None, "1", "", None)]
+
+
+def test_table_pages_are_marked_for_table_tags_alone(pages_of):
+    page = "<p class=x>a</p><TABLE id=t><tr><td>&am<b></b>p; \t x&nbsp;</td><!-- <td> --><th title='>'> y</TABLE><theadx>"
+    marked = pages_of(page).select(html.lower_tags(html.mark_names(F.col("html"), tables.NAMES)).alias("m")).first().m
+    tags = ["table", "tr", "td", "/td", "th", "/table"]
+    assert [s.split("\x02")[0] for s in marked.split("\x01")[1:]] == tags and "class" not in marked and "id=" not in marked
+    assert [(r.col_name, r.cell) for r in x.extract_tables(pages_of(page)).orderBy("col_no").collect()] == [("Column 1", "& x"), ("Column 2", "y")]
