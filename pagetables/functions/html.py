@@ -44,38 +44,50 @@ def _any_of(names: Iterable[str]) -> str:
 
 # The rest of a tag up to '>': quotes count only right after '='. Possessive
 # quantifiers keep Java's matcher iterative and linear.
-_REST = r"""(?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+"""
+_REST = r"""[^>=]*+(?:=(?:\s*+(?:"[^"]*+"|'[^']*+'))?+[^>=]*+)*+"""
+# What is no tag of interest, after its '<': as one piece, and the end of a page as the end of a tag.
+_OTHER = (
+    r"!--.*?(?:-->|\z)"
+    rf"|script(?=[\s/>]){_REST}>.*?(?:</script\s*+>|\z)"
+    rf"|style(?=[\s/>]){_REST}>.*?(?:</style\s*+>|\z)"
+    rf"|[a-z/!?]{_REST}(?:>|\z)"
+)
 # Control characters that serve as marks; a page's own ones are dropped.
 MARKS = "\x01\x02\x03\x04\x05\x06\x07\x08\x0e\x0f\x10\x11"
 
 
-
-def _tag(names: Iterable[str]) -> str:
-    return (
-        r"(?is)<(?:"
-        r"!--.*?(?:-->|\z)"
-        rf"|script(?=[\s/>]){_REST}>.*?(?:</script\s*+>|\z)"
-        rf"|style(?=[\s/>]){_REST}>.*?(?:</style\s*+>|\z)"
-        rf"|(/?{_any_of(names)})(?=[\s/>])({_REST})>"
-        rf"|[a-z/!?]{_REST}(?:>|\z)"
-        r")"
-    )
+def tag(names: str) -> str:
+    """Regex for the rest of a tag with one of the names, up to its '>'."""
+    return rf"(?:{names})(?=[\s/>]){_REST}>"
 
 
-def _marked(html: Column, names: Iterable[str], mark: str) -> Column:
+def _marked(html: Column, wanted: str, mark: str) -> Column:
     page = F.coalesce(html, F.lit(""))
     page = F.when(page.rlike(f"[{MARKS}]"), F.translate(page, MARKS, "")).otherwise(page)
-    return F.replace(F.regexp_replace(page, _tag(names), mark), F.lit("\x01\x02\x03"), F.lit(""))
+    # Wanted tags first: most tags are.
+    return F.replace(F.regexp_replace(page, f"(?is)<(?:{wanted}|{_OTHER})", mark), F.lit("\x01\x02\x03"), F.lit(""))
 
 
 def mark_tags(html: Column) -> Column:
     """One pass over the page; see the module text. Null becomes ''."""
-    return _marked(html, _MARKED, "\x01$1\x02$2\x03")
+    return _marked(html, rf"(/?{_any_of(_MARKED)})(?=[\s/>])({_REST})>", "\x01$1\x02$2\x03")
 
 
 def mark_names(html: Column, names: Iterable[str]) -> Column:
     """``mark_tags`` for these elements alone and without their attributes."""
-    return _marked(html, names, "\x01$1\x02\x03")
+    return _marked(html, tag(f"(/?{_any_of(names)})"), "\x01$1\x02\x03")
+
+
+def mark_wanted(html: Column, wanted: Iterable[str], groups: int) -> Column:
+    """``mark_names`` for tags by regexes: a name is what one of their groups takes; a tag of which no group
+    takes anything leaves no mark."""
+    name = "".join(f"${i}" for i in range(1, groups + 1))
+    return _marked(html, "|".join(wanted), f"\x01{name}\x02\x03")
+
+
+def up_to_next(names: Iterable[str]) -> str:
+    """Regex for all up to the next tag of one of the names."""
+    return rf"(?:[^<]++|<(?!/?{_any_of(names)}[\s/>])(?:{_OTHER})?+)*+"
 
 
 def lower_tags(marked: Column) -> Column:

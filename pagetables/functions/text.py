@@ -52,8 +52,9 @@ _WINDOWS_1252 = {i: bytes([i]).decode("cp1252", errors="ignore") or chr(i) for i
 
 def collapse_space(text: Column) -> Column:
     """White space as single spaces."""
-    # Single plain spaces, by far the most common run, need no replacement.
-    uneven = f"[{_GAPS}][{WHITESPACE}]*+| [{WHITESPACE}]++"
+    # Single plain spaces, by far the most common run, need no replacement. One plain range
+    # is looked at first, because most characters are in it.
+    uneven = f"(?=[^!-~])(?:[{_GAPS}][{WHITESPACE}]*+| [{WHITESPACE}]++)"
     return F.regexp_replace(text, uneven, " ")
 
 

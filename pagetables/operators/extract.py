@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html, text, urls
-from ..functions.arrays import cap, explode_items
+from ..functions.arrays import cap, explode_items, keep_rows
 from . import records, tables
 from .nested_tables import nested_tables
 
@@ -51,13 +51,15 @@ TABLE_LABEL = "Table #"
 MOST_COLUMNS = 2000
 
 
-def _mark(pages: DataFrame, mark: Callable[[Column], Column]) -> DataFrame:
+def mark_pages(pages: DataFrame) -> DataFrame:
+    """(page_id, url, base, page_chars, is_blank, marked): the page read once, its
+    URL split once. A column ``raw_url`` is kept."""
     kept = ["page_id", "url", *[c for c in pages.columns if c == "raw_url"]]
     marked = pages.select(
         *kept,
         F.length("html").cast("bigint").alias("page_chars"),
         text.is_blank(F.col("html")).alias("is_blank"),
-        mark(F.col("html")).alias("marked"),
+        html.mark_tags(F.col("html")).alias("marked"),
     )
     # Each step reads its input several times, so each is a projection of its own.
     lowered = marked.select(*kept, "page_chars", "is_blank", html.lower_tags(F.col("marked")).alias("marked"))
@@ -70,12 +72,6 @@ def _mark(pages: DataFrame, mark: Callable[[Column], Column]) -> DataFrame:
     )
 
 
-def mark_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, url, base, page_chars, is_blank, marked): the page read once, its
-    URL split once. A column ``raw_url`` is kept."""
-    return _mark(pages, html.mark_tags)
-
-
 def _explode(page_rows: DataFrame, items: Column) -> DataFrame:
     return explode_items(page_rows, items, "page_id").select(
         "page_id", (F.col("i") + 1).cast("bigint").alias("record_no"), "r.*"
@@ -108,23 +104,66 @@ def with_nested(marked_pages: DataFrame, bare: Column) -> DataFrame:
     """Marked pages with ``structure``, from their table tags, and ``nested``: the tables of a page
     where one holds another, else null. Decided on the marked text alone, so every page is read in
     exactly one way."""
-    marks = marked_pages.withColumn("bare", bare).withColumn("structure", tables.structure(F.col("bare")))
+    marks = marked_pages.withColumn("bare", bare).withColumn("structure", tables.structure_of_bare(F.col("bare")))
     tags = F.when(tables.has_nested_tables(F.col("structure")), F.col("bare"))
     return marks.withColumn("nested", nested_tables(tags)).drop("bare")
 
 
+def _structures(pages: DataFrame) -> DataFrame:
+    """(page_id, structure, found): the table marks of every page, and the tables of a page where one holds
+    another, else null. Only the tags of such pages are read by name."""
+    marked = pages.select("page_id", "html", tables.mark(F.col("html")).alias("marked"))
+    marked = marked.withColumn("marked", text.common_references(F.col("marked")))
+    marks = marked.select("page_id", "html", tables.structure(F.col("marked")).alias("structure"))
+    inner = F.when(tables.has_nested_tables(F.col("structure")), html.mark_names(F.col("html"), tables.NAMES))
+    tags = marks.select("page_id", "structure", inner.alias("tags"))
+    tags = tags.withColumn("tags", html.lower_tags(F.col("tags")))
+    tags = tags.withColumn("tags", text.common_references(F.col("tags")))
+    # The Python node is given a plain column.
+    only = F.when(html.has_tag(F.col("tags"), "table"), F.col("tags"))
+    return tags.withColumn("found", nested_tables(only)).drop("tags")
+
+
 def page_tables(pages: DataFrame, max_records: int | None = None) -> DataFrame:
     """(page_id, table_rows, nested): the data rows of a page's tables, in order."""
-    marked = _mark(pages, lambda page: html.mark_names(page, tables.NAMES)).select("page_id", "marked")
-    marks, found = F.col("structure"), F.col("nested")
-    return with_nested(marked, F.col("marked")).select(
-        "page_id", tables.flat_rows(marks, found, max_records).alias("table_rows"), tables.shape_nested(found, max_records).alias("nested")
+    structure, found = F.col("structure"), F.col("found")
+    return _structures(pages).select(
+        "page_id", tables.flat_rows(structure, found, max_records).alias("table_rows"), tables.shape_nested(found, max_records).alias("nested")
     )
 
 
+def _each_table(pages: DataFrame) -> DataFrame:
+    """(page_id, several, texts, table_no, inner, col_names, width, data) of every table: ``inner`` on pages
+    with nested tables, else ``data``. A table is a row here, handed out of its page before it is read, so
+    that its steps are plain projections."""
+    pages = _structures(pages).select("page_id", "structure", tables.shape_nested(F.col("found")).alias("nested"))
+    several = tables.has_several(F.col("structure")).alias("several")
+    given = ["page_id", "several", "texts"]
+    parts = tables.either_part(F.col("structure"), F.col("nested"))
+    each = explode_items(pages, parts, "page_id", several, F.col("nested.texts").alias("texts"))
+    given += ["table_no", "inner"]
+    each = each.select(*given[:3], "r.table_no", "r.inner", tables.cleaned(F.col("r.part")).alias("part"))
+    head, rows, place, data, width = (F.col(c) for c in ("head", "rows", "place", "data", "width"))
+    each = each.select(*given, tables.head_cells(F.col("part")).alias("head"), tables.row_parts(F.col("part")).alias("rows"))
+    each = each.select(*given, head, rows, tables.header_place(head, rows).alias("place"))
+    each = each.select(*given, tables.headers(head, rows, place).alias("headers"), tables.data_rows(rows, place).alias("data"))
+    each = each.select(*given, "headers", data, tables.table_width(data).alias("width"))
+    names = F.when(F.col("inner").isNull(), tables.names_of(F.col("headers"), data, width)).otherwise(F.col("inner.col_names"))
+    return each.select(*given, names.alias("col_names"), width, data)
+
+
 def _table_records(pages: DataFrame, max_records: int | None) -> DataFrame:
-    parts = explode_items(page_tables(pages, max_records), tables.parts_of(), "page_id", "table_rows", "nested")
-    return explode_items(parts.withColumnRenamed("r", "part").drop("i"), tables.rows_of_part(F.col("part")), "page_id").select("page_id", "r.*")
+    """(page_id, table_no, table_label, row_no, col_names, cells) of every data row."""
+    if max_records and max_records > 0:
+        # A cap is over all tables of a page, so it is decided in the page's row.
+        parts = explode_items(page_tables(pages, max_records), tables.parts_of(), "page_id", "table_rows", "nested")
+        return explode_items(parts.withColumnRenamed("r", "part").drop("i"), tables.rows_of_part(F.col("part")), "page_id").select("page_id", "r.*")
+    inner = F.col("inner")
+    cells = F.when(inner.isNull(), tables.padded(F.col("data"), F.col("width"))).otherwise(tables.nested_cells(F.col("texts"), inner))
+    label = F.when(F.col("several"), F.concat(F.lit("Table "), F.col("table_no"))).alias("table_label")
+    return explode_items(_each_table(pages), cells, "page_id", "table_no", label, "col_names").select(
+        "page_id", "table_no", "table_label", (F.col("i") + 1).cast("bigint").alias("row_no"), "col_names", F.col("r").alias("cells")
+    )
 
 
 def extract_tables(pages: DataFrame, max_records: int | None = None) -> DataFrame:
@@ -169,19 +208,10 @@ def extract_tables_map(pages: DataFrame, max_records: int | None = None) -> Data
 
 
 def _tables_of(pages: DataFrame) -> DataFrame:
-    """(page_id, table_no, n_rows, col_names) of every table with data, counted in the page's row."""
-    rows = F.col("table_rows")
-    # A table's rows are numbered from 1, and all have its width.
-    last = F.filter(
-        rows, lambda r, i: F.when(i + 1 < F.size(rows), F.get(rows, i + 1).row_no == 1).otherwise(True)
-    )
-    flat = F.transform(last, lambda r: F.struct(r.table_no.alias("table_no"), r.row_no.alias("n_rows"), r.col_names.alias("col_names")))
-    inner = F.transform(
-        F.col("nested.tables"),
-        lambda t: F.struct(t.table_no.alias("table_no"), F.size(t["rows"]).cast("bigint").alias("n_rows"), t.col_names.alias("col_names")),
-    )
-    found = F.when(F.col("nested").isNull(), flat).otherwise(inner)
-    return explode_items(page_tables(pages), found, "page_id").select("page_id", "r.*")
+    """(page_id, table_no, n_rows, col_names) of every table with data."""
+    n_rows = F.when(F.col("inner").isNull(), F.size("data")).otherwise(F.size("inner.rows")).cast("bigint")
+    found = _each_table(pages).select("page_id", "table_no", n_rows.alias("n_rows"), "col_names")
+    return keep_rows(found, F.col("n_rows") > 0)
 
 
 def table_headers(pages: DataFrame) -> DataFrame:

@@ -19,23 +19,31 @@ NAMES = ("td", "tr", "th", "table", "thead", "tbody", "tfoot")
 STRUCTURE = f"/?(?:{'|'.join(NAMES)})"
 # One character per structural tag: splitting on a single character needs no regex.
 _TABLE, _TABLE_END, _ROW, _ROW_END = "\x04", "\x05", "\x06", "\x07"
-_HEAD, _BODY, _SECTION, _CELL, _CELL_END = "\x08", "\x0e", "\x0f", "\x10", "\x11"
+_HEAD, _BODY, _SECTION, _CELL, _TH = "\x08", "\x0e", "\x0f", "\x10", "\x11"
+_MARKS = _TABLE + _TABLE_END + _ROW + _ROW_END + _HEAD + _BODY + _SECTION + _CELL + _TH
 _TAG_MARKS = {
-    "table": _TABLE,
-    "/table": _TABLE_END,
+    "td": _CELL,
+    "th": _TH,
     "tr": _ROW,
     "/tr": _ROW_END,
-    "td": _CELL + "d",
-    "th": _CELL + "h",
-    "/td": _CELL_END,
-    "/th": _CELL_END,
+    "table": _TABLE,
+    "/table": _TABLE_END,
     "thead": _HEAD,
     "tbody": _BODY,
-    "tfoot": _SECTION,
-    "/thead": _SECTION,
-    "/tbody": _SECTION,
-    "/tfoot": _SECTION,
+    "tfoot|/tfoot|/thead|/tbody": _SECTION,
 }
+# Only what follows a cell's begin is text of a cell, so the end of a cell need not be kept.
+_NO_CELL = html.up_to_next(NAMES)
+_WANTED = [
+    html.tag("(t[dh])") + f"[{text.WHITESPACE}]*+",
+    html.tag("/t[dh]") + _NO_CELL,
+    html.tag("(/?t(?:r|able|head|body|foot))") + _NO_CELL,
+]
+
+
+def mark(page: Column) -> Column:
+    """A page's table tags, as ``html.mark_names`` gives them, and the texts of its cells, for ``structure``."""
+    return html.mark_wanted(page, _WANTED, 2)
 
 
 def bare(marked: Column) -> Column:
@@ -45,13 +53,25 @@ def bare(marked: Column) -> Column:
 
 
 def structure(marked: Column) -> Column:
-    """A ``bare`` page with single-character marks for its tags, its text decoded and with single
-    spaces (no reference and no white space goes past a mark); '' without tables."""
+    """A page of ``mark`` with single-character marks for its tags and nothing else but the texts of
+    cells, each right after its mark; '' without tables."""
     marks = marked
-    for tag, mark in _TAG_MARKS.items():
-        marks = F.replace(marks, F.lit(f"\x01{tag}\x02\x03"), F.lit(mark))
-    cleaned = let(marks, lambda m: text.collapse_space(text.decode_common(m)))
-    return F.when(html.has_tag(marked, "table"), cleaned).otherwise("")
+    for tags, mark in _TAG_MARKS.items():
+        marks = F.regexp_replace(marks, f"(?i)\x01(?:{tags})\x02\x03", mark)
+    return F.when(marked.contains("\x01"), marks).otherwise("")
+
+
+def structure_of_bare(marked: Column) -> Column:
+    """``structure`` of a ``bare`` page."""
+    ends = F.regexp_replace(marked, "\x01/t[dh]\x02\x03[^\x01]*+", "")
+    return structure(F.regexp_replace(ends, "(?<=\x01(?!t[dh]\x02)[^\x03]{2,6}\x03)[^\x01]++", ""))
+
+
+def cleaned(part: Column) -> Column:
+    """The texts of one table decoded, with single spaces and none at their ends (no reference and no white
+    space goes past a mark)."""
+    spaced = text.collapse_space(text.decode_common(part))
+    return F.regexp_replace(spaced, f" (?:(?=[{_MARKS}]|\\z)|(?<=[{_MARKS}] ))", "")
 
 
 def _after(part: Column, mark: str) -> Column:
@@ -66,14 +86,8 @@ def _until(part: Column, *marks: str) -> Column:
 
 
 def _cells(row: Column) -> Column:
-    """array<struct<is_th, text>> of one row (or of a whole head)."""
-    return F.transform(
-        _after(row, _CELL),
-        lambda c: F.struct(
-            c.startswith("h").alias("is_th"),
-            F.trim(F.substr(_until(c, _CELL_END, _ROW, _ROW_END), F.lit(2))).alias("text"),
-        ),
-    )
+    """array<string> of one row (or of a whole head)."""
+    return _after(F.replace(row, F.lit(_TH), F.lit(_CELL)), _CELL)
 
 
 def has_nested_tables(marks: Column) -> Column:
@@ -121,48 +135,66 @@ def has_text(cells: Column) -> Column:
     return F.exists(cells, lambda c: c != "")
 
 
-def shape_table(head: Column, rows: Column) -> Column:
-    """struct(col_names, rows) of one table, null when it has no data row.
+# One table in steps; each reads what the steps before it gave, as columns of a table's row
+# (``extract``) or in the page's row (``_read_table``).
 
-    ``head``: cleaned texts of the thead; ``rows``: array of arrays of
-    struct(is_th, text). Without head, the first row made of th cells only gives
-    the headers; every other row with some text is data."""
 
-    def choose(r: Column) -> Column:
-        first_th = F.array_position(F.transform(r, lambda c: F.forall(c, lambda x: x.is_th)), True)
-        position = F.when(F.size(head) > 0, F.lit(0)).otherwise(first_th)
-        return let(
-            position,
-            lambda p: F.struct(
-                F.when(p > 0, F.transform(F.element_at(r, p.cast("int")), lambda c: c.text))
-                .otherwise(head)
-                .alias("headers"),
-                F.transform(
-                    F.filter(r, lambda c, i: (i + 1 != p) & has_text(F.transform(c, lambda x: x.text))),
-                    lambda c: F.transform(c, lambda x: x.text),
-                ).alias("data"),
-            ),
-        )
+def table_parts(marks: Column) -> Column:
+    """array<string>: a page's ``structure`` from the begin of every table to its end."""
+    return F.transform(_after(marks, _TABLE), lambda t: _until(t, _TABLE_END))
+
+
+def has_several(marks: Column) -> Column:
+    return F.size(F.split(marks, _TABLE, -1)) > 2
+
+
+def head_cells(part: Column) -> Column:
+    """Texts of the thead of a ``cleaned`` table."""
+    head = _until(_after(part, _HEAD)[0], _BODY, _SECTION)
+    for mark in (_ROW, _ROW_END):
+        head = F.replace(head, F.lit(mark), F.lit(""))
+    return F.when(part.contains(_HEAD), _cells(head)).otherwise(F.array().cast("array<string>"))
+
+
+def row_parts(part: Column) -> Column:
+    """The rows with cells of a ``cleaned`` table. A missing tbody means the whole table, so
+    the rows of a thead are then read as data too; later tbodys are not read."""
+    body = F.when(part.contains(_BODY), _until(_after(part, _BODY)[0], _HEAD, _SECTION)).otherwise(part)
+    rows = F.transform(_after(body, _ROW), lambda r: _until(r, _ROW_END, _HEAD, _BODY, _SECTION))
+    return F.filter(rows, lambda r: r != "")
+
+
+def header_place(head: Column, rows: Column) -> Column:
+    """Place of the row that gives the headers: without head, the first one made of th cells only."""
+    first_th = F.array_position(F.transform(rows, lambda r: ~r.contains(_CELL)), True)
+    return F.when(F.size(head) > 0, F.lit(0)).otherwise(first_th)
+
+
+def headers(head: Column, rows: Column, place: Column) -> Column:
+    return F.when(place > 0, _cells(F.element_at(rows, place.cast("int")))).otherwise(head)
 
-    def shape(t: Column) -> Column:
-        return let(
-            F.array_max(F.transform(t.data, lambda c: F.size(c))),
-            lambda width: F.when(
-                F.size(t.data) > 0,
-                F.struct(
-                    column_names(t.headers, width).alias("col_names"),
-                    F.transform(
-                        t.data,
-                        lambda c: F.when(F.size(c) == width, c).otherwise(
-                            F.concat(c, F.array_repeat(F.lit(""), width - F.size(c)))
-                        ),
-                    ).alias("rows"),
-                ),
-            ),
-        )
 
-    filled = F.filter(rows, lambda c: F.size(c) > 0)
-    return let(let(filled, choose), shape)
+def data_rows(rows: Column, place: Column) -> Column:
+    """array<array<string>>: every other row with some text."""
+    return F.transform(
+        F.filter(rows, lambda r, i: (i + 1 != place) & (F.trim(r, F.lit(_CELL + _TH)) != "")), _cells
+    )
+
+
+def table_width(data: Column) -> Column:
+    return F.array_max(F.transform(data, lambda c: F.size(c)))
+
+
+def padded(data: Column, width: Column) -> Column:
+    return F.transform(
+        data,
+        lambda c: F.when(F.size(c) == width, c).otherwise(F.concat(c, F.array_repeat(F.lit(""), width - F.size(c)))),
+    )
+
+
+def names_of(headers: Column, data: Column, width: Column) -> Column:
+    """The column names of a table, null when it has no data row."""
+    return F.when(F.size(data) > 0, column_names(headers, width))
 
 
 def clean_cells(cells: Column) -> Column:
@@ -172,14 +204,24 @@ def clean_cells(cells: Column) -> Column:
 
 
 def _read_table(part: Column) -> Column:
-    """One table without inner tables. A missing tbody means the whole table, so
-    the rows of a thead are then read as data too; later tbodys are not read."""
-    head = F.when(part.contains(_HEAD), _until(_after(part, _HEAD)[0], _HEAD, _BODY, _SECTION)).otherwise("")
-    body = F.when(part.contains(_BODY), _until(_after(part, _BODY)[0], _HEAD, _BODY, _SECTION)).otherwise(part)
-    rows = F.transform(
-        _after(body, _ROW), lambda r: _cells(_until(r, _ROW_END, _HEAD, _BODY, _SECTION))
-    )
-    return let(F.transform(_cells(head), lambda c: c.text), lambda h: shape_table(h, rows))
+    """struct(col_names, rows) of one table without inner tables, null when it has no data row."""
+
+    def choose(t: Column) -> Column:
+        return let(
+            header_place(t.head, t["rows"]),
+            lambda p: F.struct(headers(t.head, t["rows"], p).alias("headers"), data_rows(t["rows"], p).alias("data")),
+        )
+
+    def shape(t: Column) -> Column:
+        return let(
+            table_width(t.data),
+            lambda width: F.when(
+                F.size(t.data) > 0,
+                F.struct(names_of(t.headers, t.data, width).alias("col_names"), padded(t.data, width).alias("rows")),
+            ),
+        )
+
+    return let(let(F.struct(head_cells(part).alias("head"), row_parts(part).alias("rows")), choose), shape)
 
 
 def _numbered_rows(table_no: Column, t: Column, several: Column) -> Column:
@@ -199,9 +241,8 @@ def _numbered_rows(table_no: Column, t: Column, several: Column) -> Column:
 def flat_table_rows(marks: Column, max_records: int | None = None) -> Column:
     """array<struct(table_no, table_label, row_no, col_names, cells)> of a page's ``structure``, capped
     over all its tables together. Every table counts for ``table_no``."""
-    parts = F.transform(_after(marks, _TABLE), lambda t: _until(t, _TABLE_END))
     tables = F.transform(
-        parts, lambda t, i: F.struct((i + 1).cast("bigint").alias("table_no"), _read_table(t).alias("t"))
+        table_parts(marks), lambda t, i: F.struct((i + 1).cast("bigint").alias("table_no"), let(cleaned(t), _read_table).alias("t"))
     )
 
     def rows(found: Column) -> Column:
@@ -299,21 +340,26 @@ def shape_nested(found: Column, max_records: int | None = None) -> Column:
     return F.when(found.isNotNull(), let(clean_cells(found.cells), whole))
 
 
-def nested_rows(texts: Column, t: Column, limit: int | None = None) -> Column:
-    """Data rows of one table of ``shape_nested``, as ``flat_table_rows`` gives them."""
+def nested_cells(texts: Column, t: Column, limit: int | None = None) -> Column:
+    """The cells of the data rows of one table of ``shape_nested``."""
 
     def cells(r: Column) -> Column:
         own = F.slice(texts, r["first"] + 1, r["n"])
         return F.when(r["n"] == t.width, own).otherwise(F.concat(own, F.array_repeat(F.lit(""), t.width - r["n"])))
 
+    return F.transform(F.slice(t["rows"], 1, limit) if limit else t["rows"], cells)
+
+
+def nested_rows(texts: Column, t: Column, limit: int | None = None) -> Column:
+    """Data rows of one table of ``shape_nested``, as ``flat_table_rows`` gives them."""
     return F.transform(
-        F.slice(t["rows"], 1, limit) if limit else t["rows"],
-        lambda r, i: F.struct(
+        nested_cells(texts, t, limit),
+        lambda cells, i: F.struct(
             t.table_no.alias("table_no"),
             F.concat(F.lit("Table "), t.table_no).alias("table_label"),
             (i + 1).cast("bigint").alias("row_no"),
             t.col_names.alias("col_names"),
-            cells(r).alias("cells"),
+            cells.alias("cells"),
         ),
     )
 
@@ -348,6 +394,19 @@ def parts_of() -> Column:
     return F.when(F.size(nothing) > 0, F.concat(nothing, tables)).otherwise(alone)
 
 
+def either_part(marks: Column, nested: Column) -> Column:
+    """array<struct<table_no, part, inner>> of a page's tables: its ``table_parts``, or the tables of
+    ``shape_nested`` where there are some."""
+    none = F.when(F.lit(False), F.get(nested["tables"], F.lit(0)))
+
+    def item(table_no: Column, part: Column, inner: Column) -> Column:
+        return F.struct(table_no.cast("bigint").alias("table_no"), part.alias("part"), inner.alias("inner"))
+
+    return F.when(nested.isNull(), F.transform(table_parts(marks), lambda t, i: item(i + 1, t, none))).otherwise(
+        F.transform(nested["tables"], lambda t: item(t.table_no, F.lit(None).cast("string"), t))
+    )
+
+
 def rows_of_part(part: Column) -> Column:
     """Data rows of one of ``parts_of``."""
     return F.when(part.isNull(), F.col("table_rows")).otherwise(nested_rows(F.col("nested.texts"), part))

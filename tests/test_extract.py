@@ -245,6 +245,37 @@ def test_wide_tables_find_their_columns(spark, pages_of):
         x.table_columns(pages, most=3)
 
 
+ODD_TABLES = [
+    "x<table>no<b>cell</b><TR> no <Td title='</td>'> a <i>b</i>\n c </TD> no <b>no</b> < no <tH>d<!-- <td>no</td> --></tR><td>no<tr><td>e</table>no",
+    "</table><td>no<table><tr id=1><td a=<td>f</td><tr></tr><tr><td> &nbsp; </td></tr></TABLE><tr><td>no</td></tr>",
+    "<table><THEAD><td>h<tr><th>i</tr><td>j</thead>no<tr><td>1<td>2<td>3 </table><table><tr><td>&lt;&#116;d&gt; </tr ",
+]
+
+
+def test_texts_and_tags_around_cells(pages_of):
+    """Tags in any case, texts outside of cells, tags in quotes and comments; in a table's row, in the page's row, and
+    with the other kinds."""
+    pages = pages_of(*ODD_TABLES)
+    kept = ("page_id", "table_no", "row_no", "col_names", "cells")
+    found = rows(x._table_records(pages, None), *kept)
+    assert found == [
+        (0, 1, 1, ["Column 1", "Column 2"], ["a b c", "d"]), (0, 1, 2, ["Column 1", "Column 2"], ["e", ""]),
+        (1, 1, 1, ["Column 1"], ["f"]),
+        (2, 1, 1, ["h", "i", "j"], ["i", "", ""]), (2, 1, 2, ["h", "i", "j"], ["1", "2", "3"]), (2, 2, 1, ["Column 1"], ["<td>"]),
+    ]
+    assert rows(x._table_records(pages, 100), *kept) == found
+    together = explode_items(x.page_records(pages), F.col("table_rows"), "page_id").select("page_id", "r.*")
+    assert rows(together, *kept) == found
+
+
+def test_a_table_is_a_row_before_it_is_read(spark, pages_of):
+    """Names and rows of tables are columns of a table's row: no array of all rows of a page is built, and names in the
+    page's own row only where tables are nested."""
+    pages = read_pages(spark, "/root/testdata/sf0.001/pages.parquet")
+    for frame in (x.extract_tables(pages), x.extract_tables_map(pages), x.extract_tables_wide(pages, ["A"]), x.table_headers(pages)):
+        assert "table_rows" not in frame._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_archives_of_many_pages(spark):
     folder = new_folder(spark, "archives")
     texts = ["", "plain", "ünïcode é", "a\r\n\r\nWARC/1.0\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc" * 3, "日本", "x" * 50_000, None]
