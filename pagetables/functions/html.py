@@ -58,7 +58,8 @@ MARKS = "\x01\x02\x03\x04\x05\x06\x07\x08\x0e\x0f\x10\x11"
 
 def tag(names: str) -> str:
     """Regex for the rest of a tag with one of the names, up to its '>'."""
-    return rf"(?:{names})(?=[\s/>]){_REST}>"
+    # most tags end right after their name
+    return rf"(?:{names})(?:>|(?=[\s/]){_REST}>)"
 
 
 def _marked(html: Column, wanted: str, mark: str) -> Column:
@@ -78,18 +79,6 @@ def mark_names(html: Column, names: Iterable[str]) -> Column:
     return _marked(html, tag(f"(/?{_any_of(names)})"), "\x01$1\x02\x03")
 
 
-def mark_wanted(html: Column, wanted: Iterable[str], groups: int) -> Column:
-    """``mark_names`` for tags by regexes: a name is what one of their groups takes; a tag of which no group
-    takes anything leaves no mark."""
-    name = "".join(f"${i}" for i in range(1, groups + 1))
-    return _marked(html, "|".join(wanted), f"\x01{name}\x02\x03")
-
-
-def up_to_next(names: Iterable[str]) -> str:
-    """Regex for all up to the next tag of one of the names."""
-    return rf"(?:[^<]++|<(?!/?{_any_of(names)}[\s/>])(?:{_OTHER})?+)*+"
-
-
 def lower_tags(marked: Column) -> Column:
     """Marker names in lower case, so that later steps can compare them plainly."""
     lowered = F.transform(

@@ -104,7 +104,7 @@ def with_nested(marked_pages: DataFrame, bare: Column) -> DataFrame:
     """Marked pages with ``structure``, from their table tags, and ``nested``: the tables of a page
     where one holds another, else null. Decided on the marked text alone, so every page is read in
     exactly one way."""
-    marks = marked_pages.withColumn("bare", bare).withColumn("structure", tables.structure_of_bare(F.col("bare")))
+    marks = marked_pages.withColumn("bare", bare).withColumn("structure", tables.structure(F.col("bare")))
     tags = F.when(tables.has_nested_tables(F.col("structure")), F.col("bare"))
     return marks.withColumn("nested", nested_tables(tags)).drop("bare")
 
@@ -112,13 +112,12 @@ def with_nested(marked_pages: DataFrame, bare: Column) -> DataFrame:
 def _structures(pages: DataFrame) -> DataFrame:
     """(page_id, structure, found): the table marks of every page, and the tables of a page where one holds
     another, else null. Only the tags of such pages are read by name."""
-    marked = pages.select("page_id", "html", tables.mark(F.col("html")).alias("marked"))
-    marked = marked.withColumn("marked", text.common_references(F.col("marked")))
-    marks = marked.select("page_id", "html", tables.structure(F.col("marked")).alias("structure"))
-    inner = F.when(tables.has_nested_tables(F.col("structure")), html.mark_names(F.col("html"), tables.NAMES))
+    tags = F.col("tags")
+    marked = pages.select("page_id", html.mark_names(F.col("html"), tables.NAMES).alias("tags"))
+    marked = marked.withColumn("tags", text.common_references(tags))
+    marks = marked.select("page_id", "tags", tables.structure(tags).alias("structure"))
+    inner = html.lower_tags(F.when(tables.has_nested_tables(F.col("structure")), tags))
     tags = marks.select("page_id", "structure", inner.alias("tags"))
-    tags = tags.withColumn("tags", html.lower_tags(F.col("tags")))
-    tags = tags.withColumn("tags", text.common_references(F.col("tags")))
     # The Python node is given a plain column.
     only = F.when(html.has_tag(F.col("tags"), "table"), F.col("tags"))
     return tags.withColumn("found", nested_tables(only)).drop("tags")

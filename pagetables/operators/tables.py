@@ -32,19 +32,6 @@ _TAG_MARKS = {
     "tbody": _BODY,
     "tfoot|/tfoot|/thead|/tbody": _SECTION,
 }
-# Only what follows a cell's begin is text of a cell, so the end of a cell need not be kept.
-_NO_CELL = html.up_to_next(NAMES)
-_WANTED = [
-    html.tag("(t[dh])") + f"[{text.WHITESPACE}]*+",
-    html.tag("/t[dh]") + _NO_CELL,
-    html.tag("(/?t(?:r|able|head|body|foot))") + _NO_CELL,
-]
-
-
-def mark(page: Column) -> Column:
-    """A page's table tags, as ``html.mark_names`` gives them, and the texts of its cells, for ``structure``."""
-    return html.mark_wanted(page, _WANTED, 2)
-
 
 def bare(marked: Column) -> Column:
     """A marked page with its table tags alone, as ``html.mark_names`` gives it."""
@@ -52,19 +39,16 @@ def bare(marked: Column) -> Column:
     return F.replace(marks, F.lit("\x01\x02\x03"), F.lit(""))
 
 
-def structure(marked: Column) -> Column:
-    """A page of ``mark`` with single-character marks for its tags and nothing else but the texts of
-    cells, each right after its mark; '' without tables."""
-    marks = marked
-    for tags, mark in _TAG_MARKS.items():
-        marks = F.regexp_replace(marks, f"(?i)\x01(?:{tags})\x02\x03", mark)
-    return F.when(marked.contains("\x01"), marks).otherwise("")
-
-
-def structure_of_bare(marked: Column) -> Column:
-    """``structure`` of a ``bare`` page."""
-    ends = F.regexp_replace(marked, "\x01/t[dh]\x02\x03[^\x01]*+", "")
-    return structure(F.regexp_replace(ends, "(?<=\x01(?!t[dh]\x02)[^\x03]{2,6}\x03)[^\x01]++", ""))
+def structure(tags: Column) -> Column:
+    """A page with its table tags alone (``html.mark_names`` or ``bare``) with single-character marks for
+    them and nothing else but the texts of cells, each right after its mark; '' without tables."""
+    outside = f"[^{_MARKS}\x01]*+"
+    # Only what follows a cell's begin is text of a cell, so the end of a cell need not be kept.
+    marks = F.regexp_replace(tags, f"(?i)\x01/t[dh]\x02\x03{outside}", "")
+    for names, mark in _TAG_MARKS.items():
+        rest = "" if mark in (_CELL, _TH) else outside
+        marks = F.regexp_replace(marks, f"(?i)\x01(?:{names})\x02\x03{rest}", mark)
+    return F.when(tags.contains("\x01"), marks).otherwise("")
 
 
 def cleaned(part: Column) -> Column:
