@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html, text, urls
 from ..functions.arrays import cap, explode_items, keep_rows
+from ..session import new_folder
 from . import records, tables
 from .nested_tables import nested_tables
 
@@ -157,10 +158,15 @@ def _table_records(pages: DataFrame, max_records: int | None) -> DataFrame:
         # A cap is over all tables of a page, so it is decided in the page's row.
         parts = explode_items(page_tables(pages, max_records), tables.parts_of(), "page_id", "table_rows", "nested")
         return explode_items(parts.withColumnRenamed("r", "part").drop("i"), tables.rows_of_part(F.col("part")), "page_id").select("page_id", "r.*")
+    return _rows_of_tables(_each_table(pages))
+
+
+def _rows_of_tables(each: DataFrame) -> DataFrame:
+    """``_table_records`` of the rows of ``_each_table``."""
     inner = F.col("inner")
     cells = F.when(inner.isNull(), tables.padded(F.col("data"), F.col("width"))).otherwise(tables.nested_cells(F.col("texts"), inner))
     label = F.when(F.col("several"), F.concat(F.lit("Table "), F.col("table_no"))).alias("table_label")
-    return explode_items(_each_table(pages), cells, "page_id", "table_no", label, "col_names").select(
+    return explode_items(each, cells, "page_id", "table_no", label, "col_names").select(
         "page_id", "table_no", "table_label", (F.col("i") + 1).cast("bigint").alias("row_no"), "col_names", F.col("r").alias("cells")
     )
 
@@ -201,7 +207,12 @@ def row_map(col_names: Column, cells: Column) -> Column:
 
 def extract_tables_map(pages: DataFrame, max_records: int | None = None) -> DataFrame:
     """Row form: one map of column name to cell per data row."""
-    return _table_records(pages, max_records).select(
+    return _maps(_table_records(pages, max_records))
+
+
+def _maps(records: DataFrame) -> DataFrame:
+    """``extract_tables_map`` of ``_table_records``."""
+    return records.select(
         "page_id", "table_no", "table_label", "row_no", row_map(F.col("col_names"), F.col("cells")).alias("record")
     )
 
@@ -213,6 +224,15 @@ def _tables_of(pages: DataFrame) -> DataFrame:
     return keep_rows(found, F.col("n_rows") > 0)
 
 
+def _stored_tables(pages: DataFrame) -> DataFrame:
+    """The rows of ``_each_table`` with data, written once to the shared folder and read back: the
+    pages are read once, whatever reads their tables."""
+    each = keep_rows(_each_table(pages), F.col("col_names").isNotNull())
+    folder = new_folder(pages.sparkSession, "tables")
+    each.write.parquet(folder)
+    return pages.sparkSession.read.schema(each.schema).parquet(folder)
+
+
 def table_headers(pages: DataFrame) -> DataFrame:
     """(page_id, table_no, col_no, col_name): the column names of every table with data."""
     return explode_items(_tables_of(pages), F.col("col_names"), "page_id", "table_no").select(
@@ -223,8 +243,15 @@ def table_headers(pages: DataFrame) -> DataFrame:
 def table_columns(pages: DataFrame, most: int = MOST_COLUMNS) -> list[str]:
     """The names of all tables' columns, in the order of their first place. One aggregation that
     counts a name once a task; more than ``most`` names are refused."""
-    names = explode_items(_tables_of(pages), map_names(F.col("col_names")), "page_id", "table_no")
-    first = names.groupBy(F.col("r").alias("name")).agg(F.min(F.struct("page_id", "table_no", "i")).alias("place"))
+    return _first_names(_tables_of(pages), most)
+
+
+def _first_names(each: DataFrame, most: int) -> list[str]:
+    """``table_columns`` of tables with data."""
+    # Tables with the same names in the same order are counted together, then their names.
+    alike = each.groupBy("col_names").agg(F.min(F.struct("page_id", "table_no")).alias("at"))
+    names = explode_items(alike, map_names(F.col("col_names")), "at")
+    first = names.groupBy(F.col("r").alias("name")).agg(F.min(F.struct("at", "i")).alias("place"))
     found = [r.name for r in first.orderBy("place").limit(most + 1).collect()]
     if len(found) > most:
         raise ValueError(f"the tables have more than {most} different columns")
@@ -237,7 +264,11 @@ def extract_tables_wide(
     """Wide form over all tables: one column per name, null where a table does not have it. Without a
     list the names are those that the tables have. ``table_label`` is set for pages with several
     tables. A name that is already taken, in any case, gets its position added."""
-    rows = extract_tables_map(pages, max_records)
+    if columns is None and not (max_records and max_records > 0):
+        each = _stored_tables(pages)
+        rows, columns = _maps(_rows_of_tables(each)), _first_names(each, most)
+    else:
+        rows = extract_tables_map(pages, max_records)
     own = ("page_id", "table_no", "table_label", "row_no")
     taken, wide = set(own), []
     for i, c in enumerate(table_columns(pages, most) if columns is None else columns, 1):

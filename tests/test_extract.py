@@ -3,6 +3,7 @@ import json
 import os
 import re
 import time
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -245,6 +246,21 @@ def test_wide_tables_find_their_columns(spark, pages_of):
         x.table_columns(pages, most=3)
 
 
+def test_wide_tables_read_their_pages_once(spark):
+    """Each reading of these pages gives other headers: names and cells are of the same one."""
+    page = F.udf(lambda i: f"<table><tr><th>{uuid.uuid4()}<tr><td>x</table>").asNondeterministic()
+    pages = spark.range(3).select(F.col("id").alias("page_id"), F.lit("https://a.example").alias("url"), page("id").alias("html"))
+    wide = x.extract_tables_wide(pages)
+    assert len(wide.columns) == 7 and sorted(c for r in wide.collect() for c in tuple(r)[4:] if c) == ["x"] * 3
+    nested = [deep(3), "<table><tr><th>B<th>A<tr><td>1<td>2</table>", "<table><tr><td>p<tr><td><td></table><table></table>", "", None]
+    # Two of the pages have no id.
+    given = [(i % 3 if i < 8 else None, "https://a.example", t) for i, t in enumerate(nested * 2)]
+    pages = spark.createDataFrame(given, "page_id bigint, url string, html string")
+    columns = x.table_columns(pages)
+    shown = lambda frame: (frame.columns, sorted(map(repr, frame.collect())))
+    assert shown(x.extract_tables_wide(pages)) == shown(x.extract_tables_wide(pages, columns))
+
+
 ODD_TABLES = [
     "x<table>no<b>cell</b><TR> no <Td title='</td>'> a <i>b</i>\n c </TD> no <b>no</b> < no <tH>d<!-- <td>no</td> --></tR><td>no<tr><td>e</table>no",
     "</table><td>no<table><tr id=1><td a=<td>f</td><tr></tr><tr><td> &nbsp; </td></tr></TABLE><tr><td>no</td></tr>",
