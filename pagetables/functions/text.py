@@ -26,7 +26,7 @@ NO_ALT_TEXT = "[No Alt Text]"
 DEFAULT_TARGET = "_self"
 
 # The references most pages use; '&amp;' has to be replaced last.
-_COMMON = {
+COMMON = {
     "lt": "<",
     "gt": ">",
     "quot": '"',
@@ -36,7 +36,7 @@ _COMMON = {
     "middot": "\xb7",
     "amp": "&",
 }
-_UNCOMMON = "&(?=[#A-Za-z])(?!(?:" + "|".join(_COMMON) + ");)"
+_UNCOMMON = "&(?=[#A-Za-z])(?!(?:" + "|".join(COMMON) + ");)"
 
 # The entity tables are derived from the standard library's HTML5 list.
 # Lookups scan the map, so the HTML 4 names come first.
@@ -178,7 +178,7 @@ def _reference(piece: Column, in_attribute: Column) -> Column:
     def written(f: Column) -> Column:
         char = f.char
         for name in ("amp", "lt", "gt", "quot", "#39"):
-            char = F.replace(char, F.lit(_COMMON[name]), F.lit(f"&{name};"))
+            char = F.replace(char, F.lit(COMMON[name]), F.lit(f"&{name};"))
         return F.concat(char, f.rest)
 
     return let(found, written)
@@ -209,7 +209,7 @@ def common_references(marked: Column) -> Column:
 def decode_common(text: Column) -> Column:
     """Decode a field of a page that went through ``common_references``."""
     decoded = text
-    for name, char in _COMMON.items():
+    for name, char in COMMON.items():
         decoded = F.replace(decoded, F.lit(f"&{name};"), F.lit(char))
     return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
 

@@ -17,6 +17,7 @@ from ..functions import html, text, urls
 from ..functions.arrays import cap, explode_items, keep_rows
 from ..session import new_folder
 from . import records, tables
+from .flat_tables import flat_tables
 from .nested_tables import nested_tables
 
 # The kinds of records and their names.
@@ -110,13 +111,17 @@ def with_nested(marked_pages: DataFrame, bare: Column) -> DataFrame:
     return marks.withColumn("nested", nested_tables(tags)).drop("bare")
 
 
+def _marked_tables(pages: DataFrame) -> DataFrame:
+    """(page_id, tags): every page with its table tags alone."""
+    marked = pages.select("page_id", html.mark_names(F.col("html"), tables.NAMES).alias("tags"))
+    return marked.withColumn("tags", text.common_references(F.col("tags")))
+
+
 def _structures(pages: DataFrame) -> DataFrame:
     """(page_id, structure, found): the table marks of every page, and the tables of a page where one holds
     another, else null. Only the tags of such pages are read by name."""
     tags = F.col("tags")
-    marked = pages.select("page_id", html.mark_names(F.col("html"), tables.NAMES).alias("tags"))
-    marked = marked.withColumn("tags", text.common_references(tags))
-    marks = marked.select("page_id", "tags", tables.structure(tags).alias("structure"))
+    marks = _marked_tables(pages).select("page_id", "tags", tables.structure(tags).alias("structure"))
     inner = html.lower_tags(F.when(tables.has_nested_tables(F.col("structure")), tags))
     tags = marks.select("page_id", "structure", inner.alias("tags"))
     # The Python node is given a plain column.
@@ -134,22 +139,23 @@ def page_tables(pages: DataFrame, max_records: int | None = None) -> DataFrame:
 
 def _each_table(pages: DataFrame) -> DataFrame:
     """(page_id, several, texts, table_no, inner, col_names, width, data) of every table: ``inner`` on pages
-    with nested tables, else ``data``. A table is a row here, handed out of its page before it is read, so
-    that its steps are plain projections."""
-    pages = _structures(pages).select("page_id", "structure", tables.shape_nested(F.col("found")).alias("nested"))
-    several = tables.has_several(F.col("structure")).alias("several")
-    given = ["page_id", "several", "texts"]
-    parts = tables.either_part(F.col("structure"), F.col("nested"))
-    each = explode_items(pages, parts, "page_id", several, F.col("nested.texts").alias("texts"))
-    given += ["table_no", "inner"]
-    each = each.select(*given[:3], "r.table_no", "r.inner", tables.cleaned(F.col("r.part")).alias("part"))
-    head, rows, place, data, width = (F.col(c) for c in ("head", "rows", "place", "data", "width"))
-    each = each.select(*given, tables.head_cells(F.col("part")).alias("head"), tables.row_parts(F.col("part")).alias("rows"))
-    each = each.select(*given, head, rows, tables.header_place(head, rows).alias("place"))
-    each = each.select(*given, tables.headers(head, rows, place).alias("headers"), tables.data_rows(rows, place).alias("data"))
-    each = each.select(*given, "headers", data, tables.table_width(data).alias("width"))
-    names = F.when(F.col("inner").isNull(), tables.names_of(F.col("headers"), data, width)).otherwise(F.col("inner.col_names"))
-    return each.select(*given, names.alias("col_names"), width, data)
+    with nested tables, else ``data``. A table is a row here, handed out of its page with its names not yet made,
+    so that those are plain projections. Tables without data may be missing."""
+    tags = F.col("tags")
+    marked = _marked_tables(pages).withColumn("is_nested", tables.holds_another(tags))
+    # The Python node is given plain columns.
+    given = marked.select(
+        "page_id",
+        html.lower_tags(F.when(F.col("is_nested"), tags)).alias("nested_tags"),
+        F.when(~F.col("is_nested") & tags.contains("\x01"), tags).alias("flat_tags"),
+    )
+    found = given.select("page_id", nested_tables(F.col("nested_tags")).alias("found"), flat_tables(F.col("flat_tags")).alias("flat"))
+    read = found.select("page_id", "flat", tables.shape_nested(F.col("found")).alias("nested"))
+    each = explode_items(read, tables.either_table(F.col("flat"), F.col("nested")), "page_id", F.col("nested.texts").alias("texts"))
+    each = each.select("page_id", "texts", "r.*")
+    names = F.when(F.col("inner").isNull(), tables.names_of(F.col("headers"), F.col("data"), F.col("width")))
+    names = names.otherwise(F.col("inner.col_names")).alias("col_names")
+    return each.select("page_id", "several", "texts", "table_no", "inner", names, "width", "data")
 
 
 def _table_records(pages: DataFrame, max_records: int | None) -> DataFrame:

@@ -79,6 +79,12 @@ def has_nested_tables(marks: Column) -> Column:
     return marks.rlike(f"{_TABLE}[^{_TABLE}{_TABLE_END}]*+{_TABLE}")
 
 
+def holds_another(tags: Column) -> Column:
+    """``has_nested_tables`` from ``html.mark_names``."""
+    other = "\x01(?!/?table\x02)"
+    return tags.rlike(f"(?i)\x01table\x02[^\x01]*+(?:{other}[^\x01]*+)*+\x01table\x02")
+
+
 def column_names(headers: Column, width: Column) -> Column:
     """Unique column names; headers that do not fit the width are not used.
 
@@ -128,10 +134,6 @@ def table_parts(marks: Column) -> Column:
     return F.transform(_after(marks, _TABLE), lambda t: _until(t, _TABLE_END))
 
 
-def has_several(marks: Column) -> Column:
-    return F.size(F.split(marks, _TABLE, -1)) > 2
-
-
 def head_cells(part: Column) -> Column:
     """Texts of the thead of a ``cleaned`` table."""
     head = _until(_after(part, _HEAD)[0], _BODY, _SECTION)
@@ -378,16 +380,24 @@ def parts_of() -> Column:
     return F.when(F.size(nothing) > 0, F.concat(nothing, tables)).otherwise(alone)
 
 
-def either_part(marks: Column, nested: Column) -> Column:
-    """array<struct<table_no, part, inner>> of a page's tables: its ``table_parts``, or the tables of
-    ``shape_nested`` where there are some."""
+def either_table(flat: Column, nested: Column) -> Column:
+    """array<struct<table_no, several, headers, width, data, inner>> of a page's tables: those of ``flat_tables``, or
+    the tables of ``shape_nested`` as ``inner`` where there are some."""
     none = F.when(F.lit(False), F.get(nested["tables"], F.lit(0)))
+    lack = F.when(F.lit(False), F.get(flat, F.lit(0)))
 
-    def item(table_no: Column, part: Column, inner: Column) -> Column:
-        return F.struct(table_no.cast("bigint").alias("table_no"), part.alias("part"), inner.alias("inner"))
+    def item(t: Column, table_no: Column, several: Column, inner: Column) -> Column:
+        return F.struct(
+            table_no.alias("table_no"),
+            several.alias("several"),
+            t["headers"].alias("headers"),
+            t["width"].alias("width"),
+            t["data"].alias("data"),
+            inner.alias("inner"),
+        )
 
-    return F.when(nested.isNull(), F.transform(table_parts(marks), lambda t, i: item(i + 1, t, none))).otherwise(
-        F.transform(nested["tables"], lambda t: item(t.table_no, F.lit(None).cast("string"), t))
+    return F.when(nested.isNull(), F.transform(flat, lambda t: item(t, t.table_no, t.several, none))).otherwise(
+        F.transform(nested["tables"], lambda t: item(lack, t.table_no, F.lit(True), t))
     )
 
 
