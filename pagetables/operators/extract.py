@@ -17,7 +17,7 @@ from ..functions import html, text, urls
 from ..functions.arrays import cap, explode_items, keep_rows
 from ..session import new_folder
 from . import records, tables
-from .flat_tables import flat_tables
+from .flat_tables import all_tables
 from .nested_tables import nested_tables
 
 # The kinds of records and their names.
@@ -142,15 +142,10 @@ def _each_table(pages: DataFrame) -> DataFrame:
     with nested tables, else ``data``. A table is a row here, handed out of its page with its names not yet made,
     so that those are plain projections. Tables without data may be missing."""
     tags = F.col("tags")
-    marked = _marked_tables(pages).withColumn("is_nested", tables.holds_another(tags))
-    # The Python node is given plain columns.
-    given = marked.select(
-        "page_id",
-        html.lower_tags(F.when(F.col("is_nested"), tags)).alias("nested_tags"),
-        F.when(~F.col("is_nested") & tags.contains("\x01"), tags).alias("flat_tags"),
-    )
-    found = given.select("page_id", nested_tables(F.col("nested_tags")).alias("found"), flat_tables(F.col("flat_tags")).alias("flat"))
-    read = found.select("page_id", "flat", tables.shape_nested(F.col("found")).alias("nested"))
+    # The Python node is given a plain column.
+    given = _marked_tables(pages).select("page_id", F.when(tags.contains("\x01"), tags).alias("tags"))
+    found = given.select("page_id", all_tables(tags).alias("r"))
+    read = found.select("page_id", F.col("r.flat").alias("flat"), tables.shape_nested(F.col("r.found")).alias("nested"))
     each = explode_items(read, tables.either_table(F.col("flat"), F.col("nested")), "page_id", F.col("nested.texts").alias("texts"))
     each = each.select("page_id", "texts", "r.*")
     names = F.when(F.col("inner").isNull(), tables.names_of(F.col("headers"), F.col("data"), F.col("width")))

@@ -1,6 +1,6 @@
-"""Tables of pages where none is inside another one, many pages at a time.
+"""Tables of many pages at a time.
 
-``read_flat`` takes the table tags of a batch of pages (``html.mark_names``). All tags of the batch are one array of kinds; what a tag belongs to is the last or next
+Pages with a table inside another one go to ``nested_tables.read_tables``. For the others ``read_flat`` takes the table tags of a batch of pages (``html.mark_names``). All tags of the batch are one array of kinds; what a tag belongs to is the last or next
 tag of some kind, so every step is one pass over arrays and there is no loop over pages, rows or cells. The
 rules are those of ``tables._read_table``, which reads one table in its page's row.
 """
@@ -16,6 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.text import COMMON
+from . import nested_tables
 
 _TABLE, _TABLE_END, _HEAD, _BODY, _SECTION, _ROW_END, _ROW, _CELL_END, _CELL, _TH = range(10)
 # By the second letter of a name; "th" begins two of them.
@@ -47,7 +48,11 @@ FLAT_TYPE = pa.list_(
         ]
     )
 )
-SPARK_TYPE = "array<struct<table_no: bigint, several: boolean, headers: array<string>, width: int, data: array<array<string>>>>"
+SPARK_TYPE = (
+    "struct<flat: array<struct<table_no: bigint, several: boolean, headers: array<string>, width: int, data: array<array<string>>>>, "
+    f"found: {nested_tables.SPARK_TYPE}>"
+)
+_NAME = re.compile("\x01[^\x02]+")
 
 
 def _begins(keys: np.ndarray) -> np.ndarray:
@@ -87,8 +92,9 @@ def _cleaned(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[n
     return clean, begins, ends - begins - ((ends > begins) & (clean[ends - 1] == 32))
 
 
-def _read(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
-    """The tables with data of pages, each from its offset to the next one."""
+def _read(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The tables with data of pages, each from its offset to the next one, and which pages have a table inside another
+    one. Those have no tables here."""
     tag = offsets[0] + np.flatnonzero(data[offsets[0] : offsets[-1]] == 1)
     n = len(tag)
     page = np.searchsorted(offsets, tag, side="right") - 1
@@ -146,7 +152,12 @@ def _read(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     header = first(row_owner[ths], ths)
     is_header = np.zeros(len(rows), dtype=bool)
     is_header[header[header >= 0]] = True
-    is_data = filled & ~is_header
+    # A table inside another one begins before the one in front of it has ended.
+    tables = np.flatnonzero(kind <= _TABLE_END)
+    inner = is_table[tables[1:]] & is_table[tables[:-1]] & (page[tables[1:]] == page[tables[:-1]])
+    nested = np.zeros(len(offsets) - 1, dtype=bool)
+    nested[page[tables[1:][inner]]] = True
+    is_data = filled & ~is_header & ~nested[page[opens[row_owner]]]
 
     n_rows = np.bincount(row_owner[is_data], minlength=len(opens))
     shown = np.flatnonzero(n_rows)
@@ -168,12 +179,12 @@ def _read(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
         ],
         fields=list(FLAT_TYPE.value_type),
     )
-    return _lists(np.bincount(table_page[shown], minlength=len(offsets) - 1), found)
+    return _lists(np.bincount(table_page[shown], minlength=len(offsets) - 1), found), nested
 
 
-def read_flat(pages: pa.Array) -> Iterator[pa.Array]:
+def read_flat(pages: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray]]:
     """For every page its tables with data: number, whether the page has several, texts of the header cells, most cells
-    of a data row, and cell texts of the data rows. Some pages at a time."""
+    of a data row, and cell texts of the data rows; and which pages are left to ``read_tables``. Some pages at a time."""
     raw = pages.fill_null("").cast(pa.large_binary())
     offsets = np.frombuffer(raw.buffers()[1], dtype=np.int64)[raw.offset : raw.offset + len(raw) + 1]
     data = np.frombuffer(raw.buffers()[2] or b"", dtype=np.uint8)
@@ -184,10 +195,17 @@ def read_flat(pages: pa.Array) -> Iterator[pa.Array]:
         at = to
 
 
-def flat_tables(tags: Column) -> Column:
-    """What ``read_flat`` finds; an empty array for null."""
+def all_tables(tags: Column) -> Column:
+    """struct(flat, found): what ``read_flat`` finds, and ``read_tables`` for the pages left to it, else null."""
 
     def of(pages: pa.Array) -> pa.Array:
-        return pa.concat_arrays([pa.array([], FLAT_TYPE), *(found.cast(FLAT_TYPE) for found in read_flat(pages))])
+        flat, nested = [pa.array([], FLAT_TYPE)], [np.zeros(0, dtype=bool)]
+        for found, left in read_flat(pages):
+            flat.append(found.cast(FLAT_TYPE))
+            nested.append(left)
+        inner: list[dict | None] = [None] * len(pages)
+        for at in np.flatnonzero(np.concatenate(nested)).tolist():
+            inner[at] = nested_tables.read_tables(_NAME.sub(lambda name: name[0].lower(), pages[at].as_py()))
+        return pa.StructArray.from_arrays([pa.concat_arrays(flat), pa.array(inner, nested_tables.TABLES_TYPE)], names=["flat", "found"])
 
     return F.arrow_udf(of, SPARK_TYPE).asNondeterministic()(tags)

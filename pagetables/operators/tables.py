@@ -79,12 +79,6 @@ def has_nested_tables(marks: Column) -> Column:
     return marks.rlike(f"{_TABLE}[^{_TABLE}{_TABLE_END}]*+{_TABLE}")
 
 
-def holds_another(tags: Column) -> Column:
-    """``has_nested_tables`` from ``html.mark_names``."""
-    other = "\x01(?!/?table\x02)"
-    return tags.rlike(f"(?i)\x01table\x02[^\x01]*+(?:{other}[^\x01]*+)*+\x01table\x02")
-
-
 def column_names(headers: Column, width: Column) -> Column:
     """Unique column names; headers that do not fit the width are not used.
 
@@ -381,7 +375,7 @@ def parts_of() -> Column:
 
 
 def either_table(flat: Column, nested: Column) -> Column:
-    """array<struct<table_no, several, headers, width, data, inner>> of a page's tables: those of ``flat_tables``, or
+    """array<struct<table_no, several, headers, width, data, inner>> of a page's tables: those of ``read_flat``, or
     the tables of ``shape_nested`` as ``inner`` where there are some."""
     none = F.when(F.lit(False), F.get(nested["tables"], F.lit(0)))
     lack = F.when(F.lit(False), F.get(flat, F.lit(0)))
