@@ -138,9 +138,9 @@ def page_tables(pages: DataFrame, max_records: int | None = None) -> DataFrame:
 
 
 def _each_table(pages: DataFrame) -> DataFrame:
-    """(page_id, several, texts, table_no, inner, col_names, width, data) of every table: ``inner`` on pages
-    with nested tables, else ``data``. A table is a row here, handed out of its page with its names not yet made,
-    so that those are plain projections. Tables without data may be missing."""
+    """(page_id, several, texts, table_no, inner, col_names, width, data) of every table with data: ``inner`` on
+    pages with nested tables, else ``data``. A table is a row here, handed out of its page before its names are
+    made, so that those are plain projections."""
     tags = F.col("tags")
     # The Python node is given a plain column.
     given = _marked_tables(pages).select("page_id", F.when(tags.contains("\x01"), tags).alias("tags"))
@@ -226,9 +226,9 @@ def _tables_of(pages: DataFrame) -> DataFrame:
 
 
 def _stored_tables(pages: DataFrame) -> DataFrame:
-    """The rows of ``_each_table`` with data, written once to the shared folder and read back: the
-    pages are read once, whatever reads their tables."""
-    each = keep_rows(_each_table(pages), F.col("col_names").isNotNull())
+    """The rows of ``_each_table``, written once to the shared folder and read back: the pages are read
+    once, whatever reads their tables."""
+    each = _each_table(pages)
     folder = new_folder(pages.sparkSession, "tables")
     each.write.parquet(folder)
     return pages.sparkSession.read.schema(each.schema).parquet(folder)
